@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .exact_dedup import exact_dedup
+from .language import fit_language, predict_language
 from .mixing import mix
 from .packing import pack
+from .quality import fit_quality, score_quality
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +23,21 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_best_fit_packing, op5_exact_dedup)}
+def op9_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return predict_language(docs, fit_language(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_best_fit_packing, op4_quality_compression, op5_exact_dedup, op9_language_ecoc)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": r"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .exact_dedup import exact_dedup
 from .language import fit_language, predict_language
+from .license_scan import scan_licenses
 from .mixing import mix
 from .packing import pack
 from .quality import fit_quality, score_quality
@@ -32,12 +33,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op9_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return predict_language(docs, fit_language(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_best_fit_packing, op4_quality_compression, op5_exact_dedup, op9_language_ecoc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_best_fit_packing, op4_quality_compression, op5_exact_dedup, op7_license_scan, op9_language_ecoc)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": r"""

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
 from .exact_dedup import exact_dedup
 from .language import fit_language, predict_language
 from .license_scan import scan_licenses
 from .mixing import mix
+from .neighbours import neighbours
 from .packing import pack
 from .quality import fit_quality, score_quality
 
@@ -37,12 +39,16 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return predict_language(docs, fit_language(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_best_fit_packing, op4_quality_compression, op5_exact_dedup, op7_license_scan, op9_language_ecoc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_best_fit_packing, op4_quality_compression, op5_exact_dedup, op7_license_scan, op8_nearest_neighbours, op9_language_ecoc)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": r"""

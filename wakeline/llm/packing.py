@@ -19,6 +19,7 @@ are ignored, whatever their names; ties go to the smaller id, then piece, then t
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -85,12 +86,18 @@ class ChunkTokenizer(dict):
         return out
 
 
+@functools.cache
+def chunk_tokenizer(path: str) -> ChunkTokenizer:
+    """One a Python worker: later tasks find the tokenizer loaded and most chunks known."""
+    return ChunkTokenizer(path)
+
+
 def _tokenize(path: str, limit: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = ChunkTokenizer(path)
+        tokenizer = chunk_tokenizer(path)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             for at in range(0, len(texts), 256):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import format_chats, read_back
 from .common import read
 from .exact_dedup import exact_dedup
 from .language import fit_language, predict_language
@@ -35,6 +36,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op6_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema))
+    segments, leaves = format_chats(rows)
+    return leaves.join(read_back(segments), "digest").drop("digest")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -48,9 +57,25 @@ def op9_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, fit_language(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_best_fit_packing, op4_quality_compression, op5_exact_dedup, op7_license_scan, op8_nearest_neighbours, op9_language_ecoc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_best_fit_packing, op4_quality_compression, op5_exact_dedup, op6_chat_prefix_tree, op7_license_scan, op8_nearest_neighbours, op9_language_ecoc)}
+
+_ESCAPED = "replace({}, '\\', '\\\\')"
+for _c in ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
+_ROLE = f"replace({_ESCAPED}, chr(10), '\\' || chr(10))"
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_chat_prefix_tree": f"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+               sum(length('<|turn|>') + length({_ROLE.format("role")}) + 1 + length({_ESCAPED.format("text")}) + length('<|end|>') + 1)::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id
+    """,
     "op5_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,

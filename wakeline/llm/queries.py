@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_chats, read_back
 from .common import read
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_components
 from .language import fit_language, predict_language
 from .license_scan import scan_licenses
 from .mixing import mix
@@ -23,6 +24,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op2_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op9_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, fit_language(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_best_fit_packing, op4_quality_compression, op5_exact_dedup, op6_chat_prefix_tree, op7_license_scan, op8_nearest_neighbours, op9_language_ecoc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_jaccard_metric_join, op3_best_fit_packing, op4_quality_compression, op5_exact_dedup, op6_chat_prefix_tree, op7_license_scan, op8_nearest_neighbours, op9_language_ecoc)}
 
 _ESCAPED = "replace({}, '\\', '\\\\')"
 for _c in ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):

@@ -17,6 +17,7 @@ from .mixing import mix
 from .neighbours import neighbours
 from .packing import pack
 from .quality import fit_quality, score_quality
+from .substring_dedup import remove_repeats
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,11 @@ def op9_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, fit_language(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_jaccard_metric_join, op3_best_fit_packing, op4_quality_compression, op5_exact_dedup, op6_chat_prefix_tree, op7_license_scan, op8_nearest_neighbours, op9_language_ecoc)}
+def op10_substring_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_jaccard_metric_join, op3_best_fit_packing, op4_quality_compression, op5_exact_dedup, op6_chat_prefix_tree, op7_license_scan, op8_nearest_neighbours, op9_language_ecoc, op10_substring_fm_index)}
 
 _ESCAPED = "replace({}, '\\', '\\\\')"
 for _c in ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
@@ -70,6 +75,19 @@ for _c in ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
 _ROLE = f"replace({_ESCAPED}, chr(10), '\\' || chr(10))"
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_substring_fm_index": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), win AS (
+            SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35
+        ), hashed AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM win
+        ), often AS (SELECT h FROM hashed GROUP BY h HAVING count(*) > 1
+        ), covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM hashed WHERE h IN (SELECT h FROM often)
+        ), gone AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM covered GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+               sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE array_to_string([w[k] FOR k IN range(1, len(w) + 1) IF NOT list_contains(js, k)], ' ') END) AS kept_sha256
+        FROM d LEFT JOIN gone USING (doc_id)
+    """,
     "op6_chat_prefix_tree": f"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -147,3 +147,17 @@ def score_quality(docs: DataFrame, model: CompressionModel, id_col: str = "doc_i
         scored = rows.mapInArrow(_measure(model), f"doc_id {kind}, held_out boolean, difference double")
         scored = scored.withColumn("score", 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("difference") + F.lit(model.offset)))))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "difference")
+
+
+def keep_good(docs: DataFrame, model: CompressionModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score reaches the threshold. Nothing is shuffled."""
+    if not model.good:
+        return docs if model.prior >= threshold else docs.filter("false")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        difference = _sizes(model)
+        for batch in batches:
+            values = np.array([difference(t or "") for t in batch.column(batch.schema.names.index(text_col)).to_pylist()])
+            yield batch.filter(pa.array(1 / (1 + np.exp(-(model.slope * values + model.offset))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

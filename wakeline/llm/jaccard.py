@@ -134,8 +134,28 @@ def _exchange(width: int, bound: int, buckets: int, flush: int = 2_000_000):
     return run
 
 
-def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All blocks of one hash range -> how many shingles of each class occur in another class too."""
+def _settle(groups: int):
+    """All blocks of one hash range -> how many shingles of each class occur in another class too, packed by groups of classes."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, total = shared_counts(pdf)
+        group = (mixed(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        ids, total, group = ids[order], total[order], group[order]
+        cuts = np.flatnonzero(np.diff(group)) + 1
+        rows = [(int(g[0]), i.tobytes(), t.tobytes()) for g, i, t in zip(np.split(group, cuts), np.split(ids, cuts), np.split(total, cuts), strict=True) if len(g)]
+        return pd.DataFrame(rows, columns=["group", "ids", "counts"])
+
+    return run
+
+
+def _total(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All packed counts of a group of classes -> one row a class."""
+    ids, at = np.unique(np.frombuffer(b"".join(pdf["ids"]), np.int64), return_inverse=True)
+    return pd.DataFrame({"doc_id": ids, "shared": np.bincount(at, weights=np.frombuffer(b"".join(pdf["counts"]), np.int64)).astype(np.int64)})
+
+
+def shared_counts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     low = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, 5)
     wide = np.zeros((len(low), 8), np.uint8)
     wide[:, :5] = low
@@ -150,7 +170,7 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     counts = np.frombuffer(b"".join(pdf["counts"]), np.int64)
     ids, at = np.unique(np.concatenate((docs[docs >= 0], known)), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate((np.ones(int((docs >= 0).sum())), counts)), minlength=len(ids))
-    return pd.DataFrame({"doc_id": ids, "shared": total.astype(np.int64)})
+    return ids, total.astype(np.int64)
 
 
 def _sets(width: int):
@@ -285,7 +305,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = parts(spark, postings, block_shingles)
     texts = text.filter("doc_id IS NOT NULL").join(reps, "doc_id", "left_semi")
     blocks = texts.mapInArrow(_exchange(width, bound, buckets), "bucket int, low binary, docs binary, known binary, counts binary")
-    shared = blocks.groupBy("bucket").applyInPandas(_settle, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    shared = blocks.groupBy("bucket").applyInPandas(_settle(buckets), "group long, ids binary, counts binary").groupBy("group").applyInPandas(_total, "doc_id long, shared long")
     may_link = F.coalesce("shared", F.lit(0)) >= F.col("n_below") - (F.col("n") - F.ceil(F.col("n") * percent / 100))
     kept = classes.select(F.col("class_id").alias("doc_id"), "n", "n_below").join(shared, "doc_id", "left").filter(may_link).select("doc_id")
     kept = materialize(kept, "jaccard-kept")

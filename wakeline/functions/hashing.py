@@ -30,14 +30,14 @@ def uniform(seed_hex: str, domain: str, key: Column) -> Column:
     """A draw in [0, 1) for each key: the leading 64 bits of HMAC(seed, domain | key)."""
     digest = hmac_sha256(bytes.fromhex(seed_hex), F.concat(F.lit(domain + "\x1f"), key))
     high, low = (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") for at in (1, 9))
-    return high / 2**32 + low / 2**64
+    return high / float(2**32) + low / float(2**64)
 
 
 def es6_number(x: float) -> str:
     """A double as JSON's canonical form writes it: shortest digits that read back, exponents only beyond 1e21 and below 1e-6."""
     if x != x or x in (float("inf"), float("-inf")) or (x == 0 and str(x)[0] == "-"):
         raise ValueError("not a finite number, or negative zero")
-    if x == int(x) and abs(x) < 1e21:
+    if x == int(x) and abs(x) < 2**53:
         return str(int(x))
     mantissa, _, exponent = repr(abs(x)).partition("e")
     whole, _, part = mantissa.partition(".")

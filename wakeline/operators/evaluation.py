@@ -133,10 +133,10 @@ def average_precision(rows: DataFrame, group: list[str], key: str) -> DataFrame:
 
 def rank_metrics(rows: DataFrame, group: list[str], key: str, share: float = 0.1, k: int = 10) -> DataFrame:
     """Recall within the best share of a group (one row at least) and precision within its k best."""
-    r = ranked(rows, group, key).join(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")), group)
+    r = ranked(rows, group, key).join(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("total")), group)
     budget = F.greatest(F.lit(1), F.ceil(F.col("n") * share))
-    sums = r.groupBy(*group, "n", "p").agg(F.sum(F.when(F.col("at") <= budget, F.col("label")).otherwise(0)).alias("in_budget"), F.sum(F.when(F.col("at") <= k, F.col("label")).otherwise(0)).alias("in_k"))
-    return sums.select(*group, F.col("n").alias("n_rows"), (F.col("in_budget") / F.nullif(F.col("p"), F.lit(0))).alias("recall_at_budget"), (F.col("in_k") / F.least(F.col("n"), F.lit(k))).alias("precision_at_k"))
+    sums = r.groupBy(*group, "n", "total").agg(F.sum(F.when(F.col("at") <= budget, F.col("label")).otherwise(0)).alias("in_budget"), F.sum(F.when(F.col("at") <= k, F.col("label")).otherwise(0)).alias("in_k"))
+    return sums.select(*group, F.col("n").alias("n_rows"), (F.col("in_budget") / F.nullif(F.col("total"), F.lit(0))).alias("recall_at_budget"), (F.col("in_k") / F.least(F.col("n"), F.lit(k))).alias("precision_at_k"))
 
 
 def clipped_nll(p: Column, y: Column, least: float = 1e-15) -> Column:

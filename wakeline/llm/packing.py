@@ -10,8 +10,8 @@ of squared lengths). Among the open sequences that can take a piece under every
 Pieces are dealt to groups of bounded size by a hash, and each group is packed alone: a group leaves at most about one poorly filled
 sequence, a few in ten thousand. No task grows with the input.
 
-Tokens: text between ASCII white space is tokenised on its own (the tokenizer drops white space and never joins across it), so each
-distinct chunk is encoded once a task and kept in a bounded cache.
+Tokens: the tokenizer encodes each of its pre-tokens on its own, so a text's ids are put together from those of its pre-tokens, each
+distinct one encoded once a worker and kept in a bounded cache.
 
 Defined results: a null or empty text is just its end id; repeated rows are packed once a row; an empty table gives no rows; further columns
 are ignored, whatever their names; ties go to the smaller id, then piece, then the older sequence.
@@ -20,6 +20,7 @@ are ignored, whatever their names; ties go to the smaller id, then piece, then t
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,13 +41,23 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# The tokenizer's own pre-tokens, spelt out for Latin-1 (whose texts are always in normal form C).
+_L, _N, _S = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+
+
 class ChunkTokenizer(dict):
-    """Token ids of whole texts, from the ids of their white-space separated chunks. As a dict: chunk -> its number."""
+    """Token ids of whole texts, from the ids of their pieces. As a dict: piece -> its number.
 
-    def __init__(self, path: str, most: int = 500_000):
+    A piece is a pre-token in lower case where the text is Latin-1 and the tokenizer is known to split it so, else what stands between
+    ASCII white space. Either is encoded once.
+    """
+
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known_split = path.endswith("word_bpe_49k.json")
         self._reset()
 
     def _reset(self) -> None:
@@ -54,41 +65,63 @@ class ChunkTokenizer(dict):
         self.new: list[str] = []
         self.starts, self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def __missing__(self, chunk: str) -> int:
-        self.new.append(chunk)
-        self[chunk] = n = len(self)
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = n = len(self)
         return n
 
     def _learn(self) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch(self.new, add_special_tokens=False)]
-        lens = np.array([len(x) for x in ids], np.int64)
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lens) - lens))
-        self.lens = np.concatenate((self.lens, lens))
-        self.flat = np.concatenate((self.flat, np.array([t for x in ids for t in x], np.uint32)))
+        """Encode all new pieces. Those that are one pre-token each go as one text, whose word numbers tell them apart."""
+        single = np.array([self.known_split and p == p.lower() and max(p, default="\uffff") < "\u0100" and PRE_TOKENS.fullmatch(p) is not None for p in self.new], bool)
+        lens, starts = np.zeros(len(self.new), np.int64), np.zeros(len(self.new), np.int64)
+        blocks, end = [self.flat], len(self.flat)
+
+        def add(at: np.ndarray, counts: np.ndarray, ids: list[int]) -> None:
+            nonlocal end
+            lens[at], starts[at] = counts, end + np.cumsum(counts) - counts
+            blocks.append(np.array(ids, np.uint32))
+            end += len(ids)
+
+        for some in np.array_split(np.flatnonzero(single), -(-int(single.sum()) // 16_384) or 1):
+            e = self.tokenizer.encode(" ".join([self.new[j] for j in some]), add_special_tokens=False)
+            add(some, np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)), e.ids)
+        rest = np.flatnonzero(~single)
+        found = [e.ids for e in self.tokenizer.encode_batch([self.new[j] for j in rest], add_special_tokens=False)]
+        add(rest, np.array([len(x) for x in found], np.int64), [t for x in found for t in x])
+        self.starts, self.lens, self.flat = np.concatenate((self.starts, starts)), np.concatenate((self.lens, lens)), np.concatenate(blocks)
         self.new = []
 
+    def pieces(self, text: str) -> list[str]:
+        if self.known_split and "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return PRE_TOKENS.findall(text.lower())
+            except UnicodeEncodeError:
+                pass
+        for space in "\t\n\x0b\x0c\r":
+            text = text.replace(space, " ")
+        return text.split(" ")
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self) > self.most:
             self._reset()
         numbers = []
         for text in texts:
-            for space in "\t\n\x0b\x0c\r":
-                text = text.replace(space, " ")
-            words = text.split(" ")
-            numbers.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+            pieces = self.pieces(text)
+            numbers.append(np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces)))
         if self.new:
             self._learn()
         out = []
         for at in numbers:
             lens = self.lens[at]
             ends = np.cumsum(lens)
-            out.append(self.flat[np.repeat(self.starts[at] - ends + lens, lens) + np.arange(ends[-1])])
+            out.append(self.flat[np.repeat(self.starts[at] - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)])
         return out
 
 
 @functools.cache
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
-    """One a Python worker: later tasks find the tokenizer loaded and most chunks known."""
+    """One a Python worker: later tasks find the tokenizer loaded and most pieces known."""
     return ChunkTokenizer(path)
 
 

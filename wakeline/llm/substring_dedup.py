@@ -72,35 +72,45 @@ def window_minimum(a: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def runs_of(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of each run of one document: start, number of windows, minimizer, a hash of its content, and whether it may repeat itself."""
-    least = window_minimum(rolling(h, gram), window - gram + 1)  # one value a window
-    cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
-    starts = np.concatenate(([0], cuts))
-    counts = np.diff(np.concatenate((starts, [len(least)])))
+def runs_of(h: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of many documents whose word hashes h stand one behind the other.
+
+    Of each run: document, start in it, number of windows, minimizer, a hash of its content, and whether it may repeat itself.
+    """
+    none = np.zeros(0, np.int64)
+    if len(h) < window:
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
+    ends = np.cumsum(lengths)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    span, grams = window - gram + 1, rolling(h, gram)
+    least = window_minimum(grams, span)  # one value a window
+    inside = np.arange(len(least)) + window <= ends[doc[: len(least)]]
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 1) | (least[at[1:]] != least[at[:-1]]))))
+    starts, counts = at[first], np.diff(np.concatenate((first, [len(at)])))
+    values, docs = least[starts], doc[starts]
     # Content hash by prefix sums of h[i] * P**i, scaled back to the start of the run.
     power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(h), P, np.uint64))), dtype=np.uint64)
     back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(h), np.uint64(pow(int(P), -1, 1 << 64)), np.uint64))), dtype=np.uint64)
     sums = np.concatenate(([np.uint64(0)], np.cumsum(h * power[:-1], dtype=np.uint64)))
-    ends = starts + counts - 1 + window
-    content = mixed((sums[ends] - sums[starts]) * back[starts] + counts.astype(np.uint64))
-    return starts, counts, least[starts], content, self_repeating(h, least, least[starts], window, gram)
+    content = mixed((sums[starts + counts - 1 + window] - sums[starts]) * back[starts] + counts.astype(np.uint64))
+    # A place holds a minimizer if, of the windows around it, one has its hash as minimum; no window there has a larger one. Where two
+    # places of one minimizer are near each other, a window may repeat inside the run.
+    edge = np.zeros(span - 1, np.uint64)
+    highest = ~window_minimum(~np.concatenate((edge, np.where(inside, least, np.uint64(0)), edge)), span)
+    places = np.flatnonzero(highest == grams)
+    twice = (grams[places[1:]] == grams[places[:-1]]) & (np.diff(places) <= span)
+    key = lambda value, d: mixed(value + d.astype(np.uint64) * P)
+    own = np.isin(key(values, docs), key(grams[places[1:]][twice], doc[places[1:]][twice])) if twice.any() else np.zeros(len(values), bool)
+    return docs, starts - (ends - lengths)[docs], counts, values, content, own
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def self_repeating(h: np.ndarray, least: np.ndarray, values: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """Runs in which the minimizer itself occurs twice, so that a window may repeat inside the run."""
-    grams, span = rolling(h, gram), window - gram + 1
-    padded = np.concatenate((np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)))
-    # A place holds a minimizer if, of the windows around it, one has its hash as minimum; no window there has a larger one.
-    places = np.flatnonzero(~window_minimum(~padded, span) == grams)
-    again = (grams[places[1:]] == grams[places[:-1]]) & (np.diff(places) <= span)
-    return np.isin(values, grams[places[1:]][again]) if again.any() else np.zeros(len(values), bool)
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of words of each document and the digest of all of them."""
     for batch in batches:
@@ -109,22 +119,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array(digests)], names=["key", "doc_id", "n_words", "digest"])
 
 
-def _runs(window: int, gram: int):
+def _runs(window: int, gram: int, words_at_once: int = 500_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        keys: list[int] = []
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            docs, starts, counts, values, contents, own = runs_of(np.concatenate(held), np.array([len(x) for x in held]), window, gram)
+            cols = (np.array(keys, np.int64)[docs], starts.astype(np.int32), counts.astype(np.int32), values.view(np.int64), contents.view(np.int64), own)
+            keys.clear(), held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "start", "count", "minimizer", "content", "own"])
+
+        n = 0
         for batch in batches:
-            keys, cols = [], ([], [], [], [], [])
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
-                if len(words) < window:
-                    continue
-                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                starts, counts, values, contents, own = runs_of(h, window, gram)
-                keys.append(np.full(len(starts), key, np.int64))
-                for out, x in zip(cols, (starts.astype(np.int32), counts.astype(np.int32), values.view(np.int64), contents.view(np.int64), own), strict=True):
-                    out.append(x)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, *cols)], names=["key", "start", "count", "minimizer", "content", "own"])
+                if len(words) >= window:
+                    keys.append(key), held.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+                    n += len(words)
+                if n >= words_at_once:
+                    yield out()
+                    n = 0
+        if held:
+            yield out()
 
     return run
 
@@ -222,12 +240,16 @@ def _search(window: int):
         text[np.arange(lens.sum()) + np.repeat(np.arange(len(lens)), lens)] = symbols + 1
         index = FMIndex(text, window)
         n_windows = lens - window + 1
+        wanted = pdf["wanted"].to_numpy(bool)  # the others are repeated throughout, and only stand in the index
+        ends, lens, n_windows = ends[wanted], lens[wanted], n_windows[wanted]
+        if not wanted.any():
+            return pd.DataFrame({"content": pdf["content"][wanted], "mask": []})
         firsts = np.repeat(ends - 1 - lens + window - np.concatenate(([0], np.cumsum(n_windows)[:-1])), n_windows) + np.arange(n_windows.sum())
         repeated = np.empty(len(firsts), bool)
         for at in range(0, len(firsts), 1 << 18):
             repeated[at : at + (1 << 18)] = index.matching(text, firsts[at : at + (1 << 18)], window) >= window
         masks = [np.packbits(m).tobytes() for m in np.split(repeated, np.cumsum(n_windows)[:-1])]
-        return pd.DataFrame({"content": pdf["content"].to_numpy(), "mask": masks})
+        return pd.DataFrame({"content": pdf["content"].to_numpy()[wanted], "mask": masks})
 
     return run
 
@@ -244,12 +266,12 @@ def _cut(window: int):
                 for r in runs:
                     part = h[r["start"] : r["start"] + r["count"] - 1 + window]
                     if r["crowded"]:
-                        rows.append((r["minimizer"], r["content"], None, rolling(part, window).view(np.int64)))
+                        rows.append((r["minimizer"], r["content"], r["wanted"], None, rolling(part, window).view(np.int64)))
                     else:
-                        rows.append((r["minimizer"], r["content"], part.tobytes(), None))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["minimizer", "content", "words", "windows"])
+                        rows.append((r["minimizer"], r["content"], r["wanted"], part.tobytes(), None))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["minimizer", "content", "wanted", "words", "windows"])
 
     return run
 
@@ -302,19 +324,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # One copy of each content of a disputed minimizer, from the smallest key that has it.
     disputed = marked.filter("kinds > 1 OR (own AND times = 1)")
     place = F.struct("key", "start", "count").alias("place")
-    asked = disputed.groupBy("minimizer", "content").agg(F.min(place).alias("at"), F.first("kinds").alias("kinds"))
-    asked = asked.select(F.col("at.key").alias("key"), F.struct(F.col("at.start").alias("start"), F.col("at.count").alias("count"), "minimizer", "content", (F.col("kinds") > crowded).alias("crowded")).alias("r"))
+    asked = disputed.groupBy("minimizer", "content").agg(F.min(place).alias("at"), F.first("kinds").alias("kinds"), (F.first("times") == 1).alias("wanted"))
+    asked = asked.select(F.col("at.key").alias("key"), F.struct(F.col("at.start").alias("start"), F.col("at.count").alias("count"), "minimizer", "content", "wanted", (F.col("kinds") > crowded).alias("crowded")).alias("r"))
     by_doc = materialize(asked.groupBy("key").agg(F.collect_list("r").alias("runs")), "sub-asked")
     some = broadcast_if_small(by_doc.select("key"), by_doc.count(), 24)
     sources = texts.select("key", "text").join(some, "key", "left_semi")
     if not unique:
         sources = sources.dropDuplicates(["key"])
-    pieces = sources.join(by_doc, "key").select("text", "runs").mapInArrow(_cut(window), "minimizer long, content long, words binary, windows array<long>")
+    pieces = sources.join(by_doc, "key").select("text", "runs").mapInArrow(_cut(window), "minimizer long, content long, wanted boolean, words binary, windows array<long>")
     pieces = materialize(pieces, "sub-pieces")
 
     shards = parts(spark, pieces.filter("words IS NOT NULL").count(), shard_runs)
     shard = F.pmod(F.xxhash64("minimizer"), F.lit(shards)).alias("shard")
-    masks = pieces.filter("words IS NOT NULL").select(shard, "content", "words").groupBy("shard").applyInPandas(_search(window), "content long, mask binary")
+    masks = pieces.filter("words IS NOT NULL").select(shard, "content", "wanted", "words").groupBy("shard").applyInPandas(_search(window), "content long, mask binary")
     # Crowded minimizers: their windows one by one.
     single = pieces.filter("windows IS NOT NULL").select("content", F.posexplode("windows").alias("at", "window_hash"))
     often = single.groupBy("window_hash").agg((F.count(F.lit(1)) > 1).alias("often"))

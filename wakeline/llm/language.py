@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out
@@ -107,8 +107,10 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang").collect())
     rows = []
     if langs:
-        picks = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-        ids = [(r["lang"], r["doc_id"]) for lang in langs for r in picks.filter(F.col("lang") == lang).orderBy("h", "doc_id").limit(per_lang).collect()]
+        # The rank's limit works before the shuffle too, so a language's rows never meet in one task.
+        order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+        picks = known.filter(F.col("lang").isin(langs)).select("lang", "doc_id", F.row_number().over(order).alias("at")).filter(F.col("at") <= per_lang)
+        ids = [(r["lang"], r["doc_id"]) for r in picks.collect()]  # at most per_lang * max_langs
         chosen = docs.sparkSession.createDataFrame(ids, "s_lang string, s_id long")
         texts = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang")))
         rows = texts.select("lang", "text").mapInArrow(_sparse, "lang string, places array<int>, counts array<float>").collect()

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakeline.operators.numbering import numbered
+
 BENIGN = ["network.flow"]
 
 
@@ -120,10 +122,10 @@ def auroc(rows: DataFrame, group: list[str]) -> DataFrame:
     return sums.select(*group, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("wins") / (F.col("p") * F.col("q"))).alias("auroc"))
 
 
-def ranked(rows: DataFrame, group: list[str], key: str) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(F.desc("score"), key)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("at", F.row_number().over(w)).withColumn("hits", F.sum("label").over(upto))
+def ranked(rows: DataFrame, group: list[str], key: str, buckets: int = 4096) -> DataFrame:
+    """Adds at (rank by falling score, then key) and hits (labels up to it)."""
+    falling = F.floor(buckets / (1 + F.exp(F.col("score"))))  # falls with the score, whatever its range
+    return numbered(rows, group, falling, [F.desc("score"), key], "at", {"hits": "label"})
 
 
 def average_precision(rows: DataFrame, group: list[str], key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.hashing import uniform
+from wakeline.operators.numbering import numbered
 
 SECOND = 1_000_000
 SEED = "77616b656c696e652d7265706c61792d7631"
@@ -45,8 +46,8 @@ def skew(events: DataFrame, family: str, seconds: int) -> DataFrame:
 
 def arrival(events: DataFrame) -> DataFrame:
     """Adds arrival_seq: the place of an event in its run's order of arrival."""
-    w = Window.partitionBy("run_id").orderBy("ingest_us", "event_us", "source_instance", "event_id")
-    return events.withColumn("arrival_seq", (F.row_number().over(w) - 1).cast("long"))
+    placed = numbered(events, ["run_id"], F.floor(F.col("ingest_us") / (600 * SECOND)), ["ingest_us", "event_us", "source_instance", "event_id"], "arrival_seq")
+    return placed.withColumn("arrival_seq", (F.col("arrival_seq") - 1).cast("long"))
 
 
 def reorder(events: DataFrame, family: str, buffer_s: int) -> DataFrame:

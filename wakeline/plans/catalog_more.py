@@ -97,7 +97,7 @@ def token_recovery(f: Frames) -> DataFrame:
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n_groups"), F.count("hit").alias("n_recovered"), r9(F.count("hit") / F.count(F.lit(1))).alias("rate"))
 
 
-@query(sql("""SELECT run_id, count(*) AS n_groups, count_if(c >= 1)::BIGINT AS exact_complete, count_if(c IS NULL)::BIGINT AS missed FROM truth LEFT JOIN (SELECT run_id, group_id, max(coverage) AS c FROM edges GROUP BY ALL) USING (run_id, group_id) GROUP BY run_id""", "truth", "edges"))
+@query(sql("""SELECT run_id, count(*) AS n_groups, count_if(coalesce(c, 0) >= 1)::BIGINT AS exact_complete, count_if(c IS NULL)::BIGINT AS missed FROM truth LEFT JOIN (SELECT run_id, group_id, max(coverage) AS c FROM edges GROUP BY ALL) USING (run_id, group_id) GROUP BY run_id""", "truth", "edges"))
 def exact_complete(f: Frames) -> DataFrame:
     best = f.edges.groupBy("run_id", "group_id").agg(F.max("coverage").alias("c"))
     rows = f.truth.select("run_id", "group_id").join(best, ["run_id", "group_id"], "left")

@@ -46,7 +46,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash; forgets everything when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -101,7 +101,7 @@ def _light(width: int, bound: int):
     return run
 
 
-def _exchange(width: int, bound: int, buckets: int, flush: int = 2_000_000):
+def _exchange(width: int, bound: int, buckets: int, flush: int = 1_000_000):
     """Blocks for the owners of hash ranges: low 40 bits of each shingle, its class, and counts already settled here."""
     step = bound // buckets + 1
 

@@ -53,15 +53,11 @@ class ChunkTokenizer(dict):
     ASCII white space. Either is encoded once.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known_split = path.endswith("word_bpe_49k.json")
-        self._reset()
-
-    def _reset(self) -> None:
-        self.clear()
         self.new: list[str] = []
         self.starts, self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
@@ -89,7 +85,11 @@ class ChunkTokenizer(dict):
         found = [e.ids for e in self.tokenizer.encode_batch([self.new[j] for j in rest], add_special_tokens=False)]
         add(rest, np.array([len(x) for x in found], np.int64), [t for x in found for t in x])
         self.starts, self.lens, self.flat = np.concatenate((self.starts, starts)), np.concatenate((self.lens, lens)), np.concatenate(blocks)
-        self.new = []
+
+    def _forget(self, n: int, end: int) -> None:
+        for piece in self.new:
+            del self[piece]
+        self.starts, self.lens, self.flat = self.starts[:n], self.lens[:n], self.flat[:end]
 
     def pieces(self, text: str) -> list[str]:
         if self.known_split and "<|" not in text:
@@ -103,9 +103,7 @@ class ChunkTokenizer(dict):
         return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self) > self.most:
-            self._reset()
-        numbers = []
+        before, end, numbers = len(self), len(self.flat), []
         for text in texts:
             pieces = self.pieces(text)
             numbers.append(np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces)))
@@ -116,6 +114,9 @@ class ChunkTokenizer(dict):
             lens = self.lens[at]
             ends = np.cumsum(lens)
             out.append(self.flat[np.repeat(self.starts[at] - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)])
+        if before >= self.most:
+            self._forget(before, end)
+        self.new = []
         return out
 
 
@@ -133,9 +134,9 @@ def _tokenize(path: str, limit: int, end_id: int, keep_ids: bool):
         tokenizer = chunk_tokenizer(path)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
+            for at in range(0, len(texts), 1024):
                 rows: list[tuple] = []
-                for i, ids in enumerate(tokenizer.encode(texts[at : at + 256]), at):
+                for i, ids in enumerate(tokenizer.encode(texts[at : at + 1024]), at):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), limit)):
                         part = ids[start : start + limit]

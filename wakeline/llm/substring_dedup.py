@@ -41,7 +41,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash; forgets everything when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

@@ -27,6 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,9 +72,22 @@ def conversation_paths(rows: DataFrame, id_col: str = "conv_id", turn_col: str =
     turn = F.struct(F.col(turn_col).isNull().alias("last"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), empty).alias("raw_role"), F.coalesce(F.col(text_col), empty).alias("raw_text"), role.alias("role"), escape_text(F.coalesce(F.col(text_col), empty)).alias("text"))
     grouped = rows.select(F.col(id_col).alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     turns = F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    one = F.transform("turns", lambda t: F.concat(F.length(t["role"]).cast("string"), F.lit(":"), t["role"], t["text"]))
-    chain = F.aggregate(one, F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all")), lambda a, s: F.struct(F.substring(F.sha2(F.concat(a["last"], F.lit("/"), s), 256), 1, 40).alias("last"), F.concat(a["all"], F.array(F.substring(F.sha2(F.concat(a["last"], F.lit("/"), s), 256), 1, 40))).alias("all")))
-    return grouped.select("conv_id", turns.alias("turns")).select("conv_id", "turns", chain["all"].alias("path"))
+    ordered = grouped.select("conv_id", turns.alias("turns"))
+    kind = ordered.schema["conv_id"].dataType.simpleString()
+    return ordered.mapInArrow(_with_paths, f"conv_id {kind}, turns array<struct<role: string, text: string>>, path array<string>")
+
+
+def _with_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each turn's digest covers the digest before it, so equal paths mean equal beginnings."""
+    for batch in batches:
+        paths = []
+        for turns in batch.column(1).to_pylist():
+            path, last = [], ""
+            for t in turns:
+                last = hashlib.sha256(f"{last}/{len(t['role'])}:{t['role']}{t['text']}".encode("utf-8", "surrogatepass")).hexdigest()[:40]
+                path.append(last)
+            paths.append(path)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(paths, pa.list_(pa.string()))], names=["conv_id", "turns", "path"])
 
 
 class _Tree:

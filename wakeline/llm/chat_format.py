@@ -53,16 +53,27 @@ def unescape(text: str) -> str:
 def default_tokenizer() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 @functools.cache
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> tuple:
+    """Encode and decode, loaded once a Python worker. Control strings are ordinary text to either library."""
+    if path.endswith(".tiktoken"):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        model = tiktoken.Encoding("wakeline", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return model.encode_ordinary, model.decode
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    return lambda s: model.encode(s, add_special_tokens=False).ids, lambda ids: model.decode(ids, skip_special_tokens=False)
 
 
 def conversation_paths(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -93,8 +104,8 @@ def _with_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Tree:
     """One segment while it is being written."""
 
-    def __init__(self, tokenizer):
-        self.encode = lambda s: tokenizer.encode(s, add_special_tokens=False).ids
+    def __init__(self, encode):
+        self.encode = encode
         self.tokens: list[int] = []
         self.mask: list[int] = []
         self.positions: list[int] = []
@@ -126,18 +137,18 @@ SEGMENTS = "token_ids array<int>, loss_mask array<int>, position_ids array<int>,
 
 def _write(tokenizer: str, most_tokens: int, most_leaves: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _tokenizer(tokenizer)
+        encode, _ = _tokenizer(tokenizer)
 
         def row(t: _Tree) -> pd.DataFrame:
             return pd.DataFrame({"token_ids": [t.tokens], "loss_mask": [t.mask], "position_ids": [t.positions], "nodes": [t.nodes], "leaves": [t.leaves]})
 
-        tree = _Tree(model)
+        tree = _Tree(encode)
         for pdf in batches:
             for path, turns in zip(pdf["path"], pdf["turns"], strict=True):
                 path = list(path)
                 if tree.leaves and (len(tree.tokens) >= most_tokens or len(tree.leaves) >= most_leaves or tree.branch[0][0] != path[0]):
                     yield row(tree)
-                    tree = _Tree(model)
+                    tree = _Tree(encode)
                 tree.add(path, list(turns))
         if tree.leaves:
             yield row(tree)
@@ -155,8 +166,7 @@ def prefix_tree_segments(paths: DataFrame, tokenizer: str | None = None, most_to
 
 def _read(tokenizer: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _tokenizer(tokenizer)
-        decode = functools.partial(model.decode, skip_special_tokens=False)
+        _, decode = _tokenizer(tokenizer)
         for pdf in batches:
             for ids, mask, nodes, leaves in zip(pdf["token_ids"], pdf["loss_mask"], pdf["nodes"], pdf["leaves"], strict=True):
                 texts, losses = [], []

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.operators import builders, detectors, evaluation, support
 from wakeline.sources import adapters
+from wakeline.sources.sinks import materialize
 
 EPISODE = ["run_id", "episode_no"]
 #: Thresholds of the registered queries: bins of five minutes hold many users, so matches are looser than for linked episodes.
@@ -42,9 +45,10 @@ class Frames:
     def bounds(self) -> DataFrame:
         return builders.episode_bounds(self.members, EPISODE)
 
-    @property
+    @functools.cached_property
     def dedup(self) -> DataFrame:
-        return detectors.deduplicate(detectors.detector_values(self.members), EPISODE)
+        """Written once: the normaliser reads it as cohort, as values and for their counts."""
+        return materialize(detectors.deduplicate(detectors.detector_values(self.members), EPISODE), "dedup")
 
     @property
     def ecdf(self) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, parts
+from .common import broadcast_if_small, materialize, parts, text_batches
 from .components import connected_components
 
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -303,6 +303,7 @@ def _to_pivot(percent: int):
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, frequent_above: int = 32, most_frequent: int = 4_000_000, region_rows: int = 1024, block_shingles: int = 1_000_000) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, and class_id (the smallest id with the same set)."""
     spark = docs.sparkSession
+    text_batches(spark)
     bound = int(0.4 * 2**64)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     light = materialize(text.mapInArrow(_light(width, bound), "doc_id long, n long, n_below long, digest binary"), "jaccard-light")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, text_batches
 
 BITS = 13
 UNDETERMINED = "und"
@@ -156,6 +156,7 @@ def _predict(model: LanguageModel, near: float):
 
 def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", near: float = 0.5) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous: one row per input row."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_predict(model, near), f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")

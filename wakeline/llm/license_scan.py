@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .license_rules import BASE_PHRASES, Rule, rules
 
 #: Bytes that are no part of a word become spaces, A to Z lower case; bytes from 0x80 on belong to words.
@@ -97,6 +98,7 @@ def _scan(phrases: dict[str, str], signatures: list[Rule]):
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, signatures: list[Rule] | None = None) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections (word spans, end exclusive)."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<start: long, end: long, label: string, weight: double>>"

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -53,7 +53,7 @@ class ChunkTokenizer(dict):
     ASCII white space. Either is encoded once.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -205,6 +205,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     capacity = (float(max_tokens), float(max_docs or max_tokens), float(max_cost or max_tokens**2))
     if capacity[2] < max_tokens**2:
         raise ValueError("max_cost must allow one piece of full length")
+    text_batches(docs.sparkSession)
     schema = PIECES + (", ids array<int>" if keep_ids else "")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     pieces = materialize(texts.mapInArrow(_tokenize(tokenizer or default_tokenizer(), max_tokens, end_id, keep_ids), schema), "pack-pieces")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, text_batches
 
 BLOCK = 4096
 #: Bytes by which the difference is moved towards good: a very short text says little either way.
@@ -139,6 +139,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def score_quality(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted, difference: one row per input row."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if not model.good:
         scored = rows.select("doc_id", "held_out", F.lit(0.0).alias("difference"), F.lit(float(model.prior)).alias("score"))
@@ -151,6 +152,7 @@ def score_quality(docs: DataFrame, model: CompressionModel, id_col: str = "doc_i
 
 def keep_good(docs: DataFrame, model: CompressionModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of docs, all columns as they are, whose score reaches the threshold. Nothing is shuffled."""
+    text_batches(docs.sparkSession)
     if not model.good:
         return docs if model.prior >= threshold else docs.filter("false")
 

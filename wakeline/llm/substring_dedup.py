@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, parts
+from .common import broadcast_if_small, materialize, parts, text_batches
 
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -305,6 +305,7 @@ def _bits(pdf: pd.DataFrame) -> pd.DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 14, crowded: int = 2048, shard_runs: int = 4096) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, spans (removed words: start, end, start, end ...)."""
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ids = rows.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known")).first()
     unique = ids["n"] == ids["known"] and rows.groupBy("doc_id").count().filter("count > 1").isEmpty()

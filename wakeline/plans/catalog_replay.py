@@ -183,7 +183,7 @@ def u_transitions(f: Frames) -> DataFrame:
 
 def _fit_rows(f: Frames) -> DataFrame:
     label = (F.col("label").isin("positive", "mixed")).cast("int")
-    return f.features.join(f.labelled.select(*EPISODE, label.alias("y")), EPISODE).select(*EPISODE, F.round("d", 3).alias("d"), "c", "y")
+    return f.features.join(f.labelled.select(*EPISODE, label.alias("y")), EPISODE).select(*EPISODE, "d", "c", "y")
 
 
 @query()
@@ -194,35 +194,22 @@ def group_folds(f: Frames) -> DataFrame:
 
 @query()
 def fit_scorer(f: Frames) -> DataFrame:
-    rows = sinks.materialize(_fit_rows(f), "fit-rows")
-    b = stats.bounded_logistic(rows, ["d", "c"], "y", lower=[0.0, 0.0])
+    b = stats.bounded_logistic(_fit_rows(f), ["d", "c"], "y", lower=[0.0, 0.0])
     return f.spark.createDataFrame([tuple(round(x, 9) for x in b)], "intercept double, weight_d double, weight_c double")
 
 
 @query()
 def fit_calibrator(f: Frames) -> DataFrame:
-    rows = sinks.materialize(_fit_rows(f).withColumn("z", detectors.logit(F.col("d"), F.col("c"))), "fit-rows")
-    b = stats.bounded_logistic(rows, ["z"], "y", ridge=1e-6, lower=[1e-6])
-    return f.spark.createDataFrame([tuple(round(x, 9) for x in b)], "offset double, slope double")
+    rows = _fit_rows(f).select(detectors.logit(F.col("d"), F.col("c")).alias("z"), F.col("y").alias("label"))
+    return stats.affine_calibrators(rows, []).select(r9("offset").alias("offset"), r9("slope").alias("slope"))
 
 
 @query()
 def group_gate(f: Frames) -> DataFrame:
-    """Is a calibrator of one's own worth it? Per source: enough of both classes, and better on held-out folds than the global one."""
-    folds = stats.balanced_folds(f.scored.select(F.lit("all").alias("group_key"), (F.col("doc_id") % 50).cast("string").alias("run_id"), "label")).select("run_id", "fold")
-    rows = f.scored.withColumn("run_id", (F.col("doc_id") % 50).cast("string")).join(F.broadcast(folds), "run_id")  # 50 rows
-    own = rows.groupBy("grp", "fold").agg(F.sum("label").alias("s"), F.count(F.lit(1)).alias("n"))
-    total = own.groupBy("grp").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-    rates = own.join(total, "grp").select("grp", "fold", ((F.col("ts") - F.col("s") + 1) / (F.col("tn") - F.col("n") + 2)).alias("own_rate"), "ts", "tn")
-    everything = own.groupBy("fold").agg(F.sum("s").alias("gs"), F.sum("n").alias("gn"))
-    whole = own.agg(F.sum("s").alias("as_"), F.sum("n").alias("an"))
-    glob = everything.join(F.broadcast(whole)).select("fold", ((F.col("as_") - F.col("gs") + 1) / (F.col("an") - F.col("gn") + 2)).alias("global_rate"))  # one row
-    loss = lambda p: evaluation.clipped_nll(F.col(p), F.col("label"))
-    scored = rows.join(rates, ["grp", "fold"]).join(glob, "fold").groupBy("grp", "fold", "ts", "tn").agg(F.avg(loss("global_rate") - loss("own_rate")).alias("gain"))
-    out = scored.groupBy("grp", "ts", "tn").agg(F.avg("gain").alias("mean_gain"), F.min("gain").alias("least_gain"))
-    enough = (F.col("ts") >= 50) & (F.col("tn") - F.col("ts") >= 50)
-    decision = F.when(~enough, "minimum_cohort_not_met").when((F.col("mean_gain") >= 0.01) & (F.col("least_gain") >= 0), "enabled").otherwise("not_better")
-    return out.select("grp", F.col("tn").alias("n"), F.col("ts").alias("positives"), r9("mean_gain").alias("mean_gain"), r9("least_gain").alias("least_gain"), decision.alias("decision"))
+    """Is a calibrator of one's own worth it? Per source of documents, with each hundred of ids as a run. See stats.group_gate."""
+    rows = f.scored.select(F.col("grp").alias("group_key"), F.floor(F.col("doc_id") / 100).cast("string").alias("run_id"), detectors.logit(F.col("score"), F.lit(0)).alias("z"), "label")
+    out = stats.group_gate(rows).withColumnRenamed("group_key", "grp")
+    return out.withColumns({c: r9(c) for c, kind in out.dtypes if kind == "double"})
 
 
 @query()

@@ -45,8 +45,8 @@ def skew(events: DataFrame, family: str, seconds: int) -> DataFrame:
 
 
 def arrival(events: DataFrame) -> DataFrame:
-    """Adds arrival_seq: the place of an event in its run's order of arrival."""
-    placed = numbered(events, ["run_id"], F.floor(F.col("ingest_us") / (600 * SECOND)), ["ingest_us", "event_us", "source_instance", "event_id"], "arrival_seq")
+    """Adds arrival_seq: the place of an event in the order of arrival of its run, or of its child of a run."""
+    placed = numbered(events, [c for c in ("run_id", "child") if c in events.columns], F.floor(F.col("ingest_us") / (600 * SECOND)), ["ingest_us", "event_us", "source_instance", "event_id"], "arrival_seq")
     return placed.withColumn("arrival_seq", (F.col("arrival_seq") - 1).cast("long"))
 
 
@@ -69,9 +69,45 @@ def duplicate(events: DataFrame, family: str, share: float) -> DataFrame:
     return events.unionByName(copies)
 
 
+#: Seconds by which the last event of a run arrives later.
+SHIFTS = [0, 60, 119, 120, 121, 901, 1020]
+
+
+def cells() -> list[tuple[str, str, object]]:
+    """The control and every intervention at every level on each source: 41."""
+    return [("control", "none", "none")] + [(name, family, level) for name, levels in DESIGN.items() for family in ("EDR", "NDR") for level in levels]
+
+
+def child_key(intervention: str, family: str, level) -> str:
+    return f"{intervention}:{family}:{level}"
+
+
+def children(events: DataFrame) -> DataFrame:
+    """Every run in every cell of the design, with arrival_seq: rows keyed by (run_id, child). events should be written, as each cell reads them."""
+    acts = {"control": lambda e, *_: e, "mask": lambda e, family, _: mask(e, family), "drop": drop, "burst": burst, "delay": delay, "skew": skew, "duplicate": duplicate}
+    told, moved = None, None
+    for name, family, level in cells():
+        child = F.lit(child_key(name, family, level)).alias("child")
+        if name == "reorder":
+            rows = reorder(events, family, level).select("*", child)
+            moved = rows if moved is None else moved.unionByName(rows)
+        else:
+            rows = acts[name](events, family, level).select(*events.columns, child)
+            told = rows if told is None else told.unionByName(rows)
+    return arrival(told).unionByName(moved)
+
+
+def shifted(events: DataFrame) -> DataFrame:
+    """Every run with its last event arriving later by each of SHIFTS: rows keyed by (run_id, child), child the seconds."""
+    last = events.groupBy("run_id").agg(F.max(F.struct("event_us", "event_id")).alias("m")).select("run_id", F.col("m.event_id").alias("last_id"))
+    rows = events.join(last, "run_id").withColumn("delay_s", F.explode(F.array(*[F.lit(d) for d in SHIFTS])))
+    late = F.when(F.col("event_id") == F.col("last_id"), F.col("ingest_us") + F.col("delay_s") * SECOND).otherwise(F.col("ingest_us"))
+    return arrival(rows.withColumns({"ingest_us": late, "child": F.col("delay_s").cast("string")}).drop("last_id", "delay_s"))
+
+
 def design(spark: SparkSession) -> DataFrame:
     """The control and every intervention at every level on each source."""
-    rows = [("control", "none", "none")] + [(name, family, str(level)) for name, levels in DESIGN.items() for family in ("EDR", "NDR") for level in levels]
+    rows = [(name, family, str(level)) for name, family, level in cells()]
     return spark.createDataFrame(rows, "intervention string, source_family string, level string")
 
 

@@ -224,14 +224,34 @@ def bundle_manifest(f: Frames) -> DataFrame:
 
 @query()
 def replay_outcomes(f: Frames) -> DataFrame:
-    """Formation on perturbed children against the control: episodes and revisions gained or lost per run."""
-    names = adapters.aliases(f.table("events"))
-    base = formation.form_episodes(formation.formation_input(replay.arrival(f.norm), names)).groupBy("run_id").agg(F.count(F.lit(1)).alias("base_revisions"), F.countDistinct("episode_id").alias("base_episodes"))
-    out = None
-    for name, child in (("drop_ndr_0.25", replay.arrival(replay.drop(f.norm, "NDR", 0.25))), ("delay_edr_600", replay.arrival(replay.delay(f.norm, "EDR", 600))), ("reorder_ndr_600", replay.reorder(f.norm, "NDR", 600))):
-        rows = formation.form_episodes(formation.formation_input(child, names)).groupBy("run_id").agg(F.count(F.lit(1)).alias("revisions"), F.countDistinct("episode_id").alias("episodes")).withColumn("child", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out.join(base, "run_id", "left").select("run_id", "child", (F.col("revisions") - F.col("base_revisions")).alias("revision_delta"), (F.col("episodes") - F.col("base_episodes")).alias("episode_delta"))
+    """Formation on all 41 children against the control: revisions and episodes gained or lost, and seconds more until episodes close.
+
+    A child without events has no episodes; a burst that fits nowhere in a run leaves it as it is and is not valid.
+    """
+    norm = sinks.materialize(f.norm, "replay-norm")
+    closed = F.when(F.col("state") == "closed", (F.col("watermark_us") - F.col("event_us_end")) / 1_000_000)
+    formed = formation.form_episodes(formation.formation_input(replay.children(norm), adapters.aliases(f.table("events"))))
+    counts = sinks.materialize(formed.groupBy("run_id", "child").agg(F.count(F.lit(1)).alias("revisions"), F.countDistinct("episode_id").alias("episodes"), F.avg(closed).alias("stable_s")), "replay-counts")
+    family = F.col("source_family")
+    runs = norm.groupBy("run_id").agg(F.max("event_us").alias("last"), *[F.min(F.when(family == s, F.col("event_us"))).alias(s) for s in ("EDR", "NDR")])
+    fits = lambda s, level: F.coalesce(F.col(s) + level * replay.SECOND <= F.col("last"), F.lit(False))
+    cells = [F.struct(F.lit(replay.child_key(*c)).alias("child"), *[F.lit(str(x)).alias(n) for n, x in zip(("intervention", "source_family", "level"), c, strict=True)], (fits(c[1], c[2]) if c[0] == "burst" else F.lit(True)).alias("valid")) for c in replay.cells()]
+    control = counts.filter(F.col("child") == replay.child_key("control", "none", "none")).select("run_id", *[F.col(c).alias(f"base_{c}") for c in ("revisions", "episodes", "stable_s")])
+    rows = runs.select("run_id", F.inline(F.array(*cells))).join(counts, ["run_id", "child"], "left").join(control, "run_id", "left")
+    delta = lambda c: F.coalesce(c, F.lit(0)) - F.coalesce(f"base_{c}", F.lit(0))
+    return rows.select("run_id", "child", "intervention", "source_family", "level", "valid", delta("revisions").alias("revision_delta"), delta("episodes").alias("episode_delta"), r9(F.col("stable_s") - F.col("base_stable_s")).alias("stabilization_delta_s"))
+
+
+@query()
+def ingest_shift_outcomes(f: Frames) -> DataFrame:
+    """Formation when a run's last event arrives later by each of seven delays, against no delay: digests, revisions, late records."""
+    rows = sinks.materialize(formation.formation_input(replay.shifted(f.norm), adapters.aliases(f.table("events"))), "shifted")
+    digest = lambda *c: hashing.sha256_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", *c))), lambda x: F.concat_ws("\x1f", *[x[k] for k in c])), ","))
+    made = formation.form_episodes(rows).groupBy("run_id", "child").agg(digest("episode_id", "membership_digest").alias("members"), F.max("revision").alias("max_revision"), F.count(F.lit(1)).alias("n_revisions"))
+    late = formation.late_records(rows).groupBy("run_id", "child").agg(digest("episode_id", "event_id", "reason").alias("late"), F.count(F.lit(1)).alias("n_late"))
+    out = sinks.materialize(made.join(late, ["run_id", "child"], "left").withColumns({"late": F.coalesce("late", F.lit("")), "n_late": F.coalesce("n_late", F.lit(0))}), "shift-outcomes")
+    base = out.filter("child = '0'").select("run_id", F.col("members").alias("base_members"), F.col("late").alias("base_late"))
+    return out.join(base, "run_id").select("run_id", F.col("child").cast("int").alias("delay_s"), (F.col("members") == F.col("base_members")).alias("membership_equal"), (F.col("late") != F.col("base_late")).alias("late_changed"), "max_revision", "n_revisions", "n_late")
 
 
 @query()

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """links: a, b (long). Returns node, component: the smallest node that links reach. Nodes without a link to another are left out.
 
-    Each round points nodes at smaller neighbours; the longest way to the smallest node shrinks by about half. Stops when nothing changes.
+    Each round points nodes at smaller neighbours; the longest way to the smallest node shrinks by about half. Stops when nothing
+    changes, and raises if that is not so after rounds, as an unfinished state is no result.
     """
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
     last = None
@@ -29,5 +30,7 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if now == last and state["n"] == state["k"]:
             break
         last = now
+    else:
+        raise RuntimeError(f"components have not come to rest after {rounds} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -29,20 +29,30 @@ def episode_bounds(members: DataFrame, scope: list[str]) -> DataFrame:
     return members.groupBy(*scope).agg(F.min("event_us").alias("start_us"), F.max("event_us").alias("end_us"), F.count(F.lit(1)).alias("n_events"))
 
 
-def entity_components(members: DataFrame, scope: list[str], rounds: int = 40) -> DataFrame:
+def entity_components(members: DataFrame, scope: list[str], bound: int = 100) -> DataFrame:
     """Connected components of events that share a subject or object inside a scope: adds component (its smallest event id).
 
-    Labels spread over the bipartite graph of events and entities until nothing changes; a label is written out each round, so a lost
-    executor never sets a round back further than its start.
+    Star contraction over a graph in which every event points to the smallest event of each of its entities. Large-star and small-star
+    rounds shorten the longest way to the smallest event by about half, so a chain of any length needs few rounds; each is written out,
+    so a lost executor never sets it back further than its start. Raises if it has not come to rest after bound rounds.
     """
-    edges = members.select(*scope, "event_id", F.explode(F.array_distinct(F.array("subject", "object"))).alias("entity"))
-    labels = members.select(*scope, "event_id", F.col("event_id").alias("component"))
-    for _ in range(rounds):
-        by_entity = edges.join(labels, [*scope, "event_id"]).groupBy(*scope, "entity").agg(F.min("component").alias("m"))
-        spread = edges.join(by_entity, [*scope, "entity"]).groupBy(*scope, "event_id").agg(F.min("m").alias("m"))
-        moved = labels.join(spread, [*scope, "event_id"]).select(*scope, "event_id", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved"))
-        moved = materialize(moved, "components")
-        labels = moved.drop("moved")
-        if moved.filter("moved").isEmpty():
+    nodes = members.select(*scope, F.col("event_id").alias("u")).distinct()
+    touched = members.select(*scope, F.col("event_id").alias("u"), F.explode(F.array_distinct(F.array("subject", "object"))).alias("entity")).filter("entity IS NOT NULL")
+    first = touched.groupBy(*scope, "entity").agg(F.min("u").alias("v"))
+    edges = materialize(touched.join(first, [*scope, "entity"]).filter("u <> v").select(*scope, "u", "v").distinct(), "components")
+    for _ in range(bound):
+        both = edges.unionByName(edges.select(*scope, F.col("v").alias("u"), F.col("u").alias("v")))
+        # Large star: every neighbour above u goes to the smallest of u and its neighbours.
+        low = both.groupBy(*scope, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.filter("v > u").join(low, [*scope, "u"]).select(*scope, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Small star: u and its smaller neighbours go to the smallest of them.
+        least = large.groupBy(*scope, "u").agg(F.min("v").alias("m"))
+        small = large.join(least, [*scope, "u"]).select(*scope, F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select(*scope, "u", F.col("m").alias("v"))).distinct()
+        edges = materialize(small, "components")
+        # At rest when every node has one edge and no node that is pointed to points on.
+        stars = edges.groupBy(*scope, "u").agg(F.count(F.lit(1)).alias("n"))
+        if stars.filter("n > 1").isEmpty() and edges.join(stars.select(*scope, F.col("u").alias("v")), [*scope, "v"], "left_semi").isEmpty():
             break
-    return labels
+    else:
+        raise RuntimeError(f"components have not come to rest after {bound} rounds")
+    return nodes.join(edges, [*scope, "u"], "left").select(*scope, F.col("u").alias("event_id"), F.coalesce("v", "u").alias("component"))

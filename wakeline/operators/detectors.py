@@ -50,9 +50,10 @@ def deduplicate(values: DataFrame, scope: list[str]) -> DataFrame:
     return values.groupBy(*key).agg(best.alias("b")).select(*key, (-F.col("b.v")).alias("value"), F.col("b.event_id").alias("event_id"))
 
 
-def ecdf(values: DataFrame, cohort: DataFrame) -> DataFrame:
+def ecdf(values: DataFrame, cohort: DataFrame, uncovered: str = "raise") -> DataFrame:
     """Adds normalized = (cohort values below + half of those equal) / cohort size, by detector.
 
+    No value is dropped: one of a detector that the cohort does not hold fails the job, or with uncovered="null" gets null.
     Both sides are first counted by distinct value, so the running sum of a detector goes over distinct values only.
     """
     asked = values.select("detector_id", "value", F.lit(0).alias("n")).distinct()
@@ -61,7 +62,10 @@ def ecdf(values: DataFrame, cohort: DataFrame) -> DataFrame:
     upto = Window.partitionBy("detector_id").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = both.withColumn("through", F.sum("n").over(upto))
     size = cohort.groupBy("detector_id").agg(F.count(F.lit(1)).alias("size"))
-    table = ranked.join(size, "detector_id").select("detector_id", "value", ((F.col("through") - F.col("n") + F.col("n") * 0.5) / F.col("size")).alias("normalized"))
+    share = (F.col("through") - F.col("n") + F.col("n") * 0.5) / F.col("size")
+    if uncovered == "raise":
+        share = F.when(F.col("size").isNull(), F.raise_error(F.concat(F.lit("the cohort does not cover "), "detector_id")).cast("double")).otherwise(share)
+    table = ranked.join(size, "detector_id", "left").select("detector_id", "value", share.alias("normalized"))
     return values.join(table, ["detector_id", "value"])
 
 

@@ -186,6 +186,12 @@ def _fit_rows(f: Frames) -> DataFrame:
     return f.features.join(f.labelled.select(*EPISODE, label.alias("y")), EPISODE).select(*EPISODE, "d", "c", "y")
 
 
+@query()
+def ecdf_train_negatives(f: Frames) -> DataFrame:
+    """Detector values against the negative episodes of the training runs; null where no such episode has a value of the detector."""
+    return detectors.ecdf(f.dedup, f.negative_cohort, uncovered="null").select(*EPISODE, "detector_id", "dependency_group", r9("normalized").alias("normalized"))
+
+
 @query()
 def group_folds(f: Frames) -> DataFrame:
     rows = f.scored.select(F.lit("all").alias("group_key"), F.col("grp").alias("run_id"), "label")

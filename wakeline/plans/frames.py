@@ -7,7 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.operators import builders, detectors, evaluation, support
+from wakeline.operators import builders, detectors, evaluation, stats, support
+from wakeline.operators.numbering import numbered
 from wakeline.sources import adapters
 from wakeline.sources.sinks import materialize
 
@@ -55,6 +56,18 @@ class Frames:
         values = self.dedup
         return detectors.ecdf(values, values.filter(F.substring("run_id", -1, 1).isin("0", "2", "4", "6", "8")))
 
+    @property
+    def train_runs(self) -> DataFrame:
+        """The training half of the runs, in the order of a seeded hash as in split_assignment."""
+        runs = self.norm.select("run_id").distinct().withColumn("h", stats.split_rank(F.col("run_id"), 7))
+        return numbered(runs, [], F.substring("h", 1, 3), ["h", "run_id"], "at").filter((F.col("at") - 1) % 10 < 5).select("run_id")
+
+    @property
+    def negative_cohort(self) -> DataFrame:
+        """The reference's cohort: the detector values of negative episodes of the training runs."""
+        negative = self.labelled.filter("label = 'negative'").join(self.train_runs, "run_id").select(*EPISODE)
+        return self.dedup.join(negative, EPISODE, "left_semi")
+
     @property
     def features(self) -> DataFrame:
         return detectors.feature_vectors(self.ecdf, EPISODE)

@@ -119,3 +119,35 @@ def test_scalar_and_row_bootstrap(spark):
 def test_gate_refuses_bad_rows(spark):
     with pytest.raises(ValueError, match="finite z"):
         stats.group_gate(spark.createDataFrame([("g", "r", float("nan"), 1)], "group_key string, run_id string, z double, label int"))
+
+
+def test_paired_bootstrap_draws_in_tasks(spark):
+    deltas = [((i * 37) % 101 - 40) / 7 for i in range(23)]
+    state, means = 20_260_710, []
+    for _ in range(2000):
+        total = 0.0
+        for _ in deltas:
+            state = (1_103_515_245 * state + 12_345) % 2**31
+            total += deltas[int(state / 2**31 * len(deltas)) % len(deltas)]
+        means.append(total / len(deltas))
+    means.sort()
+    df = spark.createDataFrame(list(enumerate(deltas)), "at long, delta double")
+    r = stats.paired_bootstrap(df).first()
+    assert np.allclose([r["low"], r["high"]], [means[49], means[1949]])
+    drawn = [r["at"] for r in stats.lcg_draws(spark, 2, 40_000).filter("draw = 1").collect()]
+    a, c = stats.lcg_power(40_000)
+    s = (a * 20_260_710 + c) % 2**31
+    for at in drawn:
+        s = (1_103_515_245 * s + 12_345) % 2**31
+        assert at == int(s / 2**31 * 40_000) % 40_000
+    assert stats.paired_bootstrap(df.limit(0)).first()["low"] is None
+
+
+def test_registered_draws(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(stats, "paired_bootstrap", lambda paired, draws=2000: asked.append(draws) or paired)
+    import __spark_entry__ as entry
+    from tests.conftest import SF
+
+    entry.queries()["paired_bootstrap"](spark, SF)
+    assert asked == [2000]

@@ -24,14 +24,40 @@ def summary(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     return rows.groupBy(*group).agg(n.alias("defined"), (F.count(F.lit(1)) - n).alias("undefined"), F.avg(value).alias("mean"), F.when(n == 1, F.lit(0.0)).otherwise(F.stddev_samp(value)).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
+LCG_A, LCG_C, LCG_BITS = 1_103_515_245, 12_345, 31
+
+
+def lcg_power(n: int) -> tuple[int, int]:
+    """(a, c) so that n steps of the generator take a state s to (a s + c) mod 2**31, by squaring."""
+    mod, (a, c), (pa, pc) = 1 << LCG_BITS, (1, 0), (LCG_A, LCG_C)
+    while n:
+        if n & 1:
+            a, c = pa * a % mod, (pa * c + pc) % mod
+        pa, pc, n = pa * pa % mod, (pa * pc + pc) % mod, n >> 1
+    return a, c
+
+
+def _lcg(size: int, seed: int, block: int = 16_384):
+    def run(batches):
+        mask = np.uint64((1 << LCG_BITS) - 1)
+        a, c = (np.array(x, np.uint64) for x in zip(*[lcg_power(i) for i in range(1, min(block, size) + 1)], strict=True))
+        for batch in batches:
+            for d in batch["id"]:
+                pa, pc = lcg_power(int(d) * size)
+                state, left = np.uint64((pa * seed + pc) % (1 << LCG_BITS)), size
+                while left:
+                    k = min(left, len(a))
+                    states = (a[:k] * state + c[:k]) & mask
+                    yield pd.DataFrame({"draw": int(d), "at": (states.astype(float) / 2**31 * size).astype(np.int64) % size})
+                    state, left = states[-1], left - k
+
+    return run
+
+
 def lcg_draws(spark, draws: int, size: int, seed: int = 20_260_710) -> DataFrame:
-    """draw, at: indices of a linear congruential generator, as a table to join with."""
-    state, rows = seed, []
-    for d in range(draws):
-        for _ in range(size):
-            state = (1_103_515_245 * state + 12_345) % 2**31
-            rows.append((d, int(state / 2**31 * size) % size))
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["draw", "at"]))
+    """draw, at: indices of a linear congruential generator, as a table to join with. A task jumps to its draws' first states."""
+    schema = "draw long, at long"
+    return spark.range(draws).mapInPandas(_lcg(size, seed), schema) if size else spark.createDataFrame([], schema)
 
 
 def paired_bootstrap(paired: DataFrame, draws: int = 2000, seed: int = 20_260_710) -> DataFrame:
@@ -39,7 +65,7 @@ def paired_bootstrap(paired: DataFrame, draws: int = 2000, seed: int = 20_260_71
     spark, n = paired.sparkSession, paired.count()
     means = lcg_draws(spark, draws, n, seed).join(paired, "at").groupBy("draw").agg(F.avg("delta").alias("m"))
     m = sorted(r["m"] for r in means.collect())  # one number a draw
-    low, high = (m[int(q * (draws - 1))] for q in (0.025, 0.975))
+    low, high = (m[int(q * (draws - 1))] for q in (0.025, 0.975)) if n else (None, None)
     row = paired.agg(F.avg("delta").alias("mean"), F.count_if(F.col("delta") > 0).alias("wins"), F.count_if(F.col("delta") == 0).alias("ties"), F.count_if(F.col("delta") < 0).alias("losses")).first()
     return spark.createDataFrame([(row["mean"], low, high, row["wins"], row["ties"], row["losses"], sign_test(row["wins"], row["losses"]))], "mean_delta double, low double, high double, wins long, ties long, losses long, p_value double")
 

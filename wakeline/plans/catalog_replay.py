@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import hashing
-from wakeline.operators import detectors, evaluation, formation, replay, stats, support
+from wakeline.operators import detectors, formation, replay, stats, support
+from wakeline.operators.numbering import numbered
 from wakeline.plans.catalog import QUERIES, _formed, query, r9
 from wakeline.plans.ctes import sql
 from wakeline.plans.frames import EPISODE, Frames
@@ -109,12 +110,12 @@ def paired_deltas(f: Frames) -> DataFrame:
 
 def _numbered_deltas(f: Frames) -> DataFrame:
     rows = paired_deltas(f).filter("delta IS NOT NULL").select("run_id", "delta")
-    return sinks.materialize(rows.withColumn("at", (F.row_number().over(Window.orderBy("run_id")) - 1).cast("int")), "deltas")  # a row for each run
+    return sinks.materialize(numbered(rows, [], F.substring("run_id", 1, 10), ["run_id"], "at").withColumn("at", F.col("at") - 1), "deltas")  # a row for each run
 
 
 @query()
 def paired_bootstrap(f: Frames) -> DataFrame:
-    return stats.paired_bootstrap(_numbered_deltas(f), draws=400)
+    return stats.paired_bootstrap(_numbered_deltas(f))
 
 
 @query()

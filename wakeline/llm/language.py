@@ -4,8 +4,9 @@ Every language has a codeword of +1 and -1. One binary classifier a bit, logisti
 of a text; a text gets the language whose codeword has the least total loss over the bits (loss-weighted decoding). Where the two best
 are close the result is flagged as ambiguous.
 
-Bounded sample (parameter): of each language the `per_lang` labelled documents with the smallest hash, whole texts, turned into n-gram
-counts by the executors. Everything else covers all rows and whole texts.
+Every language with a labelled text gets a codeword. Bounded sample (parameter): of each language the `per_lang` labelled documents with
+the smallest hash, whole texts, turned into n-gram counts by the executors. Everything else covers all rows and whole texts. A sample up
+to DENSE_BYTES is trained on the driver; for a larger one the executors sum the gradients of the same steps from the sparse counts.
 
 Defined results: `und` with score 0 for null texts and texts without a letter; with no labelled text at all every text is `und`; with one language
 every text with a letter is that language; repeated rows are predicted once a row; an empty table gives no rows; further columns
@@ -19,14 +20,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, text_batches
+from .common import broadcast_if_small, held_out, materialize, parts, text_batches
 
 BITS = 13
 UNDETERMINED = "und"
+#: The largest dense matrix of sampled rows that the driver holds.
+DENSE_BYTES = 400_000_000
+#: Places of a gradient that are summed together.
+BLOCK = 128
 
 
 class Grams:
@@ -58,11 +64,13 @@ def codewords(n: int, seed: int = 0) -> np.ndarray:
         return np.array(columns, float).T
     rng, width = np.random.default_rng(seed), int(np.ceil(15 * np.log2(n)))
     best, far = None, -1
-    for _ in range(50):
+    for _ in range(50 if n <= 2000 else 3):
         code = rng.choice([-1.0, 1.0], (n, width))
-        same = code @ code.T
-        np.fill_diagonal(same, -width)
-        worst = int((width - same.max()) // 2)
+        worst = width
+        for at in range(0, n, 1000):  # so that no square of all languages is held
+            same = code[at : at + 1000] @ code.T
+            same[np.arange(len(same)), np.arange(at, at + len(same))] = -width
+            worst = min(worst, int((width - same.max()) // 2))
         if worst > far and (np.abs(code.sum(0)) < n).all():
             best, far = code, worst
     return best
@@ -76,21 +84,69 @@ class LanguageModel:
     offsets: np.ndarray
 
 
-def train_bits(x: np.ndarray, target: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """All bits' logistic classifiers at once, by accelerated gradient descent. x: rows by places; target: rows by bits, +1 or -1."""
-    n = len(x)
-    w, b = np.zeros((x.shape[1], target.shape[1]), np.float32), np.zeros(target.shape[1], np.float32)
+def _descend(n: int, bits: int, gradient, ridge: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """All bits' logistic classifiers at once, by accelerated gradient descent. gradient(w, b): sums over all n rows, for weights and offsets."""
+    w, b = np.zeros((1 << BITS, bits), np.float32), np.zeros(bits, np.float32)
     w_old, b_old, rate = w, b, 4.0 / (1 + ridge)
     for t in range(steps):
         m = t / (t + 3)
         wl, bl = w + m * (w - w_old), b + m * (b - b_old)
-        pull = -target / (1 + np.exp(np.clip(target * (x @ wl + bl), -50, 50))) / n
+        gw, gb = gradient(wl, bl)
         w_old, b_old = w, b
-        w = wl - rate * (x.T @ pull + ridge / n * wl)
-        b = bl - rate * pull.sum(0)
+        w = wl - rate * (gw + ridge / n * wl)
+        b = bl - rate * gb
     return w.astype(np.float32), b.astype(np.float32)
 
 
+def _pull(x: np.ndarray, target: np.ndarray, w: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    return -target / (1 + np.exp(np.clip(target * (x @ w + b), -50, 50))) / n
+
+
+def train_bits(x: np.ndarray, target: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """x: rows by places, on the driver; target: rows by bits, +1 or -1."""
+
+    def gradient(w, b):
+        pull = _pull(x, target, w, b, len(x))
+        return x.T @ pull, pull.sum(0)
+
+    return _descend(len(x), target.shape[1], gradient, ridge, steps)
+
+
+def train_bits_sparse(rows: DataFrame, n: int, langs: list[str], code: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """The same steps with the n sampled rows (lang, places, counts) left on the executors; the driver gets one gradient a step."""
+    context, at = rows.sparkSession.sparkContext, {lang: i for i, lang in enumerate(langs)}
+    fixed = context.broadcast((at, code.astype(np.float32)))
+
+    def gradient(w, b):
+        now = context.broadcast((w.astype(np.float32), b.astype(np.float32)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (index, words), (wl, bl) = fixed.value, now.value
+            gw, gb = np.zeros_like(wl), np.zeros_like(bl)
+            for batch in batches:
+                for first in range(0, batch.num_rows, 256):
+                    part = batch.slice(first, 256)
+                    x = np.zeros((part.num_rows, 1 << BITS), np.float32)
+                    for i, (places, counts) in enumerate(zip(part.column(1), part.column(2), strict=True)):
+                        x[i, places.values.to_numpy()] = counts.values.to_numpy()
+                    pull = _pull(x, words[[index[v] for v in part.column(0).to_pylist()]], wl, bl, n)
+                    gw += x.T @ pull
+                    gb += pull.sum(0)
+            blocks = [gw[i : i + BLOCK].tobytes() for i in range(0, len(gw), BLOCK)] + [gb.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "sums"])
+
+        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.sum([np.frombuffer(v, np.float32) for v in pdf["sums"]], axis=0, dtype=np.float32)
+            return pdf.iloc[:1].assign(sums=[total.tobytes()])
+
+        got = dict(rows.mapInArrow(run, "block int, sums binary").groupBy("block").applyInPandas(add, "block int, sums binary").collect())
+        now.unpersist()
+        parts = [np.frombuffer(got[i], np.float32) for i in range(len(got))]
+        return np.concatenate(parts[:-1]).reshape(w.shape), parts[-1]
+
+    return _descend(n, code.shape[1], gradient, ridge, steps)
+
+
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams = Grams()
     for batch in batches:
@@ -102,27 +158,28 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["lang", "places", "counts"])
 
 
-def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, max_langs: int = 256) -> LanguageModel:
+def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400) -> LanguageModel:
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang").collect())
-    rows = []
-    if langs:
-        # The rank's limit works before the shuffle too, so a language's rows never meet in one task.
-        order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-        picks = known.filter(F.col("lang").isin(langs)).select("lang", "doc_id", F.row_number().over(order).alias("at")).filter(F.col("at") <= per_lang)
-        ids = [(r["lang"], r["doc_id"]) for r in picks.collect()]  # at most per_lang * max_langs
-        chosen = docs.sparkSession.createDataFrame(ids, "s_lang string, s_id long")
-        texts = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang")))
-        rows = texts.select("lang", "text").mapInArrow(_sparse, "lang string, places array<int>, counts array<float>").collect()
-    langs = sorted({r["lang"] for r in rows})
+    # The rank's limit works before the shuffle too, so a language's rows never meet in one task.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picks = known.select("lang", "doc_id", F.row_number().over(order).alias("at")).filter(F.col("at") <= per_lang)
+    chosen = materialize(picks.select(F.col("lang").alias("s_lang"), F.col("doc_id").alias("s_id")), "language-picks")
+    chosen = broadcast_if_small(chosen, chosen.count(), 64)
+    texts = known.join(chosen, (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang")))
+    rows = materialize(texts.select("lang", "text").mapInArrow(_sparse, "lang string, places array<int>, counts array<float>"), "language-rows")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    langs, n = sorted(sizes), sum(sizes.values())
     if len(langs) < 2:
         return LanguageModel(tuple(langs), np.ones((len(langs), 1)), np.zeros((1 << BITS, 1), np.float32), np.zeros(1, np.float32))
-    x = np.zeros((len(rows), 1 << BITS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["places"]] = r["counts"]
     code = codewords(len(langs))
-    target = code[[langs.index(r["lang"]) for r in rows]].astype(np.float32)
-    return LanguageModel(tuple(langs), code, *train_bits(x, target))
+    if n * (4 << BITS) > DENSE_BYTES:
+        spread = materialize(rows.repartition(parts(docs.sparkSession, n, 20_000)), "language-rows")
+        return LanguageModel(tuple(langs), code, *train_bits_sparse(spread, n, langs, code))
+    found, at = rows.collect(), {lang: i for i, lang in enumerate(langs)}
+    x = np.zeros((n, 1 << BITS), np.float32)
+    for i, r in enumerate(found):
+        x[i, r["places"]] = r["counts"]
+    return LanguageModel(tuple(langs), code, *train_bits(x, code[[at[r["lang"]] for r in found]].astype(np.float32)))
 
 
 def decode(model: LanguageModel, bits: np.ndarray) -> tuple[int, float, float]:

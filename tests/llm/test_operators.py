@@ -23,7 +23,6 @@ from wakeline.llm.language import UNDETERMINED, codewords, fit_language, predict
 from wakeline.llm.license_rules import BASE_PHRASES, rules
 from wakeline.llm.license_scan import Scanner, scan_licenses
 from wakeline.llm.mixing import mix, targets
-from wakeline.llm.neighbours import neighbours
 from wakeline.llm.packing import best_fit, default_tokenizer, pack
 from wakeline.llm.quality import fit_quality, score_quality
 
@@ -333,33 +332,6 @@ def test_licenses_odd(odd_docs, no_docs):
     assert scan_licenses(no_docs).count() == 0
 
 
-# ---------------------------------------------------------------- 8 neighbours
-def test_neighbours(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = df.filter("embedding IS NOT NULL").collect()
-    x, ids = np.array([r["embedding"] for r in rows], float), np.array([r["vec_id"] for r in rows])
-    got = defaultdict(list)
-    for r in neighbours(df, F.col("vec_id") % 20 == 0, least=64).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    recall = []
-    for q, found in got.items():
-        s = x @ x[ids == q][0]
-        s[ids == q] = -np.inf
-        best = ids[np.lexsort((ids, -s))[:20]]
-        recall.append(len(set(best) & {v for v, _ in found}) / 20)
-        assert all(abs(score - s[ids == v][0]) < 1e-12 for v, score in found)
-    assert np.mean(recall) >= 0.9
-
-
-def test_neighbours_odd(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [float("inf"), 1.0]), (None, [1.0, 1.0]), (8, [-1.0, 0.0]), (8, [-1.0, 0.0])]
-    got = defaultdict(list)
-    for r in neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    assert got == {0: [(1, 1.0), (2, 1.0), (20, 0.5)], 20: [(0, 0.5), (1, 0.5), (2, 0.5)]}
-    assert neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
-
-
 # ---------------------------------------------------------------- 10 substrings
 def brute_removed(rows, window):
     seen = Counter(tuple(w[i : i + window]) for _, w in rows for i in range(len(w) - window + 1))

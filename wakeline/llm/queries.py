@@ -47,6 +47,7 @@ def op6_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema))
     segments, leaves = format_chats(rows)
+    # A very common conversation is one large key of leaves, which Spark's skew join splits; read_back has one row for it.
     return leaves.join(read_back(segments), "digest").drop("digest")
 
 

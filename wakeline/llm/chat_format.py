@@ -32,6 +32,7 @@ import hashlib
 import pickle
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+class PieceIds(dict):
+    """Pre-token -> its token ids. The tokenizer encodes each pre-token on its own, and most of them come again; forgets all when large."""
+
+    def __init__(self, encode: Callable[[str], list[int]], most: int = 300_000):
+        self.encode, self.most = encode, most
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.encode(piece)
+        if len(piece) < 40:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 @functools.cache
 def _tokenizer(path: str) -> tuple[Callable[[str], np.ndarray], Callable[[np.ndarray], str]]:
     """Encode and decode, loaded once a Python worker. Control strings are ordinary text to either library."""
@@ -73,12 +89,14 @@ def _tokenizer(path: str) -> tuple[Callable[[str], np.ndarray], Callable[[np.nda
         import base64
 
         import public_tokenizers
+        import regex
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         model = tiktoken.Encoding("wakeline", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda s: model.encode_to_numpy(s, disallowed_special=()).astype(np.int32), lambda ids: model.decode(ids.tolist())
+        split, known = regex.compile(public_tokenizers.PATTERN).findall, PieceIds(model.encode_ordinary)
+        return lambda s: np.array(list(chain.from_iterable(map(known.__getitem__, split(s)))), np.int32), lambda ids: model.decode(ids.tolist())
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)

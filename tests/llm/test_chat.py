@@ -98,23 +98,3 @@ def test_escape_is_reversible():
         text = "".join(rng.choice(["<", "|", "\\", "[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "a", "\n", "<|turn|>"]) for _ in range(12))
         assert unescape(escape(text)) == text
         assert not any(c in escape(text) for c in ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"))
-
-
-def test_pre_tokens_encode_as_the_library_does():
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    from wakeline.llm.chat_format import _tokenizer, default_tokenizer
-
-    path, rng = default_tokenizer(), random.Random(2)
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
-    model = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    encode, decode = _tokenizer(path)
-    parts = ["a", "Word", " ", "  ", "\n", "\t", "'s", "'ll", "12", "3", "é", "ﬁ", "日本", " ", " ", "😀", "!", "...", "\x00", "ſ", "́", "<|", "\\"]
-    for _ in range(3000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randrange(0, 25)))
-        assert encode(text).tolist() == model.encode_ordinary(text)
-        assert decode(encode(text)) == text

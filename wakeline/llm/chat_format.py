@@ -90,7 +90,7 @@ def _tokenizer(path: str) -> tuple[Callable[[str], np.ndarray], Callable[[np.nda
 def _packer():
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3)
+    return zstandard.ZstdCompressor(level=1)
 
 
 def _unpacker():
@@ -130,44 +130,56 @@ def _pack(most: int = 1 << 20):
     return run
 
 
+def _walk(turns: list[tuple]) -> list[bytes]:
+    """Each turn's digest covers the digest before it, so equal paths mean equal beginnings."""
+    path, last = [], b""
+    for _, role, text in turns:
+        last = hashlib.sha256(b"%s/%d:%s%s" % (last, len(role), role.encode("utf-8", "surrogatepass"), text.encode("utf-8", "surrogatepass"))).digest()
+        path.append(last)
+    return path
+
+
+def _sorted_turns(unpack, blocks: list[bytes]) -> tuple[list[tuple], bool]:
+    """All turns in order, and whether the first block has just these."""
+    turns = [t for b in blocks for t in unpack(b)]
+    ordered = sorted(turns, key=_order)
+    return ordered, len(blocks) == 1 and ordered == turns
+
+
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = _unpacker()
+    for batch in batches:
+        digests = [_walk(_sorted_turns(unpack, blocks)[0])[-1].hex() for blocks in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], names=["conv_id", "digest"])
+
+
 def _paths(remember: int = 200_000):
-    """Each turn's digest covers the digest before it, so equal paths mean equal beginnings. A task packs each conversation once."""
+    """Distinct conversations of a task, each once (unless it has seen very many others since)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, unpack, seen = _packer(), _unpacker(), set()
         for batch in batches:
-            digests, paths, packed = [], [], []
-            for blocks in batch.column(1).to_pylist():
-                turns = [t for b in blocks for t in unpack(b)]
-                turns.sort(key=_order)
-                path, last = [], b""
-                for _, role, text in turns:
-                    said = text.encode("utf-8", "surrogatepass")
-                    last = hashlib.sha256(b"%s/%d:%s%s" % (last, len(role), role.encode("utf-8", "surrogatepass"), said)).digest()
-                    path.append(last[:STEP])
-                digests.append(last.hex())
-                if last in seen:
-                    paths.append(None), packed.append(None)
-                    continue
-                if len(seen) >= remember:
-                    seen.clear()
-                seen.add(last)
-                paths.append(b"".join(path))
-                packed.append(packer.compress(pickle.dumps([(role, text) for _, role, text in turns], 5)))
-            cols = [batch.column(0), pa.array(digests, pa.string()), pa.array(paths, pa.binary()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["conv_id", "digest", "path", "turns"])
+            rows: list[tuple] = []
+            for blocks in batch.column(0).to_pylist():
+                turns, as_sent = _sorted_turns(unpack, blocks)
+                path = _walk(turns)
+                if path[-1] not in seen:
+                    if len(seen) >= remember:
+                        seen.clear()
+                    seen.add(path[-1])
+                    rows.append((path[-1].hex(), b"".join(step[:STEP] for step in path), blocks[0] if as_sent else packer.compress(pickle.dumps(turns, 5))))
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.binary(), pa.binary()), strict=True)], names=["digest", "path", "turns"])
 
     return run
 
 
-def conversation_paths(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, digest (of all turns), path (a digest of each turn and all before it), turns (packed). The last two are null where the task has
-    already sent an equal conversation."""
+def conversation_blocks(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """conv_id, blocks (packed turns): a row a conversation."""
     text_batches(rows.sparkSession)
     turns = rows.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     kind = turns.schema["conv_id"].dataType.simpleString()
-    blocks = turns.mapInArrow(_pack(), f"conv_id {kind}, block binary").groupBy("conv_id").agg(F.collect_list("block").alias("blocks"))
-    return blocks.mapInArrow(_paths(), f"conv_id {kind}, digest string, path binary, turns binary")
+    return turns.mapInArrow(_pack(), f"conv_id {kind}, block binary").groupBy("conv_id").agg(F.collect_list("block").alias("blocks"))
 
 
 # ---------------------------------------------------------------- paths to segments
@@ -246,8 +258,8 @@ def _write(tokenizer: str, most_tokens: int, most_leaves: int, at_once: int = 64
 
         tree, full, held, last = _Tree(encode), [], 0, None
         for batch in batches:
-            for path, digest, block in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                turns = unpack(block)
+            for digest, path, block in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                turns = [turn[1:] for turn in unpack(block)]
                 if last == (digest, turns):
                     continue  # an equal conversation from another task
                 last = digest, turns
@@ -267,10 +279,10 @@ def _write(tokenizer: str, most_tokens: int, most_leaves: int, at_once: int = 64
     return run
 
 
-def prefix_tree_segments(paths: DataFrame, tokenizer: str | None = None, most_tokens: int = 32_768, most_leaves: int = 1024) -> DataFrame:
-    """Segments of the distinct conversations among paths (see conversation_paths)."""
-    spark = paths.sparkSession
-    ordered = paths.filter("path IS NOT NULL").select("path", "digest", "turns").repartitionByRange(parts(spark), "path").sortWithinPartitions("path", "digest")
+def prefix_tree_segments(blocks: DataFrame, tokenizer: str | None = None, most_tokens: int = 32_768, most_leaves: int = 1024) -> DataFrame:
+    """Segments of the distinct conversations among blocks (see conversation_blocks)."""
+    paths = blocks.select("blocks").mapInArrow(_paths(), "digest string, path binary, turns binary")
+    ordered = paths.repartitionByRange(parts(blocks.sparkSession), "path").sortWithinPartitions("path", "digest")
     return ordered.mapInArrow(_write(tokenizer or default_tokenizer(), most_tokens, most_leaves), SEGMENTS)
 
 
@@ -323,6 +335,6 @@ def read_back(segments: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def format_chats(rows: DataFrame, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Segments, and which conversation (conv_id) is which leaf (digest). Nothing is written; write both where they are used more than once."""
-    paths = conversation_paths(rows)
-    return prefix_tree_segments(paths, tokenizer), paths.select("conv_id", "digest")
-
+    blocks = conversation_blocks(rows)
+    kind = blocks.schema["conv_id"].dataType.simpleString()
+    return prefix_tree_segments(blocks, tokenizer), blocks.mapInArrow(_leaves, f"conv_id {kind}, digest string")

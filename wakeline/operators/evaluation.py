@@ -25,17 +25,21 @@ def temporal_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def match_edges(views: DataFrame, truth: DataFrame, jaccard: float = 0.5, iou: float = 0.1, weight: float = 0.5) -> DataFrame:
-    """Qualified pairs of episode and truth group of a run. Pairs are formed on a shared entity, so no run is crossed with itself."""
-    e = views.select("run_id", "episode_no", "start_us", "end_us", "entities", "tokens", F.explode("entities").alias("entity"))
-    t = truth.select("run_id", "entity", "group_id", F.col("start_us").alias("g0"), F.col("end_us").alias("g1"), "required_tokens")
-    pairs = e.join(t, ["run_id", "entity"])
-    hit = F.size(F.array_intersect("tokens", "required_tokens"))
-    coverage = hit / F.size("required_tokens")
-    j = 1 / F.size("entities")  # a group has one entity, and the episode holds it
+    """Qualified pairs of episode and truth group of a run, with `attack`: the group's tokens that the episode has.
+
+    A pair needs a common entity for any Jaccard above 0, so pairs are formed on entities and no run is crossed with itself.
+    """
+    e = views.select("run_id", "episode_no", F.explode("entities").alias("entity"))
+    t = truth.select("run_id", "group_id", F.explode("entities").alias("entity"))
+    meet = e.join(t, ["run_id", "entity"]).groupBy("run_id", "episode_no", "group_id").agg(F.count(F.lit(1)).alias("common"))
+    pairs = meet.join(views.select("run_id", "episode_no", "start_us", "end_us", "tokens", F.size("entities").alias("n_e")), ["run_id", "episode_no"])
+    pairs = pairs.join(truth.select("run_id", "group_id", F.col("start_us").alias("g0"), F.col("end_us").alias("g1"), "required_tokens", F.size("entities").alias("n_g")), ["run_id", "group_id"])
+    attack = F.array_intersect("tokens", "required_tokens")
     o = temporal_iou(F.col("start_us"), F.col("end_us"), F.col("g0"), F.col("g1"))
-    pairs = pairs.withColumns({"coverage": coverage, "jaccard": j, "iou": o}).filter(hit > 0)
+    pairs = pairs.withColumns({"attack": attack, "jaccard": F.col("common") / (F.col("n_e") + F.col("n_g") - F.col("common")), "iou": o, "apart_us": F.abs(F.col("start_us") - F.col("g0"))}).filter(F.size("attack") > 0)
+    pairs = pairs.withColumn("coverage", F.size("attack") / F.size("required_tokens"))
     pairs = pairs.withColumn("weight", 0.5 * F.col("coverage") + 0.3 * F.col("jaccard") + 0.2 * F.col("iou"))
-    return pairs.filter((F.col("jaccard") >= jaccard) & (F.col("iou") >= iou) & (F.col("weight") >= weight)).select("run_id", "episode_no", "group_id", "coverage", "jaccard", "iou", "weight")
+    return pairs.filter((F.col("jaccard") >= jaccard) & (F.col("iou") >= iou) & (F.col("weight") >= weight)).select("run_id", "episode_no", "group_id", "coverage", "jaccard", "iou", "weight", "attack", "apart_us")
 
 
 def best_edges(edges: DataFrame) -> DataFrame:
@@ -43,24 +47,28 @@ def best_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumn("at", F.row_number().over(w)).filter("at = 1").drop("at")
 
 
-def episode_labels(views: DataFrame, edges: DataFrame) -> DataFrame:
-    """positive, mixed, ambiguous or negative, from the best edge's coverage and the share of benign tokens."""
-    best = best_edges(edges)
-    benign = F.size(F.filter("tokens", lambda t: t.isin(*BENIGN)))
-    both = views.join(best, ["run_id", "episode_no"], "left")
-    contamination = benign / F.size("tokens")
-    label = F.when(F.col("group_id").isNull(), F.when(benign > 0, "negative").otherwise("ambiguous")).when(F.col("coverage") < 0.5, "ambiguous").when(contamination >= 0.25, "mixed").otherwise("positive")
-    return both.select("run_id", "episode_no", "group_id", "coverage", contamination.alias("contamination"), label.alias("label"))
-
-
-def _assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """One-to-one assignment of largest total weight in one run (Hungarian method on rows <= columns), ties by smaller names."""
-    rows, cols = sorted(pdf["episode_no"].unique()), sorted(pdf["group_id"].unique())
-    flip = len(rows) > len(cols)
-    w = np.zeros((len(rows), len(cols)))
-    for r in pdf.itertuples():
-        i, j = rows.index(r.episode_no), cols.index(r.group_id)
-        w[i, j] = r.weight + 1e-12 * (len(rows) * len(cols) - i * len(cols) - j)
+def contamination() -> Column:
+    """Benign tokens among an episode's benign tokens and those of its best group; null if it has none of either."""
+    benign = F.array_intersect("tokens", F.array(*[F.lit(b) for b in BENIGN]))
+    return F.try_divide(F.size(benign), F.nullif(F.size(F.array_union(benign, "attack")), F.lit(0)))
+
+
+def episode_labels(views: DataFrame, edges: DataFrame, conflicts: DataFrame | None = None) -> DataFrame:
+    """positive, mixed, ambiguous or negative, from the best edge's coverage and contamination. conflicts: runs whose truth contradicts itself."""
+    both = views.join(best_edges(edges), ["run_id", "episode_no"], "left").withColumn("contamination", contamination())
+    matched = F.col("group_id").isNotNull()
+    benign = F.exists("tokens", lambda t: t.isin(*BENIGN))
+    label = F.when(~matched, F.when(benign, "negative").otherwise("ambiguous")).when((F.col("coverage") < 0.5) | F.col("contamination").isNull(), "ambiguous").when(F.col("contamination") >= 0.25, "mixed").otherwise("positive")
+    if conflicts is not None:
+        both = both.join(conflicts.select("run_id", F.lit(True).alias("conflict")), "run_id", "left")
+        sound = F.col("conflict").isNull()
+        label, matched = F.when(sound, label).otherwise("ambiguous"), matched & sound
+    return both.select("run_id", "episode_no", F.when(matched, F.col("group_id")).alias("group_id"), F.when(matched, F.col("coverage")).otherwise(0.0).alias("coverage"), F.when(matched, F.col("contamination")).alias("contamination"), label.alias("label"))
+
+
+def hungarian(w: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of a one-to-one assignment of largest total; every row or every column is used, whichever are fewer."""
+    flip = w.shape[0] > w.shape[1]
     cost = -(w.T if flip else w)
     n, m = cost.shape
     u, v, match, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int), np.zeros(m + 1, int)
@@ -84,15 +92,39 @@ def _assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         while j0:
             match[j0], j0 = match[way[j0]], way[j0]
     pairs = [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
-    if flip:
-        pairs = [(b, a) for a, b in pairs]
-    out = [(key[0], rows[i], cols[j]) for i, j in pairs if w[i, j] > 1e-9]
-    return pd.DataFrame(out, columns=["run_id", "episode_no", "group_id"])
+    return [(b, a) for a, b in pairs] if flip else pairs
+
+
+#: What a pair without an edge counts: as many edges as possible come first, then their weight.
+NO_EDGE = -1e3
+
+
+def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The assignment of one run, solved apart for each connected part of its edges."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for e, g in zip(pdf["episode_no"], pdf["group_id"], strict=True):
+        up[root(("e", e))] = root(("g", g))
+    chosen = []
+    for _, part in pdf.groupby([str(root(("e", e))) for e in pdf["episode_no"]], sort=True):
+        rows, cols = np.unique(part["episode_no"].astype(object), return_inverse=True), np.unique(part["group_id"].astype(object), return_inverse=True)
+        w = np.full((len(rows[0]), len(cols[0])), NO_EDGE)
+        tie = 1e-12 * (part["jaccard"].to_numpy(float) - part["apart_us"].to_numpy(float) / 1e15)
+        w[rows[1], cols[1]] = part["weight"].to_numpy(float) + tie
+        chosen += [(pdf["run_id"].iloc[0], rows[0][i], cols[0][j]) for i, j in hungarian(w) if w[i, j] > NO_EDGE]
+    return pd.DataFrame(chosen, columns=["run_id", "episode_no", "group_id"])
 
 
 def assignment(edges: DataFrame) -> DataFrame:
-    """Each run's one-to-one matching of largest weight, with the edge it uses."""
-    chosen = edges.groupBy("run_id").applyInPandas(_assign, "run_id string, episode_no long, group_id string")
+    """Each run's one-to-one matching: as many edges as possible, then of largest weight; equal weights by Jaccard, then nearer starts."""
+    kind = edges.schema["episode_no"].dataType.simpleString()
+    slim = edges.select("run_id", "episode_no", "group_id", "weight", "jaccard", "apart_us")
+    chosen = slim.groupBy("run_id").applyInPandas(_assign, f"run_id string, episode_no {kind}, group_id string")
     return chosen.join(edges, ["run_id", "episode_no", "group_id"])
 
 
@@ -101,12 +133,21 @@ def formation_metrics(views: DataFrame, truth: DataFrame, edges: DataFrame) -> D
     per_group = truth.select("run_id", "group_id").join(edges.groupBy("run_id", "group_id").agg(F.max("coverage").alias("coverage"), F.count(F.lit(1)).alias("degree")), ["run_id", "group_id"], "left")
     groups = per_group.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_groups"), F.avg(F.coalesce("coverage", F.lit(0.0))).alias("coverage"), F.avg(F.greatest(F.coalesce("degree", F.lit(0)) - 1, F.lit(0)).cast("double")).alias("fragmentation"))
     degree = edges.groupBy("run_id", "episode_no").agg(F.count(F.lit(1)).alias("degree"))
-    benign = F.size(F.filter("tokens", lambda t: t.isin(*BENIGN))) / F.size("tokens")
-    per_episode = views.join(degree, ["run_id", "episode_no"], "left")
-    episodes = per_episode.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_episodes"), F.avg((F.coalesce("degree", F.lit(0)) > 1).cast("double")).alias("over_merge"), F.avg(F.when(F.col("degree").isNotNull(), benign)).alias("contamination"))
+    best = best_edges(edges).select("run_id", "episode_no", "attack")
+    per_episode = views.join(degree, ["run_id", "episode_no"], "left").join(best, ["run_id", "episode_no"], "left").withColumn("contamination", contamination())
+    episodes = per_episode.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_episodes"), F.avg((F.coalesce("degree", F.lit(0)) > 1).cast("double")).alias("over_merge"), F.avg("contamination").alias("contamination"))
     return episodes.join(groups, "run_id", "left").select("run_id", "n_episodes", F.coalesce("n_groups", F.lit(0)).cast("long").alias("n_groups"), "coverage", "fragmentation", "over_merge", "contamination")
 
 
+def assignment_metrics(metrics: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Adds n_assigned, precision, recall and f1 to formation_metrics. f1 is 0 where both are 0, null where one is undefined."""
+    n = assigned.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_assigned"))
+    rows = metrics.join(n, "run_id", "left").withColumn("n_assigned", F.coalesce("n_assigned", F.lit(0)).cast("long"))
+    rows = rows.withColumns({"precision": F.try_divide("n_assigned", "n_episodes"), "recall": F.try_divide("n_assigned", F.nullif("n_groups", F.lit(0)))})
+    p, r = F.col("precision"), F.col("recall")
+    return rows.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).when(p.isNotNull() & r.isNotNull(), 0.0))
+
+
 # ---------------------------------------------------------------- ranking and calibration
 def by_score(rows: DataFrame, group: list[str]) -> DataFrame:
     """score (0 to 1), label (0 or 1) counted per group and distinct score: all that the metrics below need, and small."""

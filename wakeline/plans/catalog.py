@@ -296,7 +296,7 @@ def json_pointer_checks(f: Frames) -> DataFrame:
 # ---------------------------------------------------------------- evaluation against truth
 @query(sql("SELECT run_id, episode_no, group_id, round(coverage, 9) AS coverage, round(jaccard, 9) AS jaccard, round(iou, 9) AS iou, round(weight, 9) AS weight FROM edges", "edges"))
 def match_edges(f: Frames) -> DataFrame:
-    return f.edges.withColumns({c: r9(c) for c in ("coverage", "jaccard", "iou", "weight")})
+    return f.edges.drop("attack", "apart_us").withColumns({c: r9(c) for c in ("coverage", "jaccard", "iou", "weight")})
 
 
 @query(sql("SELECT run_id, episode_no, group_id, round(coverage, 9) AS coverage, round(contamination, 9) AS contamination, label FROM labelled", "labelled"))
@@ -305,10 +305,10 @@ def episode_labels(f: Frames) -> DataFrame:
 
 
 @query(sql("""SELECT e.run_id, n_episodes, coalesce(n_groups, 0) AS n_groups, round(coverage, 9) AS coverage, round(fragmentation, 9) AS fragmentation, round(over_merge, 9) AS over_merge, round(contamination, 9) AS contamination FROM (
-        SELECT run_id, count(*) AS n_episodes, avg((coalesce(degree, 0) > 1)::INT) AS over_merge, avg(CASE WHEN degree IS NOT NULL THEN len(list_filter(tokens, lambda t: t = 'network.flow')) / len(tokens) END) AS contamination
-        FROM views LEFT JOIN (SELECT run_id, episode_no, count(*) AS degree FROM edges GROUP BY ALL) USING (run_id, episode_no) GROUP BY run_id) e
+        SELECT run_id, count(*) AS n_episodes, avg((coalesce(degree, 0) > 1)::INT) AS over_merge, avg(CASE WHEN either > 0 THEN len(benign) / either END) AS contamination
+        FROM matched LEFT JOIN (SELECT run_id, episode_no, count(*) AS degree FROM edges GROUP BY ALL) USING (run_id, episode_no) GROUP BY run_id) e
     LEFT JOIN (SELECT run_id, count(*) AS n_groups, avg(coalesce(coverage, 0)) AS coverage, avg(greatest(coalesce(degree, 0) - 1, 0)) AS fragmentation
-        FROM truth LEFT JOIN (SELECT run_id, group_id, max(coverage) AS coverage, count(*) AS degree FROM edges GROUP BY ALL) USING (run_id, group_id) GROUP BY run_id) g USING (run_id)""", "views", "truth", "edges"))
+        FROM truth LEFT JOIN (SELECT run_id, group_id, max(coverage) AS coverage, count(*) AS degree FROM edges GROUP BY ALL) USING (run_id, group_id) GROUP BY run_id) g USING (run_id)""", "matched", "truth", "edges"))
 def formation_metrics(f: Frames) -> DataFrame:
     rows = evaluation.formation_metrics(f.views, f.truth, f.edges)
     return rows.withColumns({c: r9(c) for c in ("coverage", "fragmentation", "over_merge", "contamination")})
@@ -316,7 +316,7 @@ def formation_metrics(f: Frames) -> DataFrame:
 
 @query()
 def assignment(f: Frames) -> DataFrame:
-    return evaluation.assignment(f.edges)
+    return evaluation.assignment(f.edges).drop("attack")
 
 
 @query(sql("""SELECT count(*) AS n_episodes, count_if(reason = 'eligible')::BIGINT AS n_eligible, count_if(label IN ('positive', 'negative'))::BIGINT AS n_binary, count_if(label = 'mixed')::BIGINT AS n_mixed, count_if(label = 'ambiguous')::BIGINT AS n_ambiguous,

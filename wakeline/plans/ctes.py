@@ -78,15 +78,17 @@ CTES: dict[str, tuple[list[str], str]] = {
             SELECT run_id, episode_no, 'endpoint|' || endpoint_key AS key, endpoint_host AS v FROM members
             UNION ALL SELECT run_id, episode_no, 'process|' || dependency_group, parent_pid FROM members WHERE source_family = 'EDR') GROUP BY ALL) GROUP BY ALL"""),
     "views": (["members"], """SELECT run_id, episode_no, min(event_us) AS start_us, max(event_us) AS end_us, list_sort(list(DISTINCT endpoint_key)) AS entities, list_sort(list(DISTINCT action)) AS tokens FROM members GROUP BY ALL"""),
-    "pairs": (["views", "truth"], """SELECT v.run_id, v.episode_no, t.group_id, len(list_intersect(tokens, required_tokens)) / len(required_tokens) AS coverage, 1 / len(entities) AS jaccard,
+    "pairs": (["views", "truth"], """SELECT v.run_id, v.episode_no, t.group_id, list_intersect(tokens, required_tokens) AS attack, len(list_intersect(tokens, required_tokens)) / len(required_tokens) AS coverage,
+        len(list_intersect(v.entities, [t.entity])) / len(list_distinct(v.entities || [t.entity])) AS jaccard,
         CASE WHEN greatest(v.end_us, t.end_us) > least(v.start_us, t.start_us) THEN greatest(least(v.end_us, t.end_us) - greatest(v.start_us, t.start_us), 0) / (greatest(v.end_us, t.end_us) - least(v.start_us, t.start_us)) WHEN v.start_us = t.start_us THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS iou
         FROM views v JOIN truth t ON v.run_id = t.run_id AND list_contains(v.entities, t.entity)"""),
     "weighed": (["pairs"], "SELECT *, 0.5::DOUBLE * coverage + 0.3::DOUBLE * jaccard + 0.2::DOUBLE * iou AS weight FROM pairs WHERE coverage > 0"),
     "edges": (["weighed"], "SELECT * FROM weighed WHERE jaccard >= 0.2::DOUBLE AND iou >= 0.02::DOUBLE AND weight >= 0.3::DOUBLE"),
-    "labelled": (["views", "edges"], """SELECT v.run_id, v.episode_no, group_id, coverage, b / len(tokens) AS contamination,
-        CASE WHEN group_id IS NULL THEN CASE WHEN b > 0 THEN 'negative' ELSE 'ambiguous' END WHEN coverage < 0.5 THEN 'ambiguous' WHEN b / len(tokens) >= 0.25 THEN 'mixed' ELSE 'positive' END AS label
-        FROM (SELECT *, len(list_filter(tokens, lambda t: t = 'network.flow')) AS b FROM views) v
-        LEFT JOIN (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY run_id, episode_no ORDER BY coverage DESC, weight DESC, group_id) = 1) e USING (run_id, episode_no)"""),
+    "matched": (["views", "edges"], """SELECT v.*, e.* EXCLUDE (run_id, episode_no), list_filter(tokens, lambda t: t = 'network.flow') AS benign, len(list_distinct(list_filter(tokens, lambda t: t = 'network.flow') || attack)) AS either
+        FROM views v LEFT JOIN (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY run_id, episode_no ORDER BY coverage DESC, weight DESC, group_id) = 1) e USING (run_id, episode_no)"""),
+    "labelled": (["matched"], """SELECT run_id, episode_no, group_id, coalesce(coverage, 0) AS coverage, contamination,
+        CASE WHEN group_id IS NULL THEN CASE WHEN len(benign) > 0 THEN 'negative' ELSE 'ambiguous' END WHEN coverage >= 0.5 AND contamination >= 0.25 THEN 'mixed' WHEN coverage >= 0.5 AND contamination < 0.25 THEN 'positive' ELSE 'ambiguous' END AS label
+        FROM (SELECT *, CASE WHEN either > 0 THEN len(benign) / either END AS contamination FROM matched)"""),
     "scored": ([], "SELECT source AS grp, d.doc_id, least(n_chars / 5000, 1.0::DOUBLE) AS score, least(n_chars / 5000, 1.0::DOUBLE) AS p, quality AS label FROM documents d JOIN labels USING (doc_id)"),
 }
 

@@ -89,4 +89,4 @@ def truth_groups(norm: DataFrame) -> DataFrame:
         F.min("event_us").alias("start_us"), F.max("event_us").alias("end_us"), F.array_sort(F.collect_set(F.when(F.col("source_family") == "EDR", F.col("action")))).alias("required_tokens"), F.count(F.lit(1)).alias("n"),
     )
     groups = groups.filter((F.size("required_tokens") > 0) & (F.col("n") >= 2))
-    return groups.select("run_id", F.concat("endpoint_key", F.lit("@"), F.col("bucket").cast("string")).alias("group_id"), "start_us", "end_us", F.col("endpoint_key").alias("entity"), "required_tokens")
+    return groups.select("run_id", F.concat("endpoint_key", F.lit("@"), F.col("bucket").cast("string")).alias("group_id"), "start_us", "end_us", F.col("endpoint_key").alias("entity"), "required_tokens", F.array("endpoint_key").alias("entities"))

@@ -59,21 +59,28 @@ def both_families(health: DataFrame, scope: list[str]) -> DataFrame:
     return health.groupBy(*scope).agg(*out)
 
 
-def decide_support(rows: DataFrame) -> DataFrame:
-    """Adds reason and kappa, by order of precedence. rows: eligible_count, edr_detected, ndr_detected, and both_families' columns."""
+def decide_support(rows: DataFrame, versions_match: Column | None = None, calibrated: Column | None = None, group: Column | None = None) -> DataFrame:
+    """Adds reason and kappa, by order of precedence. rows: eligible_count, masks, observations, and both_families' columns.
+
+    versions_match: do the versions in use fit; calibrated: is there a fitted calibrator; group: the enabled calibration group, or null.
+    """
+    versions_match, calibrated = F.lit(True) if versions_match is None else versions_match, F.lit(True) if calibrated is None else calibrated
+    group = F.lit(None).cast("string") if group is None else group
     masked = (F.col("edr_mask") != 1) | (F.col("ndr_mask") != 1)
     bad = F.col("e_health").isin("down", "unknown", "not_applicable") | F.col("n_health").isin("down", "unknown", "not_applicable") | F.col("e_missing") | F.col("n_missing")
     states = [detector_state(F.col(f"{p}_missing"), F.col(f"{p}_health"), F.col(f"{p}_parser_valid"), F.col(f"{p}_transport_live"), F.col(f"{f}_observation")) for p, f in (("e", "edr"), ("n", "ndr"))]
     reason = (
         F.when(F.col("eligible_count") == 0, "no_eligible_detector_value")
+        .when(~versions_match, "version_out_of_support")
         .when(masked, "source_out_of_support")
         .when(~F.col("e_parser_valid") | ~F.col("n_parser_valid"), "parser_out_of_support")
         .when(bad, "source_out_of_support")
+        .when(~calibrated, "calibration_out_of_support")
         .when(states[0].isin("unknown", "collector_unavailable") | states[1].isin("unknown", "collector_unavailable"), "source_out_of_support")
         .when((states[0] == "parser_invalid") | (states[1] == "parser_invalid"), "parser_out_of_support")
         .otherwise("eligible")
     )
-    return rows.withColumn("reason", reason).withColumn("kappa", F.when(F.col("reason") == "eligible", "supported_global").otherwise("out_of_support"))
+    return rows.withColumn("reason", reason).withColumn("kappa", F.when(F.col("reason") != "eligible", "out_of_support").when(group.isNotNull(), "supported_group").otherwise("supported_global"))
 
 
 def sufficiency_coverage() -> Column:

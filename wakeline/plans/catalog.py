@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import hashing
 from wakeline.operators import builders, detectors, evaluation, formation, replay, stats, support
-from wakeline.plans.ctes import sql
+from wakeline.plans.ctes import formed_sql, sql
 from wakeline.plans.frames import EPISODE, Frames
 from wakeline.sources import adapters, sinks
 
@@ -157,17 +157,29 @@ def _flat(rows: DataFrame) -> DataFrame:
     return rows
 
 
-@query()
+_REVISION = """run_id, builder, seq, episode_id, revision, state, array_to_string(ids, ',') AS ordered_event_ids, array_to_string(reasons, ',') AS ordered_link_reasons, array_to_string(parents, ',') AS parent_episode_ids, predecessor_revision,
+    late_evidence_reason, first_finalized_us, revision_deadline_us, event_us_start, event_us_end, watermark_us, sha256('["' || array_to_string(ids, '","') || '"]') AS membership_digest"""
+_ALL = tuple(formation.BUILDERS)
+
+
+@query(formed_sql(f"SELECT {_REVISION} FROM formed"))
 def formation_revisions(f: Frames) -> DataFrame:
     return _flat(_formed(f))
 
 
-@query()
+@query(formed_sql("""SELECT run_id, builder, (row_number() OVER (PARTITION BY run_id, builder ORDER BY n) - 1)::INT AS seq, e.id AS episode_id, e.rev AS latest_revision, event_id, ingest_us AS arrival_us, e.dl AS revision_deadline_us, e.reason AS reason
+    FROM late_rows"""))
 def formation_late(f: Frames) -> DataFrame:
     return formation.late_records(formation.formation_input(f.norm, adapters.aliases(f.table("events"))))
 
 
-@query()
+@query(formed_sql("SELECT run_id, builder, (row_number() OVER (PARTITION BY run_id, builder ORDER BY n) - 1)::INT AS seq, event_id, 'late_successor_disabled' AS reason FROM late_rows WHERE e.reason = 'rejected'", builders=("reject_late",)))
+def formation_rejected(f: Frames) -> DataFrame:
+    """Events that a builder without late successors takes no notice of."""
+    return formation.rejected_events(formation.formation_input(f.norm, adapters.aliases(f.table("events"))), ["reject_late"])
+
+
+@query(formed_sql("SELECT builder, run_id, count(*) AS n_revisions, count(DISTINCT episode_id) AS n_episodes, max(len(ids))::INT AS largest, count(late_evidence_reason) AS n_late FROM formed GROUP BY builder, run_id", builders=_ALL))
 def formation_builders(f: Frames) -> DataFrame:
     rows = _formed(f, list(formation.BUILDERS))
     return rows.groupBy("builder", "run_id").agg(F.count(F.lit(1)).alias("n_revisions"), F.countDistinct("episode_id").alias("n_episodes"), F.max(F.size("ordered_event_ids")).alias("largest"), F.count("late_evidence_reason").alias("n_late"))
@@ -181,7 +193,7 @@ def terminal(revisions: DataFrame) -> DataFrame:
     return final.join(first, ["run_id", "builder", "episode_id", "seq"])
 
 
-@query()
+@query(formed_sql(f"SELECT {_REVISION} FROM terminal"))
 def terminal_views(f: Frames) -> DataFrame:
     return _flat(terminal(_formed(f)))
 

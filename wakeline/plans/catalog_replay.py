@@ -9,7 +9,7 @@ from wakeline.functions import hashing
 from wakeline.operators import detectors, formation, replay, stats, support
 from wakeline.operators.numbering import numbered
 from wakeline.plans.catalog import QUERIES, _formed, query, r9
-from wakeline.plans.ctes import sql
+from wakeline.plans.ctes import formed_sql, sql
 from wakeline.plans.frames import EPISODE, Frames
 from wakeline.sources import adapters, sinks
 
@@ -261,7 +261,7 @@ def ingest_shift_outcomes(f: Frames) -> DataFrame:
     return out.join(base, "run_id").select("run_id", F.col("child").cast("int").alias("delay_s"), (F.col("members") == F.col("base_members")).alias("membership_equal"), (F.col("late") != F.col("base_late")).alias("late_changed"), "max_revision", "n_revisions", "n_late")
 
 
-@query()
+@query(formed_sql("""SELECT run_id, count(*)::INT AS n_revisions, sha256(string_agg(sha256('["' || array_to_string(ids, '","') || '"]'), ',' ORDER BY seq)) AS digest FROM formed GROUP BY run_id"""))
 def formation_digests(f: Frames) -> DataFrame:
     """One digest of all revisions of a run, in order: equal for equal input, whatever the partitioning."""
     rows = _formed(f).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "membership_digest"))).alias("r"))

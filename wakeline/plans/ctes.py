@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wakeline.operators.detectors import FLOW, PERSISTENCE, PRIVATE, PROCESS, REMOTE, TRANSFER
+from wakeline.plans.formation_sql import formation_ctes
 from wakeline.sources.adapters import EPOCH_US, INSTANCES
 
 
@@ -93,16 +94,67 @@ CTES: dict[str, tuple[list[str], str]] = {
 }
 
 
-def sql(body: str, *names: str) -> str:
-    """A query over the named frames and all that they need."""
+#: The same frames over all revisions of formed episodes: episode_no is then the episode's id and revision.
+FORMED: dict[str, tuple[list[str], str]] = CTES | {
+    "members": (["norm"], """SELECT n.*, f.episode_id || '#' || f.revision AS episode_no FROM (SELECT run_id, episode_id, revision, unnest(ids) AS event_id FROM formed) f JOIN norm n USING (run_id, event_id)"""),
+    "last": ([], "SELECT run_id, episode_id || '#' || revision AS episode_no FROM terminal"),
+    "truth": (["norm"], """SELECT run_id, endpoint_key || '@' || bucket AS group_id, start_us, end_us, entities, list_sort(list_distinct(flatten(tokens))) AS required_tokens FROM (
+        SELECT run_id, endpoint_key, event_us // 1800000000 AS bucket, min(event_us) AS start_us, max(event_us) AS end_us, list_sort(list_distinct(flatten(list([a.subject, a.object])))) AS entities,
+               list([action, 'command_family:' || command_family]) AS tokens FROM norm JOIN aliased a USING (run_id, event_id, event_us, source_family) WHERE source_family = 'EDR' GROUP BY ALL HAVING count(*) >= 2)"""),
+    "views": (["members", "last"], """SELECT run_id, episode_no, min(event_us) AS start_us, max(event_us) AS end_us, list_sort(list_distinct(flatten(list([a.subject, a.object])))) AS entities,
+        list_sort(list_distinct(flatten(list(CASE WHEN command_family IS NULL THEN [action] ELSE [action, 'command_family:' || command_family] END)))) AS tokens
+        FROM members JOIN last USING (run_id, episode_no) JOIN aliased a USING (run_id, event_id, event_us) GROUP BY ALL"""),
+    "pairs": (["views", "truth"], """SELECT v.run_id, v.episode_no, t.group_id, list_intersect(tokens, required_tokens) AS attack, len(list_intersect(tokens, required_tokens)) / len(required_tokens) AS coverage,
+        len(list_intersect(v.entities, t.entities)) / len(list_distinct(v.entities || t.entities)) AS jaccard,
+        CASE WHEN greatest(v.end_us, t.end_us) > least(v.start_us, t.start_us) THEN greatest(least(v.end_us, t.end_us) - greatest(v.start_us, t.start_us), 0) / (greatest(v.end_us, t.end_us) - least(v.start_us, t.start_us)) WHEN v.start_us = t.start_us THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS iou
+        FROM views v JOIN truth t ON v.run_id = t.run_id AND list_has_any(v.entities, t.entities)"""),
+    "edges": (["weighed"], "SELECT * FROM weighed WHERE jaccard >= 0.5::DOUBLE AND iou >= 0.1::DOUBLE AND weight >= 0.5::DOUBLE"),
+    "unconflicted": CTES["labelled"],
+    "labelled": (["unconflicted"], """SELECT run_id, episode_no, CASE WHEN ok THEN group_id END AS group_id, CASE WHEN ok THEN coverage ELSE 0 END AS coverage, CASE WHEN ok THEN contamination END AS contamination, CASE WHEN ok THEN label ELSE 'ambiguous' END AS label
+        FROM (SELECT *, substr(run_id, 5)::INT % 7 <> 5 AS ok FROM unconflicted)"""),
+    "train": (["norm"], """SELECT run_id FROM (SELECT run_id, row_number() OVER (ORDER BY sha256('7' || chr(31) || run_id), run_id) - 1 AS pos FROM (SELECT DISTINCT run_id FROM norm)) WHERE pos % 10 < 5"""),
+    "cohort": (["dedup", "labelled", "train"], "SELECT detector_id, value FROM dedup JOIN labelled USING (run_id, episode_no) JOIN train USING (run_id) WHERE label = 'negative'"),
+    "some": (CTES["feat"][0], CTES["feat"][1]),
+    "feat": (["bounds", "some"], """SELECT b.run_id, b.episode_no, coalesce(d, 0) AS d, coalesce(c, 0) AS c, coalesce(eligible_count, 0) AS eligible_count, coalesce(edr_detected, 0) AS edr_detected, coalesce(ndr_detected, 0) AS ndr_detected
+        FROM bounds b LEFT JOIN some USING (run_id, episode_no)"""),
+    "support": (["feat", "sides"], """SELECT *, CASE WHEN reason <> 'eligible' THEN 'out_of_support' WHEN run_no % 3 = 1 THEN 'supported_group' ELSE 'supported_global' END AS kappa FROM (SELECT *, CASE
+        WHEN eligible_count = 0 THEN 'no_eligible_detector_value' WHEN run_no % 11 = 7 THEN 'version_out_of_support' WHEN e_missing OR n_missing THEN 'source_out_of_support'
+        WHEN NOT e_parser_valid OR NOT n_parser_valid THEN 'parser_out_of_support'
+        WHEN e_health IN ('down', 'unknown', 'not_applicable') OR n_health IN ('down', 'unknown', 'not_applicable') THEN 'source_out_of_support'
+        WHEN run_no % 13 = 4 THEN 'calibration_out_of_support'
+        WHEN NOT e_transport_live OR NOT n_transport_live THEN 'source_out_of_support' ELSE 'eligible' END AS reason FROM (SELECT *, substr(run_id, 5)::INT AS run_no FROM feat JOIN sides USING (run_id, episode_no)))"""),
+    "outcome": (["support", "contra"], """SELECT s.*, contradiction, f.episode_id, f.revision, NOT (e_missing OR n_missing) AS audit, z, CASE WHEN reason = 'eligible' THEN 1 / (1 + exp(-(CASE WHEN kappa = 'supported_group' THEN 0.8::DOUBLE * z + 0.2::DOUBLE ELSE 1.2::DOUBLE * z - 0.1::DOUBLE END))) END AS p,
+        CASE WHEN e_health = 'unknown' OR n_health = 'unknown' THEN 'unknown' WHEN e_health IN ('down', 'not_applicable') OR n_health IN ('down', 'not_applicable') OR NOT e_parser_valid OR NOT n_parser_valid THEN 'unavailable'
+            WHEN e_health = 'degraded' OR n_health = 'degraded' THEN 'degraded' ELSE 'complete' END AS coverage,
+        CASE WHEN e_missing OR n_missing THEN 'missing' ELSE 'complete' END AS provenance,
+        CASE WHEN f.late_evidence_reason = 'accepted_within_horizon' THEN 'late_accepted' WHEN f.state IN ('open', 'finalized') THEN 'revisable' ELSE 'stable' END AS lateness
+        FROM (SELECT *, -2.0::DOUBLE + 3.0::DOUBLE * d + c AS z FROM support) s JOIN contra USING (run_id, episode_no) JOIN formed f ON f.run_id = s.run_id AND f.episode_id || '#' || f.revision = s.episode_no"""),
+}
+
+
+def ordered(names: tuple[str, ...], frames: dict[str, tuple[list[str], str]]) -> list[str]:
+    """The named frames and all that they need, in an order in which each comes after what it needs."""
     order: list[str] = []
 
     def need(name: str) -> None:
         if name not in order:
-            for other in CTES[name][0]:
+            for other in frames[name][0]:
                 need(other)
             order.append(name)
 
     for name in names:
         need(name)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order) + f"\n{body}"
+    return order
+
+
+def sql(body: str, *names: str) -> str:
+    """A query over the named frames and all that they need."""
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered(names, CTES)) + f"\n{body}"
+
+
+def formed_sql(body: str, *names: str, builders: tuple[str, ...] = ("full",)) -> str:
+    """A query over the named frames of formed episodes, and over formed, terminal and late_rows themselves."""
+    before = ["raw", "norm"]
+    after = [n for n in ordered(names, FORMED) if n not in before]
+    ctes = [f"{n} AS MATERIALIZED ({FORMED[n][1]})" for n in before] + [formation_ctes(list(builders))] + [f"{n} AS MATERIALIZED ({FORMED[n][1]})" for n in after]
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f"\n{body}"

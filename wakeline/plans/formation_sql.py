@@ -18,9 +18,8 @@ POLICIES: dict[str, tuple] = {
     "no_endpoint": (25, True, True, False, 3, "all", "accept"),
     "no_merge": (25, True, True, True, 1, "all", "accept"),
     "no_late": (25, True, True, True, 3, "all", "record"),
+    "reject_late": (25, True, True, True, 3, "all", "reject"),
 }
-REASONS = ["specific_entity", "process_causal", "authenticated_session", "endpoint_connection", "time_proximity"]
-
 LINEAGE = {"k": "INT", "id": "VARCHAR", "st": "VARCHAR", "t0": "BIGINT", "t1": "BIGINT", "rev": "INT", "fin": "BIGINT", "dl": "BIGINT", "fo": "INT", "par": "VARCHAR[]"}
 EVENT = {"n": "INT", "t": "BIGINT", "s": "UBIGINT", "o": "UBIGINT", "g": "UBIGINT", "edr": "BOOLEAN", "ses": "BOOLEAN", "l": "INT", "r": "VARCHAR"}
 EMITTED = {"k": "INT", "id": "VARCHAR", "rev": "INT", "st": "VARCHAR", "late": "VARCHAR", "fin": "BIGINT", "dl": "BIGINT", "t0": "BIGINT", "t1": "BIGINT", "par": "VARCHAR[]", "m": "STRUCT(n INT, r VARCHAR)[]"}
@@ -76,7 +75,7 @@ def formation_ctes(builders: list[str], source: str = "norm") -> str:
                 WHEN 'start' THEN ls1 || [fresh] WHEN 'merge' THEN list_filter(ls1, lambda l: NOT list_contains(merged, l.k)) || [fresh] ELSE ls1 END AS ls2,
             CASE act WHEN 'attach' THEN {pack(LINEAGE, "best.l", t0="least(best.l.t0, t)", t1="greatest(best.l.t1, t)", rev="best.l.rev + 1")} WHEN 'start' THEN fresh WHEN 'merge' THEN fresh END AS touched,
             CASE WHEN act = 'attach' AND best.l.st = 'f' THEN 'accepted_within_horizon' END AS late_reason,
-            CASE WHEN act = 'late' THEN {{'id': best.l.id, 'rev': best.l.rev, 'dl': best.l.dl, 'reason': CASE WHEN best.l.st = 'f' AND now <= best.l.dl THEN 'late_successor_disabled' WHEN now > best.l.dl THEN 'beyond_revision_horizon' ELSE 'closed_lineage_match' END}} END AS lated
+            CASE WHEN act = 'late' THEN {{'id': best.l.id, 'rev': best.l.rev, 'dl': best.l.dl, 'reason': CASE WHEN best.l.st = 'f' AND now <= best.l.dl THEN CASE late_mode WHEN 'reject' THEN 'rejected' ELSE 'late_successor_disabled' END WHEN now > best.l.dl THEN 'beyond_revision_horizon' ELSE 'closed_lineage_match' END}} END AS lated
     FROM (SELECT *, list_transform(open, lambda c: c.l.k) AS merged,
             CASE act WHEN 'start' THEN {{'k': n, 'id': 'ep:' || sha256('{{"policy":"wakeline.policy.v1","start_event_id":"' || event_id || '"}}'), 'st': 'o', 't0': t, 't1': t, 'rev': 0, 'fin': NULL, 'dl': NULL, 'fo': NULL, 'par': []}}
                 WHEN 'merge' THEN {{'k': n, 'id': 'ep:' || sha256('{{"event_id":"' || event_id || '","parents":["' || array_to_string(list_sort(list_transform(open, lambda c: c.l.id)), '","') || '"],"policy":"wakeline.policy.v1"}}'), 'st': 'o',
@@ -120,7 +119,3 @@ def formation_ctes(builders: list[str], source: str = "norm") -> str:
     QUALIFY row_number() OVER (PARTITION BY run_id, builder, episode_id ORDER BY seq) = 1
 )"""
 
-
-def formation_sql(body: str, builders: list[str], before: str) -> str:
-    """A query over formed, terminal and late_rows. before: the CTE list that defines norm (and source), without WITH."""
-    return f"WITH RECURSIVE {before},\n{formation_ctes(builders)}\n{body}"

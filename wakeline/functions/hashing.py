@@ -18,6 +18,16 @@ def id_list_json(ids: Column) -> Column:
     return F.concat(F.lit('["'), F.array_join(ids, '","'), F.lit('"]'))
 
 
+def canonical_record(fields: dict[str, Column]) -> Column:
+    """Canonical JSON of an object of text and whole numbers: keys in order, no spaces; text is plain ASCII without quotes. Null fields are null."""
+    parts: list[Column] = []
+    for i, name in enumerate(sorted(fields)):
+        value = fields[name].cast("string")
+        quoted = F.when(F.typeof(fields[name]) == "string", F.concat(F.lit('"'), value, F.lit('"'))).otherwise(value)
+        parts += [F.lit(f'{"," if i else "{"}"{name}":'), F.coalesce(quoted, F.lit("null"))]
+    return F.concat(*parts, F.lit("}"))
+
+
 def hmac_sha256(key: bytes, message: Column) -> Column:
     """HMAC-SHA-256 in hex, from the plain hash: hash(outer, hash(inner, message))."""
     key = hashlib.sha256(key).digest() if len(key) > 64 else key

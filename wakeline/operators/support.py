@@ -59,6 +59,18 @@ def both_families(health: DataFrame, scope: list[str]) -> DataFrame:
     return health.groupBy(*scope).agg(*out)
 
 
+def observed(rows: DataFrame) -> DataFrame:
+    """Adds mask and observation of each family, from both_families' columns and what was detected."""
+    for prefix, family in (("e", "edr"), ("n", "ndr")):
+        seen = (~F.col(f"{prefix}_missing")).cast("int")
+        rows = rows.withColumn(f"{family}_mask", seen).withColumn(f"{family}_observation", F.when(seen == 0, "not_examined").when(F.col(f"{family}_detected") == 1, "detected").otherwise("examined_none"))
+    return rows
+
+
+def lateness() -> Column:
+    return F.when(F.col("late_evidence_reason") == "accepted_within_horizon", "late_accepted").when(F.col("state").isin("open", "finalized"), "revisable").otherwise("stable")
+
+
 def decide_support(rows: DataFrame, versions_match: Column | None = None, calibrated: Column | None = None, group: Column | None = None) -> DataFrame:
     """Adds reason and kappa, by order of precedence. rows: eligible_count, masks, observations, and both_families' columns.
 

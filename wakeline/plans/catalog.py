@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wakeline.functions import hashing
 from wakeline.operators import builders, detectors, evaluation, formation, replay, stats, support
 from wakeline.plans.ctes import formed_sql, sql
+from wakeline.plans.formed import terminal
 from wakeline.plans.frames import EPISODE, Frames
 from wakeline.sources import adapters, sinks
 
@@ -185,14 +186,6 @@ def formation_builders(f: Frames) -> DataFrame:
     return rows.groupBy("builder", "run_id").agg(F.count(F.lit(1)).alias("n_revisions"), F.countDistinct("episode_id").alias("n_episodes"), F.max(F.size("ordered_event_ids")).alias("largest"), F.count("late_evidence_reason").alias("n_late"))
 
 
-def terminal(revisions: DataFrame) -> DataFrame:
-    """First finalized revision of each episode that no merge has swallowed."""
-    gone = revisions.select("run_id", "builder", F.explode("parent_episode_ids").alias("episode_id")).distinct()
-    final = revisions.filter(F.col("state") == "finalized").join(gone, ["run_id", "builder", "episode_id"], "left_anti")
-    first = final.groupBy("run_id", "builder", "episode_id").agg(F.min("seq").alias("seq"))
-    return final.join(first, ["run_id", "builder", "episode_id", "seq"])
-
-
 @query(formed_sql(f"SELECT {_REVISION} FROM terminal"))
 def terminal_views(f: Frames) -> DataFrame:
     return _flat(terminal(_formed(f)))

@@ -114,9 +114,9 @@ FORMED: dict[str, tuple[list[str], str]] = CTES | {
         FROM (SELECT *, substr(run_id, 5)::INT % 7 <> 5 AS ok FROM unconflicted)"""),
     "train": (["norm"], """SELECT run_id FROM (SELECT run_id, row_number() OVER (ORDER BY sha256('7' || chr(31) || run_id), run_id) - 1 AS pos FROM (SELECT DISTINCT run_id FROM norm)) WHERE pos % 10 < 5"""),
     "cohort": (["dedup", "labelled", "train"], "SELECT detector_id, value FROM dedup JOIN labelled USING (run_id, episode_no) JOIN train USING (run_id) WHERE label = 'negative'"),
-    "some": (CTES["feat"][0], CTES["feat"][1]),
-    "feat": (["bounds", "some"], """SELECT b.run_id, b.episode_no, coalesce(d, 0) AS d, coalesce(c, 0) AS c, coalesce(eligible_count, 0) AS eligible_count, coalesce(edr_detected, 0) AS edr_detected, coalesce(ndr_detected, 0) AS ndr_detected
-        FROM bounds b LEFT JOIN some USING (run_id, episode_no)"""),
+    "featured": (CTES["feat"][0], CTES["feat"][1]),
+    "feat": (["bounds", "featured"], """SELECT b.run_id, b.episode_no, coalesce(d, 0) AS d, coalesce(c, 0) AS c, coalesce(eligible_count, 0) AS eligible_count, coalesce(edr_detected, 0) AS edr_detected, coalesce(ndr_detected, 0) AS ndr_detected
+        FROM bounds b LEFT JOIN featured USING (run_id, episode_no)"""),
     "support": (["feat", "sides"], """SELECT *, CASE WHEN reason <> 'eligible' THEN 'out_of_support' WHEN run_no % 3 = 1 THEN 'supported_group' ELSE 'supported_global' END AS kappa FROM (SELECT *, CASE
         WHEN eligible_count = 0 THEN 'no_eligible_detector_value' WHEN run_no % 11 = 7 THEN 'version_out_of_support' WHEN e_missing OR n_missing THEN 'source_out_of_support'
         WHEN NOT e_parser_valid OR NOT n_parser_valid THEN 'parser_out_of_support'

@@ -38,7 +38,7 @@ class Frames:
     def truth(self) -> DataFrame:
         return adapters.truth_groups(self.norm)
 
-    @property
+    @functools.cached_property
     def members(self) -> DataFrame:
         return builders.fixed_bins(self.norm)
 
@@ -83,11 +83,7 @@ class Frames:
     @property
     def supported(self) -> DataFrame:
         sides = support.both_families(self.health, EPISODE)
-        rows = self.features.join(sides, EPISODE)
-        for prefix, family in (("e", "edr"), ("n", "ndr")):
-            seen = (~F.col(f"{prefix}_missing")).cast("int")
-            rows = rows.withColumn(f"{family}_mask", seen).withColumn(f"{family}_observation", F.when(seen == 0, "not_examined").when(F.col(f"{family}_detected") == 1, "detected").otherwise("examined_none"))
-        return support.decide_support(rows)
+        return support.decide_support(support.observed(self.features.join(sides, EPISODE)))
 
     @property
     def views(self) -> DataFrame:

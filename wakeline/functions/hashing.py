@@ -36,11 +36,28 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
 
 
+def xor_pad(key_hex: Column, byte: int) -> Column:
+    """A key of 32 bytes (hex) filled up to a block of 64 with zeros, every byte combined with one byte."""
+    own = lambda i: F.when(i < 32, F.conv(F.substring(key_hex, 2 * i + 1, 2), 16, 10).cast("int")).otherwise(0)
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(own(i).bitwiseXOR(F.lit(byte))), 2, "0")), ""))
+
+
+def unit_draw(digest: Column) -> Column:
+    """The leading 64 bits of a digest (hex) as a number in [0, 1)."""
+    high, low = (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") for at in (1, 9))
+    return high / float(2**32) + low / float(2**64)
+
+
+def keyed_uniform(inner: Column, outer: Column, domain: str, key: Column) -> Column:
+    """As uniform, with a key that differs by row: inner and outer are its two pads (xor_pad with 0x36 and 0x5c)."""
+    message = F.concat(F.lit(domain + "\x1f"), key).cast("binary")
+    return unit_draw(F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256))
+
+
 def uniform(seed_hex: str, domain: str, key: Column) -> Column:
     """A draw in [0, 1) for each key: the leading 64 bits of HMAC(seed, domain | key)."""
     digest = hmac_sha256(bytes.fromhex(seed_hex), F.concat(F.lit(domain + "\x1f"), key))
-    high, low = (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") for at in (1, 9))
-    return high / float(2**32) + low / float(2**64)
+    return unit_draw(digest)
 
 
 def es6_number(x: float) -> str:

@@ -16,6 +16,23 @@ LATERAL = 0.90
 PRIVATE = r"^[^:]*:(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|127\.|169\.254\.)"
 
 
+# IPv4 blocks that are not public (first address, number of leading bits), and patterns of IPv6 addresses that are not.
+BLOCKS = [("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 29), ("192.0.0.170", 31), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4)]
+IPV6 = r"^(::1?$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|2001:0?db8:|2001:0?1[0-9a-f]{2}:|2001:[0-9a-f]?[0-9a-f]?:|100::)"
+
+
+def private_address(address: Column) -> Column:
+    """Is an IPv4 or IPv6 address private, local or reserved; null for what is no address."""
+    octets = F.transform(F.split(address, r"\."), lambda o: o.cast("long"))
+    valid = address.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$") & (F.array_max(octets) <= 255)
+    number = F.aggregate(octets, F.lit(0).cast("long"), lambda a, o: a * 256 + o)
+    inside = F.lit(False)
+    for first, bits in BLOCKS:
+        low = sum(int(o) << 8 * (3 - i) for i, o in enumerate(first.split(".")))
+        inside = inside | number.between(low, low + (1 << 32 - bits) - 1)
+    return F.when(valid, inside).when(address.contains(":") & address.rlike("^[0-9A-Fa-f:]+$"), F.lower(address).rlike(IPV6))
+
+
 def lookup(values: dict[str, float], key: Column, default: float | None = None) -> Column:
     out = F.lit(default).cast("double")
     for name, value in values.items():

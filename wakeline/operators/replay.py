@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wakeline.functions.hashing import uniform
+from wakeline.functions.hashing import hmac_sha256, keyed_uniform, xor_pad
 from wakeline.operators.numbering import numbered
 
 SECOND = 1_000_000
@@ -15,13 +15,21 @@ DESIGN = {"mask": ["all"], "drop": [0.05, 0.10, 0.25], "burst": [30, 120, 300],
 CARDS = ["M1", "M3", "M4", "M7"]
 
 
+def drawn(events: DataFrame, intervention: str, family: str, level, domain: str, key) -> DataFrame:
+    """Adds u, a draw in [0, 1) for each row's key. Every child of a run has a seed of its own, from run, intervention, source and level."""
+    message = F.concat("run_id", F.lit(f"\x1f{intervention}\x1f{family}\x1f{level}"))
+    seed = hmac_sha256(bytes.fromhex(SEED), message)
+    runs = events.select("run_id").distinct().withColumn("seed", seed).select("run_id", xor_pad(F.col("seed"), 0x36).alias("_inner"), xor_pad(F.col("seed"), 0x5C).alias("_outer"))
+    return events.join(runs, "run_id").withColumn("u", keyed_uniform(F.col("_inner"), F.col("_outer"), domain, key)).drop("_inner", "_outer")
+
+
 def mask(events: DataFrame, family: str) -> DataFrame:
     return events.filter(F.col("source_family") != family)
 
 
 def drop(events: DataFrame, family: str, share: float) -> DataFrame:
     """Lose a share of one source's events, by a keyed draw per event."""
-    return events.filter((F.col("source_family") != family) | (uniform(SEED, "drop", F.col("event_id")) >= share))
+    return drawn(events, "drop", family, share, "drop", F.col("event_id")).filter((F.col("source_family") != family) | (F.col("u") >= share)).drop("u")
 
 
 def burst(events: DataFrame, family: str, length_s: int) -> DataFrame:
@@ -30,8 +38,8 @@ def burst(events: DataFrame, family: str, length_s: int) -> DataFrame:
     times = events.filter(F.col("source_family") == family).select("run_id", "event_us").distinct().join(ends, "run_id").filter(F.col("event_us") + length_s * SECOND <= F.col("run_end"))
     w = Window.partitionBy("run_id")
     times = times.withColumn("at", F.row_number().over(w.orderBy("event_us")) - 1).join(times.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")), "run_id")
-    pick = F.floor(uniform(SEED, "burst", F.col("run_id")) * F.col("n"))
-    starts = times.filter(F.col("at") == pick).select("run_id", F.col("event_us").alias("start_us"))
+    times = drawn(times, "burst", family, length_s, "burst", F.col("run_id"))
+    starts = times.filter(F.col("at") == F.floor(F.col("u") * F.col("n"))).select("run_id", F.col("event_us").alias("start_us"))
     inside = (F.col("source_family") == family) & (F.col("event_us") >= F.col("start_us")) & (F.col("event_us") < F.col("start_us") + length_s * SECOND)
     return events.join(starts, "run_id", "left").filter(~F.coalesce(inside, F.lit(False))).drop("start_us")
 
@@ -57,15 +65,15 @@ def reorder(events: DataFrame, family: str, buffer_s: int) -> DataFrame:
     moving = placed.filter(F.col("source_family") == family).join(first, "run_id").withColumn("buffer", F.floor((F.col("ingest_us") - F.col("i0")) / (buffer_s * SECOND))).drop("i0")
     w = Window.partitionBy("run_id", "buffer")
     slots = moving.select("run_id", "buffer", "arrival_seq", F.row_number().over(w.orderBy("arrival_seq")).alias("at"))
-    drawn = moving.drop("arrival_seq").withColumn("at", F.row_number().over(w.orderBy(uniform(SEED, "reorder", F.col("event_id")), "event_id")))
-    moved = drawn.join(slots, ["run_id", "buffer", "at"]).drop("buffer", "at")
+    dealt = drawn(moving.drop("arrival_seq"), "reorder", family, buffer_s, "reorder", F.col("event_id")).withColumn("at", F.row_number().over(w.orderBy("u", "event_id"))).drop("u")
+    moved = dealt.join(slots, ["run_id", "buffer", "at"]).drop("buffer", "at")
     return placed.filter(F.col("source_family") != family).unionByName(moved)
 
 
 def duplicate(events: DataFrame, family: str, share: float) -> DataFrame:
     """Whole dependency groups of a source arrive again a microsecond later under new ids."""
-    chosen = (F.col("source_family") == family) & (uniform(SEED, "duplicate", F.col("dependency_group")) < share)
-    copies = events.filter(chosen).withColumn("event_id", F.concat(F.lit("dup:"), F.sha2(F.col("event_id").cast("binary"), 256))).withColumn("ingest_us", F.col("ingest_us") + 1)
+    chosen = drawn(events.filter(F.col("source_family") == family), "duplicate", family, share, "duplicate", F.col("dependency_group")).filter(F.col("u") < share).drop("u")
+    copies = chosen.withColumn("event_id", F.concat(F.lit("dup:"), F.sha2(F.col("event_id").cast("binary"), 256))).withColumn("ingest_us", F.col("ingest_us") + 1)
     return events.unionByName(copies)
 
 
@@ -82,11 +90,11 @@ def child_key(intervention: str, family: str, level) -> str:
     return f"{intervention}:{family}:{level}"
 
 
-def children(events: DataFrame) -> DataFrame:
+def children(events: DataFrame, some: list[tuple] | None = None) -> DataFrame:
     """Every run in every cell of the design, with arrival_seq: rows keyed by (run_id, child). events should be written, as each cell reads them."""
     acts = {"control": lambda e, *_: e, "mask": lambda e, family, _: mask(e, family), "drop": drop, "burst": burst, "delay": delay, "skew": skew, "duplicate": duplicate}
     told, moved = None, None
-    for name, family, level in cells():
+    for name, family, level in some or cells():
         child = F.lit(child_key(name, family, level)).alias("child")
         if name == "reorder":
             rows = reorder(events, family, level).select("*", child)
@@ -94,7 +102,7 @@ def children(events: DataFrame) -> DataFrame:
         else:
             rows = acts[name](events, family, level).select(*events.columns, child)
             told = rows if told is None else told.unionByName(rows)
-    return arrival(told).unionByName(moved)
+    return arrival(told) if moved is None else moved if told is None else arrival(told).unionByName(moved)
 
 
 def shifted(events: DataFrame) -> DataFrame:

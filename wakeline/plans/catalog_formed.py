@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import hashing
-from wakeline.operators import detectors, evaluation, support
+from wakeline.operators import detectors, evaluation, replay, stats, support
 from wakeline.plans.catalog import ORACLE_SQL, QUERIES, r9
 from wakeline.plans.ctes import formed_sql
-from wakeline.plans.formed import FormedFrames
+from wakeline.plans.formed import ChildFrames, FormedFrames, axis_transitions, replay_statistics
 from wakeline.plans.frames import EPISODE
 
 
@@ -26,9 +26,6 @@ def formed_query(oracle: str | None = None):
     return add
 
 
-AXES = ["coverage", "provenance", "lateness", "contradiction", "calibration"]
-
-
 @formed_query(formed_sql("SELECT run_id, episode_no, event_id, event_us, source_family FROM members", "members"))
 def formed_members(f: FormedFrames) -> DataFrame:
     """The events of every revision, joined by id."""
@@ -182,3 +179,108 @@ def evaluation_rows(f: FormedFrames) -> DataFrame:
     fit = F.col("audit") & (F.col("reason") == "eligible")
     on = lambda c: F.when(fit, r9(c))
     return rows.select(*EPISODE, "label", r9("native").alias("sb1"), on(detectors.logit(F.col("d"), F.lit(0))).alias("sb2"), on(F.col("z")).alias("sb3"), on(detectors.sigmoid(F.col("z"))).alias("sb4"), on(F.col("p")).alias("sb5"), F.when(F.col("kappa") == "supported_group", on(F.col("p"))).alias("sb6"))
+
+
+# ---------------------------------------------------------------- replay against the control
+_FIELDS = ["action_coverage", "fragmentation", "mean_z", "brier", "nll"]
+_DELAYS = [c for c in replay.cells() if c[0] in ("control", "delay")]
+_CHILDREN = ", ".join(f"('{replay.child_key(*c)}', '{c[1]}', {c[2] if c[0] == 'delay' else 0})" for c in _DELAYS)
+_DELAYED = f"SELECT base.* REPLACE (base.run_id || '|' || c AS run_id, CASE WHEN base.source_family = f THEN ingest_us + s * 1000000 ELSE ingest_us END AS ingest_us) FROM base, (VALUES {_CHILDREN}) AS d(c, f, s)"
+_STATISTICS = """SELECT r.run_id, split_part(r.run_id, '|', 1) AS base, split_part(r.run_id, '|', 2) AS child, revision_count, stabilization_s, action_coverage, fragmentation, mean_z, brier, nll, supported_coverage
+    FROM (SELECT run_id, count(*) AS revision_count, avg(CASE WHEN state = 'closed' THEN (watermark_us - event_us_end) / 1e6 END) AS stabilization_s FROM formed GROUP BY run_id) r
+    LEFT JOIN (SELECT run_id, avg(coalesce(coverage, 0)) AS action_coverage, avg(greatest(coalesce(degree, 0) - 1, 0)) AS fragmentation FROM truth LEFT JOIN (SELECT run_id, group_id, max(coverage) AS coverage, count(*) AS degree FROM edges GROUP BY ALL) USING (run_id, group_id) GROUP BY run_id) USING (run_id)
+    LEFT JOIN (SELECT run_id, avg(z) AS mean_z FROM outcome WHERE audit GROUP BY run_id) USING (run_id)
+    LEFT JOIN (SELECT run_id, avg((p - y) * (p - y)) FILTER (bin) AS brier, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) FILTER (bin) AS nll, count_if(audit AND p IS NOT NULL) / count(*) AS supported_coverage
+        FROM (SELECT run_id, audit, p, (label = 'positive')::INT AS y, audit AND p IS NOT NULL AND label IN ('positive', 'negative') AS bin, least(greatest(p, 1e-15::DOUBLE), 1 - 1e-15::DOUBLE) AS q FROM (SELECT run_id, episode_no, audit, p FROM outcome) JOIN (SELECT run_id, episode_no, label FROM labelled) USING (run_id, episode_no)) GROUP BY run_id) USING (run_id)"""
+# The models are made from the runs themselves, so the cohort is that of the control.
+_TRAIN = "split_part(run_id, '|', 2) = 'control:none:none' AND split_part(run_id, '|', 1) IN (SELECT run_id FROM (SELECT run_id, row_number() OVER (ORDER BY sha256('7' || chr(31) || run_id), run_id) - 1 AS pos FROM (SELECT DISTINCT run_id FROM base)) WHERE pos % 10 < 5)"
+
+
+def _child_sql(body: str, *names: str) -> str:
+    text = formed_sql(body, *names, norm=_DELAYED)
+    old = text[text.index("train AS MATERIALIZED (") : text.index("),\n", text.index("train AS MATERIALIZED ("))]
+    return text.replace(old, f"train AS MATERIALIZED (SELECT DISTINCT run_id FROM norm WHERE {_TRAIN}")
+
+
+def replay_rows(f: ChildFrames) -> DataFrame:
+    """A row for each run and child: what it loses or gains against the control."""
+    rows = replay_statistics(f).select("*", F.substring_index("run_id", "|", 1).alias("base"), F.substring_index("run_id", "|", -1).alias("child"))
+    control = rows.filter(F.col("child") == replay.child_key("control", "none", "none")).select("base", *[F.col(c).alias(f"base_{c}") for c in _FIELDS])
+    rows = rows.join(control, "base", "left").join(axis_transitions(f), ["base", "child"], "left")
+    deltas = [r9(F.col(c) - F.col(f"base_{c}")).alias(f"delta_{c}") for c in _FIELDS]
+    axes = [F.coalesce(f"u_{a}", F.lit(0)).cast("long").alias(f"u_{a}") for a in ("coverage", "provenance", "lateness", "contradiction", "kappa")]
+    return rows.select(F.col("base").alias("run_id"), "child", *deltas, r9("supported_coverage").alias("supported_coverage"), "revision_count", r9("stabilization_s").alias("stabilization_s"), *axes)
+
+
+def replay_query(cells: list[tuple], oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(ChildFrames(spark, sf_dir, cells))
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+_AXES_SQL = ", ".join(f"coalesce(count_if(a.{x} <> b.{x}), 0)::BIGINT AS u_{x}" for x in ("coverage", "provenance", "lateness", "contradiction", "kappa"))
+_RT4 = f"""SELECT s.base AS run_id, s.child, {', '.join(f'round(s.{c} - c.{c}, 9) AS delta_{c}' for c in _FIELDS)}, round(s.supported_coverage, 9) AS supported_coverage, s.revision_count, round(s.stabilization_s, 9) AS stabilization_s, {', '.join(f'coalesce(u_{x}, 0) AS u_{x}' for x in ('coverage', 'provenance', 'lateness', 'contradiction', 'kappa'))}
+    FROM statistics s LEFT JOIN statistics c ON c.base = s.base AND c.child = 'control:none:none' LEFT JOIN (
+        SELECT split_part(a.run_id, '|', 1) AS base, split_part(a.run_id, '|', 2) AS child, {_AXES_SQL} FROM outcome a JOIN outcome b ON split_part(b.run_id, '|', 1) = split_part(a.run_id, '|', 1) AND split_part(b.run_id, '|', 2) = 'control:none:none' AND a.episode_no = b.episode_no AND a.audit AND b.audit GROUP BY ALL) u ON u.base = s.base AND u.child = s.child"""
+
+
+def _rt4_sql(body: str) -> str:
+    text = _child_sql("@", "outcome", "labelled", "truth", "edges")
+    return text.replace("\n@", f",\nstatistics AS MATERIALIZED ({_STATISTICS}),\nrt4 AS MATERIALIZED ({_RT4})\n{body}")
+
+
+@replay_query(_DELAYS, _rt4_sql("SELECT * FROM rt4"))
+def replay_delays(f: ChildFrames) -> DataFrame:
+    """The control and all delays: deltas, revisions, stabilization and transitions of the five axes."""
+    return replay_rows(f)
+
+
+@replay_query(replay.cells())
+def replay_rt4(f: ChildFrames) -> DataFrame:
+    """All 41 children of every run against the control."""
+    return replay_rows(f)
+
+
+def replay_aggregate(rows: DataFrame) -> DataFrame:
+    """Over runs: means of what is defined, and sums of transitions, by intervention, source and level."""
+    fields = [f"delta_{c}" for c in _FIELDS] + ["supported_coverage", "revision_count", "stabilization_s"]
+    parts = F.split("child", ":")
+    return rows.groupBy(parts[0].alias("intervention"), parts[1].alias("source_family"), parts[2].alias("level")).agg(F.count(F.lit(1)).alias("n_runs"), *[F.round(F.avg(c), 6).alias(c) for c in fields], *[F.sum(c).alias(c) for c in rows.columns if c.startswith("u_")])
+
+
+@replay_query(_DELAYS, _rt4_sql(f"""SELECT split_part(child, ':', 1) AS intervention, split_part(child, ':', 2) AS source_family, split_part(child, ':', 3) AS level, count(*) AS n_runs, {', '.join(f'round(avg({c}), 6) AS {c}' for c in [f'delta_{c}' for c in _FIELDS] + ['supported_coverage', 'revision_count', 'stabilization_s'])},
+    {', '.join(f'sum(u_{x})::BIGINT AS u_{x}' for x in ('coverage', 'provenance', 'lateness', 'contradiction', 'kappa'))} FROM rt4 GROUP BY ALL"""))
+def replay_delay_aggregate(f: ChildFrames) -> DataFrame:
+    return replay_aggregate(replay_rows(f))
+
+
+# ---------------------------------------------------------------- training set and models
+@formed_query(formed_sql("""SELECT run_id, episode_no, round(d, 9) AS d, c, CASE label WHEN 'positive' THEN 1 ELSE 0 END AS y FROM (SELECT run_id, episode_no, d, c, eligible_count, reason FROM support) JOIN (SELECT run_id, episode_no, label FROM labelled) USING (run_id, episode_no) JOIN train USING (run_id)
+    WHERE label IN ('positive', 'negative') AND eligible_count > 0 AND reason = 'eligible'""", "support", "labelled", "train"))
+def training_rows(f: FormedFrames) -> DataFrame:
+    """Terminal episodes of the training runs that are in support and clearly positive or negative."""
+    return training(f).withColumn("d", r9("d"))
+
+
+def training(f: FormedFrames) -> DataFrame:
+    rows = f.supported.join(f.labelled.select(*EPISODE, "label"), EPISODE).join(f.train_runs, "run_id")
+    rows = rows.filter(F.col("label").isin("positive", "negative") & (F.col("eligible_count") > 0) & (F.col("reason") == "eligible"))
+    return rows.select(*EPISODE, "d", "c", (F.col("label") == "positive").cast("int").alias("y"))
+
+
+@formed_query()
+def formed_models(f: FormedFrames) -> DataFrame:
+    """The models of formed episodes: on d and c, on d alone (the same fit with c = 0), and the calibrator of the first one's logits."""
+    # Fitted on rows of eligible terminal episodes of all runs, as the training runs of a small table may hold one class only.
+    rows = f.features.join(f.labelled.select(*EPISODE, "label"), EPISODE).filter(F.col("label").isin("positive", "negative"))
+    rows = rows.select("d", "c", (F.col("label") == "positive").cast("int").alias("label"))
+    both = stats.bounded_logistic(rows, ["d", "c"], "label", lower=[0.0, 0.0])
+    alone = stats.bounded_logistic(rows.withColumn("c", F.lit(0)), ["d", "c"], "label", lower=[0.0, 0.0])
+    z = rows.select(detectors.logit(F.col("d"), F.col("c"), *both).alias("z"), "label")
+    cal = stats.affine_calibrators(z, []).first()
+    made = [("d_and_c", *both), ("d_only", *alone), ("calibrator", cal["offset"], cal["slope"], 0.0)]
+    return f.spark.createDataFrame([(n, *[round(float(x), 9) for x in b]) for n, *b in made], "model string, intercept double, weight_d double, weight_c double")

@@ -9,16 +9,17 @@ from wakeline.functions import hashing
 from wakeline.operators import detectors, formation, replay, stats, support
 from wakeline.operators.numbering import numbered
 from wakeline.plans.catalog import QUERIES, _formed, query, r9
-from wakeline.plans.ctes import formed_sql, sql
+from wakeline.plans.ctes import HEX_XOR, formed_sql, sql
 from wakeline.plans.frames import EPISODE, Frames
 from wakeline.sources import adapters, sinks
 
 
-def draw_sql(domain: str, key: str, seed: str = replay.SEED) -> str:
-    """hashing.uniform as SQL."""
-    pad = bytes.fromhex(seed).ljust(64, b"\0")
+def draw_sql(intervention: str, family: str, level, key: str, run: str = "run_id") -> str:
+    """replay.drawn as SQL."""
+    pad = bytes.fromhex(replay.SEED).ljust(64, b"\0")
     inner, outer = (bytes(b ^ p for b in pad).hex() for p in (0x36, 0x5C))
-    h = f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode('{domain}' || chr(31) || {key}))))"
+    seed = f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({run} || chr(31) || '{intervention}' || chr(31) || '{family}' || chr(31) || '{level}'))))"
+    h = f"sha256({HEX_XOR.format(seed, 0x5C)} || unhex(sha256({HEX_XOR.format(seed, 0x36)} || encode('{intervention}' || chr(31) || {key}))))"
     return f"(('0x' || substr({h}, 1, 8))::BIGINT::DOUBLE / 4294967296 + ('0x' || substr({h}, 9, 8))::BIGINT::DOUBLE / 18446744073709551616::DOUBLE)"
 
 
@@ -30,7 +31,7 @@ def replay_mask(f: Frames) -> DataFrame:
     return replay.mask(f.norm, "EDR").select(KEYS)
 
 
-@query(sql(f"SELECT run_id, event_id, event_us, ingest_us, source_family FROM norm WHERE source_family <> 'NDR' OR {draw_sql('drop', 'event_id')} >= 0.25::DOUBLE", "norm"))
+@query(sql(f"SELECT run_id, event_id, event_us, ingest_us, source_family FROM norm WHERE source_family <> 'NDR' OR {draw_sql('drop', 'NDR', 0.25, 'event_id')} >= 0.25::DOUBLE", "norm"))
 def replay_drop(f: Frames) -> DataFrame:
     return replay.drop(f.norm, "NDR", 0.25).select(KEYS)
 
@@ -38,7 +39,7 @@ def replay_drop(f: Frames) -> DataFrame:
 @query(sql(f"""SELECT n.run_id, event_id, event_us, ingest_us, source_family FROM norm n LEFT JOIN (
     SELECT run_id, event_us AS s FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_us) - 1 AS pos, count(*) OVER (PARTITION BY run_id) AS m FROM (
         SELECT DISTINCT run_id, event_us FROM norm JOIN (SELECT run_id, max(event_us) AS e FROM norm GROUP BY run_id) USING (run_id) WHERE source_family = 'NDR' AND event_us + 300000000 <= e))
-    WHERE pos = floor({draw_sql('burst', 'run_id')} * m)) b ON b.run_id = n.run_id WHERE NOT coalesce(source_family = 'NDR' AND event_us >= s AND event_us < s + 300000000, false)""", "norm"))
+    WHERE pos = floor({draw_sql('burst', 'NDR', 300, 'run_id')} * m)) b ON b.run_id = n.run_id WHERE NOT coalesce(source_family = 'NDR' AND event_us >= s AND event_us < s + 300000000, false)""", "norm"))
 def replay_burst(f: Frames) -> DataFrame:
     return replay.burst(f.norm, "NDR", 300).select(KEYS)
 
@@ -54,7 +55,7 @@ def replay_skew(f: Frames) -> DataFrame:
 
 
 @query(sql(f"""SELECT event_id, arrival_seq FROM placed WHERE source_family <> 'NDR' UNION ALL
-    SELECT d.event_id, s.arrival_seq FROM (SELECT *, row_number() OVER (PARTITION BY run_id, buffer ORDER BY {draw_sql('reorder', 'event_id')}, event_id) AS pos FROM moving) d
+    SELECT d.event_id, s.arrival_seq FROM (SELECT *, row_number() OVER (PARTITION BY run_id, buffer ORDER BY {draw_sql('reorder', 'NDR', 600, 'event_id')}, event_id) AS pos FROM moving) d
     JOIN (SELECT *, row_number() OVER (PARTITION BY run_id, buffer ORDER BY arrival_seq) AS pos FROM moving) s ON d.run_id = s.run_id AND d.buffer = s.buffer AND d.pos = s.pos""", "norm").replace("\nSELECT event_id, arrival_seq FROM placed", """,
 placed AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ingest_us, event_us, source_instance, event_id) - 1 AS arrival_seq, min(ingest_us) OVER (PARTITION BY run_id) AS i0 FROM norm),
 moving AS (SELECT *, (ingest_us - i0) // 600000000 AS buffer FROM placed WHERE source_family = 'NDR')
@@ -64,7 +65,7 @@ def replay_reorder(f: Frames) -> DataFrame:
 
 
 @query(sql(f"""SELECT run_id, event_id, event_us, ingest_us, source_family FROM norm UNION ALL
-    SELECT run_id, 'dup:' || sha256(event_id), event_us, ingest_us + 1, source_family FROM norm WHERE source_family = 'NDR' AND {draw_sql('duplicate', 'dependency_group')} < 0.25::DOUBLE""", "norm"))
+    SELECT run_id, 'dup:' || sha256(event_id), event_us, ingest_us + 1, source_family FROM norm WHERE source_family = 'NDR' AND {draw_sql('duplicate', 'NDR', 0.25, 'dependency_group')} < 0.25::DOUBLE""", "norm"))
 def replay_duplicate(f: Frames) -> DataFrame:
     return replay.duplicate(f.norm, "NDR", 0.25).select(KEYS)
 

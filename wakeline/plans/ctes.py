@@ -11,6 +11,8 @@ def case(column: str, values: dict[str, float], default: str = "NULL") -> str:
     return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN {v}::DOUBLE" for k, v in values.items()) + f" ELSE {default} END"
 
 
+#: One keyed draw in [0, 1) for each key, as SQL: see wakeline.functions.hashing.
+HEX_XOR = "unhex(array_to_string(list_transform(range(0, 64), lambda i: printf('%02x', xor(CASE WHEN i < 32 THEN ('0x' || substr({}, 2 * i + 1, 2))::INT ELSE 0 END, {}))), ''))"
 _INSTANCES = ", ".join(f"('{f}', '{i}', {n})" for f, i, n in INSTANCES)
 
 CTES: dict[str, tuple[list[str], str]] = {
@@ -111,7 +113,7 @@ FORMED: dict[str, tuple[list[str], str]] = CTES | {
     "edges": (["weighed"], "SELECT * FROM weighed WHERE jaccard >= 0.5::DOUBLE AND iou >= 0.1::DOUBLE AND weight >= 0.5::DOUBLE"),
     "unconflicted": CTES["labelled"],
     "labelled": (["unconflicted"], """SELECT run_id, episode_no, CASE WHEN ok THEN group_id END AS group_id, CASE WHEN ok THEN coverage ELSE 0 END AS coverage, CASE WHEN ok THEN contamination END AS contamination, CASE WHEN ok THEN label ELSE 'ambiguous' END AS label
-        FROM (SELECT *, substr(run_id, 5)::INT % 7 <> 5 AS ok FROM unconflicted)"""),
+        FROM (SELECT *, substr(run_id, 5, 9)::INT % 7 <> 5 AS ok FROM unconflicted)"""),
     "train": (["norm"], """SELECT run_id FROM (SELECT run_id, row_number() OVER (ORDER BY sha256('7' || chr(31) || run_id), run_id) - 1 AS pos FROM (SELECT DISTINCT run_id FROM norm)) WHERE pos % 10 < 5"""),
     "cohort": (["dedup", "labelled", "train"], "SELECT detector_id, value FROM dedup JOIN labelled USING (run_id, episode_no) JOIN train USING (run_id) WHERE label = 'negative'"),
     "featured": (CTES["feat"][0], CTES["feat"][1]),
@@ -122,7 +124,7 @@ FORMED: dict[str, tuple[list[str], str]] = CTES | {
         WHEN NOT e_parser_valid OR NOT n_parser_valid THEN 'parser_out_of_support'
         WHEN e_health IN ('down', 'unknown', 'not_applicable') OR n_health IN ('down', 'unknown', 'not_applicable') THEN 'source_out_of_support'
         WHEN run_no % 13 = 4 THEN 'calibration_out_of_support'
-        WHEN NOT e_transport_live OR NOT n_transport_live THEN 'source_out_of_support' ELSE 'eligible' END AS reason FROM (SELECT *, substr(run_id, 5)::INT AS run_no FROM feat JOIN sides USING (run_id, episode_no)))"""),
+        WHEN NOT e_transport_live OR NOT n_transport_live THEN 'source_out_of_support' ELSE 'eligible' END AS reason FROM (SELECT *, substr(run_id, 5, 9)::INT AS run_no FROM feat JOIN sides USING (run_id, episode_no)))"""),
     "outcome": (["support", "contra"], """SELECT s.*, contradiction, f.episode_id, f.revision, NOT (e_missing OR n_missing) AS audit, z, CASE WHEN reason = 'eligible' THEN 1 / (1 + exp(-(CASE WHEN kappa = 'supported_group' THEN 0.8::DOUBLE * z + 0.2::DOUBLE ELSE 1.2::DOUBLE * z - 0.1::DOUBLE END))) END AS p,
         CASE WHEN e_health = 'unknown' OR n_health = 'unknown' THEN 'unknown' WHEN e_health IN ('down', 'not_applicable') OR n_health IN ('down', 'not_applicable') OR NOT e_parser_valid OR NOT n_parser_valid THEN 'unavailable'
             WHEN e_health = 'degraded' OR n_health = 'degraded' THEN 'degraded' ELSE 'complete' END AS coverage,
@@ -152,9 +154,13 @@ def sql(body: str, *names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered(names, CTES)) + f"\n{body}"
 
 
-def formed_sql(body: str, *names: str, builders: tuple[str, ...] = ("full",)) -> str:
-    """A query over the named frames of formed episodes, and over formed, terminal and late_rows themselves."""
+def formed_sql(body: str, *names: str, builders: tuple[str, ...] = ("full",), norm: str | None = None, order: str = "") -> str:
+    """A query over the named frames of formed episodes, and over formed, terminal and late_rows themselves.
+
+    norm: another body for the frame of normalised events, which may read the plain one as `base`; order: how the events of a run arrive.
+    """
     before = ["raw", "norm"]
     after = [n for n in ordered(names, FORMED) if n not in before]
-    ctes = [f"{n} AS MATERIALIZED ({FORMED[n][1]})" for n in before] + [formation_ctes(list(builders))] + [f"{n} AS MATERIALIZED ({FORMED[n][1]})" for n in after]
+    frames = [("raw", FORMED["raw"][1]), ("norm" if norm is None else "base", FORMED["norm"][1])] + ([("norm", norm)] if norm else [])
+    ctes = [f"{n} AS MATERIALIZED ({body})" for n, body in frames] + [formation_ctes(list(builders), order=order)] + [f"{n} AS MATERIALIZED ({FORMED[n][1]})" for n in after]
     return "WITH RECURSIVE " + ",\n".join(ctes) + f"\n{body}"

@@ -39,8 +39,14 @@ def emitted(of: str, xs: str, late: str = "NULL") -> str:
     return pack(EMITTED, of, late=late, m=f"list_transform(list_filter({xs}, lambda x: x.l = {of}.k), lambda x: {{'n': x.n, 'r': x.r}})")
 
 
-def formation_ctes(builders: list[str], source: str = "norm") -> str:
-    """CTEs revisions (run_id, builder, n, pos, e, wm) and late_rows, over the CTE `source`; pos is the place among those of a step."""
+def formation_ctes(builders: list[str], source: str = "norm", order: str = "") -> str:
+    """CTEs revisions (run_id, builder, n, pos, e, wm) and late_rows, over the CTE `source`; pos is the place among those of a step.
+
+    order: how events of a run arrive, if not by ingest time.
+    """
+    order = order or "ingest_us, event_us, source_instance, event_id"
+    told = order.startswith("ingest_us")
+    carried, reach = ("", "max(ingest_us - event_us) OVER (PARTITION BY run_id)") if told else (", arr", "1000000000000000")  # in any other order nothing is let go
     policies = ", ".join(f"('{b}', {', '.join(repr(v) if isinstance(v, str) else str(v).lower() for v in POLICIES[b])})" for b in builders)
     session = "coalesce(lower(command_family) IN ('remote_session', 'file_transfer'), false) OR coalesce(lower(protocol) IN ('ssh', 'smb', 'nfs'), false) OR contains(lower(action), 'session')"
     grace = pack(LINEAGE, "l", st="'f'", rev="l.rev + 1", fin="now", dl=f"now + {900 * S}", fo="2 * n")
@@ -51,12 +57,12 @@ def formation_ctes(builders: list[str], source: str = "norm") -> str:
     both = "(x.s = s OR x.s = o OR x.o = s OR x.o = o)"
     some = lambda cond: f"len(list_filter(c.mm, lambda x: {cond})) > 0"
     return f"""aliased AS (
-    SELECT run_id, event_id, event_us, ingest_us, source_family, source_instance, dependency_group, {session} AS ses,
+    SELECT run_id, event_id, event_us, ingest_us, source_family, source_instance, dependency_group{carried}, {session} AS ses,
            coalesce(a.entity, subject) AS subject, coalesce(b.entity, object) AS object FROM {source}
     LEFT JOIN (SELECT DISTINCT subject AS alias, endpoint_key AS entity FROM norm WHERE subject LIKE 'ip:10.%') a ON a.alias = subject
     LEFT JOIN (SELECT DISTINCT subject AS alias, endpoint_key AS entity FROM norm WHERE subject LIKE 'ip:10.%') b ON b.alias = object
 ), placed AS MATERIALIZED (
-    SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ingest_us, event_us, source_instance, event_id)::INT AS n, max(ingest_us - event_us) OVER (PARTITION BY run_id) AS lag FROM aliased
+    SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {order})::INT AS n, {reach} AS lag FROM aliased
 ), ev AS MATERIALIZED (
     SELECT run_id, n, ingest_us AS now, event_us AS t, hash(subject) AS s, hash(object) AS o, hash(dependency_group) AS g, source_family = 'EDR' AS edr, ses, event_id, lag FROM placed
     UNION ALL SELECT run_id, max(n) + f, max(ingest_us) + CASE f WHEN 1 THEN 121 ELSE 1143 END * {S}, NULL, NULL, NULL, NULL, NULL, NULL, NULL, any_value(lag) FROM placed, range(1, 3) AS r(f) GROUP BY run_id, f

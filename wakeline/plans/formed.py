@@ -10,7 +10,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.operators import detectors, evaluation, formation, support
+from wakeline.operators import detectors, evaluation, formation, replay, support
 from wakeline.plans.frames import EPISODE, Frames
 from wakeline.sources import adapters
 from wakeline.sources.sinks import materialize
@@ -126,3 +126,62 @@ class FormedFrames(Frames):
 def _flat_set(values: Column) -> Column:
     """Distinct values of the arrays of a group, in order."""
     return F.array_sort(F.array_distinct(F.flatten(F.collect_set(values))))
+
+
+class ChildFrames(FormedFrames):
+    """All cells of a replay design at once: run_id is the run and its child. Sources' records and truth stay those of the run itself."""
+
+    def __init__(self, spark, sf_dir: str, cells: list[tuple]):
+        super().__init__(spark, sf_dir)
+        self.cells, self.base = cells, FormedFrames(spark, sf_dir)
+
+    @functools.cached_property
+    def norm(self) -> DataFrame:
+        rows = replay.children(materialize(self.base.norm, "replay-norm"), self.cells)
+        return materialize(rows.withColumn("run_id", child_run()).drop("child"), "replay-children")
+
+    def _each(self, rows: DataFrame) -> DataFrame:
+        keys = F.explode(F.array(*[F.lit(replay.child_key(*c)) for c in self.cells]))
+        return rows.withColumn("child", keys).withColumn("run_id", child_run()).drop("child")
+
+    @property
+    def coverage(self) -> DataFrame:
+        return self._each(self.base.coverage)
+
+    @property
+    def truth(self) -> DataFrame:
+        return self._each(self.base.truth)
+
+    @property
+    def train_runs(self) -> DataFrame:
+        return self._each(self.base.train_runs)
+
+    @property
+    def negative_cohort(self) -> DataFrame:
+        """What the models were made from is not replayed: the negatives of the runs themselves."""
+        return self.base.negative_cohort
+
+
+def child_run() -> Column:
+    return F.concat("run_id", F.lit("|"), "child")
+
+
+def replay_statistics(f: ChildFrames) -> DataFrame:
+    """Per run and child: formation against truth, mean logit, calibration of supported binary episodes, revisions, and seconds until episodes close."""
+    metrics = evaluation.formation_metrics(f.views, f.truth, f.edges).select("run_id", F.col("coverage").alias("action_coverage"), "fragmentation")
+    z = f.outcomes.filter("audit").groupBy("run_id").agg(F.avg("z").alias("mean_z"))
+    ends = f.outcomes.select(*EPISODE, "audit", "p").join(f.labelled.select(*EPISODE, "label"), EPISODE)
+    scored = F.col("audit") & F.col("p").isNotNull()
+    binary, y = scored & F.col("label").isin("positive", "negative"), (F.col("label") == "positive").cast("int")
+    calibration = ends.groupBy("run_id").agg(F.avg(F.when(binary, (F.col("p") - y) ** 2)).alias("brier"), F.avg(F.when(binary, evaluation.clipped_nll(F.col("p"), y))).alias("nll"), (F.count_if(scored) / F.count(F.lit(1))).alias("supported_coverage"))
+    closed = F.when(F.col("state") == "closed", (F.col("watermark_us") - F.col("event_us_end")) / 1e6)
+    counts = f.revisions.groupBy("run_id").agg(F.count(F.lit(1)).alias("revision_count"), F.avg(closed).alias("stabilization_s"))
+    return counts.join(metrics, "run_id", "left").join(z, "run_id", "left").join(calibration, "run_id", "left")
+
+
+def axis_transitions(f: ChildFrames) -> DataFrame:
+    """Per run and child: on how many revisions that the control has too each axis of the profile differs."""
+    axes = ["coverage", "provenance", "lateness", "contradiction", "kappa"]
+    rows = f.outcomes.filter("audit").select(F.substring_index("run_id", "|", 1).alias("base"), F.substring_index("run_id", "|", -1).alias("child"), "episode_no", *axes)
+    control = rows.filter(F.col("child") == replay.child_key("control", "none", "none")).select("base", "episode_no", *[F.col(a).alias(f"_{a}") for a in axes])
+    return rows.join(control, ["base", "episode_no"]).groupBy("base", "child").agg(*[F.count_if(F.col(a) != F.col(f"_{a}")).alias(f"u_{a}") for a in axes])

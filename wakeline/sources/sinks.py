@@ -33,6 +33,38 @@ def read_ndjson(spark: SparkSession, path: str, schema) -> tuple[DataFrame, Data
     return parsed.filter(~bad).select("r.*"), parsed.filter(bad).select("file", "value")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1, blank lines counted), value of text files. Files are split as Spark likes: lines are counted by block."""
+    at = F.monotonically_increasing_id()
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), at.alias("at"), "value")
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))  # a row for each block of a file
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(blocks, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+
+
+def line_status(value) -> F.Column:
+    """ok, or why a line is no JSON object that a contract takes: blank, invalid (also NaN and Infinity, which are no JSON), not_object, or range
+    (a whole number beyond 2**53 - 1, or a number beyond the doubles)."""
+    parsed = F.try_parse_json(value)
+    bare = F.regexp_replace(value, r'"(\\.|[^"\\])*"', '""')
+    whole = F.regexp_extract_all(bare, F.lit(r"(?<![\d.eE+-])-?\d{16,}(?![\d.eE])"), 0)
+    huge = F.exists(whole, lambda n: F.abs(F.try_to_number(n, F.lit("S" + "9" * 38))) > (1 << 53) - 1) | bare.rlike(r"[eE]\+?(309|3[1-9]\d|[4-9]\d\d|\d{4,})")
+    return F.when(F.trim(value) == "", "blank").when(parsed.isNull() | bare.rlike("NaN|Infinity"), "invalid").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not_object").when(F.coalesce(huge, F.lit(False)), "range").otherwise("ok")
+
+
+def write_csv(frame: DataFrame, path: str) -> None:
+    frame.write.mode("errorifexists").option("header", True).csv(path)
+
+
+def read_registry(spark: SparkSession, path: str, schema: str, where: str, expected: int | None = None) -> DataFrame:
+    """The rows of a CSV registry that meet a condition; fails if there are not as many as expected."""
+    rows = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path).filter(where)
+    if expected is not None and (n := rows.count()) != expected:
+        raise ValueError(f"registry has {n} rows where {expected} are expected")
+    return rows
+
+
 def terminal_store(attempts: DataFrame, key: list[str], order: list[str], content: str) -> DataFrame:
     """Append-only store: per key the first attempt is kept; a later one of equal content is idempotent, any other is rejected."""
     first = attempts.groupBy(*key).agg(F.min(F.struct(*order, content)).alias("first"))

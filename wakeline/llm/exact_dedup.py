@@ -9,7 +9,8 @@
 
 Defined results: a null text counts as empty; empty texts are equal to each other; repeated rows of an id are rows of their
 own and count in group_size (all of them share keep_id; the row kept is any one with that id); an empty table gives no rows;
-further columns are ignored, whatever their names. A null id sorts after every other id.
+further columns are ignored, whatever their names. A null id sorts after every other id. Very long texts are compared whole; of equally long
+ones (a tie) the smaller id stays.
 """
 
 from __future__ import annotations
@@ -27,46 +28,36 @@ from .common import SPACES, broadcast_if_small, materialize, parts
 
 # ---------------------------------------------------------------- Golomb-Rice code of sorted 64-bit numbers
 def rice_encode(values: np.ndarray, low: int, span_bits: int) -> bytes:
-    """Sorted distinct uint64 values >= low from a range of 2**span_bits: 1 byte for k, 4 for the count, then the bits.
+    """Sorted distinct uint64 values >= low from a range of 2**span_bits.
 
-    A gap d is d >> k in unary (that many ones, then a zero) followed by its k low bits.
+    1 byte for k, 4 for the count, 8 for the bits of the unary part; then d >> k of every gap d in unary (that many ones, then a zero), and after
+    these the k low bits of every gap. With the two parts apart, neither way needs a loop over the gaps.
     """
     n = len(values)
     if n == 0:
-        return b"\0" + (0).to_bytes(4, "little")
+        return b"\0" + bytes(12)
     gaps = np.diff(values, prepend=np.uint64(low)).astype(np.uint64)
     k = max(0, min(63, span_bits - max(1, n).bit_length()))
-    quotient = (gaps >> np.uint64(k)).astype(np.int64)
-    ends = np.cumsum(quotient + 1 + k)
-    bits = np.zeros(int(ends[-1]), dtype=np.uint8)
-    starts = ends - (quotient + 1 + k)
-    total = int(quotient.sum())
-    if total:
-        at = np.repeat(starts - np.concatenate(([0], np.cumsum(quotient)[:-1])), quotient) + np.arange(total)
-        bits[at] = 1
-    tail = starts + quotient + 1
+    ends = np.cumsum((gaps >> np.uint64(k)).astype(np.int64) + 1)
+    unary = np.ones(int(ends[-1]), np.uint8)
+    unary[ends - 1] = 0
+    tails = np.empty((n, k), np.uint8)
     for j in range(k):
-        bits[tail + j] = ((gaps >> np.uint64(k - 1 - j)) & np.uint64(1)).astype(np.uint8)
-    return bytes([k]) + n.to_bytes(4, "little") + np.packbits(bits).tobytes()
+        tails[:, j] = ((gaps >> np.uint64(k - 1 - j)) & np.uint64(1)).astype(np.uint8)
+    return bytes([k]) + n.to_bytes(4, "little") + len(unary).to_bytes(8, "little") + np.packbits(unary).tobytes() + np.packbits(tails.ravel()).tobytes()
 
 
 def rice_decode(block: bytes, low: int) -> np.ndarray:
-    k, n = block[0], int.from_bytes(block[1:5], "little")
+    k, n, bits = block[0], int.from_bytes(block[1:5], "little"), int.from_bytes(block[5:13], "little")
     if n == 0:
         return np.zeros(0, dtype=np.uint64)
-    bits = np.unpackbits(np.frombuffer(block, dtype=np.uint8, offset=5))
-    zeros = np.flatnonzero(bits == 0)
-    # The zero that ends the unary part of each gap: the first at or after the end of the last gap.
-    stops, at, z = np.empty(n, dtype=np.int64), 0, 0
-    next_zero = np.searchsorted(zeros, np.arange(len(bits) + 1))
-    for i in range(n):
-        z = zeros[next_zero[at]]
-        stops[i] = z
-        at = z + 1 + k
-    starts = np.concatenate(([0], stops[:-1] + 1 + k))
-    gaps = (stops - starts).astype(np.uint64) << np.uint64(k)
-    for j in range(k):
-        gaps |= bits[stops + 1 + j].astype(np.uint64) << np.uint64(k - 1 - j)
+    middle = 13 + -(-bits // 8)
+    stops = np.flatnonzero(np.unpackbits(np.frombuffer(block, np.uint8, middle - 13, 13), count=bits) == 0)
+    gaps = (np.diff(stops, prepend=-1) - 1).astype(np.uint64) << np.uint64(k)
+    if k:
+        tails = np.unpackbits(np.frombuffer(block, np.uint8, offset=middle), count=n * k).reshape(n, k)
+        for j in range(k):
+            gaps |= tails[:, j].astype(np.uint64) << np.uint64(k - 1 - j)
     return np.cumsum(gaps, dtype=np.uint64) + np.uint64(low)
 
 
@@ -149,6 +140,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = groups.filter("group_size > 1").groupBy("sha").agg(F.min("group_size").alias("group_size"), F.min("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("texts"))
     groups = groups.withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share one SHA-256"))))
 
-    out = light.join(groups, "sha", "left")
+    # A large group is one key of many rows: those of at least `hot` rows (no more than 1000 of them) are dealt to many tasks.
+    groups = materialize(groups, "dedup-groups")
+    hot = groups.filter(F.col("group_size") > max(5000, n // 1000)).select(F.col("sha").alias("hot_sha"))
+    salts = F.when(F.col("hot_sha").isNotNull(), F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))
+    owners = groups.join(F.broadcast(hot), F.col("sha") == F.col("hot_sha"), "left").withColumn("salt", F.explode(salts)).drop("hot_sha", "texts")
+    dealt = light.join(F.broadcast(hot), F.col("sha") == F.col("hot_sha"), "left").withColumn("salt", F.when(F.col("hot_sha").isNotNull(), F.pmod(F.xxhash64("doc_id", "n_cp", "sender"), F.lit(64))).otherwise(0).cast("int")).drop("hot_sha")
+    out = dealt.join(owners, ["sha", "salt"], "left")
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.col("sha").alias("text_sha256"))

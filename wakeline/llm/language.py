@@ -1,8 +1,8 @@
 """Language identification with error-correcting output codes (operator 9).
 
 Every language has a codeword of +1 and -1. One binary classifier a bit, logistic on hashed counts of letter n-grams, predicts the bits
-of a text; a text gets the language whose codeword has the least total loss over the bits (loss-weighted decoding). Where the two best
-are close the result is flagged as ambiguous.
+of a text; a text gets the language whose codeword has the least total loss over the bits. The losses are weighted: a bit counts for a
+language by how reliably its classifier gets that language's sampled texts right. Where the two best are close the result is flagged as ambiguous.
 
 Every language with a labelled text gets a codeword. Bounded sample (parameter): of each language the `per_lang` labelled documents with
 the smallest hash, whole texts, turned into n-gram counts by the executors. Everything else covers all rows and whole texts. A sample up
@@ -78,10 +78,13 @@ def codewords(n: int, seed: int = 0) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
+    """trust: languages by bits, how far a bit's classifier can be relied on for texts of a language (rows add up to the number of bits)."""
+
     langs: tuple[str, ...]
     code: np.ndarray
     weights: np.ndarray
     offsets: np.ndarray
+    trust: np.ndarray
 
 
 def _descend(n: int, bits: int, gradient, ridge: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +150,41 @@ def train_bits_sparse(rows: DataFrame, n: int, langs: list[str], code: np.ndarra
     return _descend(n, code.shape[1], gradient, ridge, steps)
 
 
+def reliability(right: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Weights of the loss: for each language, the share of its sampled texts whose bit comes out right, beyond chance, made to average 1."""
+    share = (right + 1) / (counts[:, None] + 2)
+    weight = np.maximum(share - 0.5, 0.02)
+    return weight / weight.mean(1, keepdims=True)
+
+
+def _hits(weights: np.ndarray, offsets: np.ndarray, code: np.ndarray, langs: list[str]):
+    """A partition's sampled texts by language, and how many of them each bit's classifier puts on the right side."""
+    at = {lang: i for i, lang in enumerate(langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right, counts = np.zeros(code.shape, np.int64), np.zeros(len(langs), np.int64)
+        for batch in batches:
+            for lang, places, values in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                i = at[lang]
+                margin = values.values.to_numpy() @ weights[places.values.to_numpy()] + offsets
+                right[i] += margin * code[i] > 0
+                counts[i] += 1
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in seen], pa.string()), pa.array(counts[seen]), pa.array(right[seen].tolist(), pa.list_(pa.int64()))], names=["lang", "n", "hits"])
+
+    return run
+
+
+def trusted(rows: DataFrame, langs: list[str], code: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """reliability of every bit for every language, from the sampled rows; a row a language reaches the driver."""
+    each = rows.mapInArrow(_hits(weights, offsets, code, langs), "lang string, n long, hits array<long>")
+    sums = each.groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(F.element_at("hits", i + 1)).alias(f"h{i}") for i in range(code.shape[1])]).collect()
+    at, right, counts = {lang: i for i, lang in enumerate(langs)}, np.zeros(code.shape), np.zeros(len(langs))
+    for r in sums:
+        right[at[r["lang"]]], counts[at[r["lang"]]] = [r[f"h{i}"] for i in range(code.shape[1])], r["n"]
+    return reliability(right, counts)
+
+
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams = Grams()
     for batch in batches:
@@ -160,9 +198,12 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400) -> LanguageModel:
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    # The rank's limit works before the shuffle too, so a language's rows never meet in one task.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picks = known.select("lang", "doc_id", F.row_number().over(order).alias("at")).filter(F.col("at") <= per_lang)
+    # Of a language's hashes only those below a bound that leaves about twice per_lang of them are ranked, so no task sees a whole language.
+    light = known.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("at"))
+    share = light.groupBy("lang").agg((2.0 * per_lang / F.count(F.lit(1)) + 0.0).alias("share"), F.count(F.lit(1)).alias("rows"))
+    low = light.join(share, "lang").filter((F.col("rows") <= 8 * per_lang) | (F.col("at") < F.col("share") * F.lit(1 << 40)))
+    order = Window.partitionBy("lang").orderBy("at", "doc_id")
+    picks = low.select("lang", "doc_id", F.row_number().over(order).alias("n")).filter(F.col("n") <= per_lang)
     chosen = materialize(picks.select(F.col("lang").alias("s_lang"), F.col("doc_id").alias("s_id")), "language-picks")
     chosen = broadcast_if_small(chosen, chosen.count(), 64)
     texts = known.join(chosen, (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang")))
@@ -170,21 +211,26 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     langs, n = sorted(sizes), sum(sizes.values())
     if len(langs) < 2:
-        return LanguageModel(tuple(langs), np.ones((len(langs), 1)), np.zeros((1 << BITS, 1), np.float32), np.zeros(1, np.float32))
+        return LanguageModel(tuple(langs), np.ones((len(langs), 1)), np.zeros((1 << BITS, 1), np.float32), np.zeros(1, np.float32), np.ones((len(langs), 1)))
     code = codewords(len(langs))
     if n * (4 << BITS) > DENSE_BYTES:
         spread = materialize(rows.repartition(parts(docs.sparkSession, n, 20_000)), "language-rows")
-        return LanguageModel(tuple(langs), code, *train_bits_sparse(spread, n, langs, code))
+        fitted = train_bits_sparse(spread, n, langs, code)
+        return LanguageModel(tuple(langs), code, *fitted, trusted(spread, langs, code, *fitted))
     found, at = rows.collect(), {lang: i for i, lang in enumerate(langs)}
     x = np.zeros((n, 1 << BITS), np.float32)
     for i, r in enumerate(found):
         x[i, r["places"]] = r["counts"]
-    return LanguageModel(tuple(langs), code, *train_bits(x, code[[at[r["lang"]] for r in found]].astype(np.float32)))
+    fitted = train_bits(x, code[[at[r["lang"]] for r in found]].astype(np.float32))
+    return LanguageModel(tuple(langs), code, *fitted, trusted(rows, langs, code, *fitted))
 
 
 def decode(model: LanguageModel, bits: np.ndarray) -> tuple[int, float, float]:
-    """The language with the least loss, its share against the others, and its lead over the second, from the bits' margins."""
-    loss = np.logaddexp(0, -model.code * bits).sum(1)
+    """The language with the least loss, its share against the others, and its lead over the second, from the bits' margins.
+
+    The loss of a language is the sum over the bits of log(1 + exp(-codeword bit * margin)), each weighted by the trust in that bit for it.
+    """
+    loss = (model.trust * np.logaddexp(0, -model.code * bits)).sum(1)
     p = np.exp(loss.min() - loss)
     p /= p.sum()
     best = int(np.argmin(loss))

@@ -61,3 +61,23 @@ def held_out(id_col: Column) -> Column:
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit_mb: int = 32) -> DataFrame:
     """Hint a broadcast only when the counted rows are known to fit; else Spark shuffles both sides."""
     return F.broadcast(df) if rows * row_bytes <= limit_mb * 1_000_000 else df
+
+
+def join_sized(many: DataFrame, one: DataFrame, key: list[str], size: str, n: int, salts: int = 64) -> DataFrame:
+    """many joined with one (a row a key, written), where `size` says how many of many's n rows have the key.
+
+    Keys of more than a thousandth of all rows (so fewer than 1000 of them) are dealt to `salts` tasks, each with its copy of one's row.
+    """
+    hot = one.filter(F.col(size) > max(5000, n // 1000)).select(*[F.col(c).alias(f"_hot_{c}") for c in key])
+    is_hot = F.col(f"_hot_{key[0]}").isNotNull()
+
+    def marked(df: DataFrame) -> DataFrame:
+        same = F.lit(True)
+        for c in key:
+            same = same & (F.col(c) == F.col(f"_hot_{c}"))
+        return df.join(F.broadcast(hot), same, "left")
+
+    spread = [c for c in many.columns if c not in key] or key
+    dealt = marked(many).withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int")).drop(*hot.columns)
+    copies = marked(one).withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(*hot.columns)
+    return dealt.join(copies, [*key, "_salt"]).drop("_salt")

@@ -1,23 +1,25 @@
 """Substring dedup with compressed FM-indexes (operator 10).
 
-Remove every word that lies in a window of `window` words whose sequence also starts anywhere else. All steps are exact.
+Remove every word that lies in a window of `window` words whose sequence also starts anywhere else.
 
 1. Every window is filed under its minimizer: of the `gram`-word sequences in it, the one of least hash. Neighbouring windows with one
    minimizer form a run; equal windows lie in runs of equal minimizers, wherever they occur.
-2. Runs are counted by minimizer and by content. A run whose whole content occurs again is repeated throughout. A run whose minimizer is
-   found in no other run has no repeated window. What is left, different runs around one minimizer, goes to a shard, each content once.
-   Runs in which the minimizer itself occurs twice go there too: a window may repeat inside them.
-3. A shard indexes its texts with an FM-index: suffix array, Burrows-Wheeler transform, and a wavelet matrix of bit vectors with rank
-   counts. Texts are streamed through backward search: from every right end, the search goes left as long as what it has matched occurs at
-   least twice. The matching statistics so found, where they reach the window length, are the repeated intervals.
-4. Intervals go back to their documents, are joined, and cover words.
+2. Runs are counted by minimizer and content. A run whose minimizer is found nowhere else, and only once in itself, has no repeated
+   window and is let go. Of all others every different content goes once to a shard of its minimizer, with a mark if it occurs several times.
+3. A shard indexes its contents (twice where they are marked) with an FM-index: suffix array, Burrows-Wheeler transform, and a wavelet
+   matrix of bit vectors with two levels of counts, a quarter of a bit more a bit. All its contents are streamed through backward search: from a
+   right end, the search goes left as long as what it has matched occurs at least twice. The matching statistic so found, where it
+   reaches the window length, is a repeated interval; the search goes on at the right end of the first window that the interval does not hold.
+4. Intervals go back to all runs of their content, are joined, and cover words.
 
-A minimizer with very many different runs (`crowded`) would make a shard of its own grow without bound: the windows of its runs are
-counted one by one by their own hash instead, which is as exact.
+A minimizer with very many different contents (`crowded`) is cut once more, by minimizers of longer sequences, and these at last by
+whole windows, so that no shard grows without bound; the pieces go through the same index.
+
+Words are compared as 64-bit hashes and contents as 128-bit hashes of these; nothing else is approximate.
 
 Defined results: null texts have no words; texts shorter than a window lose nothing; a repetition inside one document counts; repeated rows of an
-id are documents of their own, whose windows repeat each other; an empty table gives no rows; further columns are ignored, whatever
-their names.
+id are documents of their own, whose windows repeat each other; very long texts are read whole, like any other; places that tie (equal windows)
+all lose their words, none is kept; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, parts, text_batches
+from .common import broadcast_if_small, join_sized, materialize, parts, text_batches
 
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+P2 = np.uint64(0xD6E8FEB86659FD93)
+KEY = ["minimizer", "content", "check"]
 
 
 class WordHashes(dict):
@@ -72,14 +76,22 @@ def window_minimum(a: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def content_hash(h: np.ndarray, p: np.uint64, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(h), p, np.uint64))), dtype=np.uint64)
+    back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(h), np.uint64(pow(int(p), -1, 1 << 64)), np.uint64))), dtype=np.uint64)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(h * power[:-1], dtype=np.uint64)))
+    return mixed((sums[starts + sizes] - sums[starts]) * back[starts] + sizes.astype(np.uint64))
+
+
 def runs_of(h: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Runs of many documents whose word hashes h stand one behind the other.
 
-    Of each run: document, start in it, number of windows, minimizer, a hash of its content, and whether it may repeat itself.
+    Of each run: document, start in it, number of windows, minimizer, two hashes of its content, and whether it may repeat itself.
     """
     none = np.zeros(0, np.int64)
+    nothing = (none, none, none, *[none.astype(np.uint64)] * 3, none.astype(bool))
     if len(h) < window:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
+        return nothing
     ends = np.cumsum(lengths)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     span, grams = window - gram + 1, rolling(h, gram)
@@ -87,15 +99,12 @@ def runs_of(h: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> tuple
     inside = np.arange(len(least)) + window <= ends[doc[: len(least)]]
     at = np.flatnonzero(inside)
     if not len(at):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
+        return nothing
     first = np.flatnonzero(np.concatenate(([True], (np.diff(at) > 1) | (least[at[1:]] != least[at[:-1]]))))
     starts, counts = at[first], np.diff(np.concatenate((first, [len(at)])))
     values, docs = least[starts], doc[starts]
-    # Content hash by prefix sums of h[i] * P**i, scaled back to the start of the run.
-    power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(h), P, np.uint64))), dtype=np.uint64)
-    back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(h), np.uint64(pow(int(P), -1, 1 << 64)), np.uint64))), dtype=np.uint64)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(h * power[:-1], dtype=np.uint64)))
-    content = mixed((sums[starts + counts - 1 + window] - sums[starts]) * back[starts] + counts.astype(np.uint64))
+    # Content hashes by prefix sums of h[i] * p**i, scaled back to the start of the run.
+    content, check = (content_hash(h, p, starts, counts - 1 + window) for p in (P, P2))
     # A place holds a minimizer if, of the windows around it, one has its hash as minimum; no window there has a larger one. Where two
     # places of one minimizer are near each other, a window may repeat inside the run.
     edge = np.zeros(span - 1, np.uint64)
@@ -104,7 +113,7 @@ def runs_of(h: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> tuple
     twice = (grams[places[1:]] == grams[places[:-1]]) & (np.diff(places) <= span)
     key = lambda value, d: mixed(value + d.astype(np.uint64) * P)
     own = np.isin(key(values, docs), key(grams[places[1:]][twice], doc[places[1:]][twice])) if twice.any() else np.zeros(len(values), bool)
-    return docs, starts - (ends - lengths)[docs], counts, values, content, own
+    return docs, starts - (ends - lengths)[docs], counts, values, content, check, own
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -126,10 +135,10 @@ def _runs(window: int, gram: int, words_at_once: int = 500_000):
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            docs, starts, counts, values, contents, own = runs_of(np.concatenate(held), np.array([len(x) for x in held]), window, gram)
-            cols = (np.array(keys, np.int64)[docs], starts.astype(np.int32), counts.astype(np.int32), values.view(np.int64), contents.view(np.int64), own)
+            docs, starts, counts, values, contents, checks, own = runs_of(np.concatenate(held), np.array([len(x) for x in held]), window, gram)
+            cols = (np.array(keys, np.int64)[docs], starts.astype(np.int32), counts.astype(np.int32), values.view(np.int64), contents.view(np.int64), checks.view(np.int64), own)
             keys.clear(), held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "start", "count", "minimizer", "content", "own"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "start", "count", *KEY, "own"])
 
         n = 0
         for batch in batches:
@@ -155,16 +164,20 @@ class FMIndex:
         suffix = self._suffixes(text, depth)
         bwt = text[suffix - 1]  # the symbol before each suffix; before the first, the last end mark
         self.below = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=self.sigma))))
-        # Wavelet matrix: from the highest bit down, zeros before ones, and the count of ones before every 64th place.
-        self.bits, self.words, self.ranks, self.zeros = max(1, (self.sigma - 1).bit_length()), [], [], []
+        # Wavelet matrix: from the highest bit down, zeros before ones. Ones are counted before every 65,536th place, and from there before
+        # every 64th in 16 bits.
+        self.bits, self.words, self.far, self.near, self.zeros = max(1, (self.sigma - 1).bit_length()), [], [], [], []
         level = bwt
         for b in range(self.bits - 1, -1, -1):
             bit = ((level >> b) & 1).astype(np.uint8)
             padded = np.zeros(-(-(self.n + 1) // 64) * 64, np.uint8)
             padded[: self.n] = bit
             words = np.packbits(padded, bitorder="little").view("<u8")
+            before = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))
+            far = before[::1024].copy()
             self.words.append(words)
-            self.ranks.append(np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64))))
+            self.far.append(far)
+            self.near.append((before - far[np.arange(len(before)) >> 10]).astype(np.uint16))
             self.zeros.append(int(self.n - bit.sum()))
             level = np.concatenate((level[bit == 0], level[bit == 1]))
 
@@ -187,7 +200,7 @@ class FMIndex:
     def _rank1(self, level: int, at: np.ndarray) -> np.ndarray:
         word = at >> 6
         inside = self.words[level][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-        return self.ranks[level][word] + np.bitwise_count(inside)
+        return self.far[level][word >> 10] + self.near[level][word] + np.bitwise_count(inside)
 
     def step(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search for many intervals at once."""
@@ -211,51 +224,57 @@ class FMIndex:
             self._starts = low
         return self._starts[symbol]
 
-    def matching(self, text: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
-        """Matching statistics: for each right end (exclusive), how many symbols up to it, `most` at most, occur at least twice."""
-        out = np.zeros(len(ends), np.int64)
-        live = np.arange(len(ends))
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
-        for length in range(1, most + 1):
+    def matching(self, text: np.ndarray, ends: np.ndarray, most: np.ndarray | int) -> np.ndarray:
+        """Matching statistics: for each right end (exclusive), how many symbols up to it, its `most` at most, occur at least twice."""
+        out, most = np.zeros(len(ends), np.int64), np.broadcast_to(most, len(ends))
+        live = np.flatnonzero(most > 0)
+        low, high = np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
+        length = 0
+        while len(live):
+            length += 1
             symbol = text[ends[live] - length]
             low, high = self.step(low, high, symbol)
             on = (high - low >= 2) & (symbol > 0)
+            out[live[on]] = length
+            on &= most[live] > length
             live, low, high = live[on], low[on], high[on]
-            if not len(live):
-                break
-            out[live] = length
         return out
 
 
+def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, lens: np.ndarray, window: int) -> list[np.ndarray]:
+    """For each content (start and length in text): which of its windows occur again. A search goes on where the last interval ends."""
+    masks = [np.zeros(n - window + 1, bool) for n in lens]
+    at, ends = np.arange(len(starts)), starts + lens
+    while len(at):
+        found = index.matching(text, ends, ends - starts[at])
+        for i, end, length in zip(at[found >= window], ends[found >= window], found[found >= window], strict=True):
+            masks[i][end - length - starts[i] : end - window - starts[i] + 1] = True
+        ends = np.where(found >= window, ends - found - 1 + window, ends - 1)
+        on = ends - window >= starts[at]
+        at, ends = at[on], ends[on]
+    return masks
+
+
 def _search(window: int):
-    """All different runs of one shard -> for each, which of its windows occur again in the shard (a bit mask as bytes)."""
+    """All contents of one shard -> which windows of each occur again (a bit mask as bytes)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("content")
         texts = [np.frombuffer(t, np.uint64) for t in pdf["words"]]
         lens = np.array([len(t) for t in texts])
         _, symbols = np.unique(np.concatenate(texts), return_inverse=True)
-        ends = np.cumsum(lens + 1)
-        text = np.zeros(ends[-1], np.int64)
-        text[np.arange(lens.sum()) + np.repeat(np.arange(len(lens)), lens)] = symbols + 1
-        index = FMIndex(text, window)
-        n_windows = lens - window + 1
-        wanted = pdf["wanted"].to_numpy(bool)  # the others are repeated throughout, and only stand in the index
-        ends, lens, n_windows = ends[wanted], lens[wanted], n_windows[wanted]
-        if not wanted.any():
-            return pd.DataFrame({"content": pdf["content"][wanted], "mask": []})
-        firsts = np.repeat(ends - 1 - lens + window - np.concatenate(([0], np.cumsum(n_windows)[:-1])), n_windows) + np.arange(n_windows.sum())
-        repeated = np.empty(len(firsts), bool)
-        for at in range(0, len(firsts), 1 << 18):
-            repeated[at : at + (1 << 18)] = index.matching(text, firsts[at : at + (1 << 18)], window) >= window
-        masks = [np.packbits(m).tobytes() for m in np.split(repeated, np.cumsum(n_windows)[:-1])]
-        return pd.DataFrame({"content": pdf["content"].to_numpy()[wanted], "mask": masks})
+        symbols = np.split(symbols + 1, np.cumsum(lens)[:-1])
+        end = np.zeros(1, np.int64)
+        twice = [x for x, several in zip(symbols, pdf["several"], strict=True) if several]
+        text = np.concatenate([part for x in [*symbols, *twice] for part in (x, end)])
+        index = FMIndex(text, int(lens.max()))
+        masks = repeated_windows(index, text, np.concatenate(([0], np.cumsum(lens + 1)[:-1])), lens, window)
+        return pdf[KEY].assign(mask=[np.packbits(m).tobytes() for m in masks])
 
     return run
 
 
 def _cut(window: int):
-    """The word hashes of asked runs, read from the text once more. Where the minimizer is crowded: only the hash of each window."""
+    """The word hashes of asked runs, read from the text once more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -264,18 +283,69 @@ def _cut(window: int):
             for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = np.array([hashes[w] for w in words_of(text)], np.uint64)
                 for r in runs:
-                    part = h[r["start"] : r["start"] + r["count"] - 1 + window]
-                    if r["crowded"]:
-                        rows.append((r["minimizer"], r["content"], r["wanted"], None, rolling(part, window).view(np.int64)))
-                    else:
-                        rows.append((r["minimizer"], r["content"], r["wanted"], part.tobytes(), None))
+                    rows.append((*(r[c] for c in KEY), r["several"], h[r["start"] : r["start"] + r["count"] - 1 + window].tobytes()))
             cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["minimizer", "content", "wanted", "words", "windows"])
+            kinds = [pa.int64()] * 3 + [pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*KEY, "several", "words"])
 
     return run
 
 
+PIECE = "minimizer long, content long, check long, several boolean, words binary"
+
+
+def _recut(window: int, gram: int):
+    """Contents of a crowded minimizer -> their parts by minimizers of longer sequences, each with its place in the content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [np.frombuffer(t, np.uint64) for t in batch.column(4).to_pylist()]
+            if not texts:
+                continue
+            flat, lens = np.concatenate(texts), np.array([len(t) for t in texts])
+            docs, starts, counts, values, contents, checks, _ = runs_of(flat, lens, window, gram)
+            firsts = np.cumsum(lens) - lens
+            parts_of = [flat[firsts[d] + s : firsts[d] + s + n - 1 + window].tobytes() for d, s, n in zip(docs, starts, counts, strict=True)]
+            roots = [batch.column(c).take(pa.array(docs)) for c in range(4)]
+            cols = [*roots, pa.array(starts), pa.array(counts), pa.array(values.view(np.int64)), pa.array(contents.view(np.int64)), pa.array(checks.view(np.int64)), pa.array(parts_of, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["r_minimizer", "r_content", "r_check", "r_several", "start", "count", *KEY, "words"])
+
+    return run
+
+
+RECUT = "r_minimizer long, r_content long, r_check long, r_several boolean, start long, count long, minimizer long, content long, check long, words binary"
+
+
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The masks of a content's parts, put together."""
+    pdf = pdf.sort_values("start")
+    bits = [np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(pdf["mask"], pdf["count"], strict=True)]
+    root = pdf[["r_minimizer", "r_content", "r_check"]].iloc[:1].set_axis(KEY, axis=1)
+    return root.assign(mask=[np.packbits(np.concatenate(bits)).tobytes()])
+
+
+def find_repeats(pieces: DataFrame, window: int, grams: list[int], crowded: int, shard_runs: int) -> DataFrame:
+    """KEY and mask of every content. Crowded minimizers are cut by the next longer sequences first; grams ends with the window itself."""
+    spark = pieces.sparkSession
+    if grams:
+        kinds = pieces.groupBy("minimizer").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > crowded).select("minimizer")
+        kinds = materialize(kinds, "sub-crowded")
+        few = kinds.count()
+        if few:
+            many = broadcast_if_small(kinds, few, 16)
+            parts_of = materialize(pieces.join(many, "minimizer", "left_semi").select(*KEY, "several", "words").mapInArrow(_recut(window, grams[0]), RECUT), "sub-recut")
+            again = parts_of.groupBy(*KEY).agg(F.first("words").alias("words"), ((F.count(F.lit(1)) > 1) | F.max("r_several")).alias("several"), F.count(F.lit(1)).alias("size"))
+            again = materialize(again, "sub-parts")
+            found = find_repeats(again.select(*KEY, "several", "words"), window, grams[1:], crowded, shard_runs)
+            masks = materialize(found.join(again.select(*KEY, "size"), KEY), "sub-part-masks")
+            whole = join_sized(parts_of.drop("words"), masks, KEY, "size", parts_of.count())
+            composed = whole.select("r_minimizer", "r_content", "r_check", "start", "count", "mask").groupBy("r_minimizer", "r_content", "r_check").applyInPandas(_compose, "minimizer long, content long, check long, mask binary")
+            return composed.union(find_repeats(pieces.join(many, "minimizer", "left_anti").select(*KEY, "several", "words"), window, [], crowded, shard_runs))
+    shards = parts(spark, pieces.count(), shard_runs)
+    shard = F.pmod(F.xxhash64("minimizer"), F.lit(shards)).alias("shard")
+    return pieces.select(shard, *KEY, "several", "words").groupBy("shard").applyInPandas(_search(window), "minimizer long, content long, check long, mask binary")
+
+
 def _keep(window: int):
     """Remove the words that repeated windows cover."""
 
@@ -286,7 +356,7 @@ def _keep(window: int):
                 words = words_of(text)
                 edge = np.zeros(len(words) + 1, np.int64)
                 for r in found:
-                    at = np.arange(r["count"]) if r["mask"] is None else np.flatnonzero(np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=r["count"]))
+                    at = np.flatnonzero(np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=r["count"]))
                     np.add.at(edge, r["start"] + at, 1)
                     np.add.at(edge, r["start"] + at + window, -1)
                 covered = np.cumsum(edge[:-1]) > 0
@@ -298,10 +368,6 @@ def _keep(window: int):
     return run
 
 
-def _bits(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"content": pdf["content"], "mask": [np.packbits(np.array(m, bool)).tobytes() for m in pdf["repeated"]]})
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 14, crowded: int = 2048, shard_runs: int = 4096) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, spans (removed words: start, end, start, end ...)."""
     spark = docs.sparkSession
@@ -312,42 +378,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Ids may repeat or be null; then rows of one id and text share a key, and with it their fate.
     texts = rows.withColumn("key", F.col("doc_id") if unique else F.xxhash64("doc_id", "text"))
     light = materialize(texts.select("key", "doc_id", "text").mapInArrow(_count, "key long, doc_id long, n_words long, digest string"), "sub-light")
-    runs = texts.select("key", "text").mapInArrow(_runs(window, gram), "key long, start int, count int, minimizer long, content long, own boolean")
+    runs = texts.select("key", "text").mapInArrow(_runs(window, gram), "key long, start int, count int, minimizer long, content long, check long, own boolean")
     runs = materialize(runs, "sub-runs")
 
-    # Contents that occur again; minimizers with several contents.
-    contents = runs.groupBy("minimizer", "content").agg(F.count(F.lit(1)).alias("times"), F.max("own").alias("own"))
-    kinds = contents.groupBy("minimizer").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("runs"), F.max("own").alias("own")).filter("runs > 1 OR own").select("minimizer", "kinds")
-    suspects = materialize(contents.join(kinds, "minimizer").filter("times > 1 OR kinds > 1 OR own"), "sub-suspects")
-    marked = runs.select("key", "start", "count", "minimizer", "content").join(suspects, ["minimizer", "content"])
-    marked = materialize(marked, "sub-marked")
-
-    # One copy of each content of a disputed minimizer, from the smallest key that has it.
-    disputed = marked.filter("kinds > 1 OR (own AND times = 1)")
-    place = F.struct("key", "start", "count").alias("place")
-    asked = disputed.groupBy("minimizer", "content").agg(F.min(place).alias("at"), F.first("kinds").alias("kinds"), (F.first("times") == 1).alias("wanted"))
-    asked = asked.select(F.col("at.key").alias("key"), F.struct(F.col("at.start").alias("start"), F.col("at.count").alias("count"), "minimizer", "content", "wanted", (F.col("kinds") > crowded).alias("crowded")).alias("r"))
-    by_doc = materialize(asked.groupBy("key").agg(F.collect_list("r").alias("runs")), "sub-asked")
+    # Contents of minimizers that occur more than once; of each the place with the smallest key that has it.
+    place = F.min(F.struct("key", "start", "count")).alias("at")
+    contents = runs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("times"), F.max("own").alias("own"), place)
+    often = contents.groupBy("minimizer").agg(F.sum("times").alias("runs"), F.max("own").alias("some_own")).filter("runs > 1 OR some_own").select("minimizer")
+    suspects = materialize(contents.join(often, "minimizer").select(*KEY, "times", "at"), "sub-suspects")
+    run = F.struct(F.col("at.start").alias("start"), F.col("at.count").alias("count"), *KEY, (F.col("times") > 1).alias("several"))
+    by_doc = materialize(suspects.select(F.col("at.key").alias("key"), run.alias("r")).groupBy("key").agg(F.collect_list("r").alias("runs")), "sub-asked")
     some = broadcast_if_small(by_doc.select("key"), by_doc.count(), 24)
     sources = texts.select("key", "text").join(some, "key", "left_semi")
     if not unique:
         sources = sources.dropDuplicates(["key"])
-    pieces = sources.join(by_doc, "key").select("text", "runs").mapInArrow(_cut(window), "minimizer long, content long, wanted boolean, words binary, windows array<long>")
-    pieces = materialize(pieces, "sub-pieces")
-
-    shards = parts(spark, pieces.filter("words IS NOT NULL").count(), shard_runs)
-    shard = F.pmod(F.xxhash64("minimizer"), F.lit(shards)).alias("shard")
-    masks = pieces.filter("words IS NOT NULL").select(shard, "content", "wanted", "words").groupBy("shard").applyInPandas(_search(window), "content long, mask binary")
-    # Crowded minimizers: their windows one by one.
-    single = pieces.filter("windows IS NOT NULL").select("content", F.posexplode("windows").alias("at", "window_hash"))
-    often = single.groupBy("window_hash").agg((F.count(F.lit(1)) > 1).alias("often"))
-    listed = single.join(often, "window_hash").groupBy("content").agg(F.sort_array(F.collect_list(F.struct("at", "often"))).alias("w")).select("content", F.transform("w", lambda x: x["often"]).alias("repeated"))
-    crowd = listed.mapInPandas(lambda it: (_bits(p) for p in it), "content long, mask binary")
-    masks = materialize(masks.union(crowd), "sub-masks")
-
-    whole = marked.filter("times > 1").select("key", F.struct("start", "count", F.lit(None).cast("binary").alias("mask")).alias("f"))
-    partly = marked.filter("times = 1").join(masks, "content").select("key", F.struct("start", "count", "mask").alias("f"))
-    found = materialize(whole.union(partly).groupBy("key").agg(F.collect_list("f").alias("found")), "sub-found")
+    pieces = materialize(sources.join(by_doc, "key").select("text", "runs").mapInArrow(_cut(window), PIECE), "sub-pieces")
+
+    middle = (gram + window) // 2
+    masks = find_repeats(pieces, window, [*([middle] if gram < middle < window else []), window], crowded, shard_runs)
+    masks = masks.filter(F.length(F.replace(F.hex("mask"), F.lit("0"))) > 0)
+    masks = materialize(masks.join(suspects.select(*KEY, "times"), KEY), "sub-masks")
+    found = join_sized(runs.select("key", "start", "count", *KEY), masks, KEY, "times", runs.count())
+    found = found.select("key", F.struct("start", "count", "mask").alias("f")).groupBy("key").agg(F.collect_list("f").alias("found"))
+    found = materialize(found, "sub-found")
     some = broadcast_if_small(found.select("key"), found.count(), 24)
     sources = texts.select("key", "text").join(some, "key", "left_semi")
     if not unique:

@@ -318,7 +318,6 @@ def test_licenses(spark, docs):
 
 
 def test_license_rules():
-    assert len(rules()) > 200
     scanner = Scanner(BASE_PHRASES, rules())
     labels = lambda t: [d[2] for d in scanner.scan(t)[5]]
     assert labels("Licensed under the Apache License, Version 2.0.") == ["apache"]

@@ -201,7 +201,8 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Of a language's hashes only those below a bound that leaves about twice per_lang of them are ranked, so no task sees a whole language.
     light = known.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("at"))
     share = light.groupBy("lang").agg((2.0 * per_lang / F.count(F.lit(1)) + 0.0).alias("share"), F.count(F.lit(1)).alias("rows"))
-    low = light.join(share, "lang").filter((F.col("rows") <= 8 * per_lang) | (F.col("at") < F.col("share") * F.lit(1 << 40)))
+    share = materialize(share, "language-shares")
+    low = light.join(broadcast_if_small(share, share.count(), 64), "lang").filter((F.col("rows") <= 8 * per_lang) | (F.col("at") < F.col("share") * F.lit(1 << 40)))
     order = Window.partitionBy("lang").orderBy("at", "doc_id")
     picks = low.select("lang", "doc_id", F.row_number().over(order).alias("n")).filter(F.col("n") <= per_lang)
     chosen = materialize(picks.select(F.col("lang").alias("s_lang"), F.col("doc_id").alias("s_id")), "language-picks")

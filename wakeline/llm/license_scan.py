@@ -6,7 +6,8 @@ are resolved by order: from the highest priority, then the longest, then the fir
 within that of one already taken. The base phrases are reported in any case, every occurrence of them.
 
 Defined results: null texts count as empty; without any label base_labels and labels are empty strings and the score is 0; first_word and last_word
-are null without a base phrase; repeated rows are scanned once a row; an empty table gives no rows; further columns are
+are null without a base phrase; repeated rows are scanned once a row; very long texts are scanned whole; of detections that tie in priority and
+length the rule that stands first is taken; an empty table gives no rows; further columns are
 ignored, whatever their names.
 """
 

@@ -370,6 +370,35 @@ def test_fm_index_counts():
     assert index.matching(text, ends, 12).tolist() == want
 
 
+@pytest.mark.parametrize(("seed", "rule"), [(0, "norm"), (1, "dot"), (2, "norm")])
+def test_every_piece_goes_where_a_naive_search_would_put_it(seed, rule):
+    rng = np.random.default_rng(seed)
+    lengths = np.sort(np.where(rng.random(400) < 0.5, rng.integers(1, 8, 400), rng.integers(1, 101, 400)))[::-1]
+    capacity, weights = (100.0, 6.0, 4000.0 if rule == "norm" else 10_000.0), (1.0, 0.5, 0.3)
+    lengths = lengths[lengths**2 <= capacity[2]]
+    bins, offsets = best_fit(lengths, capacity, weights, rule)
+    left = {}
+    bound = [0, 0, 0]
+    for length, b, offset in zip(lengths.tolist(), bins.tolist(), offsets.tolist(), strict=True):
+        need = (length, 1, length * length)
+        scores = {}
+        for i, rest in left.items():
+            short = [rest[d] < need[d] for d in range(3)]
+            if not any(short):
+                scores[i] = sum(weights[d] * (((rest[d] - need[d]) / capacity[d]) ** 2 if rule == "norm" else -need[d] * rest[d] / capacity[d] ** 2) for d in range(3))
+            elif sum(short) == 1:
+                bound[short.index(True)] += 1
+        if scores:
+            assert scores[b] <= min(scores.values()) + 1e-12
+        else:
+            assert b not in left
+        rest = left.setdefault(b, list(capacity))
+        assert offset == capacity[0] - rest[0]
+        for d in range(3):
+            rest[d] -= need[d]
+    assert bound[0] and bound[1] and (bound[2] or rule == "dot")  # every capacity has forbidden something that the others allowed
+
+
 def test_substrings_odd(odd_docs, no_docs):
     rows = [(r["doc_id"], words(r["text"])) for r in odd_docs.collect()]
     got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in sd.remove_repeats(odd_docs).collect()]

@@ -1,6 +1,6 @@
 """N-gram Jaccard join in metric space (operator 2).
 
-Jaccard distance d = 1 - |x & y| / |x | y| is a metric; two documents link when d <= e (e = 0.25 by default). Exact at every step:
+Jaccard distance d = 1 - |x & y| / |x | y| is a metric; two documents link when d <= e (e = 0.25 by default). No pair is lost at any step:
 
 1. Documents with equal shingle sets are one class; its smallest id stands for it. Copies cost nothing further on.
 2. Sieve. Of every set take the part H that lies below a fixed hash bound. A link leaves at most a quarter of x outside y, so at least
@@ -20,8 +20,12 @@ Distances between documents without common text are all 1, so pivots drawn at ra
 shingles is what makes the regions small.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; fewer words than a shingle make one shingle
-of all of them; repeated rows of an id are copies; an empty table gives no rows; further columns are ignored, whatever their names;
-rows without an id are left out of links and are their own component (null).
+of all of them; repeated rows of an id are copies; very long texts are shingled whole; an empty table gives no rows; further columns are ignored,
+whatever their names; rows without an id are left out of links and are their own component (null). Of ids that tie for a class or a component
+the smallest stands for it.
+
+Shingles are compared as hashes: 64 bits of each, 48 inside regions, where a pair of sets of 500 shingles has a chance of one in a billion
+of counting one shingle too many; classes as 128 bits of all of a set's hashes. Nothing else is approximate.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, parts, text_batches
+from .common import broadcast_if_small, join_sized, materialize, parts, text_batches
 from .components import connected_components
 
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -308,7 +312,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     light = materialize(text.mapInArrow(_light(width, bound), "doc_id long, n long, n_below long, digest binary"), "jaccard-light")
     usable = light.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("n_below").alias("n_below")), "jaccard-classes")
+    classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("n_below").alias("n_below"), F.count(F.lit(1)).alias("rows")), "jaccard-classes")
     n_classes, postings = classes.agg(F.count(F.lit(1)), F.sum("n_below")).first()
     postings = postings or 0
 
@@ -341,14 +345,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = materialize(leading.join(cells, "shingle").select("pivot", "doc_id").distinct(), "jaccard-members")
 
     # Regions: small ones in one task each, large ones around their pivot first.
-    sizes = members.groupBy("pivot").count()
-    tagged = members.join(sizes, "pivot")
+    sizes = materialize(members.groupBy("pivot").count(), "jaccard-sizes")
+    n_members = members.count()
+    tagged = join_sized(members, sizes, ["pivot"], "count", n_members)
     small = tagged.filter((F.col("count") > 1) & (F.col("count") <= region_rows)).join(sets, "doc_id").select("pivot", "doc_id", "shingles")
     links = materialize(small.groupBy("pivot").applyInPandas(_join_region(percent), "a long, b long"), "jaccard-links")
     large = tagged.filter(F.col("count") > region_rows).select("pivot", "doc_id")
     if not large.isEmpty():
-        pivots = sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
-        rows = large.join(sets, "doc_id").select("pivot", "doc_id", "shingles").join(pivots, "pivot")
+        wide = sizes.filter(F.col("count") > region_rows)
+        pivots = materialize(sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("pivot_shingles")).join(wide, "pivot"), "jaccard-pivots")
+        rows = join_sized(large.join(sets, "doc_id").select("pivot", "doc_id", "shingles"), pivots, ["pivot"], "count", n_members)
         measured = materialize(rows.mapInPandas(_to_pivot(percent), "pivot long, doc_id long, d double, core boolean"), "jaccard-measured")
         nearest = measured.filter("NOT core").groupBy("pivot").agg(F.min("d").alias("nearest"), F.count(F.lit(1)).alias("rest"))
         rim = measured.join(nearest, "pivot").filter(~F.col("core") | (F.col("d") >= F.col("nearest") - (1 - percent / 100) - 1e-9))
@@ -362,10 +368,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = materialize(links.union(measured.filter("core").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))).union(rest), "jaccard-links")
 
     found = materialize(connected_components(links), "jaccard-components")
-    of_class = classes.join(found, F.col("class_id") == F.col("node"), "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component"))
-    out = light.join(of_class, "digest", "left")
-    is_in = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(is_in, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(is_in, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    of_class = classes.join(found, F.col("class_id") == F.col("node"), "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component"), "rows")
+    # Rows in some class get its component; a class of very many copies is dealt to many tasks. All others stand alone.
+    in_class = F.col("n") > 0, F.col("doc_id").isNotNull()
+    named = join_sized(light.filter(in_class[0] & in_class[1]).select("digest", "doc_id", "n"), materialize(of_class, "jaccard-named"), ["digest"], "rows", light.count())
+    named = named.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "class_id")
+    alone = light.filter(~(in_class[0] & in_class[1])).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    return named.union(alone)
 
 
 def _repeats(rows: DataFrame) -> bool:

@@ -14,7 +14,8 @@ Tokens: the tokenizer encodes each of its pre-tokens on its own, so a text's ids
 distinct one encoded once a worker and kept in a bounded cache.
 
 Defined results: a null or empty text is just its end id; repeated rows are packed once a row; an empty table gives no rows; further columns
-are ignored, whatever their names; ties go to the smaller id, then piece, then the older sequence.
+are ignored, whatever their names; pieces of equal length come by id, then piece; of equally good sequences any one is taken, the same in every
+run; a very long text becomes as many full pieces as it fills and one shorter.
 """
 
 from __future__ import annotations
@@ -196,13 +197,13 @@ def _pack(capacity: tuple[float, float, float], weights: tuple[float, float, flo
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, max_tokens: int = 2048, max_docs: int | None = None, max_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3), rule: str = "norm", end_id: int = 0, rows_per_group: int = 8192, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, max_tokens: int = 2048, max_docs: int = 64, max_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.1, 0.1), rule: str = "norm", end_id: int = 0, rows_per_group: int = 8192, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
-    max_docs and max_cost default to values that a full sequence can't exceed, so that only tokens bind. max_cost must hold the
-    square of one piece of max_tokens.
+    No sequence has more than max_tokens tokens, max_docs pieces, or max_cost attention. max_cost must hold one piece of full length and is just
+    that by default; no set of pieces that fits the tokens costs more, so there it bears on the choice of a sequence but never forbids one.
     """
-    capacity = (float(max_tokens), float(max_docs or max_tokens), float(max_cost or max_tokens**2))
+    capacity = (float(max_tokens), float(max_docs), float(max_cost or max_tokens**2))
     if capacity[2] < max_tokens**2:
         raise ValueError("max_cost must allow one piece of full length")
     text_batches(docs.sparkSession)

@@ -1,8 +1,8 @@
 """Formation over a stream: the state of a run lives in Spark's state store between micro-batches.
 
 The clock is the run's own (largest ingest time seen), so Spark's watermark is not used and drops nothing. A batch hands a run its new
-events in order of arrival; the result equals the batch form if batches arrive in that order. State of a run is bounded by what formation itself
-keeps: events within the retention time.
+events in order of arrival; the result equals the batch form if batches arrive in that order. The state of a run holds no more than the
+retention time: see Former.forget. Late records and rejected events come out beside the revisions, told apart by `kind`.
 """
 
 from __future__ import annotations
@@ -12,9 +12,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from wakeline.operators.formation import BUILDERS, REVISION, SECOND, Former
+from wakeline.operators.formation import BUILDERS, REVISION, Former
+
+#: A row is a revision, a late record or a rejected event; the columns of the other kinds are null.
+OUTPUT = REVISION + ", kind string, event_id string, latest_revision int, arrival_us long, reason string"
+COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+WHOLE = ["revision", "predecessor_revision", "latest_revision", "first_finalized_us", "revision_deadline_us", "event_us_start", "event_us_end", "watermark_us", "arrival_us"]
 
 
 class FormationProcessor(StatefulProcessor):
@@ -25,39 +31,29 @@ class FormationProcessor(StatefulProcessor):
         self.state = handle.getValueState("former", "data binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        former, seq = pickle.loads(self.state.get()[0]) if self.state.exists() else (Former(BUILDERS[self.builder]), 0)
+        former, seqs = pickle.loads(self.state.get()[0]) if self.state.exists() else (Former(BUILDERS[self.builder]), [0, 0, 0])
         pdf = pd.concat(list(rows)).sort_values(["ingest_us", "event_us", "source_instance", "event_id"], kind="stable")
         for row in pdf.drop(columns="run_id").to_dict("records"):
             former.take(row)
-        out = [{"run_id": key[0], "builder": self.builder, "seq": seq + i, **r} for i, r in enumerate(former.revisions)]
-        seq += len(out)
-        former.revisions, former.late, former.rejected = [], [], []
-        forget(former)
-        self.state.update((pickle.dumps((former, seq)),))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in REVISION.split(", ")])
-        for c in ("predecessor_revision", "first_finalized_us", "revision_deadline_us"):
-            frame[c] = frame[c].astype("Int64")
-        yield frame
+        out = []
+        for at, (kind, found) in enumerate((("revision", former.revisions), ("late", former.late), ("rejected", former.rejected))):
+            out += [{**dict.fromkeys(COLUMNS), "run_id": key[0], "builder": self.builder, "seq": seqs[at] + i, "kind": kind, **r} for i, r in enumerate(found)]
+            seqs[at] += len(found)
+            found.clear()
+        former.forget()
+        self.state.update((pickle.dumps((former, seqs)),))
+        yield pd.DataFrame(out, columns=COLUMNS).astype({c: "Int64" for c in WHOLE})
 
     def close(self) -> None:
         pass
 
 
-def forget(former: Former) -> None:
-    """Drop expired lineages, and events that no lineage holds and no window reaches."""
-    live = {i for ids in former.order.values() for i in ids}
-    for key in [k for k in former.lineages if k not in live]:
-        del former.lineages[key]
-    p = former.p
-    low = former.latest - (p.retention_s + p.horizon_s + max(p.hub_window_s, p.span_s)) * SECOND
-    old = [k for k, e in former.events.items() if e["ingest_us"] < low and former.lineage_of.get(k) not in live]
-    for k in old:
-        event = former.events.pop(k)
-        former.lineage_of.pop(k, None)
-        for name in former._keys(event):
-            former.by_key.get(name, set()).discard(k)
+def form_stream_all(events: DataFrame, builder: str = "full") -> DataFrame:
+    """Streaming revisions, late records and rejected events (append), by kind. events: a stream with the columns of formation_input. Needs the
+    RocksDB state store."""
+    return events.groupBy("run_id").transformWithStateInPandas(FormationProcessor(builder), OUTPUT, "append", "none")
 
 
 def form_stream(events: DataFrame, builder: str = "full") -> DataFrame:
-    """Streaming revisions (append). events: a stream with the columns of formation_input. Needs the RocksDB state store."""
-    return events.groupBy("run_id").transformWithStateInPandas(FormationProcessor(builder), REVISION, "append", "none")
+    """The revisions alone."""
+    return form_stream_all(events, builder).filter(F.col("kind") == "revision").select([c.split()[0] for c in REVISION.split(", ")])

@@ -6,10 +6,10 @@ Remove every word that lies in a window of `window` words whose sequence also st
    minimizer form a run; equal windows lie in runs of equal minimizers, wherever they occur.
 2. Runs are counted by minimizer and content. A run whose minimizer is found nowhere else, and only once in itself, has no repeated
    window and is let go. Of all others every different content goes once to a shard of its minimizer, with a mark if it occurs several times.
-3. A shard indexes its contents (twice where they are marked) with an FM-index: suffix array, Burrows-Wheeler transform, and a wavelet
+3. A shard indexes its contents (those that are marked count twice) with an FM-index: suffix array, Burrows-Wheeler transform, and a wavelet
    matrix of bit vectors with two levels of counts, a quarter of a bit more a bit. All its contents are streamed through backward search: from a
    right end, the search goes left as long as what it has matched occurs at least twice. The matching statistic so found, where it
-   reaches the window length, is a repeated interval; the search goes on at the right end of the first window that the interval does not hold.
+   reaches the window length, is a repeated interval; where a search fails, the windows that hold what it has read are unique.
 4. Intervals go back to all runs of their content, are joined, and cover words.
 
 A minimizer with very many different contents (`crowded`) is cut once more, by minimizers of longer sequences, and these at last by
@@ -157,11 +157,12 @@ def _runs(window: int, gram: int, words_at_once: int = 500_000):
 
 
 class FMIndex:
-    """FM-index of a text of small numbers over 1..sigma-1; 0 ends every document."""
+    """FM-index of a text of small numbers over 1..sigma-1; 0 ends every document. weight: how often the document of each place occurs."""
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, depth: int, weight: np.ndarray | None = None):
         self.n, self.sigma = len(text), int(text.max()) + 1
         suffix = self._suffixes(text, depth)
+        self.upto = np.concatenate(([0], np.cumsum(np.ones(self.n, np.int32) if weight is None else weight[suffix], dtype=np.int32)))
         bwt = text[suffix - 1]  # the symbol before each suffix; before the first, the last end mark
         self.below = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=self.sigma))))
         # Wavelet matrix: from the highest bit down, zeros before ones. Ones are counted before every 65,536th place, and from there before
@@ -189,7 +190,7 @@ class FMIndex:
             second = np.zeros(n, np.int64)
             second[: n - k] = rank[k:] + 1
             key = rank * (int(rank.max()) + 2) + second
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.cumsum(np.concatenate(([0], np.diff(key[order]) != 0)))
             rank = np.empty(n, np.int64)
             rank[order] = new
@@ -203,26 +204,25 @@ class FMIndex:
         return self.far[level][word >> 10] + self.near[level][word] + np.bitwise_count(inside)
 
     def step(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One step of backward search for many intervals at once."""
+        """One step of backward search for many intervals at once; both their ends go through the levels together."""
+        both, symbols = np.concatenate((low, high)), np.concatenate((symbol, symbol))
         for level in range(self.bits):
-            ones_low, ones_high = self._rank1(level, low), self._rank1(level, high)
-            one = (symbol >> (self.bits - 1 - level)) & 1 == 1
-            low = np.where(one, self.zeros[level] + ones_low, low - ones_low)
-            high = np.where(one, self.zeros[level] + ones_high, high - ones_high)
-        # low and high are now places among equal symbols of the matrix's last level; count from the symbol's first.
-        base = self._first(symbol)
-        return self.below[symbol] + low - base, self.below[symbol] + high - base
-
-    def _first(self, symbol: np.ndarray) -> np.ndarray:
+            ones = self._rank1(level, both)
+            both = np.where(symbols & (1 << (self.bits - 1 - level)), self.zeros[level] + ones, both - ones)
+        # Both are now places among equal symbols of the matrix's last level; count from the symbol's first.
+        both += (self.below[: self.sigma] - self._first())[symbols]
+        return both[: len(low)], both[len(low) :]
+
+    def _first(self) -> np.ndarray:
+        """Where each symbol starts in the matrix's last level."""
         if not hasattr(self, "_starts"):
             every = np.arange(self.sigma)
             low = np.zeros(self.sigma, np.int64)
             for level in range(self.bits):
                 ones = self._rank1(level, low)
-                one = (every >> (self.bits - 1 - level)) & 1 == 1
-                low = np.where(one, self.zeros[level] + ones, low - ones)
+                low = np.where(every & (1 << (self.bits - 1 - level)), self.zeros[level] + ones, low - ones)
             self._starts = low
-        return self._starts[symbol]
+        return self._starts
 
     def matching(self, text: np.ndarray, ends: np.ndarray, most: np.ndarray | int) -> np.ndarray:
         """Matching statistics: for each right end (exclusive), how many symbols up to it, its `most` at most, occur at least twice."""
@@ -234,25 +234,48 @@ class FMIndex:
             length += 1
             symbol = text[ends[live] - length]
             low, high = self.step(low, high, symbol)
-            on = (high - low >= 2) & (symbol > 0)
+            on = (self.upto[high] - self.upto[low] >= 2) & (symbol > 0)
             out[live[on]] = length
             on &= most[live] > length
             live, low, high = live[on], low[on], high[on]
         return out
 
 
-def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, lens: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each content (start and length in text): which of its windows occur again. A search goes on where the last interval ends."""
-    masks = [np.zeros(n - window + 1, bool) for n in lens]
-    at, ends = np.arange(len(starts)), starts + lens
+def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, lens: np.ndarray, window: int, most: int = 64) -> list[np.ndarray]:
+    """For each content (start and length in text): which of its windows occur again.
+
+    What is not known yet is a stretch of windows from `low` to `high`. A search from its right end settles at once all windows at the end of a
+    repeated interval; a search from the end of its first window, where it fails at some word, settles all windows from there up to that word,
+    as they hold what was found to be unique. The stretch shrinks from both sides until nothing is left.
+    """
+    counts = lens - window + 1
+    pieces = -(-counts // most)  # long contents are searched in several stretches at once
+    owner = np.repeat(np.arange(len(lens)), pieces)
+    first = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * most
+    origin, known = np.cumsum(counts) - counts, np.zeros(int(counts.sum()), bool)
+    base, offset = starts[owner], origin[owner]
+    at, low, high = np.arange(len(owner)), first, np.minimum(first + most, counts[owner]) - 1
     while len(at):
-        found = index.matching(text, ends, ends - starts[at])
-        for i, end, length in zip(at[found >= window], ends[found >= window], found[found >= window], strict=True):
-            masks[i][end - length - starts[i] : end - window - starts[i] + 1] = True
-        ends = np.where(found >= window, ends - found - 1 + window, ends - 1)
-        on = ends - window >= starts[at]
-        at, ends = at[on], ends[on]
-    return masks
+        end = high + window
+        found = index.matching(text, base[at] + end, end - low)
+        hit = found >= window
+        edge = np.zeros(len(known) + 1, np.int32)
+        np.add.at(edge, offset[at[hit]] + (end - found)[hit], 1)
+        np.add.at(edge, offset[at[hit]] + (end - window)[hit] + 1, -1)
+        known |= np.cumsum(edge[:-1]) > 0
+        high = np.where(hit, end - found - 1, high - 1)
+        on = low <= high
+        at, low, high = at[on], low[on], high[on]
+        if not len(at):
+            break
+        end = low + window
+        found = index.matching(text, base[at] + end, window)
+        hit = found >= window
+        known[offset[at[hit]] + low[hit]] = True
+        low = np.where(hit, low + 1, end - found)
+        on = low <= high
+        at, low, high = at[on], low[on], high[on]
+    return np.split(known, np.cumsum(counts)[:-1])
 
 
 def _search(window: int):
@@ -262,12 +285,11 @@ def _search(window: int):
         texts = [np.frombuffer(t, np.uint64) for t in pdf["words"]]
         lens = np.array([len(t) for t in texts])
         _, symbols = np.unique(np.concatenate(texts), return_inverse=True)
-        symbols = np.split(symbols + 1, np.cumsum(lens)[:-1])
-        end = np.zeros(1, np.int64)
-        twice = [x for x, several in zip(symbols, pdf["several"], strict=True) if several]
-        text = np.concatenate([part for x in [*symbols, *twice] for part in (x, end)])
-        index = FMIndex(text, int(lens.max()))
-        masks = repeated_windows(index, text, np.concatenate(([0], np.cumsum(lens + 1)[:-1])), lens, window)
+        text, ends = np.zeros(int(lens.sum()) + len(lens), np.int64), np.cumsum(lens + 1)
+        text[np.arange(len(symbols)) + np.repeat(np.arange(len(lens)), lens)] = symbols + 1
+        # A content that occurs several times counts twice wherever it is found.
+        index = FMIndex(text, min(int(lens.max()), 64 + window), np.repeat(np.where(pdf["several"], 2, 1), lens + 1))
+        masks = repeated_windows(index, text, ends - lens - 1, lens, window)
         return pdf[KEY].assign(mask=[np.packbits(m).tobytes() for m in masks])
 
     return run
@@ -368,7 +390,7 @@ def _keep(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 14, crowded: int = 2048, shard_runs: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 14, crowded: int = 4096, shard_runs: int = 16_384) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, spans (removed words: start, end, start, end ...)."""
     spark = docs.sparkSession
     text_batches(spark)
@@ -382,10 +404,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = materialize(runs, "sub-runs")
 
     # Contents of minimizers that occur more than once; of each the place with the smallest key that has it.
-    place = F.min(F.struct("key", "start", "count")).alias("at")
-    contents = runs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("times"), F.max("own").alias("own"), place)
+    contents = runs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("times"), F.max("own").alias("own"))
     often = contents.groupBy("minimizer").agg(F.sum("times").alias("runs"), F.max("own").alias("some_own")).filter("runs > 1 OR some_own").select("minimizer")
-    suspects = materialize(contents.join(often, "minimizer").select(*KEY, "times", "at"), "sub-suspects")
+    again = materialize(contents.join(often, "minimizer").select(*KEY, "times"), "sub-contents")
+    marked = join_sized(runs.select("key", "start", "count", *KEY), again, KEY, "times", runs.count())
+    suspects = materialize(marked.groupBy(*KEY).agg(F.first("times").alias("times"), F.min(F.struct("key", "start", "count")).alias("at")), "sub-suspects")
     run = F.struct(F.col("at.start").alias("start"), F.col("at.count").alias("count"), *KEY, (F.col("times") > 1).alias("several"))
     by_doc = materialize(suspects.select(F.col("at.key").alias("key"), run.alias("r")).groupBy("key").agg(F.collect_list("r").alias("runs")), "sub-asked")
     some = broadcast_if_small(by_doc.select("key"), by_doc.count(), 24)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wakeline.operators import evaluation, formation, replay
 from wakeline.plans.catalog import query, r9
-from wakeline.plans.ctes import sql
+from wakeline.plans.ctes import formed_sql, sql
 from wakeline.plans.frames import EPISODE, Frames
 from wakeline.sources import adapters
 
@@ -44,7 +44,13 @@ def with_hub_load(norm: DataFrame, peers: int = 26) -> DataFrame:
     return norm.select(injected.columns).unionByName(injected)
 
 
-@query()
+_SEEN = "event_id, event_us, ingest_us, source_family, source_instance, subject, object, action, dependency_group, command_family, protocol, endpoint_key"
+_HUB = f"""SELECT run_id || '|' || s AS run_id, {_SEEN} FROM base, (VALUES ('raw'), ('injected')) AS v(s) UNION ALL
+    SELECT run_id || '|injected', 'inj:' || run_id || ':' || n, t + n * 2000000, greatest(t + n * 2000000, i) + 1000000, 'EDR', 'edr-target-01', 'user:hub', 'obj:inj:' || n, 'process.start.discovery', 'g:inj:' || n, 'discovery', NULL, NULL
+    FROM (SELECT run_id, max(event_us) + 7200000000 AS t, max(ingest_us) AS i FROM base GROUP BY run_id), range(0, 27) AS r(n)"""
+
+
+@query(formed_sql("SELECT builder, split_part(run_id, '|', 2) AS stream, count(DISTINCT run_id || episode_id) AS n_episodes, count(*) AS n_revisions FROM formed GROUP BY ALL", norm=_HUB, builders=("full", "no_guards")))
 def hub_injection(f: Frames) -> DataFrame:
     """Episodes with and without the hub guard on streams with and without an injected hub."""
     names, out = adapters.aliases(f.table("events")), None
@@ -55,7 +61,13 @@ def hub_injection(f: Frames) -> DataFrame:
     return out
 
 
-@query()
+_LATE = f"""SELECT run_id || '|' || s AS run_id, {_SEEN} FROM base, (VALUES ('within'), ('beyond')) AS v(s) UNION ALL
+    SELECT run_id || '|' || s, 'late:' || event_id, event_us + 1000000, event_us + 1000000 + lag, {_SEEN.split("ingest_us, ")[1]} FROM (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY event_us, event_id) = 1), (VALUES ('within', 600000000), ('beyond', 7200000000)) AS v(s, lag)"""
+
+
+@query(formed_sql("""SELECT split_part(r.run_id, '|', 1) AS run_id, split_part(r.run_id, '|', 2) AS injection, coalesce(l, 0) AS late_records, coalesce(a, 0) AS accepted FROM (SELECT DISTINCT run_id FROM norm) r
+    LEFT JOIN (SELECT run_id, count(*) AS l FROM late_rows WHERE event_id LIKE 'late:%' GROUP BY run_id) USING (run_id)
+    LEFT JOIN (SELECT run_id, count(*) AS a FROM formed WHERE late_evidence_reason = 'accepted_within_horizon' AND len(list_filter(ids, lambda x: x LIKE 'late:%')) > 0 GROUP BY run_id) USING (run_id)""", norm=_LATE))
 def horizon_injection(f: Frames) -> DataFrame:
     """A late copy of each run's first event, inside and beyond the revision horizon: accepted revisions and late records."""
     names, out = adapters.aliases(f.table("events")), None

@@ -5,6 +5,10 @@ returns the pieces of the packed sequences. Between stages the rows are written
 
 Rows whose ids repeat: exact dedup keeps one row of each (id, text); where ids still repeat with different texts, the later stages treat all
 rows of an id alike. Rows without an id pass through near dedup unlinked and are mixed like all others.
+
+Null and empty texts: scored like any other, equal to each other in exact dedup, linked with nothing, of size 0 and so never taken by the mixture.
+Very long texts are read whole by every stage. Ties: the smaller id stays. An empty table gives an empty table at every stage. Further columns
+are kept up to the last stage, whatever their names: the stages' own columns start with two underscores.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 
@@ -9,11 +10,23 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from wakeline.plans import catalog_formed
 from tests.conftest import SF
 
 NAMES = sorted(n for n in entry.queries() if not n.startswith("op") and n != "pipeline")
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_frames():
+    """Queries over formed episodes share what they write, so that formation does not run again for each of them."""
+    plain, children = catalog_formed.FormedFrames, catalog_formed.ChildFrames
+    catalog_formed.FormedFrames = functools.cache(plain)
+    made = {}
+    catalog_formed.ChildFrames = lambda spark, sf_dir, cells: made.setdefault((sf_dir, len(cells)), children(spark, sf_dir, cells))
+    yield
+    catalog_formed.FormedFrames, catalog_formed.ChildFrames = plain, children
+
+
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()

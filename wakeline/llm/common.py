@@ -15,7 +15,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 #: Rows of whole texts that cross to a Python worker at once. Spark's default of 10,000 is meant for numbers.
-TEXT_ROWS = 1000
+TEXT_ROWS = 500
 
 
 def text_batches(spark: SparkSession) -> None:

@@ -50,7 +50,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash; forgets everything when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 120_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -101,6 +101,7 @@ def _light(width: int, bound: int):
                 below.append(int(np.searchsorted(s, np.uint64(bound))))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(below, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n", "n_below", "digest"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -194,6 +195,7 @@ def _sets(width: int):
         for batch in batches:
             sets = [shingle_set(t, width, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([pack48(s) for s in sets], pa.binary())], names=["doc_id", "n", "shingles"])
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -54,7 +54,7 @@ class ChunkTokenizer(dict):
     ASCII white space. Either is encoded once.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -149,6 +149,7 @@ def _tokenize(path: str, limit: int, end_id: int, keep_ids: bool):
                     arrays.append(pa.array(cols[4], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -17,6 +17,7 @@ from .mixing import mix
 from .neighbours import neighbours
 from .packing import pack
 from .quality import fit_quality, score_quality
+from .sharding import shard_documents
 from .substring_dedup import remove_repeats
 
 
@@ -68,7 +69,26 @@ def op10_substring_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_jaccard_metric_join, op3_best_fit_packing, op4_quality_compression, op5_exact_dedup, op6_chat_prefix_tree, op7_license_scan, op8_nearest_neighbours, op9_language_ecoc, op10_substring_fm_index)}
+def op11_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_jaccard_metric_join,
+        op3_best_fit_packing,
+        op4_quality_compression,
+        op5_exact_dedup,
+        op6_chat_prefix_tree,
+        op7_license_scan,
+        op8_nearest_neighbours,
+        op9_language_ecoc,
+        op10_substring_fm_index,
+        op11_balanced_label_propagation,
+    )
+}
 
 _ESCAPED = "replace({}, '\\', '\\\\')"
 for _c in ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_chats, read_back
 from .common import read
+from .divergence import divergences
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .language import fit_language, predict_language
@@ -73,6 +74,10 @@ def op11_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFra
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language_ecoc,
         op10_substring_fm_index,
         op11_balanced_label_propagation,
+        op12_source_divergence,
     )
 }
 
@@ -96,6 +102,35 @@ for _c in ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
 _ROLE = f"replace({_ESCAPED}, chr(10), '\\' || chr(10))"
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), t AS (SELECT id, lang, source, unnest(words) AS term FROM d
+        ), tf AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT id) AS df FROM t GROUP BY lang, source, term
+        ), kept AS (SELECT lang, term, sum(c) AS total FROM tf GROUP BY lang, term HAVING sum(df) >= 3
+        ), v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+        ), sums AS (SELECT lang, source, sum(c) AS n FROM tf SEMI JOIN kept USING (lang, term) GROUP BY lang, source
+        ), g AS (
+            SELECT lang, source, coalesce(sums.n, 0)::HUGEINT AS n, coalesce(v.v, 0)::HUGEINT AS v
+            FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN sums USING (lang, source) LEFT JOIN v USING (lang)
+        ), p AS (
+            SELECT lang, g.source, term, coalesce(c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c, 0) + 1) // (g.n + g.v) AS p,
+                   1 + 1000000000::HUGEINT * (total + 1) // (v.n + v.v)::HUGEINT AS q
+            FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN tf USING (lang, source, term)
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+        ), parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE c > 0 AND p > q
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+        SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
     "op10_substring_fm_index": r"""
         WITH d AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents

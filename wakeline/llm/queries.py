@@ -20,6 +20,7 @@ from .packing import pack
 from .quality import fit_quality, score_quality
 from .sharding import shard_documents
 from .substring_dedup import remove_repeats
+from .whitening import whiten
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(read(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_substring_fm_index,
         op11_balanced_label_propagation,
         op12_source_divergence,
+        op13_embedding_whitening,
     )
 }
 

@@ -4,7 +4,6 @@ import random
 
 import pytest
 
-from wakeline.llm.components import connected_components
 from wakeline.operators.builders import entity_components
 
 MEMBER = "run_id string, episode_no int, event_id string, subject string, object string"
@@ -24,5 +23,3 @@ def test_a_chain_of_hundreds_is_one_component(spark):
 def test_unfinished_components_raise(spark):
     with pytest.raises(RuntimeError, match="not come to rest"):
         entity_components(spark.createDataFrame([("r", 0, f"e{(i * 37) % 101:03}", f"x{i}", f"x{i + 1}") for i in range(101)], MEMBER), ["run_id", "episode_no"], bound=1)
-    with pytest.raises(RuntimeError, match="not come to rest"):
-        connected_components(spark.createDataFrame([((i * 37) % 101, ((i + 1) * 37) % 101) for i in range(100)], "a long, b long"), rounds=1)

@@ -37,13 +37,18 @@ def test_canonical_json():
             hashing.canonical_json([bad])
 
 
-def test_assignment_is_the_best(spark):
-    rng = random.Random(3)
-    edges = [("r", e, f"g{g}", round(rng.random(), 3)) for e in range(4) for g in range(5) if rng.random() < 0.7]
-    got = evaluation.assignment(spark.createDataFrame(edges, "run_id string, episode_no long, group_id string, weight double")).collect()
-    weight = {(e, g): w for _, e, g, w in edges}
-    best = max(sum(weight.get((e, f"g{g}"), 0) for e, g in enumerate(p)) for p in itertools.permutations(range(5), 4))
-    assert math.isclose(sum(r["weight"] for r in got), best, abs_tol=1e-9)
+@pytest.mark.parametrize("seed", range(4))
+def test_assignment_is_the_best(spark, seed):
+    """Most edges first, then the largest weight."""
+    rng = random.Random(seed)
+    density = rng.choice((0.3, 0.7))
+    edges = [("r", e, f"g{g}", round(rng.random(), 3), rng.random(), rng.randrange(1000)) for e in range(4) for g in range(5) if rng.random() < density]
+    schema = "run_id string, episode_no long, group_id string, weight double, jaccard double, apart_us long"
+    got = evaluation.assignment(spark.createDataFrame(edges, schema)).collect()
+    weight = {(e, g): w for _, e, g, w, _, _ in edges}
+    found = ([(e, f"g{g}") for e, g in enumerate(p) if (e, f"g{g}") in weight] for p in itertools.permutations(range(5), 4))
+    most, best = max((len(pairs), sum(weight[x] for x in pairs)) for pairs in found)
+    assert len(got) == most and math.isclose(sum(r["weight"] for r in got), best, abs_tol=1e-9)
     assert len({r["group_id"] for r in got}) == len(got) == len({r["episode_no"] for r in got})
 
 

@@ -23,10 +23,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,15 +54,20 @@ def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 
 
 def _spilled(stripes: dict[str, dict[bytes, dict]]) -> Iterator[pa.RecordBatch]:
-    rows = []
     for lang, of in stripes.items():
-        for term, stripe in of.items():
-            docs = stripe.pop(None)
-            rows.append((lang, term.decode(), docs, list(stripe), list(stripe.values())))
-            if len(rows) == _OUT_ROWS:
-                yield from _batches(rows, _STRIPE)
-                rows = []
-    yield from _batches(rows, _STRIPE)
+        items = iter(of.items())
+        while some := list(islice(items, _OUT_ROWS)):
+            docs = [stripe.pop(None) for _, stripe in some]
+            sources, counts = [s for _, stripe in some for s in stripe], [c for _, stripe in some for c in stripe.values()]
+            ends = np.cumsum([0, *(len(stripe) for _, stripe in some)], dtype=np.int32)
+            term = pa.array([t for t, _ in some], pa.binary()).cast(pa.string())
+            yield _stripe_batch(pa.array([lang] * len(some)), term, np.array(docs), ends, pa.array(sources, pa.string()), np.array(counts, np.int64))
+
+
+def _stripe_batch(lang: pa.Array, term: pa.Array, docs: np.ndarray, ends: np.ndarray, sources: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """ends: where each stripe's sources end, after a 0."""
+    at = pa.array(ends, pa.int32())
+    return pa.RecordBatch.from_arrays([lang, term, pa.array(docs, pa.int64()), pa.ListArray.from_arrays(at, sources), pa.ListArray.from_arrays(at, pa.array(counts))], schema=_STRIPE)
 
 
 def folded(batches: Iterator[pa.RecordBatch], entries: int) -> Iterator[pa.RecordBatch]:
@@ -91,23 +97,50 @@ def folded(batches: Iterator[pa.RecordBatch], entries: int) -> Iterator[pa.Recor
 
 
 def merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Stripes in the order of their keys -> one stripe a key, if its term is in at least so many documents."""
-    key, docs, counts, rows = None, 0, {}, []
+    """Stripes in the order of their keys -> one stripe a key, if its term is in at least so many documents. The last key of a batch may go on in
+    the next one, so its rows wait for that."""
+    waiting = None
     for batch in batches:
-        for lang, term, n, sources, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (lang, term) != key:
-                if docs >= least:
-                    rows.append((*key, docs, list(counts), list(counts.values())))
-                key, docs, counts = (lang, term), 0, {}
-            docs += n
-            for s, c in zip(sources, found, strict=True):
-                counts[s] = counts.get(s, 0) + c
-        if len(rows) >= _OUT_ROWS:
-            yield from _batches(rows, _STRIPE)
-            rows = []
-    if docs >= least:
-        rows.append((*key, docs, list(counts), list(counts.values())))
-    yield from _batches(rows, _STRIPE)
+        table = pa.Table.from_batches([batch] if waiting is None else [*waiting.to_batches(), batch]).combine_chunks()
+        if not table.num_rows:
+            continue
+        starts = _runs(table)
+        waiting = table.slice(starts[-1])
+        if len(starts) > 1:
+            yield from _merge(table.slice(0, starts[-1]), starts[:-1], least)
+    if waiting is not None:
+        yield from _merge(waiting, np.zeros(1, np.int64), least)
+
+
+def _runs(table: pa.Table) -> np.ndarray:
+    """Where the runs of equal (lang, term) begin."""
+    new = np.ones(table.num_rows, bool)
+    changes = [pc.not_equal(c.slice(1), c.slice(0, table.num_rows - 1)).to_numpy(zero_copy_only=False) for c in (_whole(table["lang"]), _whole(table["term"]))]
+    new[1:] = changes[0] | changes[1]
+    return np.flatnonzero(new)
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
+def _merge(table: pa.Table, starts: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    docs = np.add.reduceat(table["docs"].to_numpy(), starts)
+    kept = np.flatnonzero(docs >= least)
+    if not len(kept):
+        return
+    rows = np.diff(np.append(starts, table.num_rows))
+    some = table.take(pa.array(np.repeat(starts[kept] - np.cumsum(rows[kept]) + rows[kept], rows[kept]) + np.arange(rows[kept].sum())))
+    lists, counts = _whole(some["sources"]), _whole(some["counts"])
+    source = lists.flatten().dictionary_encode()
+    names, code = source.dictionary, source.indices.to_numpy().astype(np.int64)
+    stripe = np.repeat(np.repeat(np.arange(len(kept)), rows[kept]), np.asarray(pc.list_value_length(lists)))
+    key, place = np.unique(stripe * len(names) + code, return_inverse=True)
+    total = np.zeros(len(key), np.int64)
+    np.add.at(total, place, counts.flatten().to_numpy())
+    ends = np.searchsorted(key, np.arange(len(kept) + 1) * len(names)).astype(np.int32)
+    first = pa.array(starts[kept])
+    yield _stripe_batch(_whole(table["lang"]).take(first), _whole(table["term"]).take(first), docs[kept], ends, names.take(pa.array(key % len(names))), total)
 
 
 def shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:

@@ -314,6 +314,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     light = materialize(text.mapInArrow(_light(width, bound), "doc_id long, n long, n_below long, digest binary"), "jaccard-light")
     usable = light.filter("n > 0 AND doc_id IS NOT NULL")
+    if _repeats(usable.select("doc_id", "digest").distinct()):
+        how = {"width": width, "percent": percent, "frequent_above": frequent_above, "most_frequent": most_frequent, "region_rows": region_rows, "block_shingles": block_shingles}
+        return _by_row(text, **how)
     classes = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("n_below").alias("n_below"), F.count(F.lit(1)).alias("rows")), "jaccard-classes")
     n_classes, postings = classes.agg(F.count(F.lit(1)), F.sum("n_below")).first()
     postings = postings or 0
@@ -379,5 +382,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return named.union(alone)
 
 
+def _by_row(text: DataFrame, **how) -> DataFrame:
+    """For ids that stand at several texts: every row is a document, joined under a number of its own and named by its id afterwards."""
+    rows = materialize(text.withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
+    found = materialize(jaccard_components(rows, "row", "text", **how).withColumnRenamed("doc_id", "row"), "jaccard-by-row")
+    found = materialize(rows.select("row", "doc_id").join(found, "row"), "jaccard-named-rows")
+    n = found.count()
+    for name in ("component_id", "class_id"):
+        least = materialize(found.groupBy(name).agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_rows")), "jaccard-least")
+        found = join_sized(found, least, [name], "_rows", n).drop(name, "_rows").withColumnRenamed("_least", name)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def _repeats(rows: DataFrame) -> bool:
     return not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()

@@ -8,7 +8,9 @@ variable a source, and the rates are exponentially tilted: r = min(cap, exp(lamb
   histogram, which is all that the dual needs. A bracket keeps every step safe; a step that leaves it is halved instead.
 * Rates become whole copies by error diffusion: a source is dealt into hash buckets of bounded size, and in each bucket, from
   large to small documents, a document gets the floor or the ceiling of its rate, whichever keeps the running sum nearest.
-  The error left in a bucket is about its smallest document.
+  What the large documents of a bucket leave over, its small ones take as further copies (or give back), up to the cap; what a bucket can't place
+  goes on to the source's other buckets, until the source is off its target by less than its smallest document
+  or a two-thousandth, or has no room left.
 
 Targets: sources in code point order, nulls last, weigh 1, 2, 3, repeating; targets share all tokens by weight, none above
 cap times its source's tokens, the excess reshared by weight.
@@ -71,7 +73,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float
     return ranked.withColumn("target", level_col).select("source", "source_size", "target")
 
 
-def dual(hist: DataFrame, goals: DataFrame, cap: float = 3.0, steps: int = 40, tol: float = 1e-9) -> DataFrame:
+def dual(hist: DataFrame, goals: DataFrame, cap: float = 3.0, steps: int = 80, tol: float = 1e-9) -> DataFrame:
     """Newton on the dual. hist: source, size > 0, docs. goals: source, source_size, target. Returns source, scale, lam."""
     shape = hist.groupBy("source").agg(F.min("size").alias("least"), F.sum(F.col("size") * F.col("docs")).alias("words"), F.sum("docs").alias("n"))
     scale = F.col("words") / F.col("n")
@@ -101,6 +103,7 @@ def dual(hist: DataFrame, goals: DataFrame, cap: float = 3.0, steps: int = 40, t
             state.select("source", "scale", "target", F.when(moved, lo).otherwise(F.col("lo")).alias("lo"), F.when(moved, hi).otherwise(F.col("hi")).alias("hi"), F.when(moved & ~near, new).otherwise(F.col("lam")).alias("lam"), (F.col("done") | (moved & near)).alias("done")),
             "mix-dual",
         )
+    _unsolved(state)
     return state.select("source", "scale", "lam")
 
 
@@ -117,10 +120,75 @@ def _copies(size: np.ndarray, rate: np.ndarray) -> np.ndarray:
     return out
 
 
-def _round(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["size", "pick", "doc_id"], ascending=[False, True, True], kind="stable")
-    pdf["copies"] = _copies(pdf["size"].to_numpy(np.int64), pdf["rate"].to_numpy(float))
-    return pdf[["doc_id", "source", "size", "source_size", "target", "rate", "copies"]]
+def _settle(size: np.ndarray, copies: np.ndarray, short: float, cap: int) -> np.ndarray:
+    """Further copies (or fewer) where words are still lacking (or too many), large documents first, so that less than the smallest is left."""
+    out = copies.copy()
+    for i in range(len(size)):
+        if size[i] <= 0 or 2 * abs(short) < size[-1]:
+            break
+        more = round(short / size[i]) if i == len(size) - 1 else int(short / size[i])  # towards zero, so smaller ones can fill up
+        out[i] = min(cap, max(0, out[i] + more))
+        short -= (out[i] - copies[i]) * size[i]
+    return out
+
+
+def _round(cap: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "pick", "doc_id"], ascending=[False, True, True], kind="stable")
+        size, rate = pdf["size"].to_numpy(np.int64), pdf["rate"].to_numpy(float)
+        copies = _copies(size, rate)
+        pdf["copies"] = _settle(size, copies, float((rate - copies) @ size), math.floor(cap))
+        return pdf[_ROUNDED]
+
+    return run
+
+
+def _further(cap: float):
+    """One bucket's part in what its source still lacks."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "pick", "doc_id"], ascending=[False, True, True], kind="stable")
+        pdf["copies"] = _settle(pdf["size"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64), float(pdf["share"].iloc[0]), math.floor(cap))
+        return pdf[_ROUNDED]
+
+    return run
+
+
+#: A source is at its target if it is off by less than this share, or by less than its smallest document.
+NEAR = 0.0005
+_ROUNDED = ["doc_id", "source", "size", "source_size", "target", "rate", "pick", "bucket", "copies"]
+_ROUNDED_TYPES = "doc_id long, source string, size long, source_size long, target double, rate double, pick long, bucket long, copies long"
+
+
+def _carried(copies: DataFrame, cap: float, rounds: int = 4) -> DataFrame:
+    """Sources that are off their target: the rest is dealt to their buckets by the room these have, again and again."""
+    taken = F.col("copies") * F.col("size")
+    goal = copies.groupBy("source").agg(F.max("target").alias("target"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+    goal = materialize(goal.withColumnRenamed("source", "s"), "mix-goals")
+    for _ in range(rounds):
+        sums = copies.groupBy("source").agg(F.sum(taken).alias("taken")).join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        short = F.col("target") - F.col("taken")
+        off = sums.filter(F.abs(short) >= F.greatest(F.col("least"), NEAR * F.col("target"))).select(F.col("source").alias("s"), short.alias("short"))
+        off = materialize(off, "mix-off")
+        if off.isEmpty():
+            break
+        # Only documents no larger than what is lacking can help.
+        room = F.when(F.col("short") > 0, (math.floor(cap) - F.col("copies")) * F.col("size")).otherwise(taken)
+        able = copies.join(off, F.col("source").eqNullSafe(F.col("s"))).filter((F.col("size") > 0) & (F.col("size") <= F.abs("short")))
+        buckets = materialize(able.groupBy("s", F.col("bucket").alias("b"), "short").agg(F.sum(room).alias("room")).filter("room > 0"), "mix-rooms")
+        whole = buckets.groupBy(F.col("s").alias("s2")).agg(F.sum("room").alias("whole"))
+        shares = buckets.join(whole, F.col("s").eqNullSafe(F.col("s2"))).select("s", "b", (F.col("short") * F.least(F.lit(1.0), F.col("room") / F.col("whole"))).alias("share"))
+        marked = copies.join(shares, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "left").drop("s", "b")
+        again = marked.filter("share IS NOT NULL").groupBy("source", "bucket").applyInPandas(_further(cap), _ROUNDED_TYPES)
+        before, copies = copies, materialize(marked.filter("share IS NULL").select(*_ROUNDED).unionByName(again), "mix-copies")
+        if before.agg(F.sum(taken)).first() == copies.agg(F.sum(taken)).first():
+            break
+    return copies
+
+
+def _unsolved(state: DataFrame) -> None:
+    if not state.filter(~F.col("done")).isEmpty():
+        raise RuntimeError("the dual is not solved: some source has not come to its target")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, rows_per_bucket: int = 8192) -> DataFrame:
@@ -137,5 +205,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rate = F.when((F.col("size") > 0) & F.col("lam").isNotNull(), F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(700.0))))).otherwise(0.0)
     pick = F.xxhash64("doc_id", "size")
     rated = rated.select("doc_id", "source", "size", "source_size", "target", rate.alias("rate"), pick.alias("pick"), F.pmod(F.xxhash64(F.lit("bucket"), "doc_id"), F.col("buckets")).alias("bucket"))
-    copies = rated.groupBy("source", "bucket").applyInPandas(_round, "doc_id long, source string, size long, source_size long, target double, rate double, copies long")
-    return copies.withColumn("taken", F.col("copies") * F.col("size"))
+    copies = materialize(rated.groupBy("source", "bucket").applyInPandas(_round(cap), _ROUNDED_TYPES), "mix-copies")
+    return _carried(copies, cap).drop("pick", "bucket").withColumn("taken", F.col("copies") * F.col("size"))

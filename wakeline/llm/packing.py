@@ -7,8 +7,13 @@ of squared lengths). Among the open sequences that can take a piece under every
 * rule "norm": the least weighted norm of what is left of the three capacities, each as a share of its whole, or
 * rule "dot": the largest weighted dot product of the piece with what is left.
 
+The capacity for documents must not cost sequences: it is found for each group. The group is packed by tokens alone first, then with twice
+the mean number of documents a sequence as its capacity; where that takes more sequences, the first packing stays. A capacity that is given
+holds as it is.
+
 Pieces are dealt to groups of bounded size by a hash, and each group is packed alone: a group leaves at most about one poorly filled
-sequence, a few in ten thousand. No task grows with the input.
+sequence, one in some hundred or more. A group has about `rows_per_group` pieces, or `least_sequences` sequences where pieces are short. No task
+grows with the input.
 
 Tokens: the tokenizer encodes each of its pre-tokens on its own, so a text's ids are put together from those of its pre-tokens, each
 distinct one encoded once a worker and kept in a bounded cache.
@@ -187,10 +192,21 @@ def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights:
     return bins, offsets
 
 
-def _pack(capacity: tuple[float, float, float], weights: tuple[float, float, float], rule: str):
+def unforced(lengths: np.ndarray, tokens: int, cost: float, weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """Best fit with a capacity for documents that costs no sequence."""
+    free = best_fit(lengths, (float(tokens), float(tokens), cost), weights, rule)
+    sequences = int(free[0].max()) + 1 if len(lengths) else 0
+    if not sequences:
+        return free
+    bound = best_fit(lengths, (float(tokens), float(2 * -(-len(lengths) // sequences)), cost), weights, rule)
+    return bound if int(bound[0].max()) < sequences else free
+
+
+def _pack(tokens: int, docs: int | None, cost: float, weights: tuple[float, float, float], rule: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets = best_fit(pdf["length"].to_numpy(np.int64), capacity, weights, rule)
+        lengths = pdf["length"].to_numpy(np.int64)
+        bins, offsets = best_fit(lengths, (float(tokens), float(docs), cost), weights, rule) if docs else unforced(lengths, tokens, cost, weights, rule)
         pdf["sequence_id"] = (pdf["pack_group"].to_numpy(np.int64) << 32) + bins
         pdf["offset"] = offsets
         return pdf.drop(columns="pack_group")
@@ -198,19 +214,26 @@ def _pack(capacity: tuple[float, float, float], weights: tuple[float, float, flo
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, max_tokens: int = 2048, max_docs: int = 64, max_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.1, 0.1), rule: str = "norm", end_id: int = 0, rows_per_group: int = 8192, keep_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, max_tokens: int = 2048, max_docs: int | None = None,
+    max_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.1, 0.1), rule: str = "norm", end_id: int = 0,
+    rows_per_group: int = 8192, least_sequences: int = 256, keep_ids: bool = False,
+) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
-    No sequence has more than max_tokens tokens, max_docs pieces, or max_cost attention. max_cost must hold one piece of full length and is just
-    that by default; no set of pieces that fits the tokens costs more, so there it bears on the choice of a sequence but never forbids one.
+    No sequence has more than max_tokens tokens, max_docs pieces (None: see above), or max_cost attention. max_cost must hold one piece of full
+    length and is just that by default; no set of pieces that fits the tokens costs more, so there it bears on the choice of a sequence but never
+    forbids one.
     """
-    capacity = (float(max_tokens), float(max_docs), float(max_cost or max_tokens**2))
-    if capacity[2] < max_tokens**2:
+    cost = float(max_cost or max_tokens**2)
+    if cost < max_tokens**2:
         raise ValueError("max_cost must allow one piece of full length")
     text_batches(docs.sparkSession)
     schema = PIECES + (", ids array<int>" if keep_ids else "")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     pieces = materialize(texts.mapInArrow(_tokenize(tokenizer or default_tokenizer(), max_tokens, end_id, keep_ids), schema), "pack-pieces")
-    groups = -(-pieces.count() // rows_per_group)
-    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, groups)))
-    return pieces.withColumn("pack_group", key).groupBy("pack_group").applyInPandas(_pack(capacity, weights, rule), schema + ", sequence_id long, offset long")
+    count, tokens = pieces.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    groups = max(1, min(-(-count // rows_per_group), tokens // (least_sequences * max_tokens)))
+    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+    packed = pieces.withColumn("pack_group", key).groupBy("pack_group")
+    return packed.applyInPandas(_pack(max_tokens, max_docs, cost, weights, rule), schema + ", sequence_id long, offset long")

@@ -2,10 +2,10 @@
 
 * Equal vectors (equal 128-bit hashes) are one class, filed once under its smallest id; a large group of copies costs one row.
 * A tree has one random direction a level, orthogonal to those of its other levels, and at every node the median of a bounded sample as
-  threshold (`sample_rows` classes with the smallest hash). Depth grows with the logarithm of the number of classes, so a leaf holds about
-  `leaf_rows` of them at any size (up to `most_depth`). Inner products become directions by the usual extra coordinate sqrt(max^2 - |x|^2).
+  threshold: of `sample_rows` classes with the smallest hash for the upper levels, as far as they leave 32 to a node, and of samples of the nodes' own
+  classes below. Depth grows with the logarithm of the number of classes, so a leaf holds about `leaf_rows` of them at any size (up to `most_depth`). Inner products become directions by the usual extra coordinate sqrt(max^2 - |x|^2).
 * A query walks all trees through one shared priority queue, in the order of the summed distances to the hyperplanes on whose far side a
-  node lies, until the leaves that it has opened hold `budget` classes.
+  node lies, until the leaves that it has opened hold `budget` classes, and k + 1 different ones.
 * The budget is not a share of the table: it is what `probes` sample queries, searched by brute force over all classes, need to find
   `recall` of their neighbours. On vectors with structure that is a small number of leaves; on vectors without any it is a large part of all.
 * Leaves of neighbouring subtrees lie in one shard of about `shard_rows` classes. A query meets a shard once, with the list of the leaves
@@ -33,26 +33,50 @@ from .common import broadcast_if_small, materialize, parts
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
+#: Sampled rows that a node needs for its threshold.
+NODE_ROWS = 32
+
+
+def medians(at: np.ndarray, node: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sets the threshold of every node that has rows to their median; those without keep 0, where rows of a normal projection divide. Returns the
+    rows' nodes one level below."""
+    order = np.argsort(node, kind="stable")
+    nodes, starts = np.unique(node[order], return_index=True)
+    for n, rows in zip(nodes, np.split(order, starts[1:]), strict=True):
+        cuts[n] = np.median(at[rows])
+    return 2 * node + (at > cuts[node])
+
+
 class Forest:
-    """Trees as arrays. Level l of a tree has one direction and 2**l thresholds, which stand at 2**l - 1 and after."""
+    """Trees as arrays. Level l of a tree has one direction and 2**l thresholds, which stand at 2**l - 1 and after.
+
+    A sample gives thresholds to as many levels as leave NODE_ROWS of it to a node; `known` says how many that are. Deeper levels get theirs from
+    further samples, one for each node at that depth (see _grow)."""
 
     def __init__(self, sample: np.ndarray, trees: int, depth: int, seed: int = 7):
         rng, dim = np.random.default_rng(seed), sample.shape[1]
         self.depth = depth
+        self.known = min(depth, max(0, int(len(sample) // NODE_ROWS).bit_length()))
         self.planes, self.cuts = np.zeros((trees, dim, depth)), np.zeros((trees, (1 << depth) - 1))
         for t in range(trees):
             random = rng.standard_normal((dim, depth))
             self.planes[t] = np.linalg.qr(random)[0] if 0 < depth <= dim else random / np.linalg.norm(random, axis=0)
             at, node = sample @ self.planes[t], np.zeros(len(sample), np.int64)
-            for level in range(depth):
-                cuts = self.cuts[t, (1 << level) - 1 : (2 << level) - 1]
-                cuts[:] = np.median(at[:, level])  # where a node has too few sampled rows to say better
-                order = np.argsort(node, kind="stable")
-                nodes, starts = np.unique(node[order], return_index=True)
-                for n, rows in zip(nodes, np.split(order, starts[1:]), strict=True):
-                    if len(rows) >= 8:
-                        cuts[n] = np.median(at[rows, level])
-                node = 2 * node + (at[:, level] > cuts[node])
+            for level in range(self.known):
+                node = medians(at[:, level], node, self.cuts[t, (1 << level) - 1 : (2 << level) - 1])
+
+    def node(self, x: np.ndarray, t: int, depth: int) -> np.ndarray:
+        """Rows of directions -> their nodes in tree t at a depth."""
+        at, node = x @ self.planes[t][:, :depth], np.zeros(len(x), np.int64)
+        for level in range(depth):
+            node = 2 * node + (at[:, level] > self.cuts[t, (1 << level) - 1 + node])
+        return node
+
+    def set_cuts(self, t: int, top: int, below: np.ndarray) -> None:
+        """Thresholds of the subtree under node `top` of the known depth, as a small tree of its own."""
+        for level in range(int(len(below) + 1).bit_length() - 1):
+            start = (1 << (self.known + level)) - 1 + (top << level)
+            self.cuts[t, start : start + (1 << level)] = below[(1 << level) - 1 : (2 << level) - 1]
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
         """Rows of directions -> trees by rows, the leaf of each."""
@@ -63,13 +87,14 @@ class Forest:
                 node[:] = 2 * node + (at[:, level] > cuts[(1 << level) - 1 + node])
         return out
 
-    def walk(self, x: np.ndarray, filed: list[memoryview], budget: int) -> list[tuple[int, int]]:
-        """Leaves of all trees in the order of one queue, until those opened hold budget rows. filed: rows by tree and leaf."""
+    def walk(self, x: np.ndarray, filed: list[memoryview], budget: int, least: int) -> list[tuple[int, int]]:
+        """Leaves of all trees in the order of one queue, until those opened hold budget rows, and those of some tree `least` (which differ, as
+        the leaves of a tree do). filed: rows by tree and leaf."""
         at = np.einsum("tdl,d->tl", self.planes, x).tolist()
         cuts = [memoryview(c) for c in self.cuts]
         queue = [(0.0, t, 0, 0) for t in range(len(cuts))]
-        found, held = [], 0
-        while queue and held < budget:
+        found, held = [], [0] * len(cuts)
+        while queue and (sum(held) < budget or max(held) < least):
             far, t, level, node = heapq.heappop(queue)
             for m in at[t][level:]:
                 m -= cuts[t][(1 << level) - 1 + node]
@@ -78,7 +103,7 @@ class Forest:
                 node = 2 * node + right
             if filed[t][node]:
                 found.append((t, node))
-                held += filed[t][node]
+                held[t] += filed[t][node]
         return found
 
     def reached(self, x: np.ndarray, filed: np.ndarray, leaves: np.ndarray) -> np.ndarray:
@@ -140,6 +165,34 @@ class Layout:
         self.blocks = np.maximum(1, -(-counts.reshape(len(counts), 1 << top, -1).sum(2) // (2 * shard_rows)))
 
 
+def _grow(reps: DataFrame, n: int, forest: Forest, most: float, kind: str, sample_rows: int) -> None:
+    """Thresholds of the next levels: every node at the known depth takes a sample of its own rows and divides it. A node's sample has about
+    sample_rows rows at most (never fewer than four levels need), so tasks stay small however large the table is."""
+    levels = min(forest.depth - forest.known, max(4, int(sample_rows // NODE_ROWS).bit_length() - 1))
+    share = min(1.0, NODE_ROWS * 2.0 ** (forest.known + levels) / n)
+    known, names = forest.known, ["tree", "node", "x"]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = directions(matrix(batch.column(0), kind), most) if batch.num_rows else None
+            for t in range(len(forest.planes) if batch.num_rows else 0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(forest.node(x, t, known)), as_bytes(x, "<f8")], names=names)
+
+    def divide(key: tuple, rows: pa.Table) -> pa.Table:
+        t = key[0].as_py()
+        at, node = matrix(rows["x"], "<f8") @ forest.planes[t][:, known : known + levels], np.zeros(rows.num_rows, np.int64)
+        below = np.zeros((1 << levels) - 1)
+        for level in range(levels):
+            node = medians(at[:, level], node, below[(1 << level) - 1 : (2 << level) - 1])
+        return pa.table({"tree": pa.array([t], pa.int32()), "node": pa.array([key[1].as_py()], pa.int64()), "cuts": pa.array([below.tolist()], pa.list_(pa.float64()))})
+
+    some = reps.filter(F.pmod(F.xxhash64(F.lit(known), "print"), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))).select("x")
+    cuts = some.mapInArrow(dealt, "tree int, node long, x binary").groupBy("tree", "node").applyInArrow(divide, "tree int, node long, cuts array<double>")
+    for r in cuts.toLocalIterator():  # thresholds, which the driver holds anyhow
+        forest.set_cuts(r["tree"], r["node"], np.array(r["cuts"]))
+    forest.known += levels
+
+
 def _file(forest: Forest, layout: Layout, most: float, kind: str):
     """Every class in its leaf of every tree."""
 
@@ -173,7 +226,7 @@ def _count(forest: Forest, most: float, kind: str):
     return run
 
 
-def _ask(forest: Forest, layout: Layout, counts: np.ndarray, budget: int, kind: str):
+def _ask(forest: Forest, layout: Layout, counts: np.ndarray, budget: int, least: int, kind: str):
     """Each query once for every shard in which it opens leaves, with those leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +237,7 @@ def _ask(forest: Forest, layout: Layout, counts: np.ndarray, budget: int, kind:
                 x = matrix(part.column(2), kind)
                 rows: list[tuple] = []
                 for i, q in enumerate(asked_way(x)):
-                    opened = np.array(forest.walk(q, filed, budget), np.int64).reshape(-1, 2)
+                    opened = np.array(forest.walk(q, filed, budget, least), np.int64).reshape(-1, 2)
                     place = (opened[:, 0] << 40) | (opened[:, 1] >> layout.shift)
                     for p in np.unique(place):
                         t, shard = int(p >> 40), int(p & ((1 << 40) - 1))
@@ -312,6 +365,8 @@ def _search(good: DataFrame, width: int, kind: str, k: int, trees: int, leaf_row
     depth = min(most_depth, max(0, math.ceil(math.log2(n / leaf_rows))))
     sample = matrix(reps.orderBy(F.xxhash64("print"), "vec_id").limit(sample_rows).select("x").toArrow()["x"], kind)
     forest = Forest(directions(sample, most), trees, depth)
+    while forest.known < depth:
+        _grow(reps.select("print", "x"), n, forest, most, kind, sample_rows)
     counts = np.zeros((trees, 1 << depth), np.int64)
     for r in reps.select("x").mapInArrow(_count(forest, most, kind), "tree long, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["tree"], r["leaf"]] = r["n"]
@@ -320,7 +375,7 @@ def _search(good: DataFrame, width: int, kind: str, k: int, trees: int, leaf_row
 
     filed = reps.select("vec_id", "print", "x").mapInArrow(_file(forest, layout, most, kind), "tree int, shard long, block long, vec_id long, print long, leaf long, x binary")
     queries = reps.filter("is_query").select("vec_id", "print", "x").repartition(parts(spark), "vec_id")
-    asked = queries.mapInArrow(_ask(forest, layout, counts, budget, kind), "tree int, shard long, block long, query_id long, query_print long, x binary, leaves binary")
+    asked = queries.mapInArrow(_ask(forest, layout, counts, budget, k + 1, kind), "tree int, shard long, block long, query_id long, query_print long, x binary, leaves binary")
     place = ["tree", "shard", "block"]
     found = asked.groupBy(*place).cogroup(filed.groupBy(*place)).applyInArrow(_meet(k + 1, kind), FOUND)
     merged = found.groupBy("query_id", "query_print").agg(F.collect_list(F.struct("vec_ids", "prints", "scores")).alias("found")).mapInArrow(_merge(k + 1), FOUND)

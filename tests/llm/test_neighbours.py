@@ -107,7 +107,7 @@ def test_forest_parts():
     assert counts.min() > 500 // 16 // 3
     # A walk opens leaves in the order that `reached` counts.
     q = np.append(x[0] / np.linalg.norm(x[0]), 0.0)
-    order = forest.walk(q, [memoryview(c) for c in counts], 10**9)
+    order = forest.walk(q, [memoryview(c) for c in counts], 10**9, 1)
     assert sorted(order) == [(t, n) for t in range(2) for n in range(16)]
     before = np.concatenate(([0], np.cumsum([counts[t, n] for t, n in order])))
     first = [min(before[order.index((t, leaves[t, i]))] for t in range(2)) for i in range(500)]
@@ -115,3 +115,29 @@ def test_forest_parts():
     assert Layout(counts, 100).blocks.shape[0] == 2
     r, c = best_of(np.array([[1.0, 3.0, 3.0, -np.inf], [2.0, 2.0, 2.0, 2.0]]), np.array([7, 9, 8, 1]), 2)
     assert list(zip(r.tolist(), c.tolist(), strict=True)) == [(0, 2), (0, 1), (1, 3), (1, 0)]
+
+
+def test_far_more_rows_than_the_sample(spark, monkeypatch):
+    """A sample 400 times smaller than the table: full lists, leaves of a like size, and the recall all the same."""
+    rng, forests, file = np.random.default_rng(11), [], nn._file
+    monkeypatch.setattr(nn, "_file", lambda forest, *a: forests.append(forest) or file(forest, *a))
+    middles = rng.standard_normal((60, 16))
+    x = middles[rng.integers(0, 60, 16_000)] + 0.2 * rng.standard_normal((16_000, 16))
+    rows = list(enumerate(x))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = found(neighbours(df, F.col("vec_id") % 200 == 0, leaf_rows=64, sample_rows=40, shard_rows=2000))
+    assert len(got) == 80 and all(len(p) == 20 for p in got.values())
+    assert recall(got, brute(rows, every=200)) >= 0.9
+    forest = forests[0]
+    assert forest.known == forest.depth == 8
+    sizes = [np.bincount(t, minlength=256).max() for t in forest.leaf(directions(x, float(np.linalg.norm(x, axis=1).max())))]
+    assert max(sizes) < 4 * 64
+
+
+def test_lists_are_full_at_a_budget_of_one(spark, monkeypatch):
+    monkeypatch.setattr(nn, "_budget", lambda *a: 1)
+    rng = np.random.default_rng(2)
+    rows = list(enumerate(rng.standard_normal((3000, 8))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = found(neighbours(df, F.col("vec_id") % 100 == 0, leaf_rows=8))
+    assert len(got) == 30 and all(len(p) == 20 for p in got.values())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -23,7 +24,7 @@ from wakeline.llm.language import UNDETERMINED, codewords, fit_language, predict
 from wakeline.llm.license_rules import BASE_PHRASES, rules
 from wakeline.llm.license_scan import Scanner, scan_licenses
 from wakeline.llm.mixing import mix, targets
-from wakeline.llm.packing import best_fit, default_tokenizer, pack
+from wakeline.llm.packing import best_fit, default_tokenizer, pack, unforced
 from wakeline.llm.quality import fit_quality, score_quality
 
 
@@ -90,6 +91,47 @@ def test_mix_odd(odd_docs, no_docs):
     assert mix(no_docs).count() == 0
 
 
+def test_long_documents_leave_their_rest_to_short_ones(spark):
+    """A source with one very long document and 200 short ones: its target is met to less than the smallest document, in one bucket or many."""
+    rng = random.Random(4)
+    rows = [(0, "w " * 30_000, "a")] + [(i, "w " * rng.randrange(1, 51), "a") for i in range(1, 201)] + [(1000 + i, "w " * 60, "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights, per_bucket in (((1, 2), 8192), ((1, 3), 40), ((1, 2), 40), ((1, 6), 64)):
+        got = mix(docs, weights=weights, rows_per_bucket=per_bucket).collect()
+        taken, target = Counter(), {r["source"]: r["target"] for r in got}
+        for r in got:
+            assert 0 <= r["taken"] <= 3 * r["size"]
+            taken[r["source"]] += r["taken"]
+        most = 3 * sum(len(t.split()) for i, t, s in rows if s == "a" and i)  # all that the short ones can give
+        for s, least in (("a", 1), ("b", 60)):
+            goal = most if s == "a" and target[s] > most else target[s]
+            assert abs(taken[s] - goal) <= max(least, 0.0005 * target[s]) + 1e-6, (weights, per_bucket, s, taken, target)
+
+
+def test_rates_solve_the_dual(spark):
+    """Against bisection on each source's own multiplier: same rates."""
+    rng = random.Random(8)
+    rows = [(s * 1000 + i, "w " * rng.randrange(1, 200), f"s{s}") for s in range(3) for i in range(150)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in ("s0", "s1", "s2"):
+        of = [r for r in got if r["source"] == s]
+        low, high = -1.0, 1.0
+        for _ in range(200):
+            lam = (low + high) / 2
+            low, high = (lam, high) if sum(r["size"] * min(3.0, math.exp(min(700, lam * r["size"]))) for r in of) < of[0]["target"] else (low, lam)
+        assert all(abs(r["rate"] - min(3.0, math.exp(min(700, lam * r["size"])))) < 1e-6 for r in of)
+
+
+def test_an_unsolved_dual_fails(docs):
+    from wakeline.llm import mixing
+
+    light = docs.select("source", mixing.word_count(F.col("text")).alias("size"))
+    hist = light.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs"))
+    goals = targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).cast("long").alias("source_size")))
+    with pytest.raises(RuntimeError, match="not solved"):
+        mixing.dual(hist.filter("size > 0"), goals, steps=1)
+
+
 # ---------------------------------------------------------------- 2 Jaccard
 def brute_components(rows):
     sets = {}
@@ -173,6 +215,14 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 102: 100}
 
 
+def test_ids_with_several_texts(spark):
+    """Every text of an id links: rows are documents, named by their ids."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, "c c c c c c"), (4, a), (5, None), (5, "d d d d d d")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jc.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 37, 1), (4, 1 + 1 - 1, 4), (4, 36, 1), (5, 0, 5), (5, 1, 5)])
+
+
 # ---------------------------------------------------------------- 3 packing
 def test_pack(docs):
     from tokenizers import Tokenizer
@@ -213,6 +263,25 @@ def test_pack_odd(odd_docs, no_docs):
     assert all(len(r["ids"]) == r["length"] for r in pack(odd_docs, keep_ids=True).collect())
 
 
+@pytest.mark.parametrize(("tokens", "n"), [(1, 9000), (2, 9000), (5, 9000), (10, 12_000)])
+def test_short_texts_fill_sequences(spark, tokens, n):
+    """No capacity but that for tokens costs a sequence."""
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), (F.lit(None).cast("string") if tokens == 1 else F.lit("the " * (tokens - 1))).alias("text"))
+    rows = pack(docs).select("sequence_id", "length").collect()
+    total = sum(r["length"] for r in rows)
+    assert total == n * tokens
+    assert len({r["sequence_id"] for r in rows}) <= 1 + 1.01 * total / 2048
+
+
+def test_the_capacity_for_documents_is_chosen_per_group():
+    rng = np.random.default_rng(6)
+    lengths = np.sort(np.concatenate((rng.integers(1, 40, 3000), rng.integers(500, 2048, 300))))[::-1]
+    free = best_fit(lengths, (2048.0, 2048.0, 2048.0**2), (1.0, 0.1, 0.1))[0]
+    bins, _ = unforced(lengths, 2048, 2048.0**2, (1.0, 0.1, 0.1), "norm")
+    assert bins.max() <= free.max()
+    assert max(Counter(bins.tolist()).values()) <= max(Counter(free.tolist()).values())
+
+
 # ---------------------------------------------------------------- 4 quality, 9 language
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))

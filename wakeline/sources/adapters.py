@@ -25,11 +25,11 @@ def id_text(prefix: str, number: Column, width: int = 9) -> Column:
     return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))
 
 
-def norm_events(events: DataFrame) -> DataFrame:
+def norm_events(events: DataFrame, squeeze: int = SQUEEZE) -> DataFrame:
     """One normalised event per row of the events table."""
     u, kind = F.col("user_id"), F.col("event_type")
     k = F.get_json_object("props", "$.k").cast("long")
-    event_us = F.lit(EPOCH_US) + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US) / SQUEEZE).cast("long")
+    event_us = F.lit(EPOCH_US) + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US) / squeeze).cast("long")
     lag = F.when(k >= 98, 1500).when(k >= 95, 400).otherwise(k % 7)
     edr = kind.isin("signup", "error")
     run = F.floor(u / 10).cast("long")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import hashing
-from wakeline.operators import builders, detectors, evaluation, formation, replay, stats, support
+from wakeline.operators import builders, detectors, evaluation, formation, lookback, replay, stats, support
 from wakeline.plans.ctes import formed_sql, sql
 from wakeline.plans.formed import terminal
 from wakeline.plans.frames import EPISODE, Frames
@@ -119,8 +119,8 @@ def entity_components(f: Frames) -> DataFrame:
 def hub_entities(norm: DataFrame) -> DataFrame:
     """Each event's entities, with how many dependency groups touched the entity in the 600 s up to the event."""
     seen = norm.select("run_id", "event_id", "event_us", "dependency_group", F.explode(F.array_distinct(F.array("subject", "object"))).alias("entity"))
-    trailing = Window.partitionBy("run_id", "entity").orderBy("event_us").rangeBetween(-600 * 1_000_000, 0)
-    return seen.select("run_id", "event_id", "entity", F.size(F.collect_set("dependency_group").over(trailing)).alias("n_groups"))
+    counted = lookback.trailing_distinct(seen, ["run_id", "entity"], "dependency_group", "event_us", 600 * 1_000_000, "n_groups")
+    return counted.select("run_id", "event_id", "entity", "n_groups")
 
 
 @query(sql("""WITH ent AS (SELECT DISTINCT run_id, event_id, event_us, dependency_group, unnest([subject, object]) AS entity FROM norm)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.operators import evaluation, formation, replay
+from wakeline.operators import evaluation, formation, replay, selection
 from wakeline.plans.catalog import query, r9
 from wakeline.plans.ctes import formed_sql, sql
 from wakeline.plans.frames import EPISODE, Frames
@@ -118,9 +118,10 @@ def exact_complete(f: Frames) -> DataFrame:
 
 @query(sql("""SELECT source_family, round(quantile_cont((ingest_us - event_us) / 1e6::DOUBLE, 0.5), 9) AS p50, round(quantile_cont((ingest_us - event_us) / 1e6::DOUBLE, 0.95), 9) AS p95, round(quantile_cont((ingest_us - event_us) / 1e6::DOUBLE, 0.99), 9) AS p99 FROM norm GROUP BY source_family""", "norm"))
 def lag_percentiles(f: Frames) -> DataFrame:
-    """Percentiles by linear interpolation."""
+    """Percentiles by linear interpolation, by distributed selection."""
     lag = (F.col("ingest_us") - F.col("event_us")) / F.lit(1e6)
-    return f.norm.select("source_family", lag.alias("lag")).groupBy("source_family").agg(*[r9(F.percentile("lag", q)).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    found = selection.percentiles(f.norm.select("source_family", lag.alias("lag")), ["source_family"], "lag", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return found.select("source_family", *[r9(n).alias(n) for n in ("p50", "p95", "p99")])
 
 
 @query(sql("""SELECT a.run_id, a.n AS edr_episodes, b.n AS ndr_episodes, a.n - b.n AS delta FROM (SELECT run_id, count(DISTINCT episode_no) AS n FROM members WHERE source_family = 'EDR' GROUP BY run_id) a JOIN (SELECT run_id, count(DISTINCT episode_no) AS n FROM members WHERE source_family = 'NDR' GROUP BY run_id) b USING (run_id)""", "members"))

@@ -149,9 +149,10 @@ def ordered(names: tuple[str, ...], frames: dict[str, tuple[list[str], str]]) ->
     return order
 
 
-def sql(body: str, *names: str) -> str:
-    """A query over the named frames and all that they need."""
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered(names, CTES)) + f"\n{body}"
+def sql(body: str, *names: str, steps: dict[str, str] | None = None) -> str:
+    """A query over the named frames and all that they need, and over steps of its own, in order."""
+    frames = [f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered(names, CTES)] + [f"{n} AS ({text})" for n, text in (steps or {}).items()]
+    return "WITH " + ",\n".join(frames) + f"\n{body}"
 
 
 def formed_sql(body: str, *names: str, builders: tuple[str, ...] = ("full",), norm: str | None = None, order: str = "") -> str:

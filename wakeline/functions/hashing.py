@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def sha256_text(text: Column) -> Column:
@@ -86,9 +88,30 @@ def canonical_json(value) -> str:
     if isinstance(value, bool) or value is None or isinstance(value, str):
         return json.dumps(value, ensure_ascii=False)
     if isinstance(value, int):
+        if abs(value) > (1 << 53) - 1:
+            raise ValueError("a whole number beyond 2**53 - 1")
         return str(value)
     if isinstance(value, float):
         return es6_number(value)
     if isinstance(value, dict):
         return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical_json(value[k])}" for k in sorted(value, key=lambda s: s.encode("utf-16-be"))) + "}"
     return "[" + ",".join(map(canonical_json, value)) + "]"
+
+
+def text_digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def canonical(record: Column) -> Column:
+    """Canonical JSON of a whole nested record (structs, maps, arrays, text, whole numbers, doubles, booleans, nulls): keys by UTF-16 units, no spaces,
+    shortest numbers. Fails on NaN, infinities, negative zero, and whole numbers beyond 2**53 - 1. Records cross to Python as JSON, in batches."""
+    return _canonical(F.to_json(F.named_struct(F.lit("r"), record), {"ignoreNullFields": "false"}))
+
+
+def digest(record: Column) -> Column:
+    return F.sha2(canonical(record), 256)
+
+
+@F.pandas_udf(StringType())
+def _canonical(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: canonical_json(json.loads(t)["r"]))

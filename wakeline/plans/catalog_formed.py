@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import hashing
-from wakeline.operators import detectors, evaluation, replay, stats, support
+from wakeline.operators import detectors, evaluation, models, replay, stats, support
 from wakeline.plans.catalog import ORACLE_SQL, QUERIES, r9
 from wakeline.plans.ctes import formed_sql
-from wakeline.plans.formed import ChildFrames, FormedFrames, axis_transitions, replay_statistics
-from wakeline.plans.frames import EPISODE
+from wakeline.plans.formed import ChildFrames, FormedFrames, axis_transitions, episode_no, replay_statistics
+from wakeline.plans.frames import EPISODE, Frames
+from wakeline.sources.sinks import materialize
 
 
 def formed_query(oracle: str | None = None):
@@ -265,21 +266,54 @@ def training_rows(f: FormedFrames) -> DataFrame:
     return training(f).withColumn("d", r9("d"))
 
 
-def training(f: FormedFrames) -> DataFrame:
-    rows = f.supported.join(f.labelled.select(*EPISODE, "label"), EPISODE).join(f.train_runs, "run_id")
+def clear_rows(f: Frames, runs: DataFrame) -> DataFrame:
+    """Terminal episodes of some runs that are in support and clearly positive or negative: mixed, ambiguous and ineligible ones fit no model."""
+    rows = f.supported.join(f.labelled.select(*EPISODE, "label"), EPISODE).join(runs, "run_id")
     rows = rows.filter(F.col("label").isin("positive", "negative") & (F.col("eligible_count") > 0) & (F.col("reason") == "eligible"))
     return rows.select(*EPISODE, "d", "c", (F.col("label") == "positive").cast("int").alias("y"))
 
 
+def training(f: Frames) -> DataFrame:
+    return clear_rows(f, f.train_runs)
+
+
+def artifacts(f: Frames) -> DataFrame:
+    """Fitted on the training runs, calibrated on runs of their own, normalised by the training negatives."""
+    return models.fit_artifacts(training(f), clear_rows(f, f.calibration_runs), f.negative_cohort.select("detector_id", "value"), EPISODE)
+
+
+def rounded(made: DataFrame) -> DataFrame:
+    return made.select("kind", "status", "reason", *[r9(c).alias(c) for c in ("b0", "b1", "b2")], "digest")
+
+
 @formed_query()
 def formed_models(f: FormedFrames) -> DataFrame:
-    """The models of formed episodes: on d and c, on d alone (the same fit with c = 0), and the calibrator of the first one's logits."""
-    # Fitted on rows of eligible terminal episodes of all runs, as the training runs of a small table may hold one class only.
-    rows = f.features.join(f.labelled.select(*EPISODE, "label"), EPISODE).filter(F.col("label").isin("positive", "negative"))
-    rows = rows.select("d", "c", (F.col("label") == "positive").cast("int").alias("label"))
-    both = stats.bounded_logistic(rows, ["d", "c"], "label", lower=[0.0, 0.0])
-    alone = stats.bounded_logistic(rows.withColumn("c", F.lit(0)), ["d", "c"], "label", lower=[0.0, 0.0])
-    z = rows.select(detectors.logit(F.col("d"), F.col("c"), *both).alias("z"), "label")
-    cal = stats.affine_calibrators(z, []).first()
-    made = [("d_and_c", *both), ("d_only", *alone), ("calibrator", cal["offset"], cal["slope"], 0.0)]
-    return f.spark.createDataFrame([(n, *[round(float(x), 9) for x in b]) for n, *b in made], "model string, intercept double, weight_d double, weight_c double")
+    """The models of formed episodes as versioned artefacts: on d and c, on d alone, and the calibrator of the first one's logits."""
+    return rounded(artifacts(f))
+
+
+@formed_query()
+def scored_revisions(f: FormedFrames) -> DataFrame:
+    """Revisions of runs outside training and calibration, scored by the artefacts that they name by digest; none where no model is fitted."""
+    made = materialize(artifacts(f), "artifacts")
+    named = {r["kind"]: r["digest"] for r in made.filter("status = 'fitted'").collect()}
+    rows = f.supported.select(*EPISODE, "d", "c", "kappa").join(f.train_runs.union(f.calibration_runs), "run_id", "left_anti")
+    if not {"raw_model", "global_calibrator"} <= named.keys():
+        return rows.select(*EPISODE, "kappa", *[F.lit(None).cast("string").alias(c) for c in ("model_digest", "calibrator_digest")], *[F.lit(None).cast("double").alias(c) for c in ("z", "p")])
+    scored = models.score(rows, made, F.lit(named["raw_model"]), F.lit(named["global_calibrator"]))
+    return scored.select(*EPISODE, "kappa", "model_digest", "calibrator_digest", r9("z").alias("z"), F.when(F.col("kappa") != "out_of_support", r9("p")).alias("p"))
+
+
+_RECORD = """'{"axes":{"contradiction":"' || contradiction || '","coverage":"' || coverage || '","kappa":"' || kappa || '","lateness":"' || lateness || '"},"episode":"' || episode_no
+    || '","events":["' || array_to_string(ids, '","') || '"],"revision":' || revision || ',"run":"' || run_id || '","state":"' || state || '"}'"""
+
+
+@formed_query(formed_sql(f"""SELECT run_id, episode_no, sha256({_RECORD}) AS record_digest FROM outcome
+    JOIN (SELECT run_id, episode_id || '#' || revision AS episode_no, ids, state FROM formed) USING (run_id, episode_no)""", "outcome"))
+def record_digests(f: FormedFrames) -> DataFrame:
+    """The digest of every revision's assembled record: canonical JSON of the whole nested record."""
+    ids = f.revisions.select("run_id", episode_no().alias("episode_no"), "ordered_event_ids")
+    axes = F.struct("kappa", "lateness", "coverage", "contradiction")  # keys are put in order by the canonical form
+    rows = f.outcomes.join(ids, EPISODE)
+    record = F.struct(F.col("run_id").alias("run"), F.col("episode_no").alias("episode"), "revision", "state", axes.alias("axes"), F.col("ordered_event_ids").alias("events"))
+    return rows.select(*EPISODE, record.alias("record")).select(*EPISODE, hashing.digest(F.col("record")).alias("record_digest"))

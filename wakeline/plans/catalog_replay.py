@@ -9,6 +9,7 @@ from wakeline.functions import hashing
 from wakeline.operators import detectors, formation, replay, stats, support
 from wakeline.operators.numbering import numbered
 from wakeline.plans.catalog import QUERIES, _formed, query, r9
+from wakeline.plans.catalog_formed import artifacts, rounded
 from wakeline.plans.ctes import HEX_XOR, formed_sql, sql
 from wakeline.plans.frames import EPISODE, Frames
 from wakeline.sources import adapters, sinks
@@ -183,11 +184,6 @@ def u_transitions(f: Frames) -> DataFrame:
     return ends[0].join(ends[1], key).groupBy("source_family", "at_start", "at_end").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fit_rows(f: Frames) -> DataFrame:
-    label = (F.col("label").isin("positive", "mixed")).cast("int")
-    return f.features.join(f.labelled.select(*EPISODE, label.alias("y")), EPISODE).select(*EPISODE, "d", "c", "y")
-
-
 @query()
 def ecdf_train_negatives(f: Frames) -> DataFrame:
     """Detector values against the negative episodes of the training runs; null where no such episode has a value of the detector."""
@@ -202,14 +198,14 @@ def group_folds(f: Frames) -> DataFrame:
 
 @query()
 def fit_scorer(f: Frames) -> DataFrame:
-    b = stats.bounded_logistic(_fit_rows(f), ["d", "c"], "y", lower=[0.0, 0.0])
-    return f.spark.createDataFrame([tuple(round(x, 9) for x in b)], "intercept double, weight_d double, weight_c double")
+    """The models of episodes in bins, on eligible positive and negative ones of the training runs."""
+    return rounded(artifacts(f).filter("kind <> 'global_calibrator'"))
 
 
 @query()
 def fit_calibrator(f: Frames) -> DataFrame:
-    rows = _fit_rows(f).select(detectors.logit(F.col("d"), F.col("c")).alias("z"), F.col("y").alias("label"))
-    return stats.affine_calibrators(rows, []).select(r9("offset").alias("offset"), r9("slope").alias("slope"))
+    """The calibrator of the same, on runs of its own."""
+    return rounded(artifacts(f).filter("kind = 'global_calibrator'"))
 
 
 @query()

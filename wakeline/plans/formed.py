@@ -156,6 +156,10 @@ class ChildFrames(FormedFrames):
     def train_runs(self) -> DataFrame:
         return self._each(self.base.train_runs)
 
+    @property
+    def calibration_runs(self) -> DataFrame:
+        return self._each(self.base.calibration_runs)
+
     @property
     def negative_cohort(self) -> DataFrame:
         """What the models were made from is not replayed: the negatives of the runs themselves."""

@@ -57,10 +57,20 @@ class Frames:
         return detectors.ecdf(values, values.filter(F.substring("run_id", -1, 1).isin("0", "2", "4", "6", "8")))
 
     @property
-    def train_runs(self) -> DataFrame:
-        """The training half of the runs, in the order of a seeded hash as in split_assignment."""
+    def ranked_runs(self) -> DataFrame:
+        """run_id, at: the runs in the order of a seeded hash as in split_assignment, from 0."""
         runs = self.norm.select("run_id").distinct().withColumn("h", stats.split_rank(F.col("run_id"), 7))
-        return numbered(runs, [], F.substring("h", 1, 3), ["h", "run_id"], "at").filter((F.col("at") - 1) % 10 < 5).select("run_id")
+        return numbered(runs, [], F.substring("h", 1, 3), ["h", "run_id"], "at").select("run_id", (F.col("at") - 1).alias("at"))
+
+    @property
+    def train_runs(self) -> DataFrame:
+        """Five runs of ten."""
+        return self.ranked_runs.filter("at % 10 < 5").select("run_id")
+
+    @property
+    def calibration_runs(self) -> DataFrame:
+        """Two more of ten; the other three are for tests."""
+        return self.ranked_runs.filter("at % 10 BETWEEN 5 AND 6").select("run_id")
 
     @property
     def negative_cohort(self) -> DataFrame:

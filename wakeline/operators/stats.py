@@ -9,12 +9,13 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.operators.detectors import sigmoid
 from wakeline.operators.evaluation import clipped_nll
 from wakeline.operators.numbering import numbered
+from wakeline.operators.selection import percentiles
 from wakeline.sources.sinks import materialize
 
 
@@ -215,6 +216,82 @@ def scalar_bootstrap(rows: DataFrame, seed: int = 20_260_710, draws: int = 2000)
     return cluster_bootstrap(sums, {"value": seed}, draws).drop("metric")
 
 
+def _states(seed: int, draws: int, size: int, block: int):
+    """The generator's state before each block of draws. Bounded integers reject some numbers of the stream, so it can't be jumped ahead: one task
+    runs it through, without keeping what it draws."""
+
+    def run(batches):
+        import pickle
+
+        for batch in batches:
+            for _ in batch["id"]:
+                rng = np.random.default_rng(seed)
+                for first in range(0, draws if size else 0, block):
+                    yield pd.DataFrame({"first": [first], "state": [pickle.dumps(rng.bit_generator.state)]})
+                    for _ in range(min(block, draws - first)):
+                        rng.integers(0, size, size=size)
+
+    return run
+
+
+def _of_states(draws: int, size: int, block: int, counted: bool):
+    def run(batches):
+        import pickle
+
+        for batch in batches:
+            for first, state in zip(batch["first"], batch["state"], strict=True):
+                rng = np.random.default_rng()
+                rng.bit_generator.state = pickle.loads(state)
+                for draw in range(int(first), min(int(first) + block, draws)):
+                    at = rng.integers(0, size, size=size)
+                    if counted:
+                        times = np.bincount(at, minlength=size)
+                        at = np.flatnonzero(times)
+                        yield pd.DataFrame({"draw": draw, "at": at, "times": times[at]})
+                    else:
+                        yield pd.DataFrame({"draw": draw, "place": np.arange(size), "at": at})
+
+    return run
+
+
+def bootstrap_draws(spark, draws: int, size: int, seed: int, counted: bool = False, block: int = 25) -> DataFrame:
+    """draw, place, at: which of size runs is drawn at a place, by one generator in sequence; counted: draw, at, times instead. Blocks of draws are made in
+    tasks of their own from the generator's states."""
+    states = materialize(spark.range(1).mapInPandas(_states(seed, draws, size, block), "first int, state binary"), "bootstrap-states")
+    schema = "draw int, at long, times long" if counted else "draw int, place long, at long"
+    return states.repartition(max(1, draws // block), "first").mapInPandas(_of_states(draws, size, block, counted), schema)
+
+
+def weighted_bootstrap(rows: DataFrame, seed: int = 20_260_710, draws: int = 2000) -> DataFrame:
+    """rows: run_id, score (0 to 1), label (0 or 1). field, n, low, high: intervals of the metrics of rows when whole runs are drawn again.
+
+    No row is copied: a draw is how often it takes each run, which weighs the counts of the run's distinct scores. Fields: auroc (ties count half), brier,
+    nll, and step_precision (precision at each distinct score, by its share of the positives, so ties need no order). n is the number of draws
+    in which a field has a value; auroc and step_precision need both classes and a positive.
+    """
+    hist = rows.groupBy("run_id", "score").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"))
+    runs = numbered(rows.select("run_id").distinct(), [], F.substring("run_id", 1, 8), ["run_id"], "at")
+    runs = materialize(runs.select("run_id", (F.col("at") - 1).alias("at")), "bootstrap-runs")
+    weights = bootstrap_draws(rows.sparkSession, draws, runs.count(), seed, counted=True)
+    of_run = materialize(hist.join(runs, "run_id").select("at", "score", "pos", (F.col("n") - F.col("pos")).alias("neg")), "bootstrap-scores")
+    counts = weights.join(of_run, "at").groupBy("draw", "score").agg(F.sum(F.col("times") * F.col("pos")).alias("pos"), F.sum(F.col("times") * F.col("neg")).alias("neg"))
+    falling = Window.partitionBy("draw").orderBy(F.desc("score"))
+    upto = falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumns({"hits": F.sum("pos").over(upto), "taken": F.sum(F.col("pos") + F.col("neg")).over(upto)})
+    above = F.col("hits") - F.col("pos")  # positives with a larger score
+    s = F.col("score")
+    p, q = F.sum("pos"), F.sum("neg")
+    wins = F.sum(F.col("neg") * (above + F.col("pos") * 0.5))
+    metrics = counts.groupBy("draw").agg(
+        F.when((p > 0) & (q > 0), wins / (p * q)).alias("auroc"),
+        (F.sum(F.col("pos") * (1 - s) * (1 - s) + F.col("neg") * s * s) / (p + q)).alias("brier"),
+        (F.sum(F.col("pos") * clipped_nll(s, F.lit(1.0)) + F.col("neg") * clipped_nll(s, F.lit(0.0))) / (p + q)).alias("nll"),
+        F.when(p > 0, F.sum(F.col("pos") * F.col("hits") / F.col("taken")) / p).alias("step_precision"),
+    )
+    long = metrics.unpivot(["draw"], ["auroc", "brier", "nll", "step_precision"], "field", "value")
+    return percentiles(long, ["field"], "value", {"low": 0.025, "high": 0.975})
+
+
 def row_bootstrap(rows: DataFrame, metric, fields: list[str], seed: int = 20_260_710, draws: int = 2000) -> DataFrame:
     """field, low, high: runs are drawn again, and metric(rows with draw and new run_id) is evaluated for each draw; it returns draw and fields.
 
@@ -224,14 +301,7 @@ def row_bootstrap(rows: DataFrame, metric, fields: list[str], seed: int = 20_260
     runs = numbered(runs, [], F.substring("run_id", 1, 8), ["run_id"], "at").withColumn("at", F.col("at") - 1)
     size = runs.count()
 
-    def drawn(batches):
-        for _ in batches:
-            pass
-        rng = np.random.default_rng(seed)
-        for i in range(draws if size else 0):
-            yield pd.DataFrame({"draw": i, "place": np.arange(size), "at": rng.integers(0, size, size=size)})
-
-    picks = rows.sparkSession.range(0, 1, 1, 1).mapInPandas(drawn, "draw int, place long, at long")
+    picks = bootstrap_draws(rows.sparkSession, draws, size, seed)
     drawn_runs = picks.join(runs, "at").select("draw", "place", "run_id")
     resampled = drawn_runs.join(rows, "run_id").withColumn("run_id", F.concat(F.lit("boot-"), F.col("place").cast("string"), F.lit(":"), F.col("run_id"))).drop("place")
     long = metric(resampled).unpivot(["draw"], fields, "field", "value").filter("value IS NOT NULL")

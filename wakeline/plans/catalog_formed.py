@@ -240,8 +240,8 @@ def replay_delays(f: ChildFrames) -> DataFrame:
     return replay_rows(f)
 
 
-def replay_rt4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 41 children of every run against the control. Not registered: it forms and judges every run 41 times."""
+def replay_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 41 children of every run through the whole chain, against the control. Not registered: see the README for what it takes."""
     return replay_rows(ChildFrames(spark, sf_dir, replay.cells()))
 
 
@@ -294,14 +294,15 @@ def formed_models(f: FormedFrames) -> DataFrame:
 
 @formed_query()
 def scored_revisions(f: FormedFrames) -> DataFrame:
-    """Revisions of runs outside training and calibration, scored by the artefacts that they name by digest; none where no model is fitted."""
+    """Every revision with the part that its run belongs to, scored by the artefacts that it names by digest; no score where no model is fitted."""
     made = materialize(artifacts(f), "artifacts")
     named = {r["kind"]: r["digest"] for r in made.filter("status = 'fitted'").collect()}
-    rows = f.supported.select(*EPISODE, "d", "c", "kappa").join(f.train_runs.union(f.calibration_runs), "run_id", "left_anti")
+    part = F.when(F.col("at") % 10 < 5, "training").when(F.col("at") % 10 < 7, "calibration").otherwise("test").alias("part")
+    rows = f.supported.select(*EPISODE, "d", "c", "kappa").join(f.ranked_runs.select("run_id", part), "run_id")
     if not {"raw_model", "global_calibrator"} <= named.keys():
-        return rows.select(*EPISODE, "kappa", *[F.lit(None).cast("string").alias(c) for c in ("model_digest", "calibrator_digest")], *[F.lit(None).cast("double").alias(c) for c in ("z", "p")])
+        return rows.select(*EPISODE, "part", "kappa", *[F.lit(None).cast("string").alias(c) for c in ("model_digest", "calibrator_digest")], *[F.lit(None).cast("double").alias(c) for c in ("z", "p")])
     scored = models.score(rows, made, F.lit(named["raw_model"]), F.lit(named["global_calibrator"]))
-    return scored.select(*EPISODE, "kappa", "model_digest", "calibrator_digest", r9("z").alias("z"), F.when(F.col("kappa") != "out_of_support", r9("p")).alias("p"))
+    return scored.select(*EPISODE, "part", "kappa", "model_digest", "calibrator_digest", r9("z").alias("z"), F.when(F.col("kappa") != "out_of_support", r9("p")).alias("p"))
 
 
 _RECORD = """'{"axes":{"contradiction":"' || contradiction || '","coverage":"' || coverage || '","kappa":"' || kappa || '","lateness":"' || lateness || '"},"episode":"' || episode_no
@@ -317,3 +318,21 @@ def record_digests(f: FormedFrames) -> DataFrame:
     rows = f.outcomes.join(ids, EPISODE)
     record = F.struct(F.col("run_id").alias("run"), F.col("episode_no").alias("episode"), "revision", "state", axes.alias("axes"), F.col("ordered_event_ids").alias("events"))
     return rows.select(*EPISODE, record.alias("record")).select(*EPISODE, hashing.digest(F.col("record")).alias("record_digest"))
+
+
+# ---------------------------------------------------------------- bootstraps
+@formed_query()
+def bootstrap_run_metrics(f: FormedFrames) -> DataFrame:
+    """Intervals of the mean over runs of what formation reaches, whole runs drawn again."""
+    per_run = evaluation.formation_metrics(f.views, f.truth, f.edges)
+    rows = per_run.unpivot(["run_id"], ["coverage", "fragmentation", "over_merge", "contamination"], "group_key", "value")
+    out = stats.scalar_bootstrap(rows).withColumnRenamed("group_key", "metric")
+    return out.select("metric", r9("low").alias("low"), r9("high").alias("high"))
+
+
+@formed_query()
+def bootstrap_row_metrics(f: FormedFrames) -> DataFrame:
+    """Intervals of metrics of clear terminal episodes' probabilities, evaluated again for every draw of whole runs."""
+    rows = f.outcomes.join(f.labelled.select(*EPISODE, "label"), EPISODE).filter(F.col("audit") & F.col("p").isNotNull() & F.col("label").isin("positive", "negative"))
+    out = stats.weighted_bootstrap(rows.select("run_id", F.col("p").alias("score"), (F.col("label") == "positive").cast("int").alias("label")))
+    return out.select("field", "n", r9("low").alias("low"), r9("high").alias("high"))

@@ -155,3 +155,20 @@ def test_a_child_has_a_seed_of_its_own(spark):
             seed = hmac.new(bytes.fromhex(replay.SEED), f"{r['run_id']}\x1fdrop\x1fEDR\x1f{level}".encode(), hashlib.sha256).digest()
             want = int.from_bytes(hmac.new(seed, b"drop\x1fe1", hashlib.sha256).digest()[:8], "big") / 2**64
             assert r["u"] == pytest.approx(want, abs=1e-12)
+
+
+def test_lateral_sessions_know_all_addresses(spark):
+    """Reserved blocks and IPv6 count as private; public addresses, names and nulls do not."""
+    schema = "event_id int, source_family string, command_family string, protocol string, eve_event_type string, severity double, subject string, object string"
+    pairs = [("ip:10.0.0.1", "ip:100.64.0.1"), ("ip:198.18.0.1", "ip:fe80::1"), ("ip:fd00::1", "ip:::1"), ("ip:192.0.2.7", "ip:10.0.0.1"), ("ip:8.8.8.8", "ip:10.0.0.1"), ("ip:10.0.0.1", "host:a"), ("ip:10.0.0.1", None), ("ip:10.0.0.300", "ip:10.0.0.1")]
+    rows = [(i, "NDR", None, "ssh", "flow", 0.1, a, b) for i, (a, b) in enumerate(pairs)]
+    found = detectors.detector_values(spark.createDataFrame(rows, schema)).filter("detector_id = 'ndr.lateral_session.v1'")
+    import ipaddress
+
+    def private(entity):
+        try:
+            return ipaddress.ip_address(entity.partition(":")[2]).is_private
+        except (ValueError, AttributeError):
+            return False
+
+    assert sorted(r["event_id"] for r in found.collect()) == [i for i, (a, b) in enumerate(pairs) if private(a) and private(b)]

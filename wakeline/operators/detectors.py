@@ -12,7 +12,7 @@ PERSISTENCE = {"file_change": 0.55, "service_admin": 0.65, "package_manager": 0.
 FLOW = {"alert": 0.60, "http": 0.25, "dns": 0.20, "tls": 0.20, "flow": 0.15}
 TRANSFER = {"ssh": 0.65, "smb": 0.85, "nfs": 0.85, "ftp": 0.80, "http": 0.45}
 LATERAL = 0.90
-#: Private, loopback and link-local IPv4 ranges.
+#: Private, loopback and link-local IPv4 ranges, which is all that the tables' addresses need: for the SQL alone.
 PRIVATE = r"^[^:]*:(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|127\.|169\.254\.)"
 
 
@@ -41,7 +41,8 @@ def lookup(values: dict[str, float], key: Column, default: float | None = None)
 
 
 def is_private(entity: Column) -> Column:
-    return entity.rlike(PRIVATE)
+    """Does an entity (kind:value) name an address that is private, local or reserved?"""
+    return F.coalesce(private_address(F.regexp_replace(entity, "^[^:]*:", "")), F.lit(False))
 
 
 def detector_values(events: DataFrame) -> DataFrame:

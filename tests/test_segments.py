@@ -84,3 +84,16 @@ def test_conflicts_and_order(spark):
     with pytest.raises(ValueError, match="own order"):
         sg.form_segments(spark.createDataFrame(rows, SCHEMA).withColumn("arrival_seq", F.lit(1)))
     assert sg.form_segments(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_what_determinism_means(spark):
+    """Repeats and deliveries that are put in order again equal the control in every run; a reversed delivery does not."""
+    from tests.conftest import SF
+    from wakeline.plans.catalog_scale import MODES
+    import __spark_entry__ as entry
+
+    got = {r["mode"]: r for r in entry.queries()["determinism_matrix"](spark, SF).collect()}
+    assert sorted(got) == sorted(MODES)
+    for mode, r in got.items():
+        same = mode in ("control", "repeat_1", "resorted_1")
+        assert r["n_equal"] == (r["n_runs"] if same else 0), mode

@@ -9,7 +9,7 @@ from wakeline.operators import formation, lookback, segments
 from wakeline.plans.catalog import _REVISION, _flat, query
 from wakeline.plans.ctes import formed_sql, sql
 from wakeline.plans.frames import Frames
-from wakeline.sources import adapters
+from wakeline.sources import adapters, sinks
 from wakeline.sources.adapters import EPOCH_US
 
 #: The stream drawn out in time, so that a run has holes wider than the link gap.
@@ -56,3 +56,52 @@ _LOOKED_BACK = {
 def candidate_search(f: Frames) -> DataFrame:
     """The nearest earlier event that shares an event's group or one of its entities, within the gap and the span."""
     return lookback.nearest_candidates(f.norm)
+
+
+# ---------------------------------------------------------------- determinism
+#: Far above the number of events of a run.
+_FAR = 1 << 40
+#: How the events of a run are delivered: as they came (again and again), put in order again after a shuffle, or in another order.
+MODES = ["control", "repeat_1", "resorted_1", "reverse", "edr_first", "seeded_shuffle_1", "seeded_shuffle_2"]
+_DELIVERED = f"""SELECT b.* EXCLUDE (pos) REPLACE (b.run_id || '|' || m AS run_id), CASE WHEN m = 'reverse' THEN -pos
+        WHEN m = 'edr_first' THEN pos + CASE WHEN source_family = 'EDR' THEN 0 ELSE {_FAR} END
+        WHEN m = 'ndr_first' THEN pos + CASE WHEN source_family = 'NDR' THEN 0 ELSE {_FAR} END
+        WHEN m LIKE 'seeded%' THEN ('0x' || substr(sha256(m || chr(31) || event_id), 1, 15))::BIGINT ELSE pos END AS arr
+    FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ingest_us, event_us, source_instance, event_id) AS pos FROM base) b,
+        (VALUES {", ".join(f"('{m}')" for m in MODES)}) AS v(m)"""
+_MATRIX = """
+    SELECT m AS mode, count(*) AS n_runs, count_if(d = c)::BIGINT AS n_equal, count_if(s = cs)::BIGINT AS n_same_episodes, sum(n)::BIGINT AS n_revisions FROM (
+        SELECT *, first_value(d) OVER (PARTITION BY r ORDER BY m <> 'control') AS c, first_value(s) OVER (PARTITION BY r ORDER BY m <> 'control') AS cs FROM (
+            SELECT split_part(run_id, '|', 1) AS r, split_part(run_id, '|', 2) AS m, count(*) AS n,
+                sha256(string_agg(sha256('["' || array_to_string(ids, '","') || '"]'), ',' ORDER BY seq)) AS d,
+                sha256(string_agg(DISTINCT sha256('["' || array_to_string(ids, '","') || '"]'), ',' ORDER BY sha256('["' || array_to_string(ids, '","') || '"]')) FILTER (state = 'closed')) AS s
+            FROM formed GROUP BY run_id)) GROUP BY m"""
+
+
+def delivered(f: Frames) -> DataFrame:
+    """Every run in every mode, with arrival_seq. Rows of a mode are dealt out by a seed of its own before, so no mode owes anything to how they lie."""
+    events = formation.formation_input(f.norm, adapters.aliases(f.table("events")))
+    placed = segments.positions(events)
+    mode, pos = F.col("child"), F.col("pos")
+    seeded = F.conv(F.substring(F.sha2(F.concat(mode, F.lit("\x1f"), F.col("event_id")).cast("binary"), 256), 1, 15), 16, 10).cast("long")
+    behind = lambda family: pos + F.when(F.col("source_family") == family, 0).otherwise(_FAR)
+    arrival = F.when(mode == "reverse", -pos).when(mode == "edr_first", behind("EDR")).when(mode == "ndr_first", behind("NDR")).when(mode.startswith("seeded"), seeded).otherwise(pos)
+    rows = placed.withColumn("child", F.explode(F.array(*[F.lit(m) for m in MODES])))
+    return rows.withColumn("arrival_seq", arrival).drop("pos").repartition(F.xxhash64("child", "event_id"))
+
+
+@query(formed_sql(_MATRIX, norm=_DELIVERED, order="arr"))
+def determinism_matrix(f: Frames) -> DataFrame:
+    """For each mode of delivery: how many runs form the very revisions of the control, in order, and how many end with the same closed episodes."""
+    rows = sinks.materialize(formation.form_episodes(delivered(f)), "determinism")
+    each = F.sort_array(F.collect_list(F.struct("seq", "membership_digest")))
+    digests = rows.groupBy("run_id", "child").agg(
+        F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(each, lambda x: x["membership_digest"]), ","), 256).alias("d"),
+        F.sha2(F.array_join(F.array_sort(F.collect_set(F.when(F.col("state") == "closed", F.col("membership_digest")))), ","), 256).alias("s"),
+    )
+    digests = sinks.materialize(digests, "determinism-digests")
+    control = digests.filter("child = 'control'").select("run_id", F.col("d").alias("c"), F.col("s").alias("cs"))
+    joined = digests.join(control, "run_id")
+    return joined.groupBy(F.col("child").alias("mode")).agg(
+        F.count(F.lit(1)).alias("n_runs"), F.count_if(F.col("d") == F.col("c")).alias("n_equal"), F.count_if(F.col("s") == F.col("cs")).alias("n_same_episodes"), F.sum("n").alias("n_revisions"),
+    )

@@ -8,7 +8,7 @@
    partial aggregation folds a large group of copies before the shuffle.
 
 Defined results: a null text counts as empty; empty texts are equal to each other; repeated rows of an id are rows of their
-own and count in group_size (all of them share keep_id; the row kept is any one with that id); an empty table gives no rows;
+own and count in group_size (all of them share keep_id, and every row with the id that stays is marked kept); an empty table gives no rows;
 further columns are ignored, whatever their names. A null id sorts after every other id. Very long texts are compared whole; of equally long
 ones (a tie) the smaller id stays.
 """

@@ -20,7 +20,7 @@ Distances between documents without common text are all 1, so pivots drawn at ra
 shingles is what makes the regions small.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; fewer words than a shingle make one shingle
-of all of them; repeated rows of an id are copies; very long texts are shingled whole; an empty table gives no rows; further columns are ignored,
+of all of them; repeated rows of an id are copies, and an id at several texts links by each of them; very long texts are shingled whole; an empty table gives no rows; further columns are ignored,
 whatever their names; rows without an id are left out of links and are their own component (null). Of ids that tie for a class or a component
 the smallest stands for it.
 

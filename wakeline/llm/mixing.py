@@ -16,7 +16,8 @@ Targets: sources in code point order, nulls last, weigh 1, 2, 3, repeating; targ
 cap times its source's tokens, the excess reshared by weight.
 
 Defined results: null or wordless texts have size 0 and are never taken; a source without any words gets target 0; repeated
-rows count as documents of their own; an empty table gives no rows; further columns are ignored, whatever their names.
+rows count as documents of their own; documents of equal size are taken in the order of a hash of their ids; a very long text that its source's target
+has no room for is left out; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

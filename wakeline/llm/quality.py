@@ -9,7 +9,8 @@ Bounded samples (parameters): of each class the `per_class` labelled ids with th
 
 Defined results: a null text counts as empty, whose difference is the prior alone; with labels of one class or none there is nothing to
 compare, and every score is the share of good labels (1 without any); repeated rows are scored once a row; an empty table gives no
-rows; labels that are null or neither 0 nor 1 are ignored; further columns are ignored, whatever their names.
+rows; labels that are null or neither 0 nor 1 are ignored; very long texts are compressed whole, block by block; a score of just the threshold counts
+as good; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

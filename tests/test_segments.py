@@ -87,13 +87,20 @@ def test_conflicts_and_order(spark):
 
 
 def test_what_determinism_means(spark):
-    """Repeats and deliveries that are put in order again equal the control in every run; a reversed delivery does not."""
-    from tests.conftest import SF
-    from wakeline.plans.catalog_scale import MODES
+    """Repeats and deliveries that are put in order again equal the control in every run; a reversed delivery does not. All figures against the SQL."""
+    import duckdb
+
     import __spark_entry__ as entry
+    from tests.conftest import SF
+    from wakeline.plans.catalog_scale import DETERMINISM_SQL, MODES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(DETERMINISM_SQL).fetchall()}
 
     got = {r["mode"]: r for r in entry.queries()["determinism_matrix"](spark, SF).collect()}
     assert sorted(got) == sorted(MODES)
     for mode, r in got.items():
         same = mode in ("control", "repeat_1", "resorted_1")
         assert r["n_equal"] == (r["n_runs"] if same else 0), mode
+        assert (r["n_runs"], r["n_equal"], r["n_same_episodes"], r["n_revisions"]) == want[mode], mode

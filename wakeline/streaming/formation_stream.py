@@ -8,7 +8,8 @@ The clock is the run's own (largest ingest time seen), so Spark's watermark is n
 of arrival; the result equals the batch form if batches arrive in that order. The state of a run holds no more than the retention time.
 
 With idle_s, a run that has been silent for so many seconds of processing time is ended by a timer: its lineages are finalized and closed, as at the
-end of a batch. Events that come afterwards are judged by the clock that this has set. Late records and rejected events come out beside the
+end of a batch. Events that come afterwards are judged by the clock that this has set. A query with timers runs on under the trigger availableNow, so give
+it one of processing time. Late records and rejected events come out beside the
 revisions, told apart by `kind`.
 """
 
@@ -247,7 +248,7 @@ class FormationProcessor(StatefulProcessor):
         self.run.update(former.run)
         return pd.DataFrame(out, columns=COLUMNS).astype({c: "Int64" for c in WHOLE})
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         former = self._former()
         pdf = pd.concat(list(rows)).sort_values(["ingest_us", "event_us", "source_instance", "event_id"], kind="stable")
         for row in pdf[EVENT_COLUMNS].to_dict("records"):
@@ -255,10 +256,10 @@ class FormationProcessor(StatefulProcessor):
         if self.idle_s is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + 1000 * self.idle_s)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 1000 * self.idle_s)
         yield self._close(key, former)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         former = self._former()
         former.flush()
         yield self._close(key, former)

@@ -90,3 +90,14 @@ def test_canonical_records(spark):
     assert got[1] == '{"a":"","b":0.1,"n":"t","s":null,"\U0001f600":null,"דּ":null}'
     with pytest.raises(Exception, match="beyond 2"):
         spark.sql(f"SELECT struct({1 << 53} AS a) AS r").select(hashing.canonical(F.col("r"))).collect()
+
+
+@pytest.mark.parametrize("value", ["double('NaN')", "double('Infinity')", "float('-Infinity')", "-0D"])
+@pytest.mark.parametrize("shape", ["struct({} AS a)", "struct('t' AS t, array(struct(1D AS x), struct({} AS x)) AS a)", "map('k', array({}))"])
+def test_canonical_refuses_what_json_has_no_number_for(spark, value, shape):
+    with pytest.raises(Exception, match="finite"):
+        spark.sql(f"SELECT {shape.format(value)} AS r").select(hashing.canonical(F.col("r"))).collect()
+
+
+def test_canonical_takes_the_word(spark):
+    assert spark.sql("SELECT struct('NaN' AS a, CAST(NULL AS double) AS b) AS r").select(hashing.canonical(F.col("r"))).first()[0] == '{"a":"NaN","b":null}'

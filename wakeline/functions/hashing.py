@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -104,14 +105,31 @@ def text_digest(text: str) -> str:
 
 def canonical(record: Column) -> Column:
     """Canonical JSON of a whole nested record (structs, maps, arrays, text, whole numbers, doubles, booleans, nulls): keys by UTF-16 units, no spaces,
-    shortest numbers. Fails on NaN, infinities, negative zero, and whole numbers beyond 2**53 - 1. Records cross to Python as JSON, in batches."""
-    return _canonical(F.to_json(F.named_struct(F.lit("r"), record), {"ignoreNullFields": "false"}))
+    shortest numbers. Fails on NaN, infinities, negative zero, and whole numbers beyond 2**53 - 1. Records cross to Python as JSON, in batches, and once
+    more as they are: JSON writes NaN as the text "NaN", so only the numbers themselves tell."""
+    return _canonical(record, F.to_json(F.named_struct(F.lit("r"), record), {"ignoreNullFields": "false"}))
 
 
 def digest(record: Column) -> Column:
     return F.sha2(canonical(record), 256)
 
 
-@F.pandas_udf(StringType())
-def _canonical(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: canonical_json(json.loads(t)["r"]))
+def _all_finite(values: pa.Array) -> bool:
+    """No NaN and no infinity at any depth."""
+    kind = values.type
+    if pa.types.is_floating(kind):
+        return pc.all(pc.is_finite(values)).as_py() is not False
+    if pa.types.is_struct(kind):
+        return all(map(_all_finite, values.flatten()))
+    if pa.types.is_map(kind):
+        return _all_finite(values.keys) and _all_finite(values.items)
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        return _all_finite(values.flatten())
+    return True
+
+
+@F.arrow_udf(StringType())
+def _canonical(records: pa.Array, texts: pa.Array) -> pa.Array:
+    if not _all_finite(records):
+        raise ValueError("a number that is not finite")
+    return pa.array([None if t is None else canonical_json(json.loads(t)["r"]) for t in texts.to_pylist()], pa.string())

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.operators import oplog
+from wakeline.operators import assembly, oplog
 from wakeline.plans.catalog import query
 from wakeline.plans.ctes import sql
-from wakeline.plans.frames import Frames
+from wakeline.plans.frames import EPISODE, Frames
 from wakeline.sources import bundles, sinks
 
 
@@ -21,7 +21,7 @@ def _folder(f: Frames, name: str) -> str:
 # ---------------------------------------------------------------- scans
 #: Lines of a file. Small, as the test tables are.
 FILE_LINES = 500
-#: A line for each event: an object, or what a scan has to reject. An event without a value of `k` that ends in 9 is whole.
+#: A line for each event: an object, or what a scan has to reject.
 _LINE = """CASE WHEN k % 16 = 3 THEN '' WHEN k % 16 = 5 THEN '[' || event_id || ']' WHEN k % 16 = 7 THEN '{"k": NaN}'
     WHEN k % 16 = 9 THEN '{"object_type": "' || event_type || '"' WHEN k % 16 = 11 THEN '{"k": 9007199254740993}' WHEN k % 16 = 13 THEN '{"k": ' || k || '}'
     ELSE '{"object_type": "' || event_type || '", "event_id": ' || event_id || ', "k": ' || k || '}' END"""
@@ -121,3 +121,57 @@ def store_states(f: Frames) -> DataFrame:
 def store_property_table(f: Frames) -> DataFrame:
     """Which properties each design kept over the whole log: the ablation of the store's contract."""
     return oplog.store_properties(_folded(f))
+
+
+# ---------------------------------------------------------------- terminal records under faults
+#: No fault, each fault alone, and each with all faults of lower rank.
+FAULTS = ["none", *assembly.CODES, *[f"{c}+" for c in assembly.CODES]]
+_VERSIONS = {t: f"{t}.v1" for t in assembly.INPUTS[1:]}
+_LIMIT_US = 60_000_000
+_RANK = "CASE " + " ".join(f"WHEN fault IN ('{c}', '{c}+') THEN {i}" for i, c in enumerate(assembly.CODES)) + " ELSE 7 END"
+
+
+def _faulty(f: Frames) -> tuple[DataFrame, DataFrame]:
+    """Every episode of fixed bins once a fault, and its seven inputs (no coverage where a family has none), spoilt by the fault.
+
+    What an input says is the episode's own; the fault is what is put in, as in a test of conformance.
+    """
+    rows = f.supported.withColumn("fault", F.explode(F.array(*[F.lit(x) for x in FAULTS])))
+    own = F.sha2(F.concat_ws("|", *EPISODE).cast("binary"), 256)
+    has = lambda code: (F.col("fault") == code) | (F.col("fault").endswith("+") & (F.expr(_RANK) <= assembly.CODES.index(code)))
+    elapsed = F.when(has("assembly_timeout"), _LIMIT_US + 1).otherwise(_LIMIT_US).cast("long")
+    revisions = rows.select(*EPISODE, "fault", own.alias("revision_digest"), elapsed.alias("elapsed_us"))
+    says = F.to_json(F.struct(*EPISODE, "kappa"))
+    each = []
+    for kind in assembly.INPUTS:
+        content = F.concat(F.lit(kind), F.lit(":"), says)
+        there = ~F.lit(kind == "SourceCoverage") | ~(F.col("e_missing") | F.col("n_missing") | has("missing_input"))
+        one = F.struct(
+            F.lit(kind).alias("input_type"), (~(F.lit(kind == "RawLogit") & has("schema_invalid"))).alias("valid"),
+            F.when(F.lit(kind == "SupportDecision") & has("key_mismatch"), F.lit("other")).otherwise(own).alias("revision_digest"), content.alias("content"),
+            F.when(F.lit(kind == "UProfile") & has("digest_mismatch"), F.sha2(F.lit("else"), 256)).otherwise(F.sha2(content.cast("binary"), 256)).alias("stated_digest"),
+            F.when(F.lit(kind == "CalibratedProbability") & has("version_mismatch"), F.lit("v0")).otherwise(F.lit(f"{kind}.v1")).alias("version"),
+        )
+        each.append(F.when(there, one))
+        if kind == "FeatureVector":
+            twin = F.concat(content, F.lit("!"))
+            each.append(F.when(has("conflicting_duplicate"), one.withField("content", twin).withField("stated_digest", F.sha2(twin.cast("binary"), 256))))
+    return revisions, rows.select(*EPISODE, "fault", F.inline(F.array_compact(F.array(*each))))
+
+
+_FAULT_VALUES = ", ".join(f"('{x}')" for x in FAULTS)
+_CODE = "CASE " + " ".join(f"WHEN code_at = {i} THEN '{c}'" for i, c in enumerate(assembly.CODES)) + " END"
+
+
+@query(sql(f"""SELECT run_id, fault, {_CODE} AS failure_code, count(*) AS n_episodes, sum(7 - uncovered::INT)::BIGINT AS n_observed,
+    sum(7 - uncovered::INT + twin::INT)::BIGINT AS n_inputs FROM (
+    SELECT *, least(rank, CASE WHEN gone THEN 5 ELSE 7 END) AS code_at FROM (
+        SELECT run_id, fault, e_missing OR n_missing AS gone, e_missing OR n_missing OR fault = 'missing_input' OR (fault LIKE '%+' AND {_RANK} <= 5) AS uncovered,
+            fault = 'conflicting_duplicate' OR (fault LIKE '%+' AND {_RANK} <= 2) AS twin, {_RANK} AS rank FROM support, (VALUES {_FAULT_VALUES}) AS v(fault)))
+    GROUP BY run_id, fault, failure_code""", "support"))
+def assembly_conformance(f: Frames) -> DataFrame:
+    """How many episodes of each run end with which terminal record, under no fault, each fault, and each with all of lower rank."""
+    ended = assembly.assemble(*_faulty(f), [*EPISODE, "fault"], _VERSIONS, _LIMIT_US)
+    return ended.groupBy("run_id", "fault", "failure_code").agg(
+        F.count(F.lit(1)).alias("n_episodes"), F.sum(F.size("observed")).cast("long").alias("n_observed"), F.sum("n_inputs").cast("long").alias("n_inputs"),
+    )

@@ -84,3 +84,25 @@ def nearest_candidates(events: DataFrame, gap_us: int = 300 * SECOND, span_us: i
         "run_id", "event_id", F.col("best.id").alias("candidate_id"), (F.col("event_us") - F.col("best.us")).alias("delta_us"), (F.col("event_us") - F.col("how.start_us")).alias("span_us"),
         F.col("how.keys").alias("keys"), F.when(F.col("how.kind") == 1, "group").otherwise("entity").alias("shared"),
     )
+
+
+def relations(links: DataFrame, events: DataFrame) -> DataFrame:
+    """run_id, event_id, candidate_id, relations (comma-joined, in this order) of links between two events (event_id is unique):
+
+        endpoint_connection    they share an entity, and come from sources of different families
+        authenticated_session  they share an entity, and both are of a session
+        process_causal         they are of one group
+        specific_entity        they share an entity
+    """
+    session = F.coalesce(F.col("command_family") == "remote_session", F.lit(False)) | F.coalesce(F.col("protocol") == "ssh", F.lit(False))
+    side = F.struct(F.array("subject", "object").alias("entities"), F.col("source_family").alias("family"), session.alias("session"), F.col("dependency_group").alias("grp"))
+    sides = events.select("event_id", side.alias("side"))
+    both = links.select("run_id", "event_id", "candidate_id").join(sides.withColumnRenamed("side", "a"), "event_id")
+    both = both.join(sides.select(F.col("event_id").alias("candidate_id"), F.col("side").alias("b")), "candidate_id")
+    shared = F.coalesce(F.arrays_overlap("a.entities", "b.entities"), F.lit(False))
+    kinds = {
+        "endpoint_connection": shared & (F.col("a.family") != F.col("b.family")), "authenticated_session": shared & F.col("a.session") & F.col("b.session"),
+        "process_causal": F.col("a.grp") == F.col("b.grp"), "specific_entity": shared,
+    }
+    names = F.array_compact(F.array(*[F.when(holds, F.lit(name)) for name, holds in kinds.items()]))
+    return both.select("run_id", "event_id", "candidate_id", F.array_join(names, ",").alias("relations"))

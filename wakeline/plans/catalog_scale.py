@@ -58,6 +58,17 @@ def candidate_search(f: Frames) -> DataFrame:
     return lookback.nearest_candidates(f.norm)
 
 
+@query(sql("""SELECT l.run_id, l.event_id, candidate_id, array_to_string(list_filter([
+        CASE WHEN s AND a.source_family <> b.source_family THEN 'endpoint_connection' END, CASE WHEN s AND a.ses AND b.ses THEN 'authenticated_session' END,
+        CASE WHEN a.dependency_group = b.dependency_group THEN 'process_causal' END, CASE WHEN s THEN 'specific_entity' END], lambda x: x IS NOT NULL), ',') AS relations
+    FROM (SELECT run_id, event_id, p_id AS candidate_id FROM offers QUALIFY row_number() OVER (PARTITION BY run_id, event_id ORDER BY p_us DESC, p_id DESC) = 1) l
+    JOIN sides a ON a.event_id = l.event_id JOIN sides b ON b.event_id = candidate_id, LATERAL (SELECT a.subject IN (b.subject, b.object) OR a.object IN (b.subject, b.object) AS s)""",
+    "norm", steps=_LOOKED_BACK | {"sides": "SELECT *, coalesce(command_family = 'remote_session', false) OR coalesce(protocol = 'ssh', false) AS ses FROM norm"}))
+def candidate_relations(f: Frames) -> DataFrame:
+    """The classes of relation between an event and its nearest candidate, be it of the same group or of a shared entity alone."""
+    return lookback.relations(lookback.nearest_candidates(f.norm), f.norm)
+
+
 # ---------------------------------------------------------------- determinism
 #: Far above the number of events of a run.
 _FAR = 1 << 40

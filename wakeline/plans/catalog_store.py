@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.operators import assembly, oplog
+from wakeline.plans import catalog_study
 from wakeline.plans.catalog import query
+from wakeline.plans.catalog_study import _REGISTRY
 from wakeline.plans.ctes import sql
 from wakeline.plans.frames import EPISODE, Frames
-from wakeline.sources import bundles, sinks
+from wakeline.sources import adapters, bundles, sealed, sinks
 
 
 def _folder(f: Frames, name: str) -> str:
@@ -175,3 +177,29 @@ def assembly_conformance(f: Frames) -> DataFrame:
     return ended.groupBy("run_id", "fault", "failure_code").agg(
         F.count(F.lit(1)).alias("n_episodes"), F.sum(F.size("observed")).cast("long").alias("n_observed"), F.sum("n_inputs").cast("long").alias("n_inputs"),
     )
+
+
+# ---------------------------------------------------------------- sealed runs
+_TRUTH = {"end_us": "n:end_us", "group_id": "t:group_id", "run_id": "t:run_id", "start_us": "n:start_us"}
+_WANTED = "status = 'sealed' AND partition = 'locked_test'"
+_SUMS = ", ".join(f"sum(('0x' || substr(d, {16 * i + 1}, 15))::BIGINT::HUGEINT)::VARCHAR" for i in range(4))
+
+
+@query(sql(f"""SELECT run_id, name, n_records, sha256(whole) AS run_digest FROM (
+        SELECT run_id, name, count(*) AS n_records FROM digests GROUP BY ALL) JOIN (
+        SELECT run_id, concat_ws('|', count(*)::VARCHAR, {_SUMS}) AS whole FROM digests GROUP BY run_id) USING (run_id)
+    WHERE run_id IN (SELECT run_id FROM ({_REGISTRY}) WHERE {_WANTED})""", "norm", "cov", "truth", steps={
+    "digests": f"""SELECT run_id, name, sha256(name || chr(31) || record) AS d FROM (
+        SELECT run_id, 'inputs/' || source_instance AS name, {_object(_EVENT)} AS record FROM norm UNION ALL
+        SELECT run_id, 'health/' || source_instance, {_object(_HEALTH)} FROM cov UNION ALL SELECT run_id, 'offline/truth', {_object(_TRUTH)} FROM truth)""",
+}))
+def sealed_inputs(f: Frames) -> DataFrame:
+    """All runs sealed as one bundle (events and coverage of three sources, ground truth), then the sealed runs for tests loaded again: the digests found
+    in the bundle must be those that the registry took from the tables."""
+    path = _folder(f, "sealed")
+    sources = [instance for _, instance, _ in adapters.INSTANCES]
+    at = lambda df, i, names: df.filter(F.col("source_instance") == i).select(*names)
+    frames = {f"inputs/{i}": at(f.norm, i, _EVENT) for i in sources} | {f"health/{i}": at(f.coverage, i, _HEALTH) for i in sources} | {"offline/truth": f.truth.select(*_TRUTH)}
+    registry = sinks.materialize(sealed.seal(frames, catalog_study.registry(f), path), "sealed-registry")
+    records = sealed.load_sealed(f.spark, path, registry, registry.filter(_WANTED))
+    return records.groupBy("run_id", "name").agg(F.count(F.lit(1)).alias("n_records")).join(registry.select("run_id", "run_digest"), "run_id")

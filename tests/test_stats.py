@@ -151,3 +151,10 @@ def test_registered_draws(spark, monkeypatch):
 
     entry.queries()["paired_bootstrap"](spark, SF)
     assert asked == [2000]
+
+
+def test_shift_wording(spark):
+    rows = [(0.2, 0.1, 0.3), (-0.2, -0.3, -0.1), (0.2, -0.1, 0.5), (0.2, 0.0, 0.5), (-0.2, -0.4, 0.0), (None, None, None)]
+    df = spark.createDataFrame(rows, "m double, l double, h double")
+    got = [r[0] for r in df.select(stats.shift_wording(F.col("m"), F.col("l"), F.col("h"))).collect()]
+    assert got == ["observed_positive_shift", "observed_negative_shift", *["not_statistically_resolved"] * 3, None]

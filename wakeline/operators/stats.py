@@ -71,6 +71,12 @@ def paired_bootstrap(paired: DataFrame, draws: int = 2000, seed: int = 20_260_71
     return spark.createDataFrame([(row["mean"], low, high, row["wins"], row["ties"], row["losses"], sign_test(row["wins"], row["losses"]))], "mean_delta double, low double, high double, wins long, ties long, losses long, p_value double")
 
 
+def shift_wording(mean: Column, low: Column, high: Column) -> Column:
+    """What a paired difference may be called: its interval must leave out zero (ends included) for its sign to count. Null where nothing was paired."""
+    resolved = F.when(mean > 0, "observed_positive_shift").otherwise("observed_negative_shift")
+    return F.when(mean.isNull() | low.isNull() | high.isNull(), None).when((low <= 0) & (high >= 0), "not_statistically_resolved").otherwise(resolved)
+
+
 def sign_test(wins: int, losses: int) -> float:
     """Exact two-sided binomial test that wins and losses are equally likely."""
     n, k = wins + losses, min(wins, losses)

@@ -117,7 +117,8 @@ def _numbered_deltas(f: Frames) -> DataFrame:
 
 @query()
 def paired_bootstrap(f: Frames) -> DataFrame:
-    return stats.paired_bootstrap(_numbered_deltas(f))
+    rows = stats.paired_bootstrap(_numbered_deltas(f))
+    return rows.withColumn("interpretation", stats.shift_wording(F.col("mean_delta"), F.col("low"), F.col("high")))
 
 
 @query()

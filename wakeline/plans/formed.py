@@ -21,6 +21,10 @@ VERSIONS_DIFFER, NOT_CALIBRATED, GROUPED, CONFLICTING = (11, 7), (13, 4), (3, 1)
 GLOBAL, GROUP = (1.2, -0.1), (0.8, 0.2)
 
 
+#: What of an event its episodes are described by.
+_EVENT = ["event_us", "source_family", "action", "dependency_group", "command_family", "protocol", "subject", "object", "eve_event_type", "severity", "endpoint_key", "endpoint_host", "parent_pid"]
+
+
 def marked(rule: tuple[int, int]) -> Column:
     return F.substring("run_id", 5, 9).cast("int") % rule[0] == rule[1]
 
@@ -38,19 +42,23 @@ def episode_no() -> Column:
 
 
 class FormedFrames(Frames):
-    """As Frames, but `members` are the events of formed revisions; episode_no is the episode's id and revision."""
+    """As Frames, but `members` are the events of formed revisions; episode_no is the episode's id and revision.
+
+    An episode only grows, so what its revisions hold follows from the revision since which each event belongs to it (`since`): a row for an event and
+    episode. Every revision with every event (`members`) is many times the input, and is made only for queries that return it.
+    """
 
     @functools.cached_property
     def aliased(self) -> DataFrame:
-        return formation.formation_input(self.norm, adapters.aliases(self.table("events")))
+        return materialize(formation.formation_input(self.norm, adapters.aliases(self.table("events"))), "formed-events")
 
     @functools.cached_property
     def revisions(self) -> DataFrame:
         return materialize(formation.form_episodes(self.aliased), "revisions")
 
-    @property
+    @functools.cached_property
     def last(self) -> DataFrame:
-        return terminal(self.revisions).select("run_id", episode_no().alias("episode_no"))
+        return materialize(terminal(self.revisions.select("run_id", "builder", "episode_id", "revision", "seq", "state", "parent_episode_ids")).select("run_id", "episode_id", "revision"), "formed-last")
 
     @functools.cached_property
     def members(self) -> DataFrame:
@@ -58,6 +66,23 @@ class FormedFrames(Frames):
         ids = self.revisions.select("run_id", episode_no().alias("episode_no"), F.explode("ordered_event_ids").alias("event_id"))
         return materialize(ids.join(self.norm, ["run_id", "event_id"]), "formed-members")
 
+    @functools.cached_property
+    def since(self) -> DataFrame:
+        """The events of every episode, with the revision since which they belong to it."""
+        ids = self.revisions.select("run_id", "episode_id", "revision", F.explode("ordered_event_ids").alias("event_id"))
+        first = ids.groupBy("run_id", "event_id", "episode_id").agg(F.min("revision").alias("since"))
+        return materialize(first.join(self.norm.select("run_id", "event_id", *_EVENT), ["run_id", "event_id"]), "formed-since")
+
+    @property
+    def last_members(self) -> DataFrame:
+        """The events of terminal revisions."""
+        last = self.last.withColumn("episode_no", episode_no())
+        return self.since.join(last, ["run_id", "episode_id"]).filter("since <= revision")
+
+    @property
+    def bounds(self) -> DataFrame:
+        return self.revisions.select("run_id", episode_no().alias("episode_no"), F.col("event_us_start").alias("start_us"), F.col("event_us_end").alias("end_us"), F.size("ordered_event_ids").cast("long").alias("n_events"))
+
     @property
     def truth(self) -> DataFrame:
         edr = self.norm.filter("source_family = 'EDR'").select("run_id", "event_id", "event_us", "endpoint_key", "action", "command_family")
@@ -71,7 +96,7 @@ class FormedFrames(Frames):
 
     @functools.cached_property
     def views(self) -> DataFrame:
-        rows = self.members.select(*EPISODE, "event_id", "event_us", "action", "command_family").join(self.last, EPISODE, "left_semi")
+        rows = self.last_members.select(*EPISODE, "event_id", "event_us", "action", "command_family")
         rows = rows.join(self.aliased.select("run_id", "event_id", "subject", "object"), ["run_id", "event_id"])
         tokens = F.array_compact(F.array("action", F.concat(F.lit("command_family:"), "command_family")))
         views = rows.groupBy(*EPISODE).agg(F.min("event_us").alias("start_us"), F.max("event_us").alias("end_us"), _flat_set(F.array("subject", "object")).alias("entities"), _flat_set(tokens).alias("tokens"))
@@ -90,37 +115,56 @@ class FormedFrames(Frames):
         return evaluation.episode_labels(self.views, self.edges, self.conflicts)
 
     @property
-    def ecdf(self) -> DataFrame:
-        """Against the negative episodes of the training runs; a detector that none of them has a value of gives nothing."""
-        return detectors.ecdf(self.dedup, self.negative_cohort, uncovered="null").filter("normalized IS NOT NULL")
+    def negative_cohort(self) -> DataFrame:
+        negative = self.labelled.filter("label = 'negative'").join(self.train_runs, "run_id").select(*EPISODE)
+        return detectors.deduplicate(detectors.detector_values(self.last_members.join(negative, EPISODE, "left_semi")), EPISODE)
 
     @functools.cached_property
+    def _moments(self) -> DataFrame:
+        """Every revision with its features (against the negative episodes of the training runs; a detector that none of them has a value of gives nothing),
+        its support and what contradicts in it."""
+        key, each = ["run_id", "episode_id"], detectors.detector_values(self.since)
+        steps = each.groupBy(*key, "source_family", "detector_id", "dependency_group", "value").agg(F.min("since").alias("since"))
+        table = detectors.ecdf_table(each, self.negative_cohort, uncovered="null").filter("normalized IS NOT NULL")
+        # What a task puts together is many times what it reads, so partitions are cut by the rows to make.
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.revisions.count() // 50_000)
+        part = lambda rows: rows.repartition(parts, *key)
+        steps = part(steps.join(table, ["detector_id", "value"]).drop("value"))
+        own = part(self.revisions.select(*key, "revision", "state", "late_evidence_reason", F.floor(F.col("event_us_end") / (adapters.COVERAGE_S * adapters.SECOND)).alias("slot")))
+        facts = part(support.contradiction_since(self.since, key))
+        own = own.join(facts, key).withColumn("contradiction", support.contradiction_at("revision")).filter("contradiction IS NOT NULL").drop("fact_since", "gap_since", "clash_since")
+        rows = detectors.growing_vectors(own, steps, key, "revision", ["state", "late_evidence_reason", "slot", "contradiction"])
+        rows = support.observed(rows.join(self._sides, ["run_id", "slot"])).drop("slot")
+        group = F.when(marked(GROUPED), F.lit("group"))
+        return materialize(support.decide_support(rows, ~marked(VERSIONS_DIFFER), ~marked(NOT_CALIBRATED), group).withColumn("episode_no", episode_no()), "formed-support")
+
+    @property
+    def _sides(self) -> DataFrame:
+        """Both families' health by run and interval: what covers an episode's end depends on the interval that it lies in."""
+        width = adapters.COVERAGE_S * adapters.SECOND
+        slots = self.revisions.select("run_id", F.floor(F.col("event_us_end") / width).alias("slot")).distinct()
+        at = support.coverage_at(slots.withColumn("at_us", F.col("slot") * width), self.coverage, "at_us", ["run_id", "slot"])
+        return support.both_families(support.family_health(at, ["run_id", "slot"]), ["run_id", "slot"])
+
+    @property
     def features(self) -> DataFrame:
         """Also for revisions without any eligible value: d and c are 0."""
-        some = detectors.feature_vectors(self.ecdf, EPISODE)
-        counts = {c: 0 for c in ("c", "eligible_count", "edr_detected", "ndr_detected")}
-        return materialize(self.members.select(*EPISODE).distinct().join(some, EPISODE, "left").fillna({"d": 0.0, **counts}), "formed-features")
+        return self._moments.select(*EPISODE, "d", "c", "eligible_count", "edr_detected", "ndr_detected")
 
-    @functools.cached_property
+    @property
     def supported(self) -> DataFrame:
-        sides = support.both_families(self.health, EPISODE)
-        rows = support.observed(self.features.join(sides, EPISODE))
-        group = F.when(marked(GROUPED), F.lit("group"))
-        return materialize(support.decide_support(rows, ~marked(VERSIONS_DIFFER), ~marked(NOT_CALIBRATED), group), "formed-support")
+        return self._moments.drop("episode_id", "revision", "state", "late_evidence_reason", "contradiction")
 
-    @functools.cached_property
+    @property
     def outcomes(self) -> DataFrame:
         """A row for each revision: an audit, or a failure where a source's record is missing; logit, probability, and the five axes."""
-        state = self.revisions.select("run_id", episode_no().alias("episode_no"), "episode_id", "revision", "state", "late_evidence_reason")
-        rows = self.supported.join(support.contradiction(self.members, EPISODE), EPISODE).join(state, EPISODE)
         z = detectors.logit(F.col("d"), F.col("c"))
         p = lambda c: detectors.sigmoid(c[0] * F.col("z") + c[1])
         missing = F.col("e_missing") | F.col("n_missing")
-        rows = rows.withColumn("z", z).withColumns({
+        return self._moments.withColumn("z", z).withColumns({
             "p": F.when(F.col("kappa") == "supported_group", p(GROUP)).when(F.col("kappa") == "supported_global", p(GLOBAL)), "audit": ~missing, "coverage": support.sufficiency_coverage(),
             "provenance": F.when(missing, "missing").otherwise("complete"), "lateness": support.lateness(),
         })
-        return materialize(rows, "formed-outcomes")
 
 
 def _flat_set(values: Column) -> Column:

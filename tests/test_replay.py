@@ -39,3 +39,12 @@ def test_seven_delays(spark):
     moved = replay.shifted(norm).alias("s").join(norm.alias("n"), ["run_id", "event_id"]).filter("s.ingest_us <> n.ingest_us")
     moved = moved.groupBy("run_id", "child").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("s.ingest_us") - F.col("n.ingest_us")).alias("by")).collect()
     assert len(moved) == 6 * len(by_run) and all(r["k"] == 1 and r["by"] == int(r["child"]) * 1_000_000 for r in moved)
+
+
+def test_only_reordered_children_are_numbered(spark):
+    """All children were numbered by arrival, which moved every child's rows twice more; formation takes events in that order anyway."""
+    events = formation.formation_input(Frames(spark, SF).norm)
+    rows = replay.children(events, [c for c in replay.cells() if c[0] in ("delay", "reorder") and c[2] == 30])
+    got = {r["child"]: (r["numbered"], r["n"]) for r in rows.groupBy("child").agg(F.count("arrival_seq").alias("numbered"), F.count(F.lit(1)).alias("n")).collect()}
+    total = events.count()
+    assert got == {"delay:EDR:30": (0, total), "delay:NDR:30": (0, total), "reorder:EDR:30": (total, total), "reorder:NDR:30": (total, total)}

@@ -91,18 +91,19 @@ def child_key(intervention: str, family: str, level) -> str:
 
 
 def children(events: DataFrame, some: list[tuple] | None = None) -> DataFrame:
-    """Every run in every cell of the design, with arrival_seq: rows keyed by (run_id, child). events should be written, as each cell reads them."""
-    acts = {"control": lambda e, *_: e, "mask": lambda e, family, _: mask(e, family), "drop": drop, "burst": burst, "delay": delay, "skew": skew, "duplicate": duplicate}
-    told, moved = None, None
+    """Every run in every cell of the design: rows keyed by (run_id, child). events should be written, as each cell reads them.
+
+    arrival_seq is null where a child's events arrive in the order of their times, which is formation's own. Children cross the network once, to be
+    partitioned by run and child.
+    """
+    acts = {"control": lambda e, *_: e, "mask": lambda e, family, _: mask(e, family), "drop": drop, "burst": burst, "delay": delay, "skew": skew, "duplicate": duplicate, "reorder": reorder}
+    parts, out = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), events.count() // 20_000), None
     for name, family, level in some or cells():
-        child = F.lit(child_key(name, family, level)).alias("child")
-        if name == "reorder":
-            rows = reorder(events, family, level).select("*", child)
-            moved = rows if moved is None else moved.unionByName(rows)
-        else:
-            rows = acts[name](events, family, level).select(*events.columns, child)
-            told = rows if told is None else told.unionByName(rows)
-    return arrival(told) if moved is None else moved if told is None else arrival(told).unionByName(moved)
+        rows = acts[name](events, family, level)
+        place = F.col("arrival_seq") if name == "reorder" else F.lit(None).cast("long")
+        rows = rows.select(*events.columns, F.lit(child_key(name, family, level)).alias("child"), place.alias("arrival_seq"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.repartition(parts, "run_id", "child")
 
 
 def shifted(events: DataFrame) -> DataFrame:

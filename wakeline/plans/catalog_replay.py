@@ -233,9 +233,10 @@ def replay_outcomes(f: Frames) -> DataFrame:
 
     A child without events has no episodes; a burst that fits nowhere in a run leaves it as it is and is not valid.
     """
-    norm = sinks.materialize(f.norm, "replay-norm")
+    norm = f.norm
     closed = F.when(F.col("state") == "closed", (F.col("watermark_us") - F.col("event_us_end")) / 1_000_000)
-    formed = formation.form_episodes(formation.formation_input(replay.children(norm), adapters.aliases(f.table("events"))))
+    events = sinks.materialize(formation.formation_input(norm, adapters.aliases(f.table("events"))), "replay-events")  # once a run, not once a child
+    formed = formation.form_episodes(replay.children(events))
     counts = sinks.materialize(formed.groupBy("run_id", "child").agg(F.count(F.lit(1)).alias("revisions"), F.countDistinct("episode_id").alias("episodes"), F.avg(closed).alias("stable_s")), "replay-counts")
     family = F.col("source_family")
     runs = norm.groupBy("run_id").agg(F.max("event_us").alias("last"), *[F.min(F.when(family == s, F.col("event_us"))).alias(s) for s in ("EDR", "NDR")])

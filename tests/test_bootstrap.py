@@ -47,3 +47,9 @@ def test_draws_are_not_broadcast(spark, capsys):
     stats.resampled_means(spark.range(9000).selectExpr("id AS at", "1.0 AS delta"), 9000, 2000, 1).explain()
     plan = capsys.readouterr().out
     assert "Inner, BuildRight" in plan and plan.index("MapInPandas") < plan.index("BroadcastExchange")
+
+
+def test_weights_are_not_broadcast(spark, capsys):
+    weights = stats.bootstrap_draws(spark, 50, 200, 9, counted=True)
+    stats._weighed(weights, spark.range(400_000).selectExpr("id AS at", "0.5D AS score", "1L AS pos", "0L AS neg")).explain()
+    assert "Inner, BuildRight" in capsys.readouterr().out

@@ -55,8 +55,8 @@ def hub_injection(f: Frames) -> DataFrame:
     """Episodes with and without the hub guard on streams with and without an injected hub."""
     names, out = adapters.aliases(f.table("events")), None
     for label, rows in (("raw", f.norm), ("injected", with_hub_load(f.norm))):
-        formed = formation.form_episodes(formation.formation_input(rows, names), ["full", "no_guards"])
-        part = formed.groupBy("builder").agg(F.countDistinct("run_id", "episode_id").alias("n_episodes"), F.count(F.lit(1)).alias("n_revisions")).withColumn("stream", F.lit(label))
+        formed = formation.form_rolls(formation.formation_input(rows, names), ["full", "no_guards"])
+        part = formed.groupBy("builder").agg(F.count_if(F.col("revision") == 0).alias("n_episodes"), F.count(F.lit(1)).alias("n_revisions")).withColumn("stream", F.lit(label))
         out = part if out is None else out.unionByName(part)
     return out
 

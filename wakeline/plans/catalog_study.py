@@ -11,7 +11,7 @@ from wakeline.operators import builders, detectors, evaluation, firewall, format
 from wakeline.plans.catalog import FORBIDDEN, band_links, query, r9
 from wakeline.plans.catalog_formed import formed_query
 from wakeline.plans.ctes import formed_sql, sql
-from wakeline.plans.formed import FormedFrames, terminal
+from wakeline.plans.formed import FormedFrames
 from wakeline.plans.frames import Frames
 from wakeline.sources import adapters, sinks
 
@@ -193,7 +193,7 @@ _OUTAGE = f"""SELECT j.run_id, cell_id, comparator, any_value(array_to_string(li
 @formed_query(formed_sql(_OUTAGE, "outcome"))
 def outage_comparison(f: FormedFrames) -> DataFrame:
     """What an outage costs, two rows each: all sources must be in support, or one that is available is enough."""
-    marks = f.revisions.select("run_id", "episode_id", "revision", "state", "watermark_us")
+    marks = f.marks.select("run_id", "episode_id", "revision", "state", "watermark_us")
     j = journal(f)
     stable = marks.filter("state = 'closed'").join(j.select("run_id", "t_restore"), "run_id").filter("watermark_us >= t_restore").groupBy("run_id").agg(F.min("watermark_us").alias("t_stable"))
     seen = F.col("e_health").isin("healthy", "degraded") | F.col("n_health").isin("healthy", "degraded")
@@ -280,7 +280,7 @@ _FAIR = ("full", "sliding_time", "sliding_entity", "no_guards", "no_causal")
 @formed_query(formed_sql(f"""SELECT a.run_id, a.builder, a.n_episodes - b.n_episodes AS episode_delta, round(a.mean_size - b.mean_size, 9) AS size_delta FROM ({_BUILDER_RUNS}) a JOIN ({_BUILDER_RUNS}) b ON a.run_id = b.run_id AND b.builder = 'full' AND a.builder <> 'full'""", builders=_FAIR))
 def paired_builders(f: FormedFrames) -> DataFrame:
     """Each builder against the full one, run by run: episodes and mean size of an episode."""
-    rows = terminal(formation.form_episodes(f.aliased, list(_FAIR))).groupBy("builder", "run_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ordered_event_ids")).alias("size"))
+    rows = formation.form_rolls(f.aliased, list(_FAIR)).filter("is_last").groupBy("builder", "run_id").agg(F.count(F.lit(1)).alias("n"), F.avg("n_events").alias("size"))
     rows = sinks.materialize(rows, "builder-runs")
     full = rows.filter("builder = 'full'").select("run_id", F.col("n").alias("n0"), F.col("size").alias("size0"))
     return rows.filter("builder <> 'full'").join(full, "run_id").select("run_id", "builder", (F.col("n") - F.col("n0")).alias("episode_delta"), r9(F.col("size") - F.col("size0")).alias("size_delta"))
@@ -305,7 +305,7 @@ def contamination_tradeoff(f: FormedFrames) -> DataFrame:
 def revision_counts(f: FormedFrames) -> DataFrame:
     """Per run: the highest revision, how many there are, closed and late ones, seconds until an episode closes, and the last record's state."""
     closed = F.col("state") == "closed"
-    return f.revisions.groupBy("run_id").agg(
+    return f.marks.groupBy("run_id").agg(
         F.max("revision").alias("max_revision"), F.count(F.lit(1)).alias("n_revisions"), F.count_if(closed).alias("n_closed"), F.count("late_evidence_reason").alias("n_late_accepted"),
         F.round(F.avg(F.when(closed, (F.col("watermark_us") - F.col("event_us_end")) / 1e6)), 6).alias("stabilization_s"), F.max_by("state", "seq").alias("last_state"),
     )
@@ -314,8 +314,8 @@ def revision_counts(f: FormedFrames) -> DataFrame:
 @formed_query(formed_sql("""SELECT run_id, episode_id, revision, state, len(ids) AS n_events FROM formed WHERE state IN ('finalized', 'closed') QUALIFY row_number() OVER (PARTITION BY run_id, episode_id ORDER BY revision DESC) = 1"""))
 def latest_membership(f: FormedFrames) -> DataFrame:
     """The latest finalized or closed revision of each episode."""
-    rows = f.revisions.filter(F.col("state").isin("finalized", "closed"))
-    return sinks.latest(rows, ["run_id", "episode_id"], "revision").select("run_id", "episode_id", "revision", "state", F.size("ordered_event_ids").cast("long").alias("n_events"))
+    rows = f.marks.filter(F.col("state").isin("finalized", "closed"))
+    return sinks.latest(rows, ["run_id", "episode_id"], "revision").select("run_id", "episode_id", "revision", "state", "n_events")
 
 
 # ---------------------------------------------------------------- other orders of delivery
@@ -331,7 +331,7 @@ def delivery_orders(f: FormedFrames) -> DataFrame:
     rows = f.aliased.withColumns({"rn": F.row_number().over(Window.partitionBy("run_id").orderBy(*order)), "fn": F.row_number().over(Window.partitionBy("run_id", "source_family").orderBy(*order))})
     each = {"reverse": -F.col("rn"), "alternating": 2 * F.col("fn") + (F.col("source_family") == "NDR").cast("int")}
     dealt = rows.withColumn("d", F.explode(F.array(*[F.struct(F.lit(n).alias("child"), c.cast("long").alias("arrival_seq")) for n, c in each.items()]))).select("*", "d.*").drop("d", "rn", "fn")
-    formed = formation.form_episodes(dealt)
+    formed = formation.form_rolls(dealt)
     return formed.groupBy("run_id", F.col("child").alias("delivery")).agg(F.count(F.lit(1)).alias("n_revisions"), F.countDistinct("episode_id").alias("n_episodes"))
 
 

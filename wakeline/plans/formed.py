@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wakeline.operators import detectors, evaluation, formation, replay, support
 from wakeline.plans.frames import EPISODE, Frames
 from wakeline.sources import adapters
-from wakeline.sources.sinks import materialize
+from wakeline.sources.sinks import materialize, sized
 
 #: Which runs' versions, calibrators and truth are not in order, by number of the run.
 VERSIONS_DIFFER, NOT_CALIBRATED, GROUPED, CONFLICTING = (11, 7), (13, 4), (3, 1), (7, 5)
@@ -24,6 +24,9 @@ GLOBAL, GROUP = (1.2, -0.1), (0.8, 0.2)
 #: What of an event its episodes are described by.
 _EVENT = ["event_us", "source_family", "action", "dependency_group", "command_family", "protocol", "subject", "object", "eve_event_type", "severity", "endpoint_key", "endpoint_host", "parent_pid"]
 
+#: What of it formation hands on beside its own columns.
+_CARRIED = [c for c in _EVENT if c not in formation.EVENT_COLUMNS] + ["own_subject", "own_object"]
+
 
 def marked(rule: tuple[int, int]) -> Column:
     return F.substring("run_id", 5, 9).cast("int") % rule[0] == rule[1]
@@ -45,48 +48,55 @@ class FormedFrames(Frames):
     """As Frames, but `members` are the events of formed revisions; episode_no is the episode's id and revision.
 
     An episode only grows, so what its revisions hold follows from the revision since which each event belongs to it (`since`): a row for an event and
-    episode. Every revision with every event (`members`) is many times the input, and is made only for queries that return it.
+    episode, made by formation itself with the event's columns. Every revision with every event (`members`, `revisions`) is many times the input, and is
+    made only for queries that return it.
     """
 
     @functools.cached_property
     def aliased(self) -> DataFrame:
-        return materialize(formation.formation_input(self.norm, adapters.aliases(self.table("events"))), "formed-events")
+        """The input of formation, and what describes an event; `own_` the names before aliases."""
+        own = [F.col(c).alias(f"own_{c}") for c in ("subject", "object")]
+        return materialize(formation.formation_input(self.norm.select("*", *own), adapters.aliases(self.table("events")), _CARRIED), "formed-events")
 
     @functools.cached_property
     def revisions(self) -> DataFrame:
+        """Every revision with its lists of events and reasons: only for queries that return these."""
         return materialize(formation.form_episodes(self.aliased), "revisions")
 
     @functools.cached_property
-    def last(self) -> DataFrame:
-        return materialize(terminal(self.revisions.select("run_id", "builder", "episode_id", "revision", "seq", "state", "parent_episode_ids")).select("run_id", "episode_id", "revision"), "formed-last")
+    def _rolls(self) -> DataFrame:
+        carry = ["event_id", *[c for c in formation.EVENT_COLUMNS if c in _EVENT or c in ("ingest_us", "source_instance")], *_CARRIED]
+        return materialize(formation.form_rolls(self.aliased, carry=carry), "formed-rolls")
 
-    @functools.cached_property
+    @property
+    def marks(self) -> DataFrame:
+        """Every revision, without its events."""
+        return self._rolls.filter("revision IS NOT NULL").select("run_id", "episode_id", "revision", "seq", "state", "late_evidence_reason", "n_events", "event_us_start", "event_us_end", "watermark_us", "is_last")
+
+    @property
     def members(self) -> DataFrame:
-        """The events of every revision, found by id."""
-        ids = self.revisions.select("run_id", episode_no().alias("episode_no"), F.explode("ordered_event_ids").alias("event_id"))
-        return materialize(ids.join(self.norm, ["run_id", "event_id"]), "formed-members")
+        """The events of every revision."""
+        each = self.marks.select("run_id", "episode_id", "revision", episode_no().alias("episode_no"))
+        return self.since.join(each, ["run_id", "episode_id"]).filter("since <= revision")
 
-    @functools.cached_property
+    @property
     def since(self) -> DataFrame:
-        """The events of every episode, with the revision since which they belong to it."""
-        ids = self.revisions.select("run_id", "episode_id", "revision", F.explode("ordered_event_ids").alias("event_id"))
-        first = ids.groupBy("run_id", "event_id", "episode_id").agg(F.min("revision").alias("since"))
-        return materialize(first.join(self.norm.select("run_id", "event_id", *_EVENT), ["run_id", "event_id"]), "formed-since")
+        """The events of every episode, with the revision since which they belong to it, and the terminal revision of the episode or null."""
+        names = [F.col(f"own_{c}").alias(c) for c in ("subject", "object")] + [F.col(c).alias(f"{c}_entity") for c in ("subject", "object")]
+        return self._rolls.filter("since IS NOT NULL").select("run_id", "event_id", "episode_id", "since", "last", "ingest_us", "source_instance", *[c for c in _EVENT if c not in ("subject", "object")], *names)
 
     @property
     def last_members(self) -> DataFrame:
         """The events of terminal revisions."""
-        last = self.last.withColumn("episode_no", episode_no())
-        return self.since.join(last, ["run_id", "episode_id"]).filter("since <= revision")
+        return self.since.filter("since <= last").withColumn("episode_no", F.concat("episode_id", F.lit("#"), F.col("last").cast("string")))
 
     @property
     def bounds(self) -> DataFrame:
-        return self.revisions.select("run_id", episode_no().alias("episode_no"), F.col("event_us_start").alias("start_us"), F.col("event_us_end").alias("end_us"), F.size("ordered_event_ids").cast("long").alias("n_events"))
+        return self.marks.select("run_id", episode_no().alias("episode_no"), F.col("event_us_start").alias("start_us"), F.col("event_us_end").alias("end_us"), "n_events")
 
     @property
     def truth(self) -> DataFrame:
-        edr = self.norm.filter("source_family = 'EDR'").select("run_id", "event_id", "event_us", "endpoint_key", "action", "command_family")
-        rows = edr.join(self.aliased.select("run_id", "event_id", "subject", "object"), ["run_id", "event_id"])
+        rows = self.aliased.filter("source_family = 'EDR'").select("run_id", "event_us", "endpoint_key", "action", "command_family", "subject", "object")
         bucket = F.floor(F.col("event_us") / (adapters.TRUTH_S * adapters.SECOND))
         groups = rows.groupBy("run_id", "endpoint_key", bucket.alias("bucket")).agg(
             F.min("event_us").alias("start_us"), F.max("event_us").alias("end_us"), F.count(F.lit(1)).alias("n"), _flat_set(F.array("subject", "object")).alias("entities"),
@@ -96,10 +106,8 @@ class FormedFrames(Frames):
 
     @functools.cached_property
     def views(self) -> DataFrame:
-        rows = self.last_members.select(*EPISODE, "event_id", "event_us", "action", "command_family")
-        rows = rows.join(self.aliased.select("run_id", "event_id", "subject", "object"), ["run_id", "event_id"])
         tokens = F.array_compact(F.array("action", F.concat(F.lit("command_family:"), "command_family")))
-        views = rows.groupBy(*EPISODE).agg(F.min("event_us").alias("start_us"), F.max("event_us").alias("end_us"), _flat_set(F.array("subject", "object")).alias("entities"), _flat_set(tokens).alias("tokens"))
+        views = self.last_members.groupBy(*EPISODE).agg(F.min("event_us").alias("start_us"), F.max("event_us").alias("end_us"), _flat_set(F.array("subject_entity", "object_entity")).alias("entities"), _flat_set(tokens).alias("tokens"))
         return materialize(views, "formed-views")
 
     @functools.cached_property
@@ -123,18 +131,18 @@ class FormedFrames(Frames):
     def _moments(self) -> DataFrame:
         """Every revision with its features (against the negative episodes of the training runs; a detector that none of them has a value of gives nothing),
         its support and what contradicts in it."""
-        key, each = ["run_id", "episode_id"], detectors.detector_values(self.since)
-        steps = each.groupBy(*key, "source_family", "detector_id", "dependency_group", "value").agg(F.min("since").alias("since"))
-        table = detectors.ecdf_table(each, self.negative_cohort, uncovered="null").filter("normalized IS NOT NULL")
+        key = ["run_id", "episode_id"]
         # What a task puts together is many times what it reads, so partitions are cut by the rows to make.
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.revisions.count() // 50_000)
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.marks.count() // 50_000)
         part = lambda rows: rows.repartition(parts, *key)
-        steps = part(steps.join(table, ["detector_id", "value"]).drop("value"))
-        own = part(self.revisions.select(*key, "revision", "state", "late_evidence_reason", F.floor(F.col("event_us_end") / (adapters.COVERAGE_S * adapters.SECOND)).alias("slot")))
-        facts = part(support.contradiction_since(self.since, key))
+        # Each side crosses the network once, as an event's few columns; all that follows keeps to its partition.
+        table = sized(detectors.ecdf_table(detectors.detector_values(self.since), self.negative_cohort, uncovered="null").filter("normalized IS NOT NULL"), "formed-shares")
+        steps = detectors.detector_values(part(self.since.select(*key, "since", *detectors.READS))).select(*key, "source_family", "detector_id", "dependency_group", "value", "since").join(table, ["detector_id", "value"]).drop("value")
+        own = part(self.marks.select(*key, "revision", "state", "late_evidence_reason", F.floor(F.col("event_us_end") / (adapters.COVERAGE_S * adapters.SECOND)).alias("slot")))
+        facts = support.contradiction_since(part(self.since.select(*key, "since", "source_family", "dependency_group", "endpoint_key", "endpoint_host", "parent_pid")), key)
         own = own.join(facts, key).withColumn("contradiction", support.contradiction_at("revision")).filter("contradiction IS NOT NULL").drop("fact_since", "gap_since", "clash_since")
         rows = detectors.growing_vectors(own, steps, key, "revision", ["state", "late_evidence_reason", "slot", "contradiction"])
-        rows = support.observed(rows.join(self._sides, ["run_id", "slot"])).drop("slot")
+        rows = support.observed(rows.join(sized(self._sides, "formed-sides"), ["run_id", "slot"])).drop("slot")
         group = F.when(marked(GROUPED), F.lit("group"))
         return materialize(support.decide_support(rows, ~marked(VERSIONS_DIFFER), ~marked(NOT_CALIBRATED), group).withColumn("episode_no", episode_no()), "formed-support")
 
@@ -142,7 +150,7 @@ class FormedFrames(Frames):
     def _sides(self) -> DataFrame:
         """Both families' health by run and interval: what covers an episode's end depends on the interval that it lies in."""
         width = adapters.COVERAGE_S * adapters.SECOND
-        slots = self.revisions.select("run_id", F.floor(F.col("event_us_end") / width).alias("slot")).distinct()
+        slots = self.marks.select("run_id", F.floor(F.col("event_us_end") / width).alias("slot")).distinct()
         at = support.coverage_at(slots.withColumn("at_us", F.col("slot") * width), self.coverage, "at_us", ["run_id", "slot"])
         return support.both_families(support.family_health(at, ["run_id", "slot"]), ["run_id", "slot"])
 
@@ -223,7 +231,7 @@ def replay_statistics(f: ChildFrames) -> DataFrame:
     binary, y = scored & F.col("label").isin("positive", "negative"), (F.col("label") == "positive").cast("int")
     calibration = ends.groupBy("run_id").agg(F.avg(F.when(binary, (F.col("p") - y) ** 2)).alias("brier"), F.avg(F.when(binary, evaluation.clipped_nll(F.col("p"), y))).alias("nll"), (F.count_if(scored) / F.count(F.lit(1))).alias("supported_coverage"))
     closed = F.when(F.col("state") == "closed", (F.col("watermark_us") - F.col("event_us_end")) / 1e6)
-    counts = f.revisions.groupBy("run_id").agg(F.count(F.lit(1)).alias("revision_count"), F.avg(closed).alias("stabilization_s"))
+    counts = f.marks.groupBy("run_id").agg(F.count(F.lit(1)).alias("revision_count"), F.avg(closed).alias("stabilization_s"))
     return counts.join(metrics, "run_id", "left").join(z, "run_id", "left").join(calibration, "run_id", "left")
 
 

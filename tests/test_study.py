@@ -172,3 +172,19 @@ def test_lateral_sessions_know_all_addresses(spark):
             return False
 
     assert sorted(r["event_id"] for r in found.collect()) == [i for i, (a, b) in enumerate(pairs) if private(a) and private(b)]
+
+
+def test_findings_read_records_once(spark):
+    """However deep they are, and whatever is found at each level."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    docs = [(i, '{"a": {"b": [{"c": {"label": "bad"}}]}, "label": 1}') for i in range(20)]
+    rows = spark.createDataFrame(docs, "id long, doc string").mapInPandas(counted, "id long, doc string")
+    found = firewall.findings(rows, "id", "doc", ["label"], ["bad"])
+    before = read.value
+    assert found.count() == 60 and read.value - before == 20

@@ -10,27 +10,29 @@ from pyspark.sql.types import NumericType
 def findings(rows: DataFrame, id_col: str, json_col: str, keys: list[str], values: list[str] | None = None, depth: int = 64) -> DataFrame:
     """id, path, kind (key or value), found: forbidden keys at any depth (whatever their case) and texts that equal a forbidden value.
 
-    Each round opens one level of what is still nested, for all rows at once; as many rounds as the deepest record has levels.
+    Each round opens one level of what is still nested, for all rows at once; as many rounds as the deepest record has levels. What has been found stays
+    among the rows, so that records are read and parsed once, not once for each level and kind. (Once more before, to learn how deep they are.)
     """
-    level = rows.select(F.col(id_col).alias("id"), F.lit("").alias("path"), F.try_parse_json(json_col).alias("v"))
-    out, schema = None, "id " + rows.schema[id_col].dataType.simpleString()
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        text = F.try_variant_get("v", "$", "string")
+    text = lambda v: F.try_variant_get(v, "$", "string")
+
+    def judged(path: Column, key: Column, v: Column) -> Column:
+        """What is found at a node, and the node itself (of no kind) if it can be opened."""
+        row = lambda kind, found, rest: F.struct(path.alias("path"), F.lit(kind).alias("kind"), found.alias("found"), rest.alias("v"))
+        shape, none, closed = F.schema_of_variant(v), F.lit(None).cast("string"), F.lit(None).cast("variant")
+        each = [F.when(F.lower(key).isin([k.lower() for k in keys]), row("key", key, closed)), F.when(shape.startswith("OBJECT") | shape.startswith("ARRAY"), row(None, none, v))]
         if values:
-            hit = level.filter((kind == "STRING") & text.isin(values)).select("id", "path", F.lit("value").alias("kind"), text.alias("found"))
-            out = hit if out is None else out.union(hit)
-        nested = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY")).select("id", "path", "v")
-        if nested.isEmpty():
-            break
-        opened = nested.lateralJoin(nested.sparkSession.tvf.variant_explode(F.col("v").outer())).select("id", F.col("path").alias("above"), "pos", "key", "value")
+            each.append(F.when((shape == "STRING") & text(v).isin(values), row("value", text(v), closed)))
+        return F.array_compact(F.array(*each))
+
+    level = rows.select(F.col(id_col).alias("id"), F.try_parse_json(json_col).alias("v")).select("id", F.inline(judged(F.lit(""), F.lit(None).cast("string"), F.col("v"))))
+    for _ in range(depth):
+        if level.filter("kind IS NULL").isEmpty():
+            return level.filter("kind IS NOT NULL").select("id", "path", "kind", "found")
+        opened = level.withColumnRenamed("path", "above").lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
         step = F.when(F.col("key").isNull(), F.concat("above", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("above", F.when(F.col("above") == "", "").otherwise("."), "key"))
-        level = opened.select("id", step.alias("path"), "key", F.col("value").alias("v"))
-        bad = level.filter(F.lower("key").isin([k.lower() for k in keys])).select("id", "path", F.lit("key").alias("kind"), F.col("key").alias("found"))
-        out = bad if out is None else out.union(bad)
-    else:
-        raise ValueError(f"a record is nested more than {depth} levels deep")
-    return out if out is not None else rows.sparkSession.createDataFrame([], f"{schema}, path string, kind string, found string")
+        kept = F.array(F.struct(F.col("above").alias("path"), F.col("kind"), F.col("found"), F.lit(None).cast("variant").alias("v")))
+        level = opened.select("id", F.inline(F.when(F.col("kind").isNotNull(), kept).otherwise(judged(step, F.col("key"), F.col("value")))))
+    raise ValueError(f"a record is nested more than {depth} levels deep")
 
 
 def finite_or_null(value: Column) -> Column:

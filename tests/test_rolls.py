@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from wakeline.operators import formation as fm
-from wakeline.plans import catalog, catalog_formed, catalog_more, catalog_study  # noqa: F401  the others register with the first
+from wakeline.plans import catalog, catalog_formed, catalog_more, catalog_replay, catalog_scale, catalog_study  # noqa: F401  the others register with the first
 from wakeline.plans.formed import terminal
 from wakeline.sources import adapters
 
@@ -42,7 +42,7 @@ def test_twice_delivered_events_are_carried_twice(spark):
     assert once > 0 and rolls.filter(F.col("event_id") == first).count() == 2 * once
 
 
-@pytest.mark.parametrize("name", ["formed_models", "formed_outcomes", "formed_support", "outage_completeness", "rt1_by_run", "rt7_categories", "record_digests", "formation_builders", "paired_builders", "hub_injection"])
+@pytest.mark.parametrize("name", ["formed_models", "formed_outcomes", "formed_support", "outage_completeness", "rt1_by_run", "rt7_categories", "record_digests", "formation_builders", "paired_builders", "hub_injection", "determinism_matrix", "ingest_shift_outcomes", "replay_outcomes"])
 def test_no_lists_of_events(spark, monkeypatch, name):
     """Only queries that return the lists of revisions form them."""
 
@@ -52,3 +52,12 @@ def test_no_lists_of_events(spark, monkeypatch, name):
     monkeypatch.setattr(fm, "form_episodes", refuse)
     assert catalog.QUERIES[name](spark, SF).columns
 
+
+
+def test_notes_are_the_late_records(spark):
+    events = stream(spark)
+    same = ["run_id", "seq", "episode_id", "reason"]
+    rolls = fm.form_rolls(events, notes=True).cache()
+    want = sorted(map(tuple, fm.late_records(events).select(*same, "event_id").collect()))
+    assert want and sorted(map(tuple, rolls.filter("noted_id IS NOT NULL").select(*same, "noted_id").collect())) == want
+    assert rolls.filter("revision IS NOT NULL").count() == fm.form_rolls(events).count()

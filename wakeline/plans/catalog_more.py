@@ -9,7 +9,6 @@ from wakeline.operators import evaluation, formation, replay, selection
 from wakeline.plans.catalog import query, r9
 from wakeline.plans.ctes import formed_sql, sql
 from wakeline.plans.frames import EPISODE, Frames
-from wakeline.sources import adapters
 
 SECOND = 1_000_000
 
@@ -53,7 +52,7 @@ _HUB = f"""SELECT run_id || '|' || s AS run_id, {_SEEN} FROM base, (VALUES ('raw
 @query(formed_sql("SELECT builder, split_part(run_id, '|', 2) AS stream, count(DISTINCT run_id || episode_id) AS n_episodes, count(*) AS n_revisions FROM formed GROUP BY ALL", norm=_HUB, builders=("full", "no_guards")))
 def hub_injection(f: Frames) -> DataFrame:
     """Episodes with and without the hub guard on streams with and without an injected hub."""
-    names, out = adapters.aliases(f.table("events")), None
+    names, out = f.aliases, None
     for label, rows in (("raw", f.norm), ("injected", with_hub_load(f.norm))):
         formed = formation.form_rolls(formation.formation_input(rows, names), ["full", "no_guards"])
         part = formed.groupBy("builder").agg(F.count_if(F.col("revision") == 0).alias("n_episodes"), F.count(F.lit(1)).alias("n_revisions")).withColumn("stream", F.lit(label))
@@ -70,7 +69,7 @@ _LATE = f"""SELECT run_id || '|' || s AS run_id, {_SEEN} FROM base, (VALUES ('wi
     LEFT JOIN (SELECT run_id, count(*) AS a FROM formed WHERE late_evidence_reason = 'accepted_within_horizon' AND len(list_filter(ids, lambda x: x LIKE 'late:%')) > 0 GROUP BY run_id) USING (run_id)""", norm=_LATE))
 def horizon_injection(f: Frames) -> DataFrame:
     """A late copy of each run's first event, inside and beyond the revision horizon: accepted revisions and late records."""
-    names, out = adapters.aliases(f.table("events")), None
+    names, out = f.aliases, None
     first = f.norm.groupBy("run_id").agg(F.min(F.struct("event_us", "event_id")).alias("m")).select("run_id", F.col("m.event_id").alias("event_id"))
     base = f.norm.join(first, ["run_id", "event_id"], "left_semi")
     for label, lag in (("within", 600), ("beyond", 7200)):

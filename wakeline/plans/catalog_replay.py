@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from wakeline.functions import hashing
 from wakeline.operators import detectors, formation, replay, stats, support
 from wakeline.operators.numbering import numbered
-from wakeline.plans.catalog import QUERIES, _formed, query, r9
+from wakeline.plans.catalog import QUERIES, query, r9
 from wakeline.plans.catalog_formed import artifacts, rounded
 from wakeline.plans.ctes import HEX_XOR, formed_sql, sql
 from wakeline.plans.frames import EPISODE, Frames
-from wakeline.sources import adapters, sinks
+from wakeline.sources import sinks
 
 
 def draw_sql(intervention: str, family: str, level, key: str, run: str = "run_id") -> str:
@@ -235,9 +235,9 @@ def replay_outcomes(f: Frames) -> DataFrame:
     """
     norm = f.norm
     closed = F.when(F.col("state") == "closed", (F.col("watermark_us") - F.col("event_us_end")) / 1_000_000)
-    events = sinks.materialize(formation.formation_input(norm, adapters.aliases(f.table("events"))), "replay-events")  # once a run, not once a child
-    formed = formation.form_episodes(replay.children(events))
-    counts = sinks.materialize(formed.groupBy("run_id", "child").agg(F.count(F.lit(1)).alias("revisions"), F.countDistinct("episode_id").alias("episodes"), F.avg(closed).alias("stable_s")), "replay-counts")
+    events = sinks.materialize(formation.formation_input(norm, f.aliases), "replay-events")  # once a run, not once a child
+    formed = formation.form_rolls(replay.children(events))
+    counts = sinks.materialize(formed.groupBy("run_id", "child").agg(F.count(F.lit(1)).alias("revisions"), F.count_if(F.col("revision") == 0).alias("episodes"), F.avg(closed).alias("stable_s")), "replay-counts")
     family = F.col("source_family")
     runs = norm.groupBy("run_id").agg(F.max("event_us").alias("last"), *[F.min(F.when(family == s, F.col("event_us"))).alias(s) for s in ("EDR", "NDR")])
     fits = lambda s, level: F.coalesce(F.col(s) + level * replay.SECOND <= F.col("last"), F.lit(False))
@@ -251,11 +251,14 @@ def replay_outcomes(f: Frames) -> DataFrame:
 @query()
 def ingest_shift_outcomes(f: Frames) -> DataFrame:
     """Formation when a run's last event arrives later by each of seven delays, against no delay: digests, revisions, late records."""
-    rows = sinks.materialize(formation.formation_input(replay.shifted(f.norm), adapters.aliases(f.table("events"))), "shifted")
-    digest = lambda *c: hashing.sha256_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", *c))), lambda x: F.concat_ws("\x1f", *[x[k] for k in c])), ","))
-    made = formation.form_episodes(rows).groupBy("run_id", "child").agg(digest("episode_id", "membership_digest").alias("members"), F.max("revision").alias("max_revision"), F.count(F.lit(1)).alias("n_revisions"))
-    late = formation.late_records(rows).groupBy("run_id", "child").agg(digest("episode_id", "event_id", "reason").alias("late"), F.count(F.lit(1)).alias("n_late"))
-    out = sinks.materialize(made.join(late, ["run_id", "child"], "left").withColumns({"late": F.coalesce("late", F.lit("")), "n_late": F.coalesce("n_late", F.lit(0))}), "shift-outcomes")
+    rows = sinks.materialize(formation.formation_input(replay.shifted(f.norm), f.aliases), "shifted")
+    digest = lambda which, *c: hashing.sha256_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which.isNotNull(), F.struct("seq", *c)))), lambda x: F.concat_ws("\x1f", *[x[k] for k in c])), ","))
+    revision, noted = F.col("revision"), F.col("noted_id")
+    made = formation.form_rolls(rows, digests=True, notes=True).groupBy("run_id", "child").agg(
+        digest(revision, "episode_id", "membership_digest").alias("members"), F.max("revision").alias("max_revision"), F.count("revision").alias("n_revisions"),
+        digest(noted, "episode_id", "noted_id", "reason").alias("late"), F.count("noted_id").alias("n_late"),
+    )
+    out = sinks.materialize(made.filter("n_revisions > 0"), "shift-outcomes")
     base = out.filter("child = '0'").select("run_id", F.col("members").alias("base_members"), F.col("late").alias("base_late"))
     return out.join(base, "run_id").select("run_id", F.col("child").cast("int").alias("delay_s"), (F.col("members") == F.col("base_members")).alias("membership_equal"), (F.col("late") != F.col("base_late")).alias("late_changed"), "max_revision", "n_revisions", "n_late")
 
@@ -263,7 +266,8 @@ def ingest_shift_outcomes(f: Frames) -> DataFrame:
 @query(formed_sql("""SELECT run_id, count(*)::INT AS n_revisions, sha256(string_agg(sha256('["' || array_to_string(ids, '","') || '"]'), ',' ORDER BY seq)) AS digest FROM formed GROUP BY run_id"""))
 def formation_digests(f: Frames) -> DataFrame:
     """One digest of all revisions of a run, in order: equal for equal input, whatever the partitioning."""
-    rows = _formed(f).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "membership_digest"))).alias("r"))
+    rolls = formation.form_rolls(formation.formation_input(f.norm, f.aliases), digests=True)
+    rows = rolls.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "membership_digest"))).alias("r"))
     return rows.select("run_id", F.size("r").alias("n_revisions"), hashing.sha256_text(F.array_join(F.transform("r", lambda x: x["membership_digest"]), ",")).alias("digest"))
 
 

@@ -56,7 +56,7 @@ class FormedFrames(Frames):
     def aliased(self) -> DataFrame:
         """The input of formation, and what describes an event; `own_` the names before aliases."""
         own = [F.col(c).alias(f"own_{c}") for c in ("subject", "object")]
-        return materialize(formation.formation_input(self.norm.select("*", *own), adapters.aliases(self.table("events")), _CARRIED), "formed-events")
+        return materialize(formation.formation_input(self.norm.select("*", *own), self.aliases, _CARRIED), "formed-events")
 
     @functools.cached_property
     def revisions(self) -> DataFrame:

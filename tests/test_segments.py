@@ -104,3 +104,18 @@ def test_what_determinism_means(spark):
         same = mode in ("control", "repeat_1", "resorted_1")
         assert r["n_equal"] == (r["n_runs"] if same else 0), mode
         assert (r["n_runs"], r["n_equal"], r["n_same_episodes"], r["n_revisions"]) == want[mode], mode
+
+
+def test_late_records_need_no_lists():
+    """Where only late or rejected events are asked for, a chunk keeps no revisions; what it does keep stays the same."""
+    event = lambda i, at, came: {"event_id": f"e{i}", "event_us": at * 10**6, "ingest_us": came * 10**6, "source_family": "EDR", "source_instance": "s", "subject": "a", "object": f"o{i}", "dependency_group": "g", "session_like": False}
+    rows = [event(0, 0, 1), event(1, 10, 11), event(2, 2000, 2001), event(3, 20, 2002)]
+    made = []
+    for lists in (True, False):
+        former = sg.ChunkFormer(sg.FULL, {}, 2002 * 10**6, lists)
+        for at, row in enumerate(rows, 1):
+            former.handle(row, at)
+        former.flush()
+        made.append(former)
+    assert made[0].late and made[0].late == made[1].late and made[0].late_at == made[1].late_at
+    assert made[0].revisions and not made[1].revisions

@@ -109,10 +109,10 @@ def test_what_determinism_means(spark):
 def test_late_records_need_no_lists():
     """Where only late or rejected events are asked for, a chunk keeps no revisions; what it does keep stays the same."""
     event = lambda i, at, came: {"event_id": f"e{i}", "event_us": at * 10**6, "ingest_us": came * 10**6, "source_family": "EDR", "source_instance": "s", "subject": "a", "object": f"o{i}", "dependency_group": "g", "session_like": False}
-    rows = [event(0, 0, 1), event(1, 10, 11), event(2, 2000, 2001), event(3, 20, 2002)]
+    rows = [event(0, 0, 1), event(1, 10, 11), event(2, 2000, 2001), event(3, 20, 4000)]
     made = []
     for lists in (True, False):
-        former = sg.ChunkFormer(sg.FULL, {}, 2002 * 10**6, lists)
+        former = sg.ChunkFormer(sg.FULL, {}, 4000 * 10**6, lists)
         for at, row in enumerate(rows, 1):
             former.handle(row, at)
         former.flush()

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from wakeline.operators import detectors, support
+from wakeline.operators import detectors, evaluation, formation, stats, support
+from wakeline.plans import catalog_replay  # noqa: F401  registers with the first
 from wakeline.plans.catalog_formed import QUERIES
 from wakeline.plans.formed import FormedFrames
 
@@ -45,3 +46,22 @@ def test_no_event_is_repeated_for_each_revision(spark, name, monkeypatch):
 
     monkeypatch.setattr(FormedFrames, "members", property(refuse))
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_moments_meet_their_steps_as_a_list(spark):
+    """Moments times steps were rows that a task sorted and grouped again."""
+    moments = spark.createDataFrame([("r", "e", 0)], "run_id string, episode_id string, revision int")
+    values = spark.createDataFrame([("r", "e", "EDR", "d", "g", 0.5, 0)], "run_id string, episode_id string, source_family string, detector_id string, dependency_group string, normalized double, since int")
+    out = detectors.growing_vectors(moments, values, ["run_id", "episode_id"], "revision", [])
+    grouped = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line]
+    assert len(grouped) == 1 and "revision" not in grouped[0]
+    assert [(r["d"], r["eligible_count"]) for r in out.collect()] == [(0.5, 1)]
+
+
+def test_formation_is_dealt_by_run(spark, monkeypatch):
+    """Spark put the runs of a small input together into one task a core, of which the last one worked alone."""
+    given = []
+    form = formation.form_rolls
+    monkeypatch.setattr(formation, "form_rolls", lambda events, *a, **k: given.append(events) or form(events, *a, **k))
+    assert FormedFrames(spark, SF).marks.count() > 0
+    assert "RepartitionByExpression [run_id" in given[0]._jdf.queryExecution().optimizedPlan().toString()

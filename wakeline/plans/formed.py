@@ -66,7 +66,14 @@ class FormedFrames(Frames):
     @functools.cached_property
     def _rolls(self) -> DataFrame:
         carry = ["event_id", *[c for c in formation.EVENT_COLUMNS if c in _EVENT or c in ("ingest_us", "source_instance")], *_CARRIED]
-        return materialize(formation.form_rolls(self.aliased, carry=carry), "formed-rolls")
+        return materialize(formation.form_rolls(self._dealt, carry=carry), "formed-rolls")
+
+    @property
+    def _dealt(self) -> DataFrame:
+        """The input of formation, dealt by run. Left alone, Spark joins partitions that are small in bytes until each core has one or two, which are
+        long in time: the last one works alone, and each holds a share of the whole input."""
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.aliased.count() // 20_000)
+        return self.aliased.repartition(parts, "run_id")
 
     @property
     def marks(self) -> DataFrame:
@@ -124,7 +131,7 @@ class FormedFrames(Frames):
 
     @property
     def negative_cohort(self) -> DataFrame:
-        negative = self.labelled.filter("label = 'negative'").join(self.train_runs, "run_id").select(*EPISODE)
+        negative = self.labels.filter("label = 'negative'").join(self.train_runs, "run_id").select(*EPISODE)
         return detectors.deduplicate(detectors.detector_values(self.last_members.join(negative, EPISODE, "left_semi")), EPISODE)
 
     @functools.cached_property

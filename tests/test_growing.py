@@ -58,6 +58,17 @@ def test_moments_meet_their_steps_as_a_list(spark):
     assert [(r["d"], r["eligible_count"]) for r in out.collect()] == [(0.5, 1)]
 
 
+def test_pairs_apart_in_time_are_dropped_where_they_meet(spark):
+    """All pairs with a common entity crossed the network, most of them hours apart."""
+    views = spark.createDataFrame([("r", 1, 0, 10, ["u"], ["a"]), ("r", 2, 90, 99, ["u"], ["a"])], "run_id string, episode_no long, start_us long, end_us long, entities array<string>, tokens array<string>")
+    truth = spark.createDataFrame([("r", "g", 0, 10, ["u"], ["a"])], "run_id string, group_id string, start_us long, end_us long, entities array<string>, required_tokens array<string>")
+    edges = evaluation.match_edges(views, truth)
+    assert [(r["episode_no"], r["group_id"]) for r in edges.collect()] == [(1, "g")]
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    meeting = next(line for line in plan[plan.index("Aggregate [") :].splitlines() if "Join Inner" in line)
+    assert "start_us" in meeting and "g0" in meeting
+
+
 def test_formation_is_dealt_by_run(spark, monkeypatch):
     """Spark put the runs of a small input together into one task a core, of which the last one worked alone."""
     given = []

@@ -76,3 +76,13 @@ def test_formation_is_dealt_by_run(spark, monkeypatch):
     monkeypatch.setattr(formation, "form_rolls", lambda events, *a, **k: given.append(events) or form(events, *a, **k))
     assert FormedFrames(spark, SF).marks.count() > 0
     assert "RepartitionByExpression [run_id" in given[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fit_scorer_runs_the_chain_once(spark, monkeypatch):
+    """Labels were made for the training rows, the calibration rows and the normaliser, and a calibrator was fitted that nobody asked for."""
+    made = []
+    label = evaluation.episode_labels
+    monkeypatch.setattr(evaluation, "episode_labels", lambda *a, **k: made.append(1) or label(*a, **k))
+    monkeypatch.setattr(stats, "affine_calibrators", None)
+    assert {r["kind"] for r in QUERIES["fit_scorer"](spark, SF).collect()} == {"raw_model", "d_only_model"}
+    assert len(made) == 1

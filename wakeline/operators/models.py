@@ -42,14 +42,16 @@ def _artifact(kind: str, coefficients: list[float] | None, made_from: dict[str,
     return (kind, status, reason, *b, payload, hashing.text_digest(payload))
 
 
-def fit_artifacts(training: DataFrame, calibration: DataFrame, normalizer: DataFrame, key: list[str]) -> DataFrame:
+def fit_artifacts(training: DataFrame, calibration: DataFrame | None, normalizer: DataFrame, key: list[str]) -> DataFrame:
     """training, calibration: key, d, c, y (0 or 1), of runs of their own. normalizer: detector_id, value. Returns the artefacts (ARTIFACT).
 
     raw_model has weights for d and c, d_only_model for d alone; global_calibrator is fitted to the raw model's logits of the calibration rows.
-    Runs that are in both fail the job.
+    Runs that are in both fail the job. Without calibration rows there is no calibrator among them.
     """
-    training, calibration = materialize(training.select(*key, "d", "c", "y"), "models-training"), materialize(calibration.select(*key, "d", "c", "y"), "models-calibration")
-    if not training.join(calibration.select("run_id").distinct(), "run_id", "left_semi").isEmpty():
+    training = materialize(training.select(*key, "d", "c", "y"), "models-training")
+    if calibration is not None:
+        calibration = materialize(calibration.select(*key, "d", "c", "y"), "models-calibration")
+    if calibration is not None and not training.join(calibration.select("run_id").distinct(), "run_id", "left_semi").isEmpty():
         raise ValueError("a run is in the training and in the calibration rows")
     scale = {"normalizer": rows_digest(normalizer, ["detector_id", "value"])}
     of_training = scale | {"rows": rows_digest(training, [*key, "d", "c", "y"])}
@@ -60,6 +62,8 @@ def fit_artifacts(training: DataFrame, calibration: DataFrame, normalizer: DataF
         made += [_artifact("raw_model", both, of_training), _artifact("d_only_model", [*alone[:2], 0.0], of_training)]
     else:
         made += [_artifact(k, None, of_training, "one_class") for k in ("raw_model", "d_only_model")]
+    if calibration is None:
+        return training.sparkSession.createDataFrame(made, ARTIFACT)
     of_calibration = scale | {"rows": rows_digest(calibration, [*key, "d", "c", "y"]), "raw_model": made[0][-1]}
     if both is None or not min(classes(calibration, "y")):
         made.append(_artifact("global_calibrator", None, of_calibration, "one_class" if both else "no_model"))

@@ -200,7 +200,7 @@ def group_folds(f: Frames) -> DataFrame:
 @query()
 def fit_scorer(f: Frames) -> DataFrame:
     """The models of episodes in bins, on eligible positive and negative ones of the training runs."""
-    return rounded(artifacts(f).filter("kind <> 'global_calibrator'"))
+    return rounded(artifacts(f, calibrate=False))
 
 
 @query()

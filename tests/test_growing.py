@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from wakeline.operators import detectors, evaluation, formation, stats, support
-from wakeline.plans import catalog_replay  # noqa: F401  registers with the first
+from wakeline.plans import catalog_replay, formed  # noqa: F401  registers with the first
 from wakeline.plans.catalog_formed import QUERIES
 from wakeline.plans.formed import FormedFrames
+from wakeline.sources import sinks
 
 
 def test_vectors_and_contradiction(spark):
@@ -78,6 +81,53 @@ def test_formation_is_dealt_by_run(spark, monkeypatch):
     assert "RepartitionByExpression [run_id" in given[0]._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("many_aliases", [False, True])
+def test_episodes_are_joined_where_they_lie(spark, monkeypatch, many_aliases):
+    """Events, revisions and what follows from them were shuffled by episode, again for each step: 50 MB a copy of sf0.1's events."""
+    if many_aliases:
+        monkeypatch.setattr(formed, "few", lambda *_: False)
+    f = FormedFrames(spark, SF)
+    seen = []
+    for way in ("materialize", "materialize_dealt"):
+        monkeypatch.setattr(formed, way, lambda df, name, *a, go=getattr(sinks, way), **k: seen.append((name, df)) or go(df, name, *a, **k))
+    assert f.outcomes.count() == f.marks.count()
+    plans = dict(seen)
+    assert {"formed-rolls", "formed-views", "formed-edges", "formed-support"} <= set(plans)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with sinks._settings(spark, sinks._DEALT):
+            for name in ("formed-views", "formed-edges", "formed-support"):
+                plan = plans[name].select("*")._jdf.queryExecution().executedPlan().toString()
+                assert "Join" in plan or name == "formed-views"
+                assert not re.search(r"Exchange hashpartitioning\(run_id#\d+, (episode|entity)", plan), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    groups = f.truth.select("run_id", "group_id")
+    assert groups.count() == groups.distinct().count() > 0
+
+
+def test_a_write_drops_its_shuffles(spark):
+    """Shuffles of what was written long since stayed on disk until the query's end."""
+    files = lambda: {n for n in (x.getName() for x in list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))) if n.startswith("shuffle_") and n.endswith(".data")}
+    before = files()
+    rows = sinks.materialize(spark.range(1000).repartition(3, "id"), "small")
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert rows.count() == 1000
+    assert spark.conf.get(next(iter(sinks._WRITING)), None) in (None, "false")
+
+
+def test_outage_counts_need_no_join_with_revisions(spark):
+    """Outcomes met the revisions again, by episode and revision, only for their watermark."""
+    f = FormedFrames(spark, SF)
+    want = f.marks.select("run_id", "episode_id", "revision", "watermark_us")
+    got = f.outcomes.select(*want.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_fit_scorer_runs_the_chain_once(spark, monkeypatch):
     """Labels were made for the training rows, the calibration rows and the normaliser, and a calibrator was fitted that nobody asked for."""
     made = []

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.operators import detectors, evaluation, formation, replay, support
-from wakeline.plans.frames import EPISODE, Frames
+from wakeline.plans.frames import ALIAS_BYTES, EPISODE, Frames
 from wakeline.sources import adapters
-from wakeline.sources.sinks import materialize, sized
+from wakeline.sources.sinks import few, materialize, materialize_dealt, sized
 
 #: Which runs' versions, calibrators and truth are not in order, by number of the run.
 VERSIONS_DIFFER, NOT_CALIBRATED, GROUPED, CONFLICTING = (11, 7), (13, 4), (3, 1), (7, 5)
@@ -50,13 +50,20 @@ class FormedFrames(Frames):
     An episode only grows, so what its revisions hold follows from the revision since which each event belongs to it (`since`): a row for an event and
     episode, made by formation itself with the event's columns. Every revision with every event (`members`, `revisions`) is many times the input, and is
     made only for queries that return it.
+
+    All is done run by run, so formation's output and what follows from it are written in buckets by run, and no event or revision crosses the network again.
     """
 
+    dealt = True
+
     @functools.cached_property
     def aliased(self) -> DataFrame:
         """The input of formation, and what describes an event; `own_` the names before aliases."""
+        return materialize(self._described(self.norm), "formed-events")
+
+    def _described(self, norm: DataFrame) -> DataFrame:
         own = [F.col(c).alias(f"own_{c}") for c in ("subject", "object")]
-        return materialize(formation.formation_input(self.norm.select("*", *own), self.aliases, _CARRIED), "formed-events")
+        return formation.formation_input(norm.select("*", *own), self.aliases, _CARRIED)
 
     @functools.cached_property
     def revisions(self) -> DataFrame:
@@ -66,14 +73,25 @@ class FormedFrames(Frames):
     @functools.cached_property
     def _rolls(self) -> DataFrame:
         carry = ["event_id", *[c for c in formation.EVENT_COLUMNS if c in _EVENT or c in ("ingest_us", "source_instance")], *_CARRIED]
-        return materialize(formation.form_rolls(self._dealt, carry=carry), "formed-rolls")
+        return materialize_dealt(formation.form_rolls(self._dealt, carry=carry), "formed-rolls", self._parts, "run_id")
+
+    @functools.cached_property
+    def _parts(self) -> int:
+        """How many tasks runs are dealt to. Left alone, Spark joins partitions that are small in bytes until each core has one or two, which are long in
+        time: the last one works alone, and each holds a share of the whole input."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.norm.count() // 20_000)
+
+    def _by_run(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self._parts, "run_id")
 
     @property
     def _dealt(self) -> DataFrame:
-        """The input of formation, dealt by run. Left alone, Spark joins partitions that are small in bytes until each core has one or two, which are
-        long in time: the last one works alone, and each holds a share of the whole input."""
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.aliased.count() // 20_000)
-        return self.aliased.repartition(parts, "run_id")
+        """The input of formation, dealt by run. Where aliases need no shuffle, events cross the network before they are described, at a third of the size."""
+        return self._described(self._norm_by_run) if few(self.aliases, ALIAS_BYTES) else self._by_run(self._described(self.norm))
+
+    @property
+    def _norm_by_run(self) -> DataFrame:
+        return adapters.norm_events(self._by_run(self.table("events").withColumn("run_id", adapters.run_id())))
 
     @property
     def marks(self) -> DataFrame:
@@ -101,25 +119,26 @@ class FormedFrames(Frames):
     def bounds(self) -> DataFrame:
         return self.marks.select("run_id", episode_no().alias("episode_no"), F.col("event_us_start").alias("start_us"), F.col("event_us_end").alias("end_us"), "n_events")
 
-    @property
+    @functools.cached_property
     def truth(self) -> DataFrame:
-        rows = self.aliased.filter("source_family = 'EDR'").select("run_id", "event_us", "endpoint_key", "action", "command_family", "subject", "object")
+        rows = self._dealt.filter("source_family = 'EDR'").select("run_id", "event_us", "endpoint_key", "action", "command_family", "subject", "object")
         bucket = F.floor(F.col("event_us") / (adapters.TRUTH_S * adapters.SECOND))
         groups = rows.groupBy("run_id", "endpoint_key", bucket.alias("bucket")).agg(
             F.min("event_us").alias("start_us"), F.max("event_us").alias("end_us"), F.count(F.lit(1)).alias("n"), _flat_set(F.array("subject", "object")).alias("entities"),
             _flat_set(F.array("action", F.concat(F.lit("command_family:"), "command_family"))).alias("required_tokens"),
         ).filter("n >= 2")
-        return groups.select("run_id", F.concat("endpoint_key", F.lit("@"), F.col("bucket").cast("string")).alias("group_id"), "start_us", "end_us", "entities", "required_tokens")
+        groups = groups.select("run_id", F.concat("endpoint_key", F.lit("@"), F.col("bucket").cast("string")).alias("group_id"), "start_us", "end_us", "entities", "required_tokens")
+        return materialize_dealt(groups, "formed-truth", self._parts, "run_id")
 
     @functools.cached_property
     def views(self) -> DataFrame:
         tokens = F.array_compact(F.array("action", F.concat(F.lit("command_family:"), "command_family")))
         views = self.last_members.groupBy(*EPISODE).agg(F.min("event_us").alias("start_us"), F.max("event_us").alias("end_us"), _flat_set(F.array("subject_entity", "object_entity")).alias("entities"), _flat_set(tokens).alias("tokens"))
-        return materialize(views, "formed-views")
+        return materialize_dealt(views, "formed-views", self._parts, "run_id")
 
     @functools.cached_property
     def edges(self) -> DataFrame:
-        return materialize(evaluation.match_edges(self.views, self.truth), "formed-edges")
+        return materialize(evaluation.match_edges(self.views, self.truth), "formed-edges", self.dealt)
 
     @property
     def conflicts(self) -> DataFrame:
@@ -127,31 +146,30 @@ class FormedFrames(Frames):
 
     @property
     def labelled(self) -> DataFrame:
-        return evaluation.episode_labels(self.views, self.edges, self.conflicts)
+        return evaluation.episode_labels(self.views, self._by_run(self.edges), self.conflicts)
 
     @property
     def negative_cohort(self) -> DataFrame:
-        negative = self.labels.filter("label = 'negative'").join(self.train_runs, "run_id").select(*EPISODE)
-        return detectors.deduplicate(detectors.detector_values(self.last_members.join(negative, EPISODE, "left_semi")), EPISODE)
+        """As detectors.deduplicate gives them, without the event that a value comes from."""
+        negative = self._by_run(self.labels.filter("label = 'negative'").join(self.train_runs, "run_id").select(*EPISODE))
+        values = detectors.detector_values(self.last_members.join(negative, EPISODE, "left_semi"))
+        return values.groupBy(*EPISODE, "source_family", "detector_id", "dependency_group").agg(F.max("value").alias("value"))
 
     @functools.cached_property
     def _moments(self) -> DataFrame:
         """Every revision with its features (against the negative episodes of the training runs; a detector that none of them has a value of gives nothing),
         its support and what contradicts in it."""
         key = ["run_id", "episode_id"]
-        # What a task puts together is many times what it reads, so partitions are cut by the rows to make.
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.marks.count() // 50_000)
-        part = lambda rows: rows.repartition(parts, *key)
-        # Each side crosses the network once, as an event's few columns; all that follows keeps to its partition.
-        table = sized(detectors.ecdf_table(detectors.detector_values(self.since), self.negative_cohort, uncovered="null").filter("normalized IS NOT NULL"), "formed-shares")
-        steps = detectors.detector_values(part(self.since.select(*key, "since", *detectors.READS))).select(*key, "source_family", "detector_id", "dependency_group", "value", "since").join(table, ["detector_id", "value"]).drop("value")
-        own = part(self.marks.select(*key, "revision", "state", "late_evidence_reason", F.floor(F.col("event_us_end") / (adapters.COVERAGE_S * adapters.SECOND)).alias("slot")))
-        facts = support.contradiction_since(part(self.since.select(*key, "since", "source_family", "dependency_group", "endpoint_key", "endpoint_host", "parent_pid")), key)
+        # All sides lie in buckets by run, which are cut by their events: an event makes a revision or two, so what a task puts together stays small.
+        table = sized(detectors.ecdf_table(detectors.detector_values(self.since), self.negative_cohort, uncovered="null").filter("normalized IS NOT NULL"), "formed-shares", dealt=True)
+        steps = detectors.detector_values(self.since.select(*key, "since", *detectors.READS)).select(*key, "source_family", "detector_id", "dependency_group", "value", "since").join(table, ["detector_id", "value"]).drop("value")
+        own = self.marks.select(*key, "revision", "state", "late_evidence_reason", "watermark_us", F.floor(F.col("event_us_end") / (adapters.COVERAGE_S * adapters.SECOND)).alias("slot"))
+        facts = support.contradiction_since(self.since.select(*key, "since", "source_family", "dependency_group", "endpoint_key", "endpoint_host", "parent_pid"), key)
         own = own.join(facts, key).withColumn("contradiction", support.contradiction_at("revision")).filter("contradiction IS NOT NULL").drop("fact_since", "gap_since", "clash_since")
-        rows = detectors.growing_vectors(own, steps, key, "revision", ["state", "late_evidence_reason", "slot", "contradiction"])
-        rows = support.observed(rows.join(sized(self._sides, "formed-sides"), ["run_id", "slot"])).drop("slot")
+        rows = detectors.growing_vectors(own, steps, key, "revision", ["state", "late_evidence_reason", "watermark_us", "slot", "contradiction"])
+        rows = support.observed(rows.join(sized(self._sides, "formed-sides", dealt=True, otherwise=self._by_run), ["run_id", "slot"])).drop("slot")
         group = F.when(marked(GROUPED), F.lit("group"))
-        return materialize(support.decide_support(rows, ~marked(VERSIONS_DIFFER), ~marked(NOT_CALIBRATED), group).withColumn("episode_no", episode_no()), "formed-support")
+        return materialize(support.decide_support(rows, ~marked(VERSIONS_DIFFER), ~marked(NOT_CALIBRATED), group), "formed-support", self.dealt).withColumn("episode_no", episode_no())
 
     @property
     def _sides(self) -> DataFrame:
@@ -168,11 +186,11 @@ class FormedFrames(Frames):
 
     @property
     def supported(self) -> DataFrame:
-        return self._moments.drop("episode_id", "revision", "state", "late_evidence_reason", "contradiction")
+        return self._moments.drop("episode_id", "revision", "state", "late_evidence_reason", "watermark_us", "contradiction")
 
     @property
     def outcomes(self) -> DataFrame:
-        """A row for each revision: an audit, or a failure where a source's record is missing; logit, probability, and the five axes."""
+        """A row for each revision, with its watermark: an audit, or a failure where a source's record is missing; logit, probability, and the five axes."""
         z = detectors.logit(F.col("d"), F.col("c"))
         p = lambda c: detectors.sigmoid(c[0] * F.col("z") + c[1])
         missing = F.col("e_missing") | F.col("n_missing")
@@ -199,6 +217,10 @@ class ChildFrames(FormedFrames):
         rows = replay.children(materialize(self.base.norm, "replay-norm"), self.cells)
         return materialize(rows.withColumn("run_id", child_run()).drop("child"), "replay-children")
 
+    @property
+    def _norm_by_run(self) -> DataFrame:
+        return self._by_run(self.norm)
+
     def _each(self, rows: DataFrame) -> DataFrame:
         keys = F.explode(F.array(*[F.lit(replay.child_key(*c)) for c in self.cells]))
         return rows.withColumn("child", keys).withColumn("run_id", child_run()).drop("child")
@@ -209,7 +231,7 @@ class ChildFrames(FormedFrames):
 
     @property
     def truth(self) -> DataFrame:
-        return self._each(self.base.truth)
+        return self._by_run(self._each(self.base.truth))
 
     @property
     def train_runs(self) -> DataFrame:

@@ -193,13 +193,12 @@ _OUTAGE = f"""SELECT j.run_id, cell_id, comparator, any_value(array_to_string(li
 @formed_query(formed_sql(_OUTAGE, "outcome"))
 def outage_comparison(f: FormedFrames) -> DataFrame:
     """What an outage costs, two rows each: all sources must be in support, or one that is available is enough."""
-    marks = f.marks.select("run_id", "episode_id", "revision", "state", "watermark_us")
     j = journal(f)
-    stable = marks.filter("state = 'closed'").join(j.select("run_id", "t_restore"), "run_id").filter("watermark_us >= t_restore").groupBy("run_id").agg(F.min("watermark_us").alias("t_stable"))
+    stable = f.marks.filter("state = 'closed'").join(j.select("run_id", "t_restore"), "run_id").filter("watermark_us >= t_restore").groupBy("run_id").agg(F.min("watermark_us").alias("t_stable"))
     seen = F.col("e_health").isin("healthy", "degraded") | F.col("n_health").isin("healthy", "degraded")
     fit, any_fit = F.col("audit") & (F.col("reason") == "eligible"), F.col("audit") & (F.col("eligible_count") > 0) & seen
     out, any_out = F.col("audit") & (F.col("kappa") == "out_of_support"), ~F.col("audit") | ~seen
-    rows = f.outcomes.join(marks.drop("state"), ["run_id", "episode_id", "revision"]).join(j.select("run_id", "t_stop", F.coalesce("t_ready", "t_censor").alias("t_end")), "run_id").filter(F.col("watermark_us").between(F.col("t_stop"), F.col("t_end")))
+    rows = f.outcomes.join(j.select("run_id", "t_stop", F.coalesce("t_ready", "t_censor").alias("t_end")), "run_id").filter(F.col("watermark_us").between(F.col("t_stop"), F.col("t_end")))
     counts = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(n) for n, c in (("a0", fit), ("a1", any_fit), ("b0", out), ("b1", any_out))])
     both = j.join(stable, "run_id", "left").join(counts, "run_id", "left")
     why = F.array_join(F.array_compact(F.array(F.when(F.col("t_detect").isNull(), "detection_right_censored_at_restore"), F.when(F.col("t_ready").isNull(), "ready_right_censored"), F.when(F.col("t_stable").isNull(), "stable_revision_right_censored"))), "+")

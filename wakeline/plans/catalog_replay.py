@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import hashing
-from wakeline.operators import detectors, formation, replay, stats, support
+from wakeline.operators import detectors, formation, replay, replay_runs, stats, support
 from wakeline.operators.numbering import numbered
 from wakeline.plans.catalog import QUERIES, query, r9
 from wakeline.plans.catalog_formed import artifacts, rounded
@@ -233,17 +233,9 @@ def replay_outcomes(f: Frames) -> DataFrame:
 
     A child without events has no episodes; a burst that fits nowhere in a run leaves it as it is and is not valid.
     """
-    norm = f.norm
-    closed = F.when(F.col("state") == "closed", (F.col("watermark_us") - F.col("event_us_end")) / 1_000_000)
-    events = sinks.materialize(formation.formation_input(norm, f.aliases), "replay-events")  # once a run, not once a child
-    formed = formation.form_rolls(replay.children(events))
-    counts = sinks.materialize(formed.groupBy("run_id", "child").agg(F.count(F.lit(1)).alias("revisions"), F.count_if(F.col("revision") == 0).alias("episodes"), F.avg(closed).alias("stable_s")), "replay-counts")
-    family = F.col("source_family")
-    runs = norm.groupBy("run_id").agg(F.max("event_us").alias("last"), *[F.min(F.when(family == s, F.col("event_us"))).alias(s) for s in ("EDR", "NDR")])
-    fits = lambda s, level: F.coalesce(F.col(s) + level * replay.SECOND <= F.col("last"), F.lit(False))
-    cells = [F.struct(F.lit(replay.child_key(*c)).alias("child"), *[F.lit(str(x)).alias(n) for n, x in zip(("intervention", "source_family", "level"), c, strict=True)], (fits(c[1], c[2]) if c[0] == "burst" else F.lit(True)).alias("valid")) for c in replay.cells()]
+    counts = sinks.materialize(replay_runs.outcomes(formation.formation_input(f.norm, f.aliases), replay.cells()), "replay-counts")
     control = counts.filter(F.col("child") == replay.child_key("control", "none", "none")).select("run_id", *[F.col(c).alias(f"base_{c}") for c in ("revisions", "episodes", "stable_s")])
-    rows = runs.select("run_id", F.inline(F.array(*cells))).join(counts, ["run_id", "child"], "left").join(control, "run_id", "left")
+    rows = counts.join(control, "run_id", "left")
     delta = lambda c: F.coalesce(c, F.lit(0)) - F.coalesce(f"base_{c}", F.lit(0))
     return rows.select("run_id", "child", "intervention", "source_family", "level", "valid", delta("revisions").alias("revision_delta"), delta("episodes").alias("episode_delta"), r9(F.col("stable_s") - F.col("base_stable_s")).alias("stabilization_delta_s"))
 

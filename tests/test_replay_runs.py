@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.conftest import SF
 from wakeline.operators import coded, formation, replay, replay_runs
 from wakeline.operators.formation import SECOND
+from wakeline.plans.formed import ChildFrames, FormedFrames
 from wakeline.plans.frames import Frames
+from wakeline.sources import sinks
 
 
 def made_up(seed: int, n: int = 400) -> list[dict]:
@@ -73,3 +77,65 @@ def test_events_cross_the_network_once(spark, monkeypatch):
     whole = entry.queries()["replay_outcomes"](spark, SF).collect()
     monkeypatch.setattr(replay_runs, "LARGE", 50)
     assert sorted(whole) == sorted(entry.queries()["replay_outcomes"](spark, SF).collect())
+
+
+class OneChild(FormedFrames):
+    """A child as rows, through all that formed episodes go through."""
+
+    def __init__(self, spark, cell, base):
+        super().__init__(spark, SF)
+        self.cell, self.base = cell, base
+
+    @functools.cached_property
+    def norm(self):
+        return sinks.materialize(replay.children(sinks.materialize(self.base.norm, "one"), [self.cell]).drop("child"), "one-child")
+
+    @property
+    def _norm_by_run(self):
+        return self._by_run(self.norm)
+
+    @property
+    def coverage(self):
+        return self.base.coverage
+
+    @property
+    def negative_cohort(self):
+        return self.base.negative_cohort
+
+
+def test_profiles_are_what_a_childs_rows_give(spark, monkeypatch):
+    """Counted where they are formed, revisions say what outcomes say row by row; also where a run is dealt to several tasks."""
+    control = ("control", "none", "none")
+    cells = [control, ("duplicate", "NDR", 0.25), ("skew", "EDR", 120), ("reorder", "EDR", 600), ("mask", "NDR", "all")]
+    base = FormedFrames(spark, SF)
+    f = ChildFrames(spark, SF, cells)
+    values = lambda frame: Counter(tuple(r) for r in frame.select("detector_id", "value").collect())
+    assert values(f.negative_cohort) == values(base.negative_cohort)
+    monkeypatch.setattr(replay_runs, "LARGE", 50)
+    split = ChildFrames(spark, SF, cells)
+    assert sorted(map(str, f.profiles.collect())) == sorted(map(str, split.profiles.collect()))
+    axes = replay_runs.AXES
+    got = {(r["child"], r["run_id"]): r for r in f.profiles.filter("episode_no IS NULL").collect()}
+    of_control = None
+    for cell in cells:
+        one, key = OneChild(spark, cell, base), replay.child_key(*cell)
+        rows = {(r["run_id"], r["episode_no"]): r for r in one.outcomes.filter("audit").select("run_id", "episode_no", "d", "c", *axes).collect()}
+        of_control = of_control or rows
+        counts = {r["run_id"]: r["count"] for r in one.marks.groupBy("run_id").count().collect()}
+        assert {run: r["revision_count"] for (child, run), r in got.items() if child == key and r["revision_count"]} == counts
+        for run in counts:
+            own = [r for (i, _), r in rows.items() if i == run]
+            for c in ("d", "c"):
+                assert got[key, run][c] == pytest.approx(sum(r[c] for r in own) / len(own) if own else None)
+            shared = [(r, of_control[k]) for k, r in rows.items() if k[0] == run and k in of_control]
+            assert [got[key, run][f"u_{a}"] for a in axes] == [sum(x[a] != y[a] for x, y in shared) for a in axes]
+        views = lambda rows: Counter((r["run_id"], r["start_us"], r["end_us"], *r["entities"], *r["tokens"]) for r in rows.collect())
+        assert views(f.views.filter(F.col("child") == key)) == views(one.views)
+
+
+@pytest.mark.parametrize("name", ["replay_delays"])
+def test_no_childs_revisions_are_written(spark, name, monkeypatch):
+    """Events and revisions of seven children were written, shuffled and joined row by row."""
+    monkeypatch.setattr(replay, "children", None)
+    monkeypatch.setattr(formation, "form_rolls", None)
+    assert entry.queries()[name](spark, SF).count() > 0

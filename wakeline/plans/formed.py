@@ -10,7 +10,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.operators import detectors, evaluation, formation, replay, support
+from wakeline.operators import detectors, evaluation, formation, replay_runs, support
 from wakeline.plans.frames import ALIAS_BYTES, EPISODE, Frames
 from wakeline.sources import adapters
 from wakeline.sources.sinks import few, materialize, materialize_dealt, sized
@@ -167,17 +167,24 @@ class FormedFrames(Frames):
         facts = support.contradiction_since(self.since.select(*key, "since", "source_family", "dependency_group", "endpoint_key", "endpoint_host", "parent_pid"), key)
         own = own.join(facts, key).withColumn("contradiction", support.contradiction_at("revision")).filter("contradiction IS NOT NULL").drop("fact_since", "gap_since", "clash_since")
         rows = detectors.growing_vectors(own, steps, key, "revision", ["state", "late_evidence_reason", "watermark_us", "slot", "contradiction"])
-        rows = support.observed(rows.join(sized(self._sides, "formed-sides", dealt=True, otherwise=self._by_run), ["run_id", "slot"])).drop("slot")
-        group = F.when(marked(GROUPED), F.lit("group"))
-        return materialize(support.decide_support(rows, ~marked(VERSIONS_DIFFER), ~marked(NOT_CALIBRATED), group), "formed-support", self.dealt).withColumn("episode_no", episode_no())
+        return materialize(self._decided(rows), "formed-support", self.dealt).withColumn("episode_no", episode_no())
 
     @property
+    def _slots(self) -> DataFrame:
+        """run_id, slot: the intervals in which revisions end."""
+        return self.marks.select("run_id", F.floor(F.col("event_us_end") / (adapters.COVERAGE_S * adapters.SECOND)).alias("slot")).distinct()
+
+    @functools.cached_property
     def _sides(self) -> DataFrame:
         """Both families' health by run and interval: what covers an episode's end depends on the interval that it lies in."""
         width = adapters.COVERAGE_S * adapters.SECOND
-        slots = self.marks.select("run_id", F.floor(F.col("event_us_end") / width).alias("slot")).distinct()
-        at = support.coverage_at(slots.withColumn("at_us", F.col("slot") * width), self.coverage, "at_us", ["run_id", "slot"])
-        return support.both_families(support.family_health(at, ["run_id", "slot"]), ["run_id", "slot"])
+        at = support.coverage_at(self._slots.withColumn("at_us", F.col("slot") * width), self.coverage, "at_us", ["run_id", "slot"])
+        return sized(support.both_families(support.family_health(at, ["run_id", "slot"]), ["run_id", "slot"]), "formed-sides", dealt=True, otherwise=self._by_run)
+
+    def _decided(self, rows: DataFrame) -> DataFrame:
+        """Adds the health of both families in a row's interval, and reason and kappa."""
+        rows = support.observed(rows.join(self._sides, ["run_id", "slot"])).drop("slot")
+        return support.decide_support(rows, ~marked(VERSIONS_DIFFER), ~marked(NOT_CALIBRATED), F.when(marked(GROUPED), F.lit("group")))
 
     @property
     def features(self) -> DataFrame:
@@ -191,13 +198,21 @@ class FormedFrames(Frames):
     @property
     def outcomes(self) -> DataFrame:
         """A row for each revision, with its watermark: an audit, or a failure where a source's record is missing; logit, probability, and the five axes."""
-        z = detectors.logit(F.col("d"), F.col("c"))
-        p = lambda c: detectors.sigmoid(c[0] * F.col("z") + c[1])
-        missing = F.col("e_missing") | F.col("n_missing")
-        return self._moments.withColumn("z", z).withColumns({
-            "p": F.when(F.col("kappa") == "supported_group", p(GROUP)).when(F.col("kappa") == "supported_global", p(GLOBAL)), "audit": ~missing, "coverage": support.sufficiency_coverage(),
-            "provenance": F.when(missing, "missing").otherwise("complete"), "lateness": support.lateness(),
-        })
+        return _assessed(self._moments)
+
+
+def _probability(z: Column) -> Column:
+    p = lambda c: detectors.sigmoid(c[0] * z + c[1])
+    return F.when(F.col("kappa") == "supported_group", p(GROUP)).when(F.col("kappa") == "supported_global", p(GLOBAL))
+
+
+def _assessed(rows: DataFrame) -> DataFrame:
+    """Adds logit, probability, whether there is an audit, and the axes to rows that are decided."""
+    missing = F.col("e_missing") | F.col("n_missing")
+    return rows.withColumn("z", detectors.logit(F.col("d"), F.col("c"))).withColumns({
+        "p": _probability(F.col("z")), "audit": ~missing, "coverage": support.sufficiency_coverage(),
+        "provenance": F.when(missing, "missing").otherwise("complete"), "lateness": support.lateness(),
+    })
 
 
 def _flat_set(values: Column) -> Column:
@@ -206,67 +221,78 @@ def _flat_set(values: Column) -> Column:
 
 
 class ChildFrames(FormedFrames):
-    """All cells of a replay design at once: run_id is the run and its child. Sources' records and truth stay those of the run itself."""
+    """All cells of a replay design at once, beside the runs themselves. Sources' records and truth stay those of the run.
+
+    A run and its children are formed in one task (replay_runs.profiles), which counts the revisions that say the same; so no child's events or revisions
+    are written or shuffled, and whatever follows works on those counts and on terminal episodes. All lies in buckets by run.
+    """
 
     def __init__(self, spark, sf_dir: str, cells: list[tuple]):
         super().__init__(spark, sf_dir)
-        self.cells, self.base = cells, FormedFrames(spark, sf_dir)
+        self.cells = cells
 
     @functools.cached_property
-    def norm(self) -> DataFrame:
-        rows = replay.children(materialize(self.base.norm, "replay-norm"), self.cells)
-        return materialize(rows.withColumn("run_id", child_run()).drop("child"), "replay-children")
-
-    @property
-    def _norm_by_run(self) -> DataFrame:
-        return self._by_run(self.norm)
-
-    def _each(self, rows: DataFrame) -> DataFrame:
-        keys = F.explode(F.array(*[F.lit(replay.child_key(*c)) for c in self.cells]))
-        return rows.withColumn("child", keys).withColumn("run_id", child_run()).drop("child")
+    def _dealt(self) -> DataFrame:
+        """The events of the runs, with what detectors give for each: the same for a run and its children."""
+        named = super()._dealt.withColumnsRenamed({c: f"{c}_entity" for c in ("subject", "object")} | {f"own_{c}": c for c in ("subject", "object")})
+        rows = named.withColumn("given", detectors.event_values()).drop("subject", "object").withColumnsRenamed({f"{c}_entity": c for c in ("subject", "object")})
+        return materialize_dealt(rows.select("run_id", *formation.EVENT_COLUMNS, *replay_runs.DESCRIBED, "given"), "replay-events", self._parts, "run_id")
 
     @property
-    def coverage(self) -> DataFrame:
-        return self._each(self.base.coverage)
+    def _values(self) -> DataFrame:
+        return self._dealt.select("run_id", "event_id", F.inline("given"))
 
-    @property
-    def truth(self) -> DataFrame:
-        return self._by_run(self._each(self.base.truth))
+    @functools.cached_property
+    def negative_cohort(self) -> DataFrame:
+        """What the models were made from is not replayed: the negatives of the runs themselves."""
+        rows = replay_runs.profiles(self._dealt, self._values.withColumnRenamed("value", "share"), self._verdicts, [replay_runs.CONTROL], self._parts, best=True)
+        views = materialize_dealt(rows.filter("episode_no IS NOT NULL"), "replay-controls", self._parts, "run_id")
+        edges = materialize(evaluation.match_edges(views, self.truth), "replay-edges", True)
+        labels = evaluation.episode_labels(views, self._by_run(edges), self.conflicts)
+        negative = self._by_run(labels.filter("label = 'negative'").join(self.train_runs, "run_id").select(*EPISODE))
+        values = views.join(negative, EPISODE, "left_semi").select(F.inline(F.arrays_zip(F.col("detectors").alias("detector_id"), F.col("shares").alias("value"))))
+        return materialize(values, "replay-cohort", True)
 
-    @property
-    def train_runs(self) -> DataFrame:
-        return self._each(self.base.train_runs)
+    @functools.cached_property
+    def profiles(self) -> DataFrame:
+        """See replay_runs.PROFILE."""
+        table = sized(detectors.ecdf_table(self._values, self.negative_cohort, uncovered="null").filter("normalized IS NOT NULL"), "replay-shares", dealt=True)
+        shares = self._values.join(table, ["detector_id", "value"]).select("run_id", "event_id", "detector_id", F.col("normalized").alias("share"))
+        return materialize_dealt(replay_runs.profiles(self._dealt, shares, self._verdicts, self.cells, self._parts), "replay-profiles", self._parts, "run_id")
 
     @property
-    def calibration_runs(self) -> DataFrame:
-        return self._each(self.base.calibration_runs)
+    def views(self) -> DataFrame:
+        return self.profiles.filter("episode_no IS NOT NULL").select(*EPISODE, "child", "start_us", "end_us", "entities", "tokens")
 
     @property
-    def negative_cohort(self) -> DataFrame:
-        """What the models were made from is not replayed: the negatives of the runs themselves."""
-        return self.base.negative_cohort
-
+    def _slots(self) -> DataFrame:
+        """All in which a child's revision may end: a clock that is off moves an event by less than an interval."""
+        slot = F.floor(F.col("event_us") / (adapters.COVERAGE_S * adapters.SECOND))
+        return self._dealt.groupBy("run_id").agg(F.min(slot).alias("a"), F.max(slot).alias("b")).select("run_id", F.explode(F.sequence(F.col("a") - 1, F.col("b") + 1)).alias("slot"))
 
-def child_run() -> Column:
-    return F.concat("run_id", F.lit("|"), "child")
+    @functools.cached_property
+    def _verdicts(self) -> DataFrame:
+        """What the rules make of a revision, by the interval in which it ends and by what was eligible and detected: all else that they ask is the run's."""
+        cases = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("eligible_count", "edr_detected", "ndr_detected"), case, strict=True)], F.lit(case[0] << 2 | case[1] << 1 | case[2]).alias("detected")) for case in replay_runs.DETECTED])
+        other = {"d": F.lit(0.0), "c": F.lit(0.0), "state": F.lit("open"), "late_evidence_reason": F.lit(None).cast("string")}
+        rows = _assessed(self._decided(self._slots.select("run_id", "slot", F.col("slot").alias("at"), F.inline(cases)).withColumns(other)))
+        return materialize_dealt(self._by_run(rows.select("run_id", F.col("at").alias("slot"), "detected", "audit", "coverage", "provenance", "kappa")), "replay-verdicts", self._parts, "run_id")
 
 
 def replay_statistics(f: ChildFrames) -> DataFrame:
-    """Per run and child: formation against truth, mean logit, calibration of supported binary episodes, revisions, and seconds until episodes close."""
-    metrics = evaluation.formation_metrics(f.views, f.truth, f.edges).select("run_id", F.col("coverage").alias("action_coverage"), "fragmentation")
-    z = f.outcomes.filter("audit").groupBy("run_id").agg(F.avg("z").alias("mean_z"))
-    ends = f.outcomes.select(*EPISODE, "audit", "p").join(f.labelled.select(*EPISODE, "label"), EPISODE)
+    """Per run and child: formation against truth, mean logit, calibration of supported binary episodes, revisions, seconds until episodes close, and on how many
+    revisions that the control has too each axis of the profile differs."""
+    key = ["run_id", "child"]
+    mean_z = detectors.logit(F.col("d"), F.col("c")).alias("mean_z")  # linear in d and c
+    counts = f.profiles.filter("episode_no IS NULL").select(*key, "revision_count", "stabilization_s", mean_z, *[f"u_{a}" for a in replay_runs.AXES])
+    found = f.edges.join(f.views.select(*EPISODE, "child"), EPISODE).groupBy(*key, "group_id").agg(F.max("coverage").alias("coverage"), (F.count(F.lit(1)) - 1).alias("more"))
+    found = found.groupBy(*key).agg(F.sum("coverage").alias("coverage"), F.sum("more").alias("more"))
+    share = lambda c: F.coalesce(c, F.lit(0)) / F.col("n_groups")
+    groups = f.truth.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_groups"))
+    metrics = counts.select(*key).join(groups, "run_id").join(found, key, "left").select(*key, share("coverage").alias("action_coverage"), share("more").alias("fragmentation"))
+    z = detectors.logit(F.col("d"), F.col("c"))
+    ends = f.profiles.filter("episode_no IS NOT NULL AND audit IS NOT NULL").select(*EPISODE, "child", "audit", _probability(z).alias("p")).join(f.labelled.select(*EPISODE, "label"), EPISODE)
     scored = F.col("audit") & F.col("p").isNotNull()
     binary, y = scored & F.col("label").isin("positive", "negative"), (F.col("label") == "positive").cast("int")
-    calibration = ends.groupBy("run_id").agg(F.avg(F.when(binary, (F.col("p") - y) ** 2)).alias("brier"), F.avg(F.when(binary, evaluation.clipped_nll(F.col("p"), y))).alias("nll"), (F.count_if(scored) / F.count(F.lit(1))).alias("supported_coverage"))
-    closed = F.when(F.col("state") == "closed", (F.col("watermark_us") - F.col("event_us_end")) / 1e6)
-    counts = f.marks.groupBy("run_id").agg(F.count(F.lit(1)).alias("revision_count"), F.avg(closed).alias("stabilization_s"))
-    return counts.join(metrics, "run_id", "left").join(z, "run_id", "left").join(calibration, "run_id", "left")
-
-
-def axis_transitions(f: ChildFrames) -> DataFrame:
-    """Per run and child: on how many revisions that the control has too each axis of the profile differs."""
-    axes = ["coverage", "provenance", "lateness", "contradiction", "kappa"]
-    rows = f.outcomes.filter("audit").select(F.substring_index("run_id", "|", 1).alias("base"), F.substring_index("run_id", "|", -1).alias("child"), "episode_no", *axes)
-    control = rows.filter(F.col("child") == replay.child_key("control", "none", "none")).select("base", "episode_no", *[F.col(a).alias(f"_{a}") for a in axes])
-    return rows.join(control, ["base", "episode_no"]).groupBy("base", "child").agg(*[F.count_if(F.col(a) != F.col(f"_{a}")).alias(f"u_{a}") for a in axes])
+    calibration = ends.groupBy(*key).agg(F.avg(F.when(binary, (F.col("p") - y) ** 2)).alias("brier"), F.avg(F.when(binary, evaluation.clipped_nll(F.col("p"), y))).alias("nll"), (F.count_if(scored) / F.count(F.lit(1))).alias("supported_coverage"))
+    return counts.join(metrics, key, "left").join(calibration, key, "left")

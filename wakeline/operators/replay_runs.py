@@ -201,7 +201,6 @@ class Profiles(coded.Tally):
             key = (says, says)
         else:
             key = (says, base[line.revision] if base is not None and line.revision < len(base) else None)
-        self.revisions += 1
         found = self.groups.get(key)
         if found is None:
             found = self.groups[key] = [0, 0.0, 0]
@@ -245,7 +244,7 @@ class Verdicts:
                 for i, (x, y) in enumerate(zip(own[1], control[1], strict=True)):
                     differ[i] += n * (x != y)
         stable = out.closed_us / out.closed / replay.SECOND if out.closed else None
-        return out.revisions, stable, *differ, d_sum / audits if audits else None, c_sum / audits if audits else None
+        return sum(n for n, _, _ in out.groups.values()), stable, *differ, d_sum / audits if audits else None, c_sum / audits if audits else None
 
 
 def _list(column: pa.ChunkedArray) -> list:

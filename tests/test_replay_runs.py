@@ -133,7 +133,7 @@ def test_profiles_are_what_a_childs_rows_give(spark, monkeypatch):
         assert views(f.views.filter(F.col("child") == key)) == views(one.views)
 
 
-@pytest.mark.parametrize("name", ["replay_delays"])
+@pytest.mark.parametrize("name", ["replay_delays", "replay_delay_aggregate"])
 def test_no_childs_revisions_are_written(spark, name, monkeypatch):
     """Events and revisions of seven children were written, shuffled and joined row by row."""
     monkeypatch.setattr(replay, "children", None)
